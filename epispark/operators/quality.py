@@ -50,8 +50,11 @@ def filter_options(df: DataFrame, limits=OPTION_LIMITS) -> Optional[DataFrame]:
               .groupBy("filtro", "valor").agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy("filtro").orderBy(F.desc("n"), F.asc("valor"))
     limit = F.coalesce(*[F.when(F.col("filtro") == name, F.lit(int(limits[name]))) for _, name in present])
+    top = max(int(limits[name]) for _, name in present)
+    # the literal bound lets Spark cut each group per partition before the
+    # window's shuffle (WindowGroupLimit); the exact per-field cut follows
     return (counts.withColumn("_rank", F.row_number().over(w))
-            .where(F.col("_rank") <= limit)
+            .where((F.col("_rank") <= top) & (F.col("_rank") <= limit))
             .orderBy("filtro", "_rank")
             .drop("_rank"))
 

@@ -1,0 +1,63 @@
+"""Layout drift, schema description, CSV export, consolidation, territory."""
+
+import glob
+import os
+
+from pyspark.sql import functions as F
+
+from epispark.catalog.queries import register
+from epispark.sources import export, parquet
+
+from conftest import SF_SMALL
+
+
+def test_union_by_name_with_drift(spark, tmp_dir):
+    spark.createDataFrame([(1, "M")], "id int, sexo string").write.parquet(f"{tmp_dir}/a")
+    spark.createDataFrame([("x2", 3.5)], "ID string, idade double").write.parquet(f"{tmp_dir}/b")
+    spark.createDataFrame([(3,)], "id bigint").write.parquet(f"{tmp_dir}/c")
+    df = parquet.read_base(spark, [f"{tmp_dir}/a", f"{tmp_dir}/b", f"{tmp_dir}/c"])
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema.fields] == [
+        ("id", "string"), ("sexo", "string"), ("idade", "double")]
+    rows = sorted(tuple(r) for r in df.collect())
+    assert rows == [("1", "M", None), ("3", None, None), ("x2", None, 3.5)]
+
+
+def test_numeric_widening_and_glob(spark, tmp_dir):
+    spark.createDataFrame([(1,)], "v int").write.parquet(f"{tmp_dir}/p1")
+    spark.createDataFrame([(2.5,)], "v double").write.parquet(f"{tmp_dir}/p2")
+    df = parquet.read_base(spark, f"{tmp_dir}/p*")
+    assert df.schema["v"].dataType.simpleString() == "double"
+    assert sorted(r[0] for r in df.collect()) == [1.0, 2.5]
+    assert parquet.read_base(spark, "   ") is None
+    assert parquet.read_base(spark, f"{tmp_dir}/nothing*") is None
+
+
+def test_schema_describe(spark):
+    df = parquet.read_base(spark, f"{SF_SMALL}/orders.parquet")
+    got = [tuple(r) for r in parquet.schema_describe(spark, df).collect()]
+    assert got[0] == ("o_orderkey", "BIGINT") and ("o_orderdate", "TIMESTAMP") in got
+    assert parquet.preview_rows(df, 10).count() == 10
+
+
+def test_csv_roundtrip(spark, tmp_dir):
+    df = spark.createDataFrame([("São Paulo", 3), ("Niterói", 1)], "categoria string, n long")
+    out = export.export_csv(df, f"{tmp_dir}/csv")
+    back = spark.read.option("header", True).schema("categoria string, n long").csv(out)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_consolidate_and_territory(spark, tmp_dir):
+    reg = register(spark, SF_SMALL, "stays")
+    out = export.consolidate_by_year(reg.recoded, f"{tmp_dir}/cons")
+    parts = sorted(os.path.basename(p) for p in glob.glob(f"{out}/ano=*"))
+    assert parts and all(p.startswith("ano=") for p in parts)
+    back = spark.read.parquet(out)
+    expected = reg.recoded.where(F.col("ep_cid_grupo").isin(list(export.MENINGITIS_GROUPS))).count()
+    assert back.count() == expected
+    # partition pruning on the year column
+    plan = back.where(F.col("ano") == 1995)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ano" in plan
+    state = export.territory_cut(reg.recoded, "33").count()
+    assert state == reg.recoded.count()
+    one = export.territory_cut(reg.recoded, "3300457")
+    assert one.where(~F.col("ep_municipio").startswith("330045")).count() == 0
