@@ -14,11 +14,13 @@ Formats are tried in a fixed order and the first success wins:
 
 Spark's own string->date cast is far more lenient than the behaviour we
 reproduce (``'202001'`` becomes year 202001, ``'2020'`` and ``'today'``
-parse), so the native branch is guarded by a regex and every other branch
-uses ``try_to_date`` with an explicit pattern. ``\\z`` anchors the end
-because Java's ``$`` also matches before a trailing newline. Numeric columns
-go through their text form. Out of scope: ``epoch``/``infinity`` keywords,
-BC dates and years with other than four digits in the native branch.
+parse), so the native branch is guarded by a regex and parsed with an
+explicit pattern; the digit-only layouts are shape-checked by a regex and
+built from their integer parts with ``try_make_timestamp_ntz`` (NULL for an
+impossible day such as 31 February). ``\\z`` anchors the end because
+Java's ``$`` also matches before a trailing newline. Numeric columns go
+through their text form. Out of scope: ``epoch``/``infinity`` keywords, BC
+dates, year 0 and years with other than four digits in the native branch.
 """
 
 from __future__ import annotations
@@ -30,15 +32,16 @@ from pyspark.sql.types import DataType, DateType, StringType, TimestampNTZType,
 from .text import ColumnOrName, clean_text, col_of
 
 _ISO_LIKE = r"^(\d{4})[-/ \\](\d{1,2})[-/ \\](\d{1,2})([ T]\d{2}:\d{2}.*)?\z"
+_ISO_DATE_PART = r"^(\d{4}[-/ \\]\d{1,2}[-/ \\]\d{1,2})"
 _YEAR_GATE = ("1900", "2099")
 
 
-def _gated(txt: Column, pattern: str, fmt: str, suffix: str = "", year_gate: bool = False) -> Column:
-    cond = txt.rlike(pattern)
-    if year_gate:
-        cond = cond & F.substring(txt, 1, 4).between(*_YEAR_GATE)
-    value = F.concat(txt, F.lit(suffix)) if suffix else txt
-    return F.when(cond, F.try_to_date(value, fmt))
+def _from_parts(y: Column, m: Column, d: Column) -> Column:
+    """DATE from digit-only text parts; an impossible date is NULL. Cheaper
+    than a pattern parse and identical for digit-only input."""
+    ts = F.try_make_timestamp_ntz(y.try_cast("int"), m.try_cast("int"), d.try_cast("int"),
+                                  F.lit(0), F.lit(0), F.lit(0))
+    return F.to_date(ts)
 
 
 def _native(c: Column, dtype: DataType | None, txt: Column) -> Column | None:
@@ -47,23 +50,29 @@ def _native(c: Column, dtype: DataType | None, txt: Column) -> Column | None:
     if isinstance(dtype, (TimestampType, TimestampNTZType)):
         return F.to_date(c)
     if dtype is None or isinstance(dtype, StringType):
-        ymd = [F.regexp_extract(txt, _ISO_LIKE, i) for i in (1, 2, 3)]
-        return F.when(txt.rlike(_ISO_LIKE), F.try_to_date(F.concat_ws("-", *ymd), "yyyy-M-d"))
+        day = F.translate(F.regexp_extract(txt, _ISO_DATE_PART, 1), "/ \\", "---")
+        return F.when(txt.rlike(_ISO_LIKE), F.try_to_date(day, "yyyy-M-d"))
     return None  # numbers: a cast to DATE is not a parse, go through text
 
 
 def parse_date(c: ColumnOrName, dtype: DataType | None = None) -> Column:
-    """Parse a raw column into DATE; ``dtype`` is the column's Spark type."""
+    """Parse a raw column into DATE; ``dtype`` is the column's Spark type.
+
+    The ``YYYY-MM-DD`` branch of the rule list is folded into the native
+    branch, which accepts every such string with the same result.
+    """
     raw = col_of(c)
     txt = clean_text(raw)
+    part = lambda start, length: F.substring(txt, start, length)
+    gate = part(1, 4).between(*_YEAR_GATE)
+    digits8 = txt.rlike(r"^\d{8}\z")
     branches = [
         _native(raw, dtype, txt),
-        _gated(txt, r"^\d{4}-\d{2}-\d{2}\z", "yyyy-MM-dd"),
-        _gated(txt, r"^\d{8}\z", "yyyyMMdd", year_gate=True),
-        _gated(txt, r"^\d{8}\z", "ddMMyyyy"),
-        _gated(txt, r"^\d{6}\z", "yyyyMMdd", suffix="01", year_gate=True),
-        _gated(txt, r"^\d{4}\z", "yyyyMMdd", suffix="0101", year_gate=True),
-        _gated(txt, r"^\d{2}/\d{2}/\d{4}\z", "dd/MM/yyyy"),
-        _gated(txt, r"^\d{2}-\d{2}-\d{4}\z", "dd-MM-yyyy"),
+        F.when(digits8 & gate, _from_parts(part(1, 4), part(5, 2), part(7, 2))),
+        F.when(digits8, _from_parts(part(5, 4), part(3, 2), part(1, 2))),
+        F.when(txt.rlike(r"^\d{6}\z") & gate, _from_parts(part(1, 4), part(5, 2), F.lit("1"))),
+        F.when(txt.rlike(r"^\d{4}\z") & gate, _from_parts(part(1, 4), F.lit("1"), F.lit("1"))),
+        F.when(txt.rlike(r"^\d{2}/\d{2}/\d{4}\z"), _from_parts(part(7, 4), part(4, 2), part(1, 2))),
+        F.when(txt.rlike(r"^\d{2}-\d{2}-\d{4}\z"), _from_parts(part(7, 4), part(4, 2), part(1, 2))),
     ]
     return F.coalesce(*[b for b in branches if b is not None])

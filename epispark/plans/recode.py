@@ -9,6 +9,7 @@ the column's presence.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from typing import Optional, Sequence, Tuple, Union
 
@@ -76,6 +77,13 @@ def recode(df: DataFrame, roles: Roles, rules=CODE_RULES, pattern: str = CODE_PA
     The code is extracted once (``ep_cid``) and its group/label are derived
     from that column in a second projection, so the regex runs once per
     code column instead of once per label rule.
+
+    The frame ends in an observation point (``observe``: rows recoded).
+    Catalyst pushes no filter through it, so a predicate on a canonical
+    column (the default filter tests ``ep_data``) reads the computed column
+    instead of re-deriving the parse below the projection and evaluating
+    it twice per row; column pruning still passes through. Filter raw or
+    partition columns (``ano``) *before* recoding so they reach the scan.
     """
     cols = canonical_columns(df, roles, rules, pattern)
     first = {k: v for k, v in cols.items() if k not in (CODE_GROUP, CODE_TYPE)}
@@ -84,7 +92,7 @@ def recode(df: DataFrame, roles: Roles, rules=CODE_RULES, pattern: str = CODE_PA
     second = [k for k in (CODE_GROUP, CODE_TYPE) if k in cols]
     if second:
         out = out.withColumns({k: cols[k] for k in second})
-    return out
+    return out.observe(f"recoded_rows_{uuid.uuid4().hex[:10]}", F.count(F.lit(1)).alias("rows"))
 
 
 @dataclass(frozen=True)
@@ -104,19 +112,16 @@ class Filters:
 DEFAULT_FILTERS = Filters()
 
 
-def _has_valid_date(df: DataFrame) -> bool:
-    # A LIMIT 1 probe: Spark scans partitions incrementally and stops at
-    # the first hit, so this is cheap whenever valid dates exist at all.
-    return len(df.select(DATE).where(F.col(DATE).isNotNull()).limit(1).take(1)) > 0
-
-
 def year_predicate(df: DataFrame, years) -> Optional[Column]:
     if DATE not in df.columns or years is None:
         return None
     if years == "bounds":
-        # year(d) BETWEEN min(year) AND max(year) holds for every valid d,
-        # so the bounds never need to be computed.
-        return F.col(DATE).isNotNull() if _has_valid_date(df) else None
+        # year(d) BETWEEN min(year) AND max(year) holds for every valid d, so
+        # the bounds never need computing: keep valid dates, or everything
+        # when the register has none. The test is an uncorrelated EXISTS,
+        # which Spark runs once per query as a LIMIT 1 scalar subquery.
+        any_valid = df.select(DATE).where(F.col(DATE).isNotNull()).exists()
+        return F.col(DATE).isNotNull() | ~any_valid
     lo, hi = years
     return F.year(F.col(DATE)).between(int(lo), int(hi))
 
