@@ -48,9 +48,15 @@ def filter_options(df: DataFrame, limits=OPTION_LIMITS) -> Optional[DataFrame]:
     counts = (df.select(pairs.alias("p")).select("p.filtro", "p.valor")
               .where(F.col("valor").isNotNull())
               .groupBy("filtro", "valor").agg(F.count(F.lit(1)).alias("n")))
+    return top_per_field(counts, [name for _, name in present], limits)
+
+
+def top_per_field(counts: DataFrame, fields, limits=OPTION_LIMITS) -> DataFrame:
+    """Cut ``filtro, valor, n`` counts to the top ``limits[filtro]`` values
+    of each field (count desc, then value)."""
     w = Window.partitionBy("filtro").orderBy(F.desc("n"), F.asc("valor"))
-    limit = F.coalesce(*[F.when(F.col("filtro") == name, F.lit(int(limits[name]))) for _, name in present])
-    top = max(int(limits[name]) for _, name in present)
+    limit = F.coalesce(*[F.when(F.col("filtro") == name, F.lit(int(limits[name]))) for name in fields])
+    top = max(int(limits[name]) for name in fields)
     # the literal bound lets Spark cut each group per partition before the
     # window's shuffle (WindowGroupLimit); the exact per-field cut follows
     return (counts.withColumn("_rank", F.row_number().over(w))
@@ -93,6 +99,30 @@ def top_category(df: DataFrame, column: str, n: int = TOP_CATEGORY_N) -> DataFra
             .limit(n))
 
 
+MISSING_COLUMNS = (DATE, SEX_TEXT, AGE, AGE_UNIT_TEXT, MUNICIPALITY, OUTCOME, DIAGNOSIS, CODE)
+
+
+def missing_checks(columns) -> list:
+    """``(label, canonical column)`` of each configured key field."""
+    return [(label, col) for label, col in zip(MISSING_LABELS, MISSING_COLUMNS) if col in columns]
+
+
+def missing_flag_sums(checks) -> list:
+    return [F.sum(F.when(F.col(col).isNull(), 1).otherwise(0)).cast("long").alias(f"_m{i}")
+            for i, (_, col) in enumerate(checks)]
+
+
+def unpivot_missing(one: DataFrame, checks) -> DataFrame:
+    """One row with ``_total`` and ``_m<i>`` -> ``campo, faltantes, pct_faltante``."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_ord"), F.lit(label).alias("campo"),
+                                         F.col(f"_m{i}").alias("faltantes"))
+                                for i, (label, _) in enumerate(checks)]))
+    return (one.select("_total", pairs.alias("p"))
+            .select("p._ord", "p.campo", "p.faltantes",
+                    percent(F.col("p.faltantes"), F.col("_total")).alias("pct_faltante"))
+            .orderBy("_ord").drop("_ord"))
+
+
 def missingness(df: DataFrame) -> Optional[DataFrame]:
     """``campo, faltantes, pct_faltante`` for each configured key field.
 
@@ -102,22 +132,11 @@ def missingness(df: DataFrame) -> Optional[DataFrame]:
     converted values (an unconvertible value counts as missing).
     On empty input the counts are NULL and the percentages 0.0.
     """
-    checks = [(label, col) for label, col in zip(
-        MISSING_LABELS, (DATE, SEX_TEXT, AGE, AGE_UNIT_TEXT, MUNICIPALITY, OUTCOME, DIAGNOSIS, CODE))
-        if col in df.columns]
+    checks = missing_checks(df.columns)
     if not checks:
         return None
-    aggs = [F.count(F.lit(1)).alias("_total")]
-    aggs += [F.sum(F.when(F.col(col).isNull(), 1).otherwise(0)).cast("long").alias(f"_m{i}")
-             for i, (_, col) in enumerate(checks)]
-    one = df.agg(*aggs)
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("_ord"), F.lit(label).alias("campo"),
-                                         F.col(f"_m{i}").alias("faltantes"))
-                                for i, (label, _) in enumerate(checks)]))
-    return (one.select("_total", pairs.alias("p"))
-            .select("p._ord", "p.campo", "p.faltantes",
-                    percent(F.col("p.faltantes"), F.col("_total")).alias("pct_faltante"))
-            .orderBy("_ord").drop("_ord"))
+    one = df.agg(F.count(F.lit(1)).alias("_total"), *missing_flag_sums(checks))
+    return unpivot_missing(one, checks)
 
 
 def enriched_rows(df: DataFrame, roles: Roles, limit: Optional[int] = None) -> DataFrame:

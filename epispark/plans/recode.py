@@ -126,7 +126,7 @@ def year_predicate(df: DataFrame, years) -> Optional[Column]:
     return F.year(F.col(DATE)).between(int(lo), int(hi))
 
 
-def apply_filters(df: DataFrame, filters: Filters = DEFAULT_FILTERS) -> DataFrame:
+def filter_predicates(df: DataFrame, filters: Filters = DEFAULT_FILTERS) -> list:
     preds = []
     yp = year_predicate(df, filters.years)
     if yp is not None:
@@ -135,6 +135,18 @@ def apply_filters(df: DataFrame, filters: Filters = DEFAULT_FILTERS) -> DataFram
                         (OUTCOME, filters.desfecho), (CODE_TYPE, filters.tipo)):
         if values and col in df.columns:
             preds.append(F.col(col).isin(list(values)))
-    for p in preds:
+    return preds
+
+
+def filter_predicate(df: DataFrame, filters: Filters = DEFAULT_FILTERS) -> Column:
+    """The whole filter as one boolean column (NULL counts as false)."""
+    out = F.lit(True)
+    for p in filter_predicates(df, filters):
+        out = out & F.coalesce(p, F.lit(False))
+    return out
+
+
+def apply_filters(df: DataFrame, filters: Filters = DEFAULT_FILTERS) -> DataFrame:
+    for p in filter_predicates(df, filters):
         df = df.where(p)
     return df

@@ -61,3 +61,15 @@ def test_consolidate_and_territory(spark, tmp_dir):
     assert state == reg.recoded.count()
     one = export.territory_cut(reg.recoded, "3300457")
     assert one.where(~F.col("ep_municipio").startswith("330045")).count() == 0
+
+
+def test_reference_tables(spark):
+    from epispark.sources.reference import code_rules, field_guide
+
+    rules = code_rules(spark).collect()
+    assert [r["grupo"] for r in rules] == ["A170", "A390", "A87", "G00", "G01", "G02", "G03"]
+    assert rules[2]["padrao"] == "A87*" and rules[2]["rotulo"] == "A87 — Meningite viral"
+    guide = field_guide(spark)
+    assert guide.columns == ["base", "campo", "uso", "leitura", "observação"]
+    assert guide.where("base = 'CIHA'").count() == 9 and guide.count() == 27
+    assert field_guide(spark, "SIM").first()["campo"] == "DTOBITO"
