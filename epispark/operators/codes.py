@@ -27,11 +27,19 @@ def type_distribution(df: DataFrame) -> DataFrame:
     """``grupo_cid, tipo_agravo_cid10, n, cids_distintos_n,
     cids_encontrados, pct`` over all filtered rows (rows without a code
     form their own group). The distinct-code list is sorted (the order is
-    otherwise unspecified); ``pct`` is the share of all rows."""
-    agg = (df.groupBy(F.col(CODE_GROUP).alias("grupo_cid"), F.col(CODE_TYPE).alias("tipo_agravo_cid10"))
-           .agg(F.count(F.lit(1)).alias("n"),
-                F.count_distinct(F.col(CODE)).alias("cids_distintos_n"),
-                F.nullif(F.array_join(F.array_sort(F.collect_set(F.col(CODE))), ", "), F.lit(""))
+    otherwise unspecified); ``pct`` is the share of all rows.
+
+    Group and label are functions of the code, so counting per
+    (group, label, code) with a plain hash aggregate and folding that small
+    result gives the distinct count and the code list exactly, without a
+    distinct-aggregate rewrite or a per-row ``collect_set``.
+    """
+    per_code = (df.groupBy(F.col(CODE_GROUP).alias("grupo_cid"), F.col(CODE_TYPE).alias("tipo_agravo_cid10"),
+                           F.col(CODE).alias("_cid"))
+                .agg(F.count(F.lit(1)).alias("n")))
+    agg = (per_code.groupBy("grupo_cid", "tipo_agravo_cid10")
+           .agg(F.sum("n").alias("n"), F.count("_cid").alias("cids_distintos_n"),
+                F.nullif(F.array_join(F.array_sort(F.collect_list("_cid")), ", "), F.lit(""))
                 .alias("cids_encontrados")))
     return (agg.withColumn("pct", percent(F.col("n"), F.sum("n").over(_all())))
             .orderBy(F.desc("n"), F.asc_nulls_last("grupo_cid")))

@@ -9,7 +9,6 @@ the column's presence.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 from typing import Optional, Sequence, Tuple, Union
 
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ages import build_age
-from ..functions.codes import code_group, code_origin, code_type, extract_code_multi
+from ..functions.codes import code_group, code_origin, code_type, extract_code, extract_code_multi
 from ..functions.dates import parse_date
 from ..functions.sex import recode_sex
 from ..functions.text import clean_text
@@ -74,25 +73,27 @@ def recode(df: DataFrame, roles: Roles, rules=CODE_RULES, pattern: str = CODE_PA
            keep_raw: bool = True) -> DataFrame:
     """Role raw columns (when ``keep_raw``) plus the canonical columns.
 
-    The code is extracted once (``ep_cid``) and its group/label are derived
-    from that column in a second projection, so the regex runs once per
-    code column instead of once per label rule.
-
-    The frame ends in an observation point (``observe``: rows recoded).
-    Catalyst pushes no filter through it, so a predicate on a canonical
-    column (the default filter tests ``ep_data``) reads the computed column
-    instead of re-deriving the parse below the projection and evaluating
-    it twice per row; column pruning still passes through. Filter raw or
-    partition columns (``ano``) *before* recoding so they reach the scan.
+    Projections are staged so each regex runs once per row: the code of
+    every code column is extracted first (``_cid<i>``); the first non-null
+    one and the name of its column are picked next; group and label are
+    derived from ``ep_cid`` last. Catalyst does not collapse these stages
+    because each extracted value is used more than once.
     """
     cols = canonical_columns(df, roles, rules, pattern)
-    first = {k: v for k, v in cols.items() if k not in (CODE_GROUP, CODE_TYPE)}
+    later = (CODE, CODE_GROUP, CODE_TYPE, CODE_ORIGIN)
+    first = {k: v for k, v in cols.items() if k not in later}
     raw = [F.col(c) for c in roles.raw_columns()] if keep_raw else []
-    out = df.select(*raw, *[v.alias(k) for k, v in first.items()])
-    second = [k for k in (CODE_GROUP, CODE_TYPE) if k in cols]
-    if second:
-        out = out.withColumns({k: cols[k] for k in second})
-    return out.observe(f"recoded_rows_{uuid.uuid4().hex[:10]}", F.count(F.lit(1)).alias("rows"))
+    codes = [c for c in roles.codes if c]
+    per_col = {f"_cid{i}": extract_code(c, pattern) for i, c in enumerate(codes)}
+    out = df.select(*raw, *[v.alias(k) for k, v in first.items()], *[v.alias(k) for k, v in per_col.items()])
+    if codes:
+        names = list(per_col)
+        out = out.withColumns({
+            CODE: F.coalesce(*[F.col(n) for n in names]),
+            CODE_ORIGIN: F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(c)) for n, c in zip(names, codes)]),
+        }).drop(*names)
+        out = out.withColumns({CODE_GROUP: cols[CODE_GROUP], CODE_TYPE: cols[CODE_TYPE]})
+    return out
 
 
 @dataclass(frozen=True)
