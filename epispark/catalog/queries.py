@@ -8,6 +8,7 @@ resolved from the view's column names, exactly as for a real extract.
 
 from __future__ import annotations
 
+import os
 from typing import Callable, Dict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,8 +50,18 @@ CONJUNCTIVE_FILTER = Filters(
 TERRITORY = "3300457"
 
 
+# (application id, table folder, view) -> Register. A register is opened
+# once per application and its lazy plan reused by every question, as a
+# report does; nothing is cached but the plan objects.
+_REGISTERS: Dict[tuple, Register] = {}
+
+
 def register(spark: SparkSession, sf_dir: str, view: str) -> Register:
-    return open_register(fixture_view(spark, sf_dir, view), PROFILES[VIEW_PROFILE[view]])
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), view)
+    reg = _REGISTERS.get(key)
+    if reg is None:
+        reg = _REGISTERS[key] = open_register(fixture_view(spark, sf_dir, view), PROFILES[VIEW_PROFILE[view]])
+    return reg
 
 
 def filtered(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:

@@ -18,7 +18,7 @@ strategies are offered:
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Dict, Mapping, Optional
 
 from pyspark import StorageLevel
@@ -50,9 +50,18 @@ class Register:
     raw: DataFrame
     roles: Roles
     recoded: DataFrame
+    _filtered: Dict[Filters, DataFrame] = field(default_factory=dict, repr=False)
 
     def filtered(self, filters: Filters = DEFAULT_FILTERS) -> DataFrame:
-        return apply_filters(self.recoded, filters)
+        """The recoded frame under ``filters`` (the lazy plan is built once
+        per distinct filter)."""
+        try:
+            hit = self._filtered.get(filters)
+        except TypeError:  # unhashable selections (lists): no memo
+            return apply_filters(self.recoded, filters)
+        if hit is None:
+            hit = self._filtered[filters] = apply_filters(self.recoded, filters)
+        return hit
 
 
 def materialize(df: DataFrame, how: Optional[str], spark: Optional[SparkSession] = None) -> DataFrame:

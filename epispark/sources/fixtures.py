@@ -146,7 +146,11 @@ def fixture_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = _WRITTEN.get(key)
     if path is None:
         path = scratch_path(spark, f"fixture-{name}")
-        fixture_projection(spark, sf_dir, name).write.mode("overwrite").parquet(path)
+        # The base tables are single files with one row group, which Spark
+        # cannot split; an extract set is many files. Spread the rows over
+        # one file per core so scans of the view run in parallel.
+        parts = max(1, spark.sparkContext.defaultParallelism)
+        fixture_projection(spark, sf_dir, name).repartition(parts).write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(path)
 
