@@ -37,3 +37,25 @@ def test_filter_options_group_limit(spark):
     df = QUERIES["filter_options"](spark, SF_SMALL)
     p = df._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in p
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"preview_rows"}))
+def test_no_joins_or_unbounded_single_partition(spark, name):
+    p = plan(QUERIES[name](spark, SF_SMALL))
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BroadcastHashJoin", "SortMergeJoin"):
+        assert bad not in p, (name, bad)
+    # a SinglePartition exchange is allowed only above an aggregate (tiny rows)
+    for chunk in p.split("Exchange SinglePartition")[1:]:
+        assert "HashAggregate" in chunk.split("Scan")[0] or "TakeOrderedAndProject" in p, name
+
+
+def test_library_never_collects_rows():
+    import pathlib
+    root = pathlib.Path(__file__).resolve().parents[1] / "epispark"
+    offenders = []
+    for f in root.rglob("*.py"):
+        text = f.read_text()
+        for bad in (".collect()", ".toPandas()", "localCheckpoint"):
+            if bad in text:
+                offenders.append((f.name, bad))
+    assert offenders == []
