@@ -32,7 +32,8 @@ from ..plans.recode import (
     recode,
 )
 from ..plans.report import Register, open_register
-from ..profiles import AGE_MODE_AUTO, CODE_RULES, PROFILES
+from ..plans.roles import Roles
+from ..profiles import AGE_MODE_AUTO, AGE_MODE_DIRECT, CODE_RULES, PROFILES
 from ..session import scratch_path
 from ..sources import export, parquet
 from ..sources.fixtures import VIEW_PROFILE, fixture_view, view_columns
@@ -297,6 +298,35 @@ def q_territory_cut(spark, sf_dir):
     return series.time_series(df, "year")
 
 
+# -- the same operators on unmodified tables (typed columns) -------------------
+
+def _table_register(spark, sf_dir, table, roles):
+    raw = parquet.read_base(spark, f"{sf_dir}/{table}.parquet")
+    return open_register(raw, "SINAN", roles=roles)
+
+
+def q_ts_orders_month(spark, sf_dir):
+    # a TIMESTAMP column takes the native branch of the date parse
+    reg = _table_register(spark, sf_dir, "orders", Roles(date="o_orderdate", outcome="o_orderstatus"))
+    return series.time_series(reg.filtered(), "month")
+
+
+def q_ts_events_week(spark, sf_dir):
+    reg = _table_register(spark, sf_dir, "events", Roles(date="ts"))
+    return series.time_series(reg.filtered(), "week")
+
+
+def q_top_part_type(spark, sf_dir):
+    reg = _table_register(spark, sf_dir, "part", Roles(diagnosis="p_type"))
+    return quality.top_category(reg.filtered(), DIAGNOSIS)
+
+
+def q_age_distribution_part_size(spark, sf_dir):
+    # an INTEGER column read as ages in years
+    reg = _table_register(spark, sf_dir, "part", Roles(age="p_size", age_mode=AGE_MODE_DIRECT))
+    return demography.age_distribution(reg.filtered())
+
+
 QUERIES: Dict[str, Query] = {
     "clean_text": q_clean_text,
     "parse_dates": q_parse_dates,
@@ -341,4 +371,8 @@ QUERIES: Dict[str, Query] = {
     "scan_union_by_name": q_scan_union_by_name,
     "consolidate_by_year": q_consolidate_by_year,
     "territory_cut": q_territory_cut,
+    "ts_orders_month": q_ts_orders_month,
+    "ts_events_week": q_ts_events_week,
+    "top_part_type": q_top_part_type,
+    "age_distribution_part_size": q_age_distribution_part_size,
 }

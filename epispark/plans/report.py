@@ -78,10 +78,13 @@ def materialize(df: DataFrame, how: Optional[str], spark: Optional[SparkSession]
 
 
 def open_register(raw: DataFrame, profile: SourceProfile | str, materialize_as: Optional[str] = None,
-                  **overrides) -> Register:
+                  roles: Optional[Roles] = None, **overrides) -> Register:
+    """Resolve roles (or take ``roles`` as given), recode, optionally
+    materialise. Keyword overrides replace single detected roles."""
     if isinstance(profile, str):
         profile = PROFILES[profile]
-    roles = resolve_roles(raw, profile, **overrides)
+    if roles is None:
+        roles = resolve_roles(raw, profile, **overrides)
     rec = materialize(recode(raw, roles), materialize_as, raw.sparkSession)
     return Register(profile.name, raw, roles, rec)
 
