@@ -98,13 +98,30 @@ def _footer_schemas(spark: SparkSession, files: Sequence[str], threads: int) ->
         return list(pool.map(lambda f: spark.read.parquet(f).schema, files))
 
 
-def read_base(spark: SparkSession, paths: Paths, footer_threads: int = 16) -> Optional[DataFrame]:
+def read_base(spark: SparkSession, paths: Paths, footer_threads: int = 16,
+              layout_by: str = "file") -> Optional[DataFrame]:
     """One DataFrame over all files, columns unioned by name.
-    Returns None when nothing matches."""
+    Returns None when nothing matches.
+
+    ``layout_by="file"`` reads every footer (exact). With very many files,
+    ``"directory"`` reads one footer per folder and assumes the files of a
+    folder share a layout (one extract per year or month per folder is the
+    usual shape); footer reads then scale with folders, not files.
+    """
     files = list_files(spark, paths)
     if not files:
         return None
-    schemas = _footer_schemas(spark, files, footer_threads)
+    if layout_by == "directory":
+        first_of: Dict[str, str] = {}
+        for f in files:
+            first_of.setdefault(f.rsplit("/", 1)[0], f)
+        dirs = list(first_of)
+        dir_schemas = dict(zip(dirs, _footer_schemas(spark, [first_of[d] for d in dirs], footer_threads)))
+        schemas = [dir_schemas[f.rsplit("/", 1)[0]] for f in files]
+    elif layout_by == "file":
+        schemas = _footer_schemas(spark, files, footer_threads)
+    else:
+        raise ValueError(f"layout_by must be 'file' or 'directory': {layout_by!r}")
     groups: Dict[str, List[int]] = {}
     for i, s in enumerate(schemas):
         groups.setdefault(s.json(), []).append(i)

@@ -22,6 +22,15 @@ def test_union_by_name_with_drift(spark, tmp_dir):
     assert rows == [("1", "M", None), ("3", None, None), ("x2", None, 3.5)]
 
 
+def test_layout_by_directory(spark, tmp_dir):
+    spark.createDataFrame([(1, "M"), (2, "F")], "id int, sexo string").repartition(2).write.parquet(f"{tmp_dir}/y1")
+    spark.createDataFrame([("x2", 3.5)], "ID string, idade double").write.parquet(f"{tmp_dir}/y2")
+    exact = parquet.read_base(spark, f"{tmp_dir}/y*")
+    by_dir = parquet.read_base(spark, f"{tmp_dir}/y*", layout_by="directory")
+    assert by_dir.schema == exact.schema
+    assert sorted(map(tuple, by_dir.collect())) == sorted(map(tuple, exact.collect()))
+
+
 def test_numeric_widening_and_glob(spark, tmp_dir):
     spark.createDataFrame([(1,)], "v int").write.parquet(f"{tmp_dir}/p1")
     spark.createDataFrame([(2.5,)], "v double").write.parquet(f"{tmp_dir}/p2")
