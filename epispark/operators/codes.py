@@ -23,24 +23,26 @@ def _all():
     return Window.partitionBy()
 
 
+def _type_counts(df: DataFrame) -> DataFrame:
+    # Group and label are functions of the code, so counting per
+    # (group, label, code) with a plain hash aggregate and folding that small
+    # result gives the distinct count and the code list exactly, without a
+    # distinct-aggregate rewrite or a per-row collect_set.
+    per_code = (df.groupBy(F.col(CODE_GROUP).alias("grupo_cid"), F.col(CODE_TYPE).alias("tipo_agravo_cid10"),
+                           F.col(CODE).alias("_cid"))
+                .agg(F.count(F.lit(1)).alias("n")))
+    return (per_code.groupBy("grupo_cid", "tipo_agravo_cid10")
+            .agg(F.sum("n").alias("n"), F.count("_cid").alias("cids_distintos_n"),
+                 F.nullif(F.array_join(F.array_sort(F.collect_list("_cid")), ", "), F.lit(""))
+                 .alias("cids_encontrados")))
+
+
 def type_distribution(df: DataFrame) -> DataFrame:
     """``grupo_cid, tipo_agravo_cid10, n, cids_distintos_n,
     cids_encontrados, pct`` over all filtered rows (rows without a code
     form their own group). The distinct-code list is sorted (the order is
-    otherwise unspecified); ``pct`` is the share of all rows.
-
-    Group and label are functions of the code, so counting per
-    (group, label, code) with a plain hash aggregate and folding that small
-    result gives the distinct count and the code list exactly, without a
-    distinct-aggregate rewrite or a per-row ``collect_set``.
-    """
-    per_code = (df.groupBy(F.col(CODE_GROUP).alias("grupo_cid"), F.col(CODE_TYPE).alias("tipo_agravo_cid10"),
-                           F.col(CODE).alias("_cid"))
-                .agg(F.count(F.lit(1)).alias("n")))
-    agg = (per_code.groupBy("grupo_cid", "tipo_agravo_cid10")
-           .agg(F.sum("n").alias("n"), F.count("_cid").alias("cids_distintos_n"),
-                F.nullif(F.array_join(F.array_sort(F.collect_list("_cid")), ", "), F.lit(""))
-                .alias("cids_encontrados")))
+    otherwise unspecified); ``pct`` is the share of all rows."""
+    agg = _type_counts(df)
     return (agg.withColumn("pct", percent(F.col("n"), F.sum("n").over(_all())))
             .orderBy(F.desc("n"), F.asc_nulls_last("grupo_cid")))
 
@@ -74,12 +76,17 @@ def code_origin_counts(df: DataFrame, n: int = CODE_ORIGIN_N) -> DataFrame:
 
 def compare_types(bases: Mapping[str, DataFrame]) -> Optional[DataFrame]:
     """``type_distribution`` per register with a ``base`` column; ``pct`` is
-    within each base (X2). Bases without codes are skipped."""
-    frames = [type_distribution(df).withColumn("base", F.lit(name))
-              for name, df in bases.items() if CODE in df.columns]
+    within each base (X2). Bases without codes are skipped. The per-base
+    counts are combined first; one window partitioned by base computes the
+    shares and one sort orders the result."""
+    frames = [_type_counts(df).withColumn("base", F.lit(name)).withColumn("_rank", F.lit(rank))
+              for rank, (name, df) in enumerate(bases.items()) if CODE in df.columns]
     if not frames:
         return None
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out
+    share = percent(F.col("n"), F.sum("n").over(Window.partitionBy("base")))
+    return (out.withColumn("pct", share)
+            .orderBy("_rank", F.desc("n"), F.asc_nulls_last("grupo_cid"))
+            .select("grupo_cid", "tipo_agravo_cid10", "n", "cids_distintos_n", "cids_encontrados", "pct", "base"))

@@ -18,21 +18,27 @@ from ..plans.recode import CODE_TYPE, DATE
 MONTHS = list(range(1, 13))
 
 
-def time_series(df: DataFrame, freq: str = "month") -> DataFrame:
-    """``periodo, n``: rows with a valid date per period start (A3)."""
+def _series_counts(df: DataFrame, freq: str) -> DataFrame:
     return (df.where(F.col(DATE).isNotNull())
             .groupBy(period_start(F.col(DATE), freq).alias("periodo"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .orderBy("periodo"))
+            .agg(F.count(F.lit(1)).alias("n")))
 
 
-def time_series_by(df: DataFrame, freq: str = "month", category: str = CODE_TYPE) -> DataFrame:
-    """``periodo, categoria, n`` (A4); rows without a category are dropped."""
+def _series_counts_by(df: DataFrame, freq: str, category: str) -> DataFrame:
     return (df.where(F.col(DATE).isNotNull() & F.col(category).isNotNull())
             .groupBy(period_start(F.col(DATE), freq).alias("periodo"),
                      F.col(category).alias("categoria"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .orderBy("periodo", "categoria"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def time_series(df: DataFrame, freq: str = "month") -> DataFrame:
+    """``periodo, n``: rows with a valid date per period start (A3)."""
+    return _series_counts(df, freq).orderBy("periodo")
+
+
+def time_series_by(df: DataFrame, freq: str = "month", category: str = CODE_TYPE) -> DataFrame:
+    """``periodo, categoria, n`` (A4); rows without a category are dropped."""
+    return _series_counts_by(df, freq, category).orderBy("periodo", "categoria")
 
 
 def month_heatmap(df: DataFrame) -> DataFrame:
@@ -73,18 +79,25 @@ def compare_series(bases: Mapping[str, DataFrame], freq: str = "month", by_type:
     ``bases`` maps a register name to its recoded, filtered frame; bases
     without a date are skipped. With ``by_type`` a base that has codes is
     split by code label (``serie = base — label``). Frames are aligned by
-    column name; a base without codes has a NULL ``categoria``.
+    column name; a base without codes has a NULL ``categoria``. The
+    per-base parts are combined unsorted and ordered once (base order, then
+    period and category).
     """
     frames = []
-    for name, df in bases.items():
+    for rank, (name, df) in enumerate(bases.items()):
         if DATE not in df.columns:
             continue
         if by_type and CODE_TYPE in df.columns:
-            ts = (time_series_by(df, freq)
+            ts = (_series_counts_by(df, freq, CODE_TYPE)
                   .withColumn("serie", F.concat(F.lit(name + " — "), F.col("categoria"))))
         else:
-            ts = time_series(df, freq).withColumn("serie", F.lit(name))
-        frames.append(ts.withColumnRenamed("n", "valor").withColumn("base", F.lit(name)))
+            ts = _series_counts(df, freq).withColumn("serie", F.lit(name))
+        frames.append(ts.withColumnRenamed("n", "valor").withColumn("base", F.lit(name))
+                      .withColumn("_rank", F.lit(rank)))
+    return _combine(frames, index100)
+
+
+def _combine(frames, index100: bool) -> Optional[DataFrame]:
     if not frames:
         return None
     out = frames[0]
@@ -92,5 +105,7 @@ def compare_series(bases: Mapping[str, DataFrame], freq: str = "month", by_type:
         out = out.unionByName(f, allowMissingColumns=True)
     if index100:
         out = index_base100(out)
-    cols = ["periodo", "valor", "base", "serie"] + (["categoria"] if "categoria" in out.columns else [])
-    return out.select(*cols)
+    has_cat = "categoria" in out.columns
+    order = ["_rank", "periodo"] + (["categoria"] if has_cat else [])
+    cols = ["periodo", "valor", "base", "serie"] + (["categoria"] if has_cat else [])
+    return out.orderBy(*[F.col(c).asc_nulls_last() for c in order]).select(*cols)
