@@ -20,7 +20,7 @@ survives executor loss) and every report table is a small slice of it.
 
 from __future__ import annotations
 
-from typing import Dict, List, Tuple
+from typing import Dict, List, Optional, Tuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,10 +83,11 @@ def _grouping_ids(order: List[str], sets) -> Dict[str, int]:
             for name, members in sets}
 
 
-def aggregate_once(df: DataFrame, filters: Filters = DEFAULT_FILTERS, freq: str = "month"):
+def aggregate_once(df: DataFrame, filters: Filters = DEFAULT_FILTERS, freq: str = "month",
+                   has_valid: Optional[bool] = None):
     """The grouping-sets aggregate (lazy), its key order and set ids."""
     cols = set(df.columns)
-    keys = {KEEP: filter_predicate(df, filters)}
+    keys = {KEEP: filter_predicate(df, filters, has_valid)}
     if DATE in cols:
         d = F.col(DATE)
         keys.update({PERIOD: period_start(d, freq), YEAR: year_of(d), MONTH: month_of(d)})
@@ -125,7 +126,7 @@ def one_pass_report(reg: Register, filters: Filters = DEFAULT_FILTERS, freq: str
                     materialize_as: str = "table") -> Dict[str, DataFrame]:
     """Every aggregate table of ``standard_report`` (plus ``time_series_by``),
     equal to the per-table operators, from one scan of the recoded frame."""
-    agg, gid, checks = aggregate_once(reg.recoded, filters, freq)
+    agg, gid, checks = aggregate_once(reg.recoded, filters, freq, reg._known_validity(filters))
     agg = materialize(agg, materialize_as, reg.recoded.sparkSession)
     cols = set(reg.recoded.columns)
 

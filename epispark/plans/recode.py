@@ -113,23 +113,38 @@ class Filters:
 DEFAULT_FILTERS = Filters()
 
 
-def year_predicate(df: DataFrame, years) -> Optional[Column]:
+def year_predicate(df: DataFrame, years, has_valid: Optional[bool] = None) -> Optional[Column]:
+    """``has_valid`` — whether the register has any valid date, when the
+    caller already knows it (a ``Register`` asks once); unknown -> a lazy
+    uncorrelated EXISTS that Spark runs as a ``LIMIT 1`` scalar subquery."""
     if DATE not in df.columns or years is None:
         return None
     if years == "bounds":
         # year(d) BETWEEN min(year) AND max(year) holds for every valid d, so
         # the bounds never need computing: keep valid dates, or everything
-        # when the register has none. The test is an uncorrelated EXISTS,
-        # which Spark runs once per query as a LIMIT 1 scalar subquery.
+        # when the register has none.
+        if has_valid is True:
+            return F.col(DATE).isNotNull()
+        if has_valid is False:
+            return None
         any_valid = df.select(DATE).where(F.col(DATE).isNotNull()).exists()
         return F.col(DATE).isNotNull() | ~any_valid
     lo, hi = years
     return F.year(F.col(DATE)).between(int(lo), int(hi))
 
 
-def filter_predicates(df: DataFrame, filters: Filters = DEFAULT_FILTERS) -> list:
+def has_valid_date(df: DataFrame) -> bool:
+    """One ``LIMIT 1`` probe: Spark scans partitions incrementally and stops
+    at the first valid date."""
+    if DATE not in df.columns:
+        return False
+    return len(df.select(DATE).where(F.col(DATE).isNotNull()).limit(1).take(1)) > 0
+
+
+def filter_predicates(df: DataFrame, filters: Filters = DEFAULT_FILTERS,
+                      has_valid: Optional[bool] = None) -> list:
     preds = []
-    yp = year_predicate(df, filters.years)
+    yp = year_predicate(df, filters.years, has_valid)
     if yp is not None:
         preds.append(yp)
     for col, values in ((SEX, filters.sexo), (MUNICIPALITY, filters.municipio),
@@ -139,15 +154,17 @@ def filter_predicates(df: DataFrame, filters: Filters = DEFAULT_FILTERS) -> list
     return preds
 
 
-def filter_predicate(df: DataFrame, filters: Filters = DEFAULT_FILTERS) -> Column:
+def filter_predicate(df: DataFrame, filters: Filters = DEFAULT_FILTERS,
+                     has_valid: Optional[bool] = None) -> Column:
     """The whole filter as one boolean column (NULL counts as false)."""
     out = F.lit(True)
-    for p in filter_predicates(df, filters):
+    for p in filter_predicates(df, filters, has_valid):
         out = out & F.coalesce(p, F.lit(False))
     return out
 
 
-def apply_filters(df: DataFrame, filters: Filters = DEFAULT_FILTERS) -> DataFrame:
-    for p in filter_predicates(df, filters):
+def apply_filters(df: DataFrame, filters: Filters = DEFAULT_FILTERS,
+                  has_valid: Optional[bool] = None) -> DataFrame:
+    for p in filter_predicates(df, filters, has_valid):
         df = df.where(p)
     return df

@@ -39,6 +39,7 @@ from .recode import (
     SEX,
     Filters,
     apply_filters,
+    has_valid_date,
     recode,
 )
 from .roles import Roles, resolve_roles
@@ -51,6 +52,17 @@ class Register:
     roles: Roles
     recoded: DataFrame
     _filtered: Dict[Filters, DataFrame] = field(default_factory=dict, repr=False)
+    _has_valid: Optional[bool] = field(default=None, repr=False)
+
+    def has_valid_date(self) -> bool:
+        """Whether any row has a valid date — asked once per register (a
+        ``LIMIT 1`` probe), like the year slider of a report is set once."""
+        if self._has_valid is None:
+            self._has_valid = has_valid_date(self.recoded)
+        return self._has_valid
+
+    def _known_validity(self, filters: Filters) -> Optional[bool]:
+        return self.has_valid_date() if filters.years == "bounds" and DATE in self.recoded.columns else None
 
     def filtered(self, filters: Filters = DEFAULT_FILTERS) -> DataFrame:
         """The recoded frame under ``filters`` (the lazy plan is built once
@@ -58,9 +70,9 @@ class Register:
         try:
             hit = self._filtered.get(filters)
         except TypeError:  # unhashable selections (lists): no memo
-            return apply_filters(self.recoded, filters)
+            return apply_filters(self.recoded, filters, self._known_validity(filters))
         if hit is None:
-            hit = self._filtered[filters] = apply_filters(self.recoded, filters)
+            hit = self._filtered[filters] = apply_filters(self.recoded, filters, self._known_validity(filters))
         return hit
 
 
