@@ -61,3 +61,33 @@ def test_library_never_collects_rows():
             if bad in text:
                 offenders.append((f.name, bad))
     assert offenders == []
+
+
+def _subtrees(plan_text, marker):
+    lines = plan_text.splitlines()
+    for i, line in enumerate(lines):
+        if marker in line:
+            indent = len(line) - len(line.lstrip(" :+-"))
+            sub = []
+            for nxt in lines[i + 1:]:
+                if len(nxt) - len(nxt.lstrip(" :+-")) <= indent:
+                    break
+                sub.append(nxt)
+            yield line, sub
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"preview_rows"}))
+def test_every_shuffle_is_pre_aggregated(spark, name):
+    """Whatever the skew of a key, a shuffle only carries rows that an
+    aggregate (partial or final), a group limit or a top-k already reduced."""
+    p = plan(QUERIES[name](spark, SF_SMALL))
+    for line, sub in _subtrees(p, "Exchange "):
+        if "Subquery" in line:
+            continue
+        upto_scan = []
+        for s in sub:
+            if "Scan" in s or "Subquery" in s:
+                break
+            upto_scan.append(s)
+        text = "\n".join(upto_scan)
+        assert any(k in text for k in ("Aggregate", "WindowGroupLimit", "TakeOrderedAndProject")), (name, line)
