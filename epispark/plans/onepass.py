@@ -9,8 +9,9 @@ folds them, so the shuffle carries at most (#partitions × #groups) rows
 whatever the skew of any key. The analysis filter is not applied as a
 row filter: it becomes the boolean key ``k_manter`` present in every set,
 so the unfiltered tables (filter options, year bounds) come out of the
-same pass. Missing-value counts and date bounds ride along as aggregate
-columns.
+same pass. The totals set is also keyed by the missing-value flags of the
+key fields (at most 2^8 groups), so missing counts cost no aggregate per
+row; the date bounds ride along as min/max.
 
 The aggregated result is bounded by the number of distinct keys (a few
 thousand municipalities at most), never by the row count. It is written
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import band_label, band_start, month_of, percent, period_start, year_of
-from ..operators.quality import missing_checks, missing_flag_sums, top_per_field, unpivot_missing
+from ..operators.quality import missing_checks, top_per_field, unpivot_missing
 from ..operators.series import MONTHS
 from ..profiles import CODE_ORIGIN_N, OPTION_LIMITS, SEX_FEMALE, SEX_MALE, TOP_CATEGORY_N, TOP_CODES_N
 from .recode import (
@@ -54,9 +55,16 @@ BAND = "k_faixa"
 SEX_BIN = "k_sexo_bin"
 
 
+def _flag(i: int) -> str:
+    return f"k_falta{i}"
+
+
 def key_sets(columns) -> List[Tuple[str, List[str]]]:
     cols = set(columns)
-    sets: List[Tuple[str, List[str]]] = [("total", [KEEP])]
+    # totals are grouped by the missing-value flags (at most 2^8 groups), so
+    # missing counts need no extra aggregate per expanded row
+    flags = [_flag(i) for i in range(len(missing_checks(cols)))]
+    sets: List[Tuple[str, List[str]]] = [("total", [KEEP, *flags])]
     if DATE in cols:
         sets += [("period", [KEEP, PERIOD]), ("heat", [KEEP, YEAR, MONTH])]
         if CODE in cols:
@@ -95,6 +103,8 @@ def aggregate_once(df: DataFrame, filters: Filters = DEFAULT_FILTERS, freq: str
         keys[BAND] = F.when(F.col(AGE).between(0, 120), band_start(F.col(AGE)))
         if SEX in cols:
             keys[SEX_BIN] = F.when(F.col(SEX).isin(SEX_MALE, SEX_FEMALE), F.col(SEX))
+    checks = missing_checks(cols)
+    keys.update({_flag(i): F.col(col).isNull() for i, (_, col) in enumerate(checks)})
     keyed = df.withColumns(keys)
     sets = key_sets(cols)
     order: List[str] = []
@@ -102,11 +112,9 @@ def aggregate_once(df: DataFrame, filters: Filters = DEFAULT_FILTERS, freq: str
         for c in members:
             if c not in order:
                 order.append(c)
-    checks = missing_checks(cols)
     aggs = [F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")]
     if DATE in cols:
         aggs += [F.min(DATE).alias("dt_min"), F.max(DATE).alias("dt_max")]
-    aggs += missing_flag_sums(checks)
     agg = keyed.groupingSets([members for _, members in sets], *order).agg(*aggs)
     return agg, _grouping_ids(order, sets), checks
 
@@ -144,7 +152,8 @@ def one_pass_report(reg: Register, filters: Filters = DEFAULT_FILTERS, freq: str
     out["dataset_metrics"] = total.agg(*metrics)
     if checks:
         one = total.agg(F.sum("n").alias("_total"),
-                        *[F.sum(f"_m{i}").alias(f"_m{i}") for i in range(len(checks))])
+                        *[F.sum(F.when(F.col(_flag(i)), F.col("n")).otherwise(0)).alias(f"_m{i}")
+                          for i in range(len(checks))])
         out["missingness"] = unpivot_missing(one, checks)
 
     option_parts = []
