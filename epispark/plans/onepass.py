@@ -222,31 +222,28 @@ def comparison_from_reports(reports: Dict[str, Dict[str, DataFrame]], by_type: b
                             index100: bool = False) -> Dict[str, DataFrame]:
     """Cross-register tables (X1, X2) assembled from one-pass reports:
     ``{register name: one_pass_report(...)}``. Registers without a date
-    are skipped; at least two dated registers are needed."""
-    from ..operators.series import index_base100
+    are skipped; at least two dated registers are needed. The slices are
+    combined unsorted and ordered once."""
+    from ..operators.series import _combine
 
     dated = {n: r for n, r in reports.items() if "time_series" in r}
     if len(dated) < 2:
         return {}
     frames = []
-    for name, r in dated.items():
+    for rank, (name, r) in enumerate(dated.items()):
         if by_type and "time_series_by" in r:
             ts = r["time_series_by"].withColumn("serie", F.concat(F.lit(name + " — "), F.col("categoria")))
         else:
             ts = r["time_series"].withColumn("serie", F.lit(name))
-        frames.append(ts.withColumnRenamed("n", "valor").withColumn("base", F.lit(name)))
-    s = frames[0]
-    for f in frames[1:]:
-        s = s.unionByName(f, allowMissingColumns=True)
-    if index100:
-        s = index_base100(s)
-    cols = ["periodo", "valor", "base", "serie"] + (["categoria"] if "categoria" in s.columns else [])
-    out = {"compare_series": s.select(*cols)}
-    types = [r["type_distribution"].withColumn("base", F.lit(n)) for n, r in dated.items()
-             if "type_distribution" in r]
+        frames.append(ts.withColumnRenamed("n", "valor").withColumn("base", F.lit(name))
+                      .withColumn("_rank", F.lit(rank)))
+    out = {"compare_series": _combine(frames, index100)}
+    types = [r["type_distribution"].withColumn("base", F.lit(n)).withColumn("_rank", F.lit(rank))
+             for rank, (n, r) in enumerate(dated.items()) if "type_distribution" in r]
     if types:
         t = types[0]
         for f in types[1:]:
             t = t.unionByName(f)
-        out["compare_types"] = t
+        out["compare_types"] = (t.orderBy("_rank", F.desc("n"), F.asc_nulls_last("grupo_cid"))
+                                .drop("_rank"))
     return out
