@@ -20,7 +20,6 @@ from ..operators import demography, quality, series
 from ..plans.recode import (
     CODE,
     CODE_GROUP,
-    CODE_ORIGIN,
     CODE_TYPE,
     DATE,
     DIAGNOSIS,
@@ -29,7 +28,6 @@ from ..plans.recode import (
     SEX,
     Filters,
     apply_filters,
-    recode,
 )
 from ..plans.report import Register, open_register
 from ..plans.roles import Roles

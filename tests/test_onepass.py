@@ -6,7 +6,7 @@ from epispark.catalog.queries import register
 from epispark.operators import codes as code_ops
 from epispark.operators import demography, quality, series
 from epispark.plans.onepass import one_pass_report
-from epispark.plans.recode import CODE_TYPE, DIAGNOSIS, MUNICIPALITY, OUTCOME, Filters
+from epispark.plans.recode import DIAGNOSIS, MUNICIPALITY, OUTCOME, Filters
 
 from conftest import SF_SMALL
 
