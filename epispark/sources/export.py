@@ -47,13 +47,16 @@ def consolidate_by_year(df: DataFrame, out_dir: str, groups: Sequence[str] = MEN
     """Keep rows whose detected code is in ``groups`` (and in the territory),
     and write them as Parquet partitioned by ``ano`` (S6).
 
-    No shuffle: each task sorts its rows by year and writes one file per
-    year it holds, capped at ``max_records_per_file``. A year holding a
-    third of all rows is thus spread over every task instead of landing in
-    one. Rows without a valid date go to the default (NULL) partition.
+    The kept rows are a small part of the input, so writing straight from
+    the scan tasks would leave thousands of tiny files per year. A
+    ``rebalance`` on the year lets adaptive execution size the write
+    partitions: a year holding a third of all rows is split over several
+    tasks, small years are coalesced, and each task writes about the
+    advisory partition size. Rows without a valid date go to the default
+    (NULL) partition; ``max_records_per_file`` caps any single file.
     """
     kept = territory_cut(df.where(F.col(CODE_GROUP).isin(list(groups))), territory)
-    (with_year(kept).sortWithinPartitions("ano")
+    (with_year(kept).hint("rebalance", "ano")
      .write.mode("overwrite").option("maxRecordsPerFile", int(max_records_per_file))
      .partitionBy("ano").parquet(out_dir))
     return out_dir
