@@ -143,15 +143,16 @@ def has_valid_date(df: DataFrame) -> bool:
 
 def filter_predicates(df: DataFrame, filters: Filters = DEFAULT_FILTERS,
                       has_valid: Optional[bool] = None) -> list:
-    preds = []
-    yp = year_predicate(df, filters.years, has_valid)
-    if yp is not None:
-        preds.append(yp)
-    for col, values in ((SEX, filters.sexo), (MUNICIPALITY, filters.municipio),
-                        (OUTCOME, filters.desfecho), (CODE_TYPE, filters.tipo)):
-        if values and col in df.columns:
-            preds.append(F.col(col).isin(list(values)))
-    return preds
+    # Cheapest first: Spark evaluates the conjunction in this order and
+    # stops at the first false, and Catalyst does not reorder by cost.
+    # Trimmed-text lists, then the sex recode, then the date parse, then
+    # the code label (a regex per code column).
+    def isin(col, values):
+        return F.col(col).isin(list(values)) if values and col in df.columns else None
+
+    preds = [isin(MUNICIPALITY, filters.municipio), isin(OUTCOME, filters.desfecho), isin(SEX, filters.sexo),
+             year_predicate(df, filters.years, has_valid), isin(CODE_TYPE, filters.tipo)]
+    return [p for p in preds if p is not None]
 
 
 def filter_predicate(df: DataFrame, filters: Filters = DEFAULT_FILTERS,
