@@ -319,6 +319,11 @@ def q_top_part_type(spark, sf_dir):
     return quality.top_category(reg.filtered(), DIAGNOSIS)
 
 
+def q_top_event_type(spark, sf_dir):
+    reg = _table_register(spark, sf_dir, "events", Roles(date="ts", outcome="event_type"))
+    return quality.top_category(reg.filtered(), OUTCOME)
+
+
 def q_age_distribution_part_size(spark, sf_dir):
     # an INTEGER column read as ages in years
     reg = _table_register(spark, sf_dir, "part", Roles(age="p_size", age_mode=AGE_MODE_DIRECT))
@@ -372,5 +377,6 @@ QUERIES: Dict[str, Query] = {
     "ts_orders_month": q_ts_orders_month,
     "ts_events_week": q_ts_events_week,
     "top_part_type": q_top_part_type,
+    "top_event_type": q_top_event_type,
     "age_distribution_part_size": q_age_distribution_part_size,
 }
