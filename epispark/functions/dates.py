@@ -2,8 +2,9 @@
 
 Formats are tried in a fixed order and the first success wins:
 
-1. a native date/timestamp value, or ISO-like text ``Y-M-D`` (separators
-   ``-``, ``/``, space or backslash, optional time part);
+1. a native date/timestamp value, or ISO-like text ``Y-M-D`` (one of the
+   separators ``-``, ``/``, space or backslash, used twice; any year width;
+   an optional time part), white space around it ignored;
 2. ``YYYY-MM-DD``;
 3. ``YYYYMMDD`` when the year is 1900–2099;
 4. ``DDMMYYYY``;
@@ -20,7 +21,7 @@ built from their integer parts with ``try_make_timestamp_ntz`` (NULL for an
 impossible day such as 31 February). ``\\z`` anchors the end because
 Java's ``$`` also matches before a trailing newline. Numeric columns go
 through their text form. Out of scope: ``epoch``/``infinity`` keywords, BC
-dates, year 0 and years with other than four digits in the native branch.
+dates and year 0 (the same day exists, spelled differently).
 """
 
 from __future__ import annotations
@@ -31,8 +32,15 @@ from pyspark.sql.types import DataType, DateType, StringType, TimestampNTZType,
 
 from .text import ColumnOrName, clean_text, col_of
 
-_ISO_LIKE = r"^(\d{4})[-/ \\](\d{1,2})[-/ \\](\d{1,2})([ T]\d{2}:\d{2}.*)?\z"
-_ISO_DATE_PART = r"^(\d{4}[-/ \\]\d{1,2}[-/ \\]\d{1,2})"
+# Native spelling: year (any width), month, day with one separator used
+# twice, then optionally a time (hour <= 24, minute and second < 60, an
+# optional fraction) followed by a zone or by free text after a space.
+_ISO_LIKE = (r"^\d+([-/ \\])\d{1,2}\1\d{1,2}"
+             r"(?:(?:T| +)0?(?:[01]?\d|2[0-4]):[0-5]?\d(?::[0-5]?\d(?:\.\d*)?)?"
+             r"(?:Z|[+-]\d{2}(?::?\d{2})?| .*)?)?\z")
+_ISO_DATE_PART = r"^(\d+[-/ \\]\d{1,2}[-/ \\]\d{1,2})"
+# A native cast skips all ASCII white space around the value.
+_WHITESPACE = " \t\n\r\u000b\u000c"
 _YEAR_GATE = ("1900", "2099")
 
 
@@ -50,8 +58,10 @@ def _native(c: Column, dtype: DataType | None, txt: Column) -> Column | None:
     if isinstance(dtype, (TimestampType, TimestampNTZType)):
         return F.to_date(c)
     if dtype is None or isinstance(dtype, StringType):
-        day = F.translate(F.regexp_extract(txt, _ISO_DATE_PART, 1), "/ \\", "---")
-        return F.when(txt.rlike(_ISO_LIKE), F.try_to_date(day, "yyyy-M-d"))
+        raw = F.btrim(c.cast("string"), F.lit(_WHITESPACE))
+        day = F.translate(F.regexp_extract(raw, _ISO_DATE_PART, 1), "/ \\", "---")
+        parts = F.split(day, "-")
+        return F.when(raw.rlike(_ISO_LIKE), _from_parts(parts[0], parts[1], parts[2]))
     return None  # numbers: a cast to DATE is not a parse, go through text
 
 
