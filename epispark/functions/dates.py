@@ -59,9 +59,9 @@ def _native(c: Column, dtype: DataType | None, txt: Column) -> Column | None:
         return F.to_date(c)
     if dtype is None or isinstance(dtype, StringType):
         raw = F.btrim(c.cast("string"), F.lit(_WHITESPACE))
+        # one extraction; the 'y' pattern takes any year width
         day = F.translate(F.regexp_extract(raw, _ISO_DATE_PART, 1), "/ \\", "---")
-        parts = F.split(day, "-")
-        return F.when(raw.rlike(_ISO_LIKE), _from_parts(parts[0], parts[1], parts[2]))
+        return F.when(raw.rlike(_ISO_LIKE), F.try_to_date(day, "y-M-d"))
     return None  # numbers: a cast to DATE is not a parse, go through text
 
 
