@@ -31,8 +31,11 @@ def _series_counts_by(df: DataFrame, freq: str, category: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def time_series(df: DataFrame, freq: str = "month") -> DataFrame:
-    """``periodo, n``: rows with a valid date per period start (A3)."""
+def time_series(df: DataFrame, freq: str = "month", by: Optional[str] = None) -> DataFrame:
+    """``periodo, n``: rows with a valid date per period start (A3); with
+    ``by`` (a canonical column, e.g. the code label) ``periodo, categoria, n``."""
+    if by is not None:
+        return time_series_by(df, freq, by)
     return _series_counts(df, freq).orderBy("periodo")
 
 
@@ -41,8 +44,10 @@ def time_series_by(df: DataFrame, freq: str = "month", category: str = CODE_TYPE
     return _series_counts_by(df, freq, category).orderBy("periodo", "categoria")
 
 
-def month_heatmap(df: DataFrame) -> DataFrame:
-    """``ano, mes, n`` long form."""
+def month_heatmap(df: DataFrame, pivot: bool = False) -> DataFrame:
+    """``ano, mes, n`` long form (A6); ``pivot=True`` gives the month columns."""
+    if pivot:
+        return heatmap_pivot(df)
     return (df.where(F.col(DATE).isNotNull())
             .groupBy(year_of(F.col(DATE)).alias("ano"), month_of(F.col(DATE)).alias("mes"))
             .agg(F.count(F.lit(1)).alias("n"))

@@ -118,3 +118,10 @@ def test_comparison_shapes(spark):
     types = QUERIES["compare_types"](spark, SF_SMALL)
     for r in types.groupBy("base").agg(F.sum("pct").alias("p")).collect():
         assert abs(r["p"] - 100.0) < 0.05
+
+
+def test_public_surface_options(spark):
+    f = filtered(spark, SF_SMALL, "cases")
+    assert series.time_series(f, "month", by="ep_cid_tipo").columns == ["periodo", "categoria", "n"]
+    assert series.month_heatmap(f, pivot=True).columns[0] == "ano"
+    assert len(series.month_heatmap(f, pivot=True).columns) == 13
