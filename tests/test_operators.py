@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from epispark.catalog.queries import QUERIES, filtered, register
@@ -125,3 +127,18 @@ def test_public_surface_options(spark):
     assert series.time_series(f, "month", by="ep_cid_tipo").columns == ["periodo", "categoria", "n"]
     assert series.month_heatmap(f, pivot=True).columns[0] == "ano"
     assert len(series.month_heatmap(f, pivot=True).columns) == 13
+
+
+@pytest.mark.parametrize("name", ["ts_month", "ts_week", "dataset_metrics", "parse_dates", "ts_orders_month"])
+def test_results_do_not_depend_on_session_zone(spark, name):
+    from epispark.catalog.queries import QUERIES
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        utc = sorted(map(tuple, QUERIES[name](spark, SF_SMALL).collect()), key=repr)
+        spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+        other = sorted(map(tuple, QUERIES[name](spark, SF_SMALL).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert utc == other
