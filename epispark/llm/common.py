@@ -11,6 +11,7 @@ import tempfile
 import zipfile
 from typing import Any, Callable, Dict, Hashable, Iterable, Iterator, List, Optional
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,36 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.R
             yield b.slice(i, rows)
 
 
+def runs(batches: Iterable[pa.RecordBatch], keys: List[str]) -> Iterator[tuple]:
+    """(key, slice) for each run of equal integer keys within a batch; a run
+    that goes on in the next batch comes again with the same key."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(b.num_rows, dtype=bool)
+        change[0] = True
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = np.append(np.flatnonzero(change), b.num_rows)
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield tuple(int(c[lo]) for c in cols), b.slice(lo, hi - lo)
+
+
+def sorted_groups(batches: Iterable[pa.RecordBatch], keys: List[str]) -> Iterator[pa.Table]:
+    """Whole groups of equal integer keys of sorted batches, one table each."""
+    held: List[pa.RecordBatch] = []
+    last = None
+    for key, part in runs(batches, keys):
+        if held and key != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(part)
+        last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def held_out(doc_id: Column) -> Column:
     """The evaluation fold: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_compression, token_binary, token_counts, packing, toxicity_fm
+from . import embedding_pq, minhash_super, packing, quality_compression, token_binary, token_counts, toxicity_fm
 from .common import held_out, scratch_path
 from .tokenizing import PIECE_BPE, WORD_BPE
 
@@ -27,6 +27,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_pq.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), PIECE_BPE, limit=4096)
 
@@ -37,6 +41,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "offset")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_super.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity_fm.fit_factor_machine(docs, labels, "toxic")
@@ -47,8 +55,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
+    "op4_vector_duplicates": op4_vector_duplicates,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_toxicity": op10_toxicity,
 }
 
