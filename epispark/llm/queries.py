@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_pq, minhash_super, packing, quality_compression, token_binary, token_counts, toxicity_fm
-from .common import held_out, scratch_path
-from .tokenizing import PIECE_BPE, WORD_BPE
+from . import (bm25_wand, chat_format, embedding_pq, minhash_super, packing, quality_compression, source_mixing, token_binary,
+               token_counts, toxicity_fm)
+from .common import held_out, saved
+from ..session import scratch_path
+from .oracle import ORACLE_SQL  # noqa: F401
+from .tokenizing import BYTE_BPE, PIECE_BPE, WORD_BPE
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +30,29 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_top_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    asked = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return bm25_wand.search(docs, asked, k=10)
+
+
 def op4_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_pq.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+#: A conversation whose texts hold the template's own control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)],
+                                  "conv_id long, turn long, role string, text string")
+    written = saved(chat_format.format_conversations(rows.unionByName(extra), BYTE_BPE), "chat")
+    return chat_format.read_conversations(written, BYTE_BPE)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), PIECE_BPE, limit=4096)
 
@@ -45,6 +67,16 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_super.near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+#: Target shares of tokens; a number is an exponent on the observed shares.
+MIX = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.7}
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = source_mixing.fit_topics(docs)
+    return source_mixing.mix(docs, MIX, model).select("doc_id", "lang", "source", "topic", "tokens", "probability")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity_fm.fit_factor_machine(docs, labels, "toxic")
@@ -55,11 +87,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
+    "op3_top_documents": op3_top_documents,
     "op4_vector_duplicates": op4_vector_duplicates,
+    "op5_chat_format": op5_chat_format,
     "op6_token_counts": op6_token_counts,
     "op7_packing": op7_packing,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_source_mix": op9_source_mix,
     "op10_toxicity": op10_toxicity,
-}
-
-ORACLE_SQL: dict = {}
+}
\ No newline at end of file
