@@ -14,6 +14,7 @@ share of the tokens, form one rest category, which bounds the cell table.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from typing import Dict, Iterator, List, Mapping, Union
 
@@ -36,6 +37,8 @@ class TopicModel:
     centres: bytes  # float64, topics x slots
     topics: int
     slots: int
+    languages: tuple  # those with a mean of their own
+    means: bytes  # float64, (languages + 1) x slots, the last for all others
 
 
 def _slot_counts(some: List[str], slots: int) -> np.ndarray:
@@ -50,22 +53,36 @@ def _slot_counts(some: List[str], slots: int) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
 
 
+def _less_language(x: np.ndarray, languages: List, names: tuple, means: np.ndarray) -> np.ndarray:
+    """What is left of the vectors without their language's mean."""
+    place = {n: i for i, n in enumerate(names)}
+    rest = x - means[[place.get(v, len(names)) for v in languages]]
+    return rest / np.maximum(np.sqrt((rest * rest).sum(1)), 1e-12)[:, None]
+
+
 def fit_topics(docs: DataFrame, topics: int = 8, slots: int = 512, sample: int = 2000, sample_chars: int = 20_000_000,
                seed: int = 5) -> TopicModel:
-    """Centres from at most ``sample`` documents in the order of a hash of
-    their text, whole texts until ``sample_chars`` are read, in one task. With
-    fewer distinct documents than topics some topics stay unused."""
+    """Centres from at most ``sample`` documents (text, lang) in the order of a
+    hash of their text, whole texts until ``sample_chars`` are read, in one
+    task. The mean of a language is taken off first, for topics that are not
+    the languages again; languages with under 20 sampled documents share one.
+    With fewer distinct documents than topics some topics stay unused."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some, used = [], 0
+        some, languages, used = [], [], 0
         for b in batches:
-            for t in texts(b.column(0)):
+            for t, v in zip(texts(b.column(0)), b.column(1).to_pylist()):
                 if used < sample_chars:
                     some.append(t)
+                    languages.append(v)
                     used += len(t)
         if not some:
             return
         x = _slot_counts(some, slots)
+        names = tuple(sorted(v for v, n in Counter(languages).items() if v is not None and n >= 20))
+        of = np.array([names.index(v) if v in names else len(names) for v in languages])
+        means = np.stack([x[of == i].mean(0) if (of == i).any() else x.mean(0) for i in range(len(names) + 1)])
+        x = _less_language(x, languages, names, means)
         rng = np.random.default_rng(seed)
         centres = x[rng.choice(len(x), topics, replace=len(x) < topics)].copy()
         for _ in range(15):
@@ -74,12 +91,17 @@ def fit_topics(docs: DataFrame, topics: int = 8, slots: int = 512, sample: int =
                 total = x[at == k].sum(0)
                 if total.any():
                     centres[k] = total / np.sqrt((total * total).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([centres.astype("<f8").tobytes()], pa.binary())], ["centres"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([centres.astype("<f8").tobytes()], pa.binary()), pa.array([list(names)], pa.list_(pa.string())),
+             pa.array([means.astype("<f8").tobytes()], pa.binary())], ["centres", "languages", "means"])
 
     pick = F.xxhash64("text", F.lit(seed))
-    one = docs.select("text").where("text is not null").orderBy(pick, "text").limit(sample).repartition(1).sortWithinPartitions(pick, "text")
-    got = arrow_map(one, fit, "centres binary").collect()
-    return TopicModel(bytes(got[0].centres) if got else np.zeros((topics, slots)).tobytes(), topics, slots)
+    one = (docs.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null").orderBy(pick, "text", "lang").limit(sample)
+           .repartition(1).sortWithinPartitions(pick, "text", "lang"))
+    got = arrow_map(one, fit, "centres binary, languages array<string>, means binary").collect()
+    if not got:
+        return TopicModel(np.zeros((topics, slots)).tobytes(), topics, slots, (), np.zeros((1, slots)).tobytes())
+    return TopicModel(bytes(got[0].centres), topics, slots, tuple(got[0].languages), bytes(got[0].means))
 
 
 def annotate(docs: DataFrame, model: TopicModel) -> DataFrame:
@@ -87,9 +109,11 @@ def annotate(docs: DataFrame, model: TopicModel) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = np.frombuffer(model.centres, "<f8").reshape(model.topics, model.slots)
+        means = np.frombuffer(model.means, "<f8").reshape(-1, model.slots)
         for b in slices(batches, 1024):
             some = texts(b.column(b.schema.get_field_index("text")))
-            topic = (_slot_counts(some, model.slots) @ centres.T).argmax(1).astype(np.int32)
+            x = _less_language(_slot_counts(some, model.slots), b.column(b.schema.get_field_index("lang")).to_pylist(), model.languages, means)
+            topic = (x @ centres.T).argmax(1).astype(np.int32)
             tokens = [len(t.split()) for t in some]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(topic), pa.array(tokens, pa.int64())], [*b.schema.names, "topic", "tokens"])
 
@@ -115,41 +139,47 @@ def _scale(cells: np.ndarray, weight: np.ndarray, goal: float) -> float:
     return float(f[np.argmax(f <= upper)])
 
 
-def rake(cells: np.ndarray, targets: List[np.ndarray], tolerance: float = 1e-3, rounds: int = 100) -> np.ndarray:
+def _marginal(cells: np.ndarray, d: int) -> np.ndarray:
+    return cells.sum(tuple(a for a in range(cells.ndim) if a != d))
+
+
+def _fit(cells: np.ndarray, targets: List[np.ndarray], total: float, rounds: int = 100):
+    """Weights (to be cut at 1) whose kept cells meet the targets at ``total``,
+    and the largest error of a marginal share."""
+    weight = np.ones_like(cells)
+    errors: List[float] = []
+    for _ in range(rounds):
+        for d in range(cells.ndim):
+            for k in range(cells.shape[d]):
+                at = tuple([slice(None)] * d + [k])
+                weight[at] *= _scale(cells[at].ravel(), weight[at].ravel(), total * targets[d][k])
+        kept = np.minimum(cells, cells * weight)
+        errors.append(max(float(np.abs(_marginal(kept, d) / total - t).max()) for d, t in enumerate(targets)))
+        if errors[-1] < 1e-6 or len(errors) > 5 and errors[-1] > 0.9 * errors[-6]:
+            break
+    return weight, errors[-1]
+
+
+def rake(cells: np.ndarray, targets: List[np.ndarray], tolerance: float = 0.005) -> np.ndarray:
     """Shares (0 to 1) of the cells to keep, whose marginals are in proportion
-    to ``targets`` (to ``tolerance`` of the total), for the largest total
-    found that allows it.
+    to ``targets``, for the largest total found that allows it.
 
-    Targets are shares over categories that have tokens. The total starts at
-    the scarcest category's limit and shrinks by steps of 5 % until the
-    marginals hold; where cells that are empty make that impossible, the
-    closest result stays.
+    Targets are shares over categories that have tokens. Raking a tiny total,
+    where no cell runs out, gives the error that empty cells make inevitable.
+    The total then starts at the scarcest category's limit and shrinks by
+    steps of 5 % until no marginal share is off by more than that error plus
+    ``tolerance``.
     """
-    axes = range(cells.ndim)
-    sums = [cells.sum(tuple(a for a in axes if a != d)) for d in axes]
     if cells.sum() <= 0:
         return np.zeros_like(cells)
-    limit = min(float((s[t > 0] / t[t > 0]).min()) for s, t in zip(sums, targets))
-    best, least = np.zeros_like(cells), np.inf
-    for shrink in range(40):
-        total = limit * 0.95 ** shrink
-        weight = np.ones_like(cells)
-        errors: List[float] = []
-        for _ in range(rounds):
-            for d in axes:
-                for k in range(cells.shape[d]):
-                    at = tuple([slice(None)] * d + [k])
-                    weight[at] *= _scale(cells[at].ravel(), weight[at].ravel(), total * targets[d][k])
-            kept = np.minimum(cells, cells * weight)
-            error = max(float(np.abs(kept.sum(tuple(a for a in axes if a != d)) / total - targets[d]).max()) for d in axes)
-            errors.append(error)
-            if error < tolerance or len(errors) > 10 and error > 0.95 * errors[-11]:
-                break
-        if error < least:
-            best, least = np.minimum(weight, 1.0), error
-        if error < tolerance:
+    limit = min(float((_marginal(cells, d)[t > 0] / t[t > 0]).min()) for d, t in enumerate(targets))
+    _, inevitable = _fit(cells, targets, limit * 1e-6)
+    weight = np.ones_like(cells)
+    for shrink in range(80):
+        weight, error = _fit(cells, targets, limit * 0.95 ** shrink)
+        if error <= inevitable + tolerance:
             break
-    return np.where(cells > 0, best, 0.0)
+    return np.where(cells > 0, np.minimum(weight, 1.0), 0.0)
 
 
 def shares(observed: Dict[str, float], target: Target) -> Dict[str, float]:
