@@ -8,11 +8,12 @@ after one or two steps for a large set. Signatures are cut into bands;
 documents that share a band are candidates; candidates are confirmed on their
 full sets; confirmed links are grouped to components.
 
-Copies (equal sets) are one class, represented by its least id. Within a
-band's bucket the candidates are first the pairs with the bucket's least
-member. Only members that this leaves in different components are compared
-with each other, by signature in the task, in chunks of bounded size; pairs
-within one component are never formed.
+Copies (equal sets) are one class, represented by its least id. Each
+document and the least member of each of its buckets are joined to clusters
+of candidates. The full sets meet in their cluster, in chunks of bounded size;
+a document is only held against those that share a band with it and are not
+yet in its component, and only the links that join components leave the task.
+Pairs are never written out.
 """
 
 from __future__ import annotations
@@ -158,72 +159,95 @@ def sketches(docs: DataFrame, words: int, rows: int, places: int) -> DataFrame:
     return arrow_map(source, sketch, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
-def full_sets(docs: DataFrame, words: int, places: int) -> DataFrame:
-    """(doc_id, elements, signature) as bytes."""
+def full_sets(docs: DataFrame, words: int, rows: int, places: int) -> DataFrame:
+    """(doc_id, elements, keys): the whole set and its band keys, as bytes."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
             sets = [shingle_set(t, words) for t in texts(b.column(1))]
-            sig = super_minhash(sets, places)
+            keys = band_keys(super_minhash(sets, places), rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
-                ["doc_id", "elements", "signature"])
-
-    return arrow_map(docs, sets_of, "doc_id long, elements binary, signature binary")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1024):
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True)) if min(len(s), len(t)) * 100 >= percent * max(len(s), len(t)) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
-
-    sized = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a")
-             .join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y"))
-    return arrow_map(sized, check, "a long, b long")
-
-
-def cross_pairs(members: DataFrame, places: int, least_equal: int, chunk: int = 2048) -> DataFrame:
-    """``members`` (bucket, doc_id, component, signature) -> distinct pairs of
-    one bucket in different components whose signatures agree in at least
-    ``least_equal`` places. A bucket is dealt into chunks of about ``chunk``
-    members, and a task holds two chunks at most."""
-    size = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    dealt = (members.join(size, "bucket").withColumn("own", own)
+                [b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())],
+                ["doc_id", "elements", "keys"])
+
+    return arrow_map(docs, sets_of, "doc_id long, elements binary, keys binary")
+
+
+def links_between(left: List[int], right: List[int], sets: List[np.ndarray], keys: np.ndarray, percent: int, same: bool):
+    """Links that join documents of ``left`` and ``right`` (places in ``sets``,
+    the same list where ``same``), as a forest.
+
+    A document is held against the right ones that share a band with it and
+    are not yet in its component: its elements are marked in the right side's
+    vocabulary and the marks are summed per document, so one pass counts all
+    intersections.
+    """
+    right = np.asarray(right)
+    sizes = np.array([len(sets[k]) for k in right])
+    ends = np.cumsum(sizes)
+    vocabulary, place = np.unique(np.concatenate([sets[k] for k in right]), return_inverse=True)
+    marks = np.zeros(len(vocabulary), dtype=np.int32)
+    group = np.arange(len(sets))
+    found = []
+    for at, r in enumerate(left):
+        shared = group[right] != group[r]
+        if same:
+            shared[:at + 1] = False
+        shared &= (100 * np.minimum(sizes, len(sets[r])) >= percent * np.maximum(sizes, len(sets[r])))
+        some = np.flatnonzero(shared)
+        some = some[(keys[right[some]] == keys[r]).any(axis=1)]
+        if not len(some):
+            continue
+        own = np.searchsorted(vocabulary, sets[r])
+        own = own[(own < len(vocabulary)) & (vocabulary[np.minimum(own, len(vocabulary) - 1)] == sets[r])]
+        marks[own] = 1
+        if 4 * len(some) < len(right):
+            both = np.array([marks[place[ends[k] - sizes[k]:ends[k]]].sum() for k in some])
+        else:
+            both = np.add.reduceat(marks[place], ends - sizes)[some]
+        marks[own] = 0
+        for k in some[100 * both >= percent * (len(sets[r]) + sizes[some] - both)]:
+            c = right[k]
+            if group[c] != group[r]:
+                group[group == group[c]] = group[r]
+                found.append((r, int(c)))
+    return found
+
+
+def confirmed(members: DataFrame, percent: int, chunk_bytes: int) -> DataFrame:
+    """``members`` (cluster, doc_id, elements, keys) -> links (a, b) with 100 *
+    intersection >= percent * union among the documents of a cluster that
+    share a band; as many as it takes to join them. A cluster is dealt into
+    chunks of about ``chunk_bytes`` of elements, every two chunks meet in one
+    group, and a task holds one group."""
+    size = members.groupBy("cluster").agg(
+        F.ceil(F.sum(F.octet_length("elements")) / chunk_bytes).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("chunks")).cast("int")
+    dealt = (members.join(size, "cluster").withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-             .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id",
-                     "component", "signature"))
+             .select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id",
+                     "elements", "keys"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in sorted_groups(batches, ["bucket", "i", "j"]):
-            doc, comp = group["doc_id"].to_numpy(), group["component"].to_numpy()
-            own, i, j = group["own"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py()
-            sig = np.frombuffer(b"".join(group["signature"].to_pylist()), np.uint32).reshape(-1, places)
+        a, b = [], []
+        for group in sorted_groups(batches, ["cluster", "i", "j"]):
+            doc, own = group["doc_id"].to_numpy(), group["own"].to_numpy()
+            i, j = group["i"][0].as_py(), group["j"][0].as_py()
+            sets = [np.frombuffer(e, np.uint64) for e in group["elements"].to_pylist()]
+            keys = np.frombuffer(b"".join(group["keys"].to_pylist()), np.int64).reshape(len(sets), -1)
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            a, b = [], []
-            for r in left:
-                cand = right[comp[right] != comp[r]]
-                if i == j:
-                    cand = cand[cand > r]
-                cand = cand[(sig[cand] == sig[r]).sum(axis=1) >= least_equal]
-                a.append(np.full(len(cand), doc[r]))
-                b.append(doc[cand])
-            a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], ["a", "b"])
-
-    placed = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return arrow_map(placed, compare, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, places: int = PLACES) -> DataFrame:
+            if len(left) and len(right):
+                for x, y in links_between(left.tolist(), right.tolist(), sets, keys, percent, i == j):
+                    a.append(int(doc[x]))
+                    b.append(int(doc[y]))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    placed = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "doc_id")
+    return arrow_map(placed, compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, places: int = PLACES,
+                    chunk_bytes: int = 1 << 24) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
     Documents are linked when 100 * intersection >= percent * union of their
@@ -244,27 +268,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, places:
         classes.select(F.col("head").alias("doc_id"), "f1", "f2", "n"), ["doc_id", "f1", "f2", "n"], "left_semi")
     banded = heads.select("doc_id", F.explode("bands").alias("bucket")).distinct()
     least = banded.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = saved(banded.join(least, "bucket").select("bucket", "doc_id", "least"), "buckets")
-    star = shared.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    # a document with its bucket's least member: the clusters of candidates
+    star = (banded.join(least, "bucket").where("doc_id <> least")
+            .select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct())
+    clusters = saved(connected_components(star).select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
 
-    wanted = shared.select("doc_id").distinct()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = saved(full_sets(source.join(wanted, "doc_id", "left_semi"), words, places), "sets")
-    links = saved(confirmed(star, sets, percent), "links")
-    found = saved(connected_components(links), "components")
-
-    placed = (shared.select("bucket", "doc_id").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-              .withColumn("component", F.coalesce("component", "doc_id")))
-    open_ = (placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-             .where("x <> y").select("bucket"))
-    members = (placed.join(open_, "bucket", "left_semi")
-               .join(sets.select("doc_id", "signature"), "doc_id"))
-    # at the threshold the agreeing places average percent % with a deviation
-    # of under four of 128; half the places is many deviations below
-    more = saved(confirmed(cross_pairs(members, places, int(places * (percent / 100 - 0.3))), sets, percent), "links")
-    if not more.isEmpty():
-        found = saved(connected_components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)),
-                      "components")
+    sets = full_sets(source.join(clusters.select("doc_id"), "doc_id", "left_semi"), words, rows, places)
+    members = saved(sets.where(F.octet_length("elements") > 0).join(clusters, "doc_id"), "members")
+    found = connected_components(confirmed(members, percent, chunk_bytes))
 
     head_of = classes.join(found.withColumnRenamed("id", "head"), "head", "left").select(
         "f1", "f2", "n", F.coalesce("component", "head").alias("class_component"))
