@@ -2,55 +2,73 @@
 description (S3) and raw preview (S4).
 
 Register extracts change layout from year to year: a column may be INT in
-one file and text in the next, or missing. Spark's ``mergeSchema`` refuses
-such files (``CANNOT_MERGE_SCHEMAS`` even for INT vs BIGINT), so files are
-grouped by footer schema, each group is scanned as one relation, columns
-are cast to a common type and the groups are combined with
-``unionByName(allowMissingColumns=True)``. Names match case-insensitively;
-the first spelling seen is kept. Each group is an ordinary Parquet scan,
-so column pruning and filter pushdown still reach the files.
+one file and text in the next, or missing. Spark's own schema merging reads
+all footers in one distributed job and takes missing columns, but refuses
+different types. So all paths are tried at once; only where types differ the
+paths are halved, until each part is one layout Spark can read. Parts of the
+same layout are scanned as one relation, columns are cast to a common type,
+and the relations are combined by name. Names match case-insensitively; the
+first spelling seen is kept. Each relation is an ordinary Parquet scan, with
+column pruning, filter pushdown and partition columns.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from typing import Dict, Iterable, List, Optional, Sequence, Union
+from typing import Dict, Iterable, List, Optional, Sequence, Tuple, Union
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import named
+
 Paths = Union[str, Sequence[str]]
+# a path, and the folder its partition columns are counted from, if any
+Unit = Tuple[str, Optional[str]]
 
-_NUMERIC_RANK = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 3, T.LongType: 4,
+_NUMERIC_RANK = {T.BooleanType: 0.5, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 3, T.LongType: 4,
                  T.FloatType: 5, T.DoubleType: 6}
+# digits an integer type can hold, for its union with a decimal
+_INTEGER_DIGITS = {T.BooleanType: 1, T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
 
 
-def list_files(spark: SparkSession, paths: Paths) -> List[str]:
-    """Expand paths and globs with the Hadoop filesystem (any scheme).
-    A blank glob means no source. Directories expand to their Parquet
-    files (hidden ``_``/``.`` files skipped). Sorted, like a glob."""
-    if isinstance(paths, str):
-        paths = [paths]
+def _hidden(name: str) -> bool:
+    return name.startswith(("_", ".")) and "=" not in name
+
+
+def _roots(spark: SparkSession, paths: Paths) -> List[Tuple[str, bool]]:
+    """(path, is a folder) of everything the paths and globs name on any
+    Hadoop filesystem, sorted like a glob; hidden names that a glob hits are
+    left out. A blank path names nothing."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    out: List[str] = []
-    for p in paths:
-        if not p or not p.strip():
-            continue
-        hp = jvm.org.apache.hadoop.fs.Path(p.strip())
-        fs = hp.getFileSystem(conf)
-        statuses = fs.globStatus(hp) or []
-        for st in statuses:
-            if st.isDirectory():
-                it = fs.listFiles(st.getPath(), True)
-                while it.hasNext():
-                    f = it.next().getPath()
-                    if not f.getName().startswith(("_", ".")):
-                        out.append(f.toString())
-            else:
-                out.append(st.getPath().toString())
-    return sorted(set(out))
+    out: Dict[str, bool] = {}
+    for p in [paths] if isinstance(paths, str) else paths:
+        if p and p.strip():
+            hp = jvm.org.apache.hadoop.fs.Path(p.strip())
+            for st in hp.getFileSystem(conf).globStatus(hp) or []:
+                if not _hidden(st.getPath().getName()):
+                    out[st.getPath().toString()] = st.isDirectory()
+    return sorted(out.items())
+
+
+def _files_below(spark: SparkSession, folder: str) -> List[str]:
+    """Files of a folder, without those that have a hidden part in their path."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    it = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hp, True)
+    out = []
+    while it.hasNext():
+        path = it.next().getPath().toString()
+        if not any(_hidden(part) for part in path[len(folder):].strip("/").split("/")):
+            out.append(path)
+    return sorted(out)
+
+
+def list_files(spark: SparkSession, paths: Paths) -> List[str]:
+    """The data files that paths, globs and folders stand for."""
+    return sorted({f for path, folder in _roots(spark, paths) for f in (_files_below(spark, path) if folder else [path])})
 
 
 def _common_type(a: T.DataType, b: T.DataType) -> T.DataType:
@@ -65,8 +83,13 @@ def _common_type(a: T.DataType, b: T.DataType) -> T.DataType:
         if {type(a), type(b)} == {T.FloatType, T.LongType}:
             return T.DoubleType()
         return a if ra >= rb else b
-    if isinstance(a, T.DecimalType) and rb or isinstance(b, T.DecimalType) and ra:
-        return T.DoubleType()
+    if isinstance(a, T.DecimalType) or isinstance(b, T.DecimalType):
+        if isinstance(a, (T.FloatType, T.DoubleType)) or isinstance(b, (T.FloatType, T.DoubleType)):
+            return T.DoubleType()
+        parts = [(d.precision - d.scale, d.scale) if isinstance(d, T.DecimalType) else (_INTEGER_DIGITS.get(type(d)), 0) for d in (a, b)]
+        if all(whole is not None for whole, _ in parts):
+            whole, scale = (max(x) for x in zip(*parts))
+            return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.DoubleType()
     dt_kinds = (T.DateType, T.TimestampType, T.TimestampNTZType)
     if isinstance(a, dt_kinds) and isinstance(b, dt_kinds):
         if isinstance(a, T.TimestampType) or isinstance(b, T.TimestampType):
@@ -92,56 +115,57 @@ def unified_schema(schemas: Iterable[T.StructType]) -> T.StructType:
     return T.StructType([T.StructField(names[k], types[k], True) for k in order])
 
 
-def _footer_schemas(spark: SparkSession, files: Sequence[str], threads: int) -> List[T.StructType]:
-    # Footer reads are metadata only; run them concurrently from the driver.
-    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(files)))) as pool:
-        return list(pool.map(lambda f: spark.read.parquet(f).schema, files))
-
+def _scan(spark: SparkSession, units: Sequence[Unit]) -> DataFrame:
+    reader = spark.read.option("mergeSchema", True)
+    bases = {base for _, base in units}
+    if bases != {None}:
+        reader = reader.option("basePath", next(iter(bases)))
+    return reader.parquet(*[path for path, _ in units])
+
+
+def _layouts(spark: SparkSession, units: List[Unit]) -> List[Tuple[List[Unit], DataFrame]]:
+    """Units in order, in as few runs as Spark can merge: one job for one layout."""
+    if not units:
+        return []
+    if len({base for _, base in units}) == 1:
+        try:
+            return [(units, _scan(spark, units))]
+        except (PySparkException, Py4JJavaError) as e:
+            text = str(e)
+            if "UNABLE_TO_INFER_SCHEMA" in text and len(units) == 1:
+                return []  # a folder without data files
+            if not any(k in text for k in ("MERGE", "merge", "UNABLE_TO_INFER_SCHEMA", "CONFLICTING", "Conflicting")):
+                raise
+            if len(units) == 1:
+                path, base = units[0]
+                if base is not None:
+                    raise
+                return _layouts(spark, [(f, path) for f in _files_below(spark, path)])
+        middle = len(units) // 2
+    else:
+        middle = next(i for i, u in enumerate(units) if u[1] != units[0][1])
+    return _layouts(spark, units[:middle]) + _layouts(spark, units[middle:])
 
-def read_base(spark: SparkSession, paths: Paths, footer_threads: int = 16,
-              layout_by: str = "file") -> Optional[DataFrame]:
-    """One DataFrame over all files, columns unioned by name.
-    Returns None when nothing matches.
 
-    ``layout_by="file"`` reads every footer (exact). With very many files,
-    ``"directory"`` reads one footer per folder and assumes the files of a
-    folder share a layout (one extract per year or month per folder is the
-    usual shape); footer reads then scale with folders, not files.
-    """
-    files = list_files(spark, paths)
-    if not files:
+def read_base(spark: SparkSession, paths: Paths) -> Optional[DataFrame]:
+    """One DataFrame over all files, columns unioned by name (S1/S2); columns
+    from ``key=value`` folders are kept. Returns None when nothing matches."""
+    parts = _layouts(spark, [(path, None) for path, _ in _roots(spark, paths)])
+    if not parts:
         return None
-    if layout_by == "directory":
-        first_of: Dict[str, str] = {}
-        for f in files:
-            first_of.setdefault(f.rsplit("/", 1)[0], f)
-        dirs = list(first_of)
-        dir_schemas = dict(zip(dirs, _footer_schemas(spark, [first_of[d] for d in dirs], footer_threads)))
-        schemas = [dir_schemas[f.rsplit("/", 1)[0]] for f in files]
-    elif layout_by == "file":
-        schemas = _footer_schemas(spark, files, footer_threads)
-    else:
-        raise ValueError(f"layout_by must be 'file' or 'directory': {layout_by!r}")
-    groups: Dict[str, List[int]] = {}
-    for i, s in enumerate(schemas):
-        groups.setdefault(s.json(), []).append(i)
-    if len(groups) == 1:
-        return spark.read.parquet(*files)
-    target = unified_schema(schemas)
-    frames = []
-    for idxs in groups.values():
-        gschema = schemas[idxs[0]]
-        df = spark.read.schema(gschema).parquet(*[files[i] for i in idxs])
-        have = {f.name.lower(): f.name for f in gschema.fields}
-        cols = []
-        for f in target.fields:
-            src = have.get(f.name.lower())
-            c = F.col(src).cast(f.dataType) if src is not None else F.lit(None).cast(f.dataType)
-            cols.append(c.alias(f.name))
-        frames.append(df.select(*cols))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    groups: Dict[tuple, List[Tuple[List[Unit], DataFrame]]] = {}
+    for units, df in parts:
+        groups.setdefault((units[0][1], df.schema.json()), []).append((units, df))
+    frames = [some[0][1] if len(some) == 1 else _scan(spark, [u for units, _ in some for u in units]) for some in groups.values()]
+    if len(frames) == 1:
+        return frames[0]
+    target = unified_schema([df.schema for _, df in parts])
+    out = None
+    for df in frames:
+        have = {f.name.lower(): f.name for f in df.schema.fields}
+        part = df.select(*[(named(have[f.name.lower()]) if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name)
+                           for f in target.fields])
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -169,6 +193,6 @@ def schema_describe(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "coluna string, tipo string")
 
 
-def preview_rows(df: DataFrame, limit: int = 10) -> DataFrame:
-    """The first ``limit`` raw rows, filters ignored."""
-    return df.limit(int(limit))
+def preview_rows(df: DataFrame, limit: int = 10, order: Sequence[str] = ()) -> DataFrame:
+    """``limit`` raw rows, filters ignored (S4): the first by ``order``, or any."""
+    return (df.orderBy(*[named(c) for c in order]) if order else df).limit(int(limit))
