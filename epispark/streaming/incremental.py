@@ -5,9 +5,8 @@ year of records). This runs the batch time series (A3) as a Structured
 Streaming query over a folder of Parquet files: each new file is recoded
 with the same Column expressions and folded into a running count per
 period. State holds one row per period (a few hundred per decade), so it
-stays small whatever the volume; the checkpoint location lives under the
-shared ``spark.checkpoint.dir`` so a restarted query resumes where it
-stopped after executor or driver loss.
+stays small whatever the volume; a query started again with the same
+checkpoint folder goes on where it stopped.
 
 A streaming query cannot run the batch filter's EXISTS subquery, so rows
 without a valid date are simply not counted, which is what the batch
@@ -27,7 +26,6 @@ from ..functions.periods import period_start
 from ..plans.recode import DATE, recode
 from ..plans.roles import resolve_roles
 from ..profiles import PROFILES, SourceProfile
-from ..session import scratch_path
 
 
 def time_series_stream(spark: SparkSession, folder: str, schema: StructType, profile: SourceProfile | str,
@@ -46,14 +44,16 @@ def time_series_stream(spark: SparkSession, folder: str, schema: StructType, pro
 
 
 def start_time_series_stream(spark: SparkSession, folder: str, schema: StructType, profile: SourceProfile | str,
-                             query_name: str, freq: str = "month", checkpoint: Optional[str] = None,
+                             table: str, checkpoint: str, freq: str = "month",
                              available_now: bool = False) -> StreamingQuery:
-    """Start the query with a complete-mode in-memory table ``query_name``
-    (one row per period). ``available_now`` processes the files present
-    and stops, which suits scheduled runs."""
+    """Start the query; after each batch the Parquet folder ``table`` holds the
+    whole series (one row per period). ``checkpoint`` is a folder of the
+    query's own: started again with it, the query goes on where it stopped.
+    ``available_now`` processes the files present and stops, which suits
+    scheduled runs."""
     counts = time_series_stream(spark, folder, schema, profile, freq)
-    writer = (counts.writeStream.outputMode("complete").format("memory").queryName(query_name)
-              .option("checkpointLocation", checkpoint or scratch_path(spark, f"stream-{query_name}")))
+    writer = (counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+              .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(table)))
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()

@@ -17,8 +17,14 @@ def test_stream_matches_batch(spark, tmp_dir):
     with_key = raw.withColumn("_k", F.monotonically_increasing_id())
     with_key.where(F.col("_k") % 2 == 0).drop("_k").write.parquet(f"{folder}/part=a")
     with_key.where(F.col("_k") % 2 == 1).drop("_k").write.parquet(f"{folder}/part=b")
-    q = start_time_series_stream(spark, folder, raw.schema, "SIM", "stream_ts_test", available_now=True)
-    q.awaitTermination(120)
-    got = sorted(tuple(r) for r in spark.table("stream_ts_test").collect())
-    batch = series.time_series(register(spark, SF_SMALL, "deaths").filtered(), "month")
-    assert got == sorted(tuple(r) for r in batch.collect())
+    table, checkpoint = f"{tmp_dir}/table", f"{tmp_dir}/checkpoint"
+    batch = sorted(tuple(r) for r in series.time_series(register(spark, SF_SMALL, "deaths").filtered(), "month").collect())
+
+    def run_once():
+        start_time_series_stream(spark, folder, raw.schema, "SIM", table, checkpoint, available_now=True).awaitTermination(120)
+        return sorted(tuple(r) for r in spark.read.parquet(table).collect())
+
+    assert run_once() == batch
+    # started again with its checkpoint it counts only what is new
+    raw.limit(0).unionByName(raw.where("DTOBITO is null")).write.parquet(f"{folder}/part=c")
+    assert run_once() == batch
