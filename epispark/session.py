@@ -12,17 +12,16 @@ from pyspark.sql import SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _LOCAL_FALLBACK: dict = {}
 
-# The recodes are wide expression trees; a fused stage often produces a
-# generated method above HotSpot's 8,000-bytecode JIT limit, which then
-# runs interpreted (measured: 2x slower on a full recode). Let the JIT
-# compile such methods on the driver and on every executor.
-JIT_OPTIONS = "-XX:-DontCompileHugeMethods"
+# The recodes are wide expression trees. A fused stage whose generated method
+# is above HotSpot's 8,000-bytecode JIT limit would run interpreted; below
+# this limit Spark evaluates such a stage expression by expression instead.
+HUGE_METHOD_LIMIT = "8000"
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "epispark",
                   extra: Optional[dict] = None) -> SparkSession:
     """A session with the settings this library is tested under: AQE on,
-    UTC session zone, UI off, JIT allowed on large generated methods."""
+    UTC session zone, UI off, no generated methods that the JIT refuses."""
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.sql.adaptive.enabled", "true")
@@ -32,8 +31,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.driver.extraJavaOptions", JIT_OPTIONS)
-         .config("spark.executor.extraJavaOptions", JIT_OPTIONS))
+         .config("spark.sql.codegen.hugeMethodLimit", HUGE_METHOD_LIMIT))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -44,20 +42,16 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment (a shared filesystem);
-    it is only invented here when unset, which happens in local tests.
+    A deployment sets it to a folder that driver and executors share. Only
+    a local session without it gets one of its own; elsewhere that raises.
     """
     d = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
     if not d:
-        d = _LOCAL_FALLBACK.get("dir")
-        if not d:
-            d = _LOCAL_FALLBACK["dir"] = tempfile.mkdtemp(prefix="epispark-ckpt-")
-        try:
-            spark.conf.set(CHECKPOINT_CONF, d)
-        except Exception:  # a core conf may be read-only at runtime
-            pass
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by the driver and all executors")
+        if "dir" not in _LOCAL_FALLBACK:
+            _LOCAL_FALLBACK["dir"] = tempfile.mkdtemp(prefix="epispark-ckpt-")
+        d = _LOCAL_FALLBACK["dir"]
     return d
 
 
