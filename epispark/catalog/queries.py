@@ -8,7 +8,6 @@ resolved from the view's column names, exactly as for a real extract.
 
 from __future__ import annotations
 
-import os
 from typing import Callable, Dict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ from ..operators import demography, quality, series
 from ..plans.recode import (
     CODE,
     CODE_GROUP,
+    CODE_ORIGIN,
     CODE_TYPE,
     DATE,
     DIAGNOSIS,
@@ -49,17 +49,18 @@ CONJUNCTIVE_FILTER = Filters(
 TERRITORY = "3300457"
 
 
-# (application id, table folder, view) -> Register. A register is opened
-# once per application and its lazy plan reused by every question, as a
-# report does; nothing is cached but the plan objects.
+# (application id, files of the extract) -> Register. A register is opened
+# once and its lazy plan reused by every question, as a report does; nothing
+# is cached but the plan objects.
 _REGISTERS: Dict[tuple, Register] = {}
 
 
 def register(spark: SparkSession, sf_dir: str, view: str) -> Register:
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), view)
+    raw = fixture_view(spark, sf_dir, view)
+    key = (spark.sparkContext.applicationId, view, tuple(raw.inputFiles()))
     reg = _REGISTERS.get(key)
     if reg is None:
-        reg = _REGISTERS[key] = open_register(fixture_view(spark, sf_dir, view), PROFILES[VIEW_PROFILE[view]])
+        reg = _REGISTERS[key] = open_register(raw, PROFILES[VIEW_PROFILE[view]])
     return reg
 
 
@@ -67,6 +68,11 @@ def filtered(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     return register(spark, sf_dir, view).filtered()
 
 
+def dated(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    """For the operators that leave out rows without a date themselves."""
+    return register(spark, sf_dir, view).dated()
+
+
 def _raw(spark, sf_dir, view):
     return fixture_view(spark, sf_dir, view)
 
@@ -161,12 +167,12 @@ def q_dataset_metrics(spark, sf_dir):
 
 def _ts(freq):
     def q(spark, sf_dir):
-        return series.time_series(filtered(spark, sf_dir, "cases"), freq)
+        return series.time_series(dated(spark, sf_dir, "cases"), freq)
     return q
 
 
 def q_ts_month_by_type(spark, sf_dir):
-    return series.time_series_by(filtered(spark, sf_dir, "cases"), "month")
+    return series.time_series_by(dated(spark, sf_dir, "cases"), "month")
 
 
 def q_year_bounds(spark, sf_dir):
@@ -174,11 +180,11 @@ def q_year_bounds(spark, sf_dir):
 
 
 def q_heatmap_long(spark, sf_dir):
-    return series.month_heatmap(filtered(spark, sf_dir, "cases"))
+    return series.month_heatmap(dated(spark, sf_dir, "cases"))
 
 
 def q_heatmap_pivot(spark, sf_dir):
-    return series.heatmap_pivot(filtered(spark, sf_dir, "cases"))
+    return series.heatmap_pivot(dated(spark, sf_dir, "cases"))
 
 
 def _top(column):
@@ -229,20 +235,20 @@ def q_enriched_rows(spark, sf_dir):
 BASES = (("SINAN", "cases"), ("SIM", "deaths"), ("CIHA", "stays"))
 
 
-def _bases(spark, sf_dir):
-    return {name: filtered(spark, sf_dir, view) for name, view in BASES}
+def _bases(spark, sf_dir, frame=filtered):
+    return {name: frame(spark, sf_dir, view) for name, view in BASES}
 
 
 def q_compare_series(spark, sf_dir):
-    return series.compare_series(_bases(spark, sf_dir), "month")
+    return series.compare_series(_bases(spark, sf_dir, dated), "month")
 
 
 def q_compare_series_by_type(spark, sf_dir):
-    return series.compare_series(_bases(spark, sf_dir), "month", by_type=True)
+    return series.compare_series(_bases(spark, sf_dir, dated), "month", by_type=True)
 
 
 def q_index_base100(spark, sf_dir):
-    return series.compare_series(_bases(spark, sf_dir), "year", index100=True)
+    return series.compare_series(_bases(spark, sf_dir, dated), "year", index100=True)
 
 
 def q_compare_types(spark, sf_dir):
@@ -256,7 +262,8 @@ def q_schema_describe(spark, sf_dir):
 
 
 def q_preview_rows(spark, sf_dir):
-    return parquet.preview_rows(parquet.read_base(spark, f"{sf_dir}/lineitem.parquet"), 10)
+    return parquet.preview_rows(parquet.read_base(spark, f"{sf_dir}/lineitem.parquet"), 10,
+                                ("l_orderkey", "l_linenumber"))
 
 
 def drift_parts():
@@ -284,13 +291,38 @@ def q_scan_union_by_name(spark, sf_dir):
     return parquet.read_base(spark, paths)
 
 
+def consolidated(spark, sf_dir):
+    """The stays with a code, all raw columns kept, written by year and read back."""
+    reg = open_register(fixture_view(spark, sf_dir, "stays"), PROFILES["CIHA"], keep_all=True)
+    return parquet.read_base(spark, export.consolidate_by_year(reg.recoded, scratch_path(spark, "consolidated")))
+
+
 def q_consolidate_by_year(spark, sf_dir):
-    reg = register(spark, sf_dir, "stays")
-    out = export.consolidate_by_year(reg.recoded, scratch_path(spark, "consolidated"))
-    back = spark.read.parquet(out)
+    back = consolidated(spark, sf_dir)
     return back.groupBy(F.col("ano").cast("long").alias("ano")).agg(F.count(F.lit(1)).alias("n")).orderBy("ano")
 
 
+def q_consolidate_full_rows(spark, sf_dir):
+    """Every raw column of the kept rows, for a range of years."""
+    back = apply_filters(consolidated(spark, sf_dir), Filters(years=(1994, 1996)))
+    names = [c for c, _ in view_columns("stays")[1]]
+    return back.select(*names, F.col("ano").cast("long").alias("ano"), F.col(CODE).alias("cid"))
+
+
+def q_scan_numeric_drift(spark, sf_dir):
+    """Decimals of two widths, a boolean beside an integer, a partitioned
+    folder, a leftover of a failed write and a success mark, by one glob."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    root = scratch_path(spark, "numeric-drift")
+    (orders.where("o_orderkey % 2 = 0").selectExpr("o_orderkey AS id", "CAST(o_totalprice AS DECIMAL(10,2)) AS valor", "o_orderkey % 4 = 0 AS marca",
+                                                   "o_orderstatus AS situacao").write.partitionBy("situacao").parquet(f"{root}/a"))
+    (orders.where("o_orderkey % 2 = 1").selectExpr("o_orderkey AS id", "CAST(o_totalprice AS DECIMAL(12,2)) AS valor",
+                                                   "CAST(o_orderkey % 7 AS INT) AS marca").write.parquet(f"{root}/b"))
+    orders.limit(5).selectExpr("o_orderkey AS id").write.parquet(f"{root}/b/_temporary/0/task_1")
+    orders.limit(0).selectExpr("o_orderkey AS id").write.parquet(f"{root}/_SUCCESS")
+    return parquet.read_base(spark, f"{root}/*").select("id", F.col("valor").cast("double").alias("valor"), "marca", "situacao")
+
+
 def q_territory_cut(spark, sf_dir):
     df = export.territory_cut(filtered(spark, sf_dir, "stays"), TERRITORY)
     return series.time_series(df, "year")
@@ -330,6 +362,37 @@ def q_age_distribution_part_size(spark, sf_dir):
     return demography.age_distribution(reg.filtered())
 
 
+# -- the death register at its full width: nine code columns --------------------
+
+WIDE_FILTER = Filters(tipo=(CODE_RULES[2][2], CODE_RULES[6][2]))
+
+
+def q_wide_codes(spark, sf_dir):
+    rec = register(spark, sf_dir, "deaths_wide").recoded
+    return rec.select(F.col(CODE).alias("cid"), F.col(CODE_ORIGIN).alias("coluna_origem_cid"), F.col(CODE_TYPE).alias("tipo_agravo_cid10"))
+
+
+def q_wide_type_distribution(spark, sf_dir):
+    return code_ops.type_distribution(filtered(spark, sf_dir, "deaths_wide"))
+
+
+def q_wide_top_codes(spark, sf_dir):
+    return code_ops.top_codes(filtered(spark, sf_dir, "deaths_wide"))
+
+
+def q_wide_code_origin(spark, sf_dir):
+    return code_ops.code_origin_counts(filtered(spark, sf_dir, "deaths_wide"))
+
+
+def q_wide_enriched_label_filter(spark, sf_dir):
+    reg = register(spark, sf_dir, "deaths_wide")
+    return quality.enriched_rows(reg.filtered(WIDE_FILTER), reg.roles)
+
+
+def q_wide_ts_label_filter(spark, sf_dir):
+    return series.time_series(register(spark, sf_dir, "deaths_wide").dated(WIDE_FILTER), "month")
+
+
 QUERIES: Dict[str, Query] = {
     "clean_text": q_clean_text,
     "parse_dates": q_parse_dates,
@@ -373,7 +436,15 @@ QUERIES: Dict[str, Query] = {
     "preview_rows": q_preview_rows,
     "scan_union_by_name": q_scan_union_by_name,
     "consolidate_by_year": q_consolidate_by_year,
+    "consolidate_full_rows": q_consolidate_full_rows,
+    "scan_numeric_drift": q_scan_numeric_drift,
     "territory_cut": q_territory_cut,
+    "wide_codes": q_wide_codes,
+    "wide_type_distribution": q_wide_type_distribution,
+    "wide_top_codes": q_wide_top_codes,
+    "wide_code_origin": q_wide_code_origin,
+    "wide_enriched_label_filter": q_wide_enriched_label_filter,
+    "wide_ts_label_filter": q_wide_ts_label_filter,
     "ts_orders_month": q_ts_orders_month,
     "ts_events_week": q_ts_events_week,
     "top_part_type": q_top_part_type,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Optional, Sequence, Tuple
 
 from pyspark.sql import Column
@@ -20,11 +21,46 @@ def extract_code(c: ColumnOrName, pattern: str = CODE_PATTERN) -> Column:
     return F.nullif(F.regexp_replace(found, r"\.", ""), F.lit(""))
 
 
+SEPARATOR = "\u0001"  # between the texts of several columns; no code holds it
+
+
+def joinable(pattern: str) -> bool:
+    """Whether no match can depend on, or reach over, a text's ends: one group
+    around everything, no anchors, look-arounds, free dots or negations."""
+    whole = pattern.startswith("(") and pattern.endswith(")") and pattern.count("(") == 1
+    return whole and not re.search(r"\(\?|\[\^|[$^]|\\[^.]|(?<![\[\\])\.", pattern)
+
+
+def joined_codes(cols: Sequence[str]) -> Column:
+    """The upper-cased texts of all columns as one, in priority order."""
+    return F.concat_ws(SEPARATOR, *[F.coalesce(F.upper(clean_text(col_of(c))), F.lit("")) for c in cols])
+
+
+def found_code(joined: Column, pattern: str = CODE_PATTERN) -> Column:
+    """The leftmost match in the joined texts as it stands there, or blank:
+    the first column's first match."""
+    return F.regexp_extract(joined, pattern, 1)
+
+
+def as_code(found: Column) -> Column:
+    return F.nullif(F.replace(found, F.lit("."), F.lit("")), F.lit(""))
+
+
+def origin_of(joined: Column, found: Column, cols: Sequence[str]) -> Column:
+    """The column a match lies in, by the separators before it."""
+    before = F.substring(joined, F.lit(1), F.instr(joined, found) - 1)
+    place = F.length(before) - F.length(F.replace(before, F.lit(SEPARATOR), F.lit("")))
+    return F.when(found != "", F.element_at(F.array(*[F.lit(c) for c in cols]), place + 1))
+
+
 def extract_code_multi(cols: Sequence[str], pattern: str = CODE_PATTERN) -> Optional[Column]:
     """First column, in priority order, that yields a code."""
-    exprs = [extract_code(c, pattern) for c in cols if c]
-    if not exprs:
+    names = [c for c in cols if c]
+    if not names:
         return None
+    if len(names) > 1 and joinable(pattern):
+        return as_code(found_code(joined_codes(names), pattern))
+    exprs = [extract_code(c, pattern) for c in names]
     return exprs[0] if len(exprs) == 1 else F.coalesce(*exprs)
 
 
@@ -33,6 +69,9 @@ def code_origin(cols: Sequence[str], pattern: str = CODE_PATTERN) -> Optional[Co
     names = [c for c in cols if c]
     if not names:
         return None
+    if len(names) > 1 and joinable(pattern):
+        joined = joined_codes(names)
+        return origin_of(joined, found_code(joined, pattern), names)
     return F.coalesce(*[F.when(extract_code(c, pattern).isNotNull(), F.lit(c)) for c in names])
 
 
@@ -51,3 +90,22 @@ def code_group(code: Column, rules: Sequence[Rule] = CODE_RULES) -> Column:
 def code_type(code: Column, rules: Sequence[Rule] = CODE_RULES) -> Column:
     """Code -> long label."""
     return _by_prefix(code, rules, 2)
+
+
+def label_predicate(code: Column, labels: Sequence[str], rules: Sequence[Rule]) -> Optional[Column]:
+    """Codes whose label is one of ``labels`` as a single test of the code, or
+    None where prefixes overlap, as then the first rule decides."""
+    prefixes = [r[1] for r in rules]
+    if any(a != b and a.startswith(b) for a in prefixes for b in prefixes) or len(set(prefixes)) < len(prefixes):
+        return None
+    any_of = lambda some: "^(?:" + "|".join(re.escape(p) for p in some) + ")"
+    chosen = [r[1] for r in rules if r[2] in labels]
+    tests = [code.rlike(any_of(chosen))] if chosen else []
+    if OTHER_CODE_LABEL in labels:
+        tests.append(~code.rlike(any_of(prefixes)))
+    if NO_CODE_LABEL in labels:
+        tests.append(code.isNull())
+    out = F.lit(False)
+    for t in tests:
+        out = out | F.coalesce(t, F.lit(False))
+    return out

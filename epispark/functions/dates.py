@@ -75,14 +75,16 @@ def parse_date(c: ColumnOrName, dtype: DataType | None = None) -> Column:
     txt = clean_text(raw)
     part = lambda start, length: F.substring(txt, start, length)
     gate = part(1, 4).between(*_YEAR_GATE)
-    digits8 = txt.rlike(r"^\d{8}\z")
-    branches = [
-        _native(raw, dtype, txt),
-        F.when(digits8 & gate, _from_parts(part(1, 4), part(5, 2), part(7, 2))),
-        F.when(digits8, _from_parts(part(5, 4), part(3, 2), part(1, 2))),
-        F.when(txt.rlike(r"^\d{6}\z") & gate, _from_parts(part(1, 4), part(5, 2), F.lit("1"))),
-        F.when(txt.rlike(r"^\d{4}\z") & gate, _from_parts(part(1, 4), F.lit("1"), F.lit("1"))),
-        F.when(txt.rlike(r"^\d{2}/\d{2}/\d{4}\z"), _from_parts(part(7, 4), part(4, 2), part(1, 2))),
-        F.when(txt.rlike(r"^\d{2}-\d{2}-\d{4}\z"), _from_parts(part(7, 4), part(4, 2), part(1, 2))),
-    ]
-    return F.coalesce(*[b for b in branches if b is not None])
+    size = F.length(txt)
+    # The text spellings exclude each other and the native one, so a value
+    # meets the pattern of its own length only.
+    eight = F.coalesce(F.when(gate, _from_parts(part(1, 4), part(5, 2), part(7, 2))),
+                       _from_parts(part(5, 4), part(3, 2), part(1, 2)))
+    out = (F.when((size == 8) & txt.rlike(r"^\d{8}\z"), eight)
+           .when((size == 10) & txt.rlike(r"^\d{2}([-/])\d{2}\1\d{4}\z"), _from_parts(part(7, 4), part(4, 2), part(1, 2)))
+           .when((size == 4) & txt.rlike(r"^\d{4}\z"), F.when(gate, _from_parts(part(1, 4), F.lit("1"), F.lit("1"))))
+           .when((size == 6) & txt.rlike(r"^\d{6}\z"), F.when(gate, _from_parts(part(1, 4), part(5, 2), F.lit("1")))))
+    native = _native(raw, dtype, txt)
+    if isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
+        return native
+    return out if native is None else out.otherwise(native)

@@ -1,8 +1,8 @@
 """Code-type composition, detected codes and code origin.
 
-The group keys here are the rule groups (≤ 9 values) or detected codes
-(bounded by the code pattern: a few hundred spellings at most), so the
-distinct-code set collected per group has a proven size bound, and the
+The group keys here are the rule groups (≤ 9 values) or detected codes. The
+shipped pattern bounds these to a few hundred spellings, and with them the
+code list of a group; a caller's own pattern should be bounded likewise. The
 percent-of-total window runs on the aggregated rows only.
 """
 
@@ -13,9 +13,10 @@ from typing import Mapping, Optional
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codes import code_group, code_type
 from ..functions.periods import percent
-from ..plans.recode import CODE, CODE_GROUP, CODE_ORIGIN, CODE_TYPE
-from ..profiles import CODE_ORIGIN_N, TOP_CODES_N
+from ..plans.recode import CODE, CODE_GROUP, CODE_ORIGIN, CODE_TYPE, rules_of
+from ..profiles import TOP_CODES_N
 
 
 def _all():
@@ -23,15 +24,24 @@ def _all():
     return Window.partitionBy()
 
 
+def _code_counts(df: DataFrame) -> DataFrame:
+    """``_cid, n`` with group and label, which are functions of the code: where
+    the frame carries its rules only the code is a key, and the labels are
+    derived from the few codes left."""
+    rules = rules_of(df)
+    if rules:
+        counts = df.groupBy(F.col(CODE).alias("_cid")).agg(F.count(F.lit(1)).alias("n"))
+        return counts.select("_cid", "n", code_group(F.col("_cid"), rules).alias("grupo_cid"),
+                             code_type(F.col("_cid"), rules).alias("tipo_agravo_cid10"))
+    return (df.groupBy(F.col(CODE_GROUP).alias("grupo_cid"), F.col(CODE_TYPE).alias("tipo_agravo_cid10"),
+                       F.col(CODE).alias("_cid"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def _type_counts(df: DataFrame) -> DataFrame:
-    # Group and label are functions of the code, so counting per
-    # (group, label, code) with a plain hash aggregate and folding that small
-    # result gives the distinct count and the code list exactly, without a
-    # distinct-aggregate rewrite or a per-row collect_set.
-    per_code = (df.groupBy(F.col(CODE_GROUP).alias("grupo_cid"), F.col(CODE_TYPE).alias("tipo_agravo_cid10"),
-                           F.col(CODE).alias("_cid"))
-                .agg(F.count(F.lit(1)).alias("n")))
-    return (per_code.groupBy("grupo_cid", "tipo_agravo_cid10")
+    # Folding the counts per code gives the distinct count and the code list
+    # exactly, without a distinct aggregate or a collect_set over rows.
+    return (_code_counts(df).groupBy("grupo_cid", "tipo_agravo_cid10")
             .agg(F.sum("n").alias("n"), F.count("_cid").alias("cids_distintos_n"),
                  F.nullif(F.array_join(F.array_sort(F.collect_list("_cid")), ", "), F.lit(""))
                  .alias("cids_encontrados")))
@@ -56,22 +66,21 @@ def top_codes(df: DataFrame, n: int = TOP_CODES_N) -> DataFrame:
     """``cid_detectado, tipo_agravo_cid10, n, pct_entre_cids_detectados``:
     the ``n`` most frequent codes; the percentage is relative to the rows
     kept, not to all detected codes."""
-    top = (df.where(F.col(CODE).isNotNull())
-           .groupBy(F.col(CODE).alias("cid_detectado"), F.col(CODE_TYPE).alias("tipo_agravo_cid10"))
-           .agg(F.count(F.lit(1)).alias("n"))
+    top = (_code_counts(df).where(F.col("_cid").isNotNull())
+           .select(F.col("_cid").alias("cid_detectado"), "tipo_agravo_cid10", "n")
            .orderBy(F.desc("n"), F.asc_nulls_last("cid_detectado"))
            .limit(n))
     return (top.withColumn("pct_entre_cids_detectados", percent(F.col("n"), F.sum("n").over(_all())))
             .orderBy(F.desc("n"), F.asc_nulls_last("cid_detectado")))
 
 
-def code_origin_counts(df: DataFrame, n: int = CODE_ORIGIN_N) -> DataFrame:
-    """``coluna_origem_cid, n``: which column supplied the code."""
-    return (df.where(F.col(CODE_ORIGIN).isNotNull())
-            .groupBy(F.col(CODE_ORIGIN).alias("coluna_origem_cid"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), F.asc_nulls_last("coluna_origem_cid"))
-            .limit(n))
+def code_origin_counts(df: DataFrame) -> DataFrame:
+    """``coluna_origem_cid, n``: which column supplied the code (A12). At most
+    a row per code column. The origin is counted, not filtered: a filter
+    would evaluate it a second time below the projection."""
+    return (df.groupBy(F.col(CODE_ORIGIN).alias("coluna_origem_cid"))
+            .agg(F.count(CODE_ORIGIN).alias("n")).where(F.col("n") > 0)
+            .orderBy(F.desc("n"), F.asc_nulls_last("coluna_origem_cid")))
 
 
 def compare_types(bases: Mapping[str, DataFrame]) -> Optional[DataFrame]:

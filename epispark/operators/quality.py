@@ -3,13 +3,13 @@ enriched row view (A1, A2, A5, A7, A13, A14)."""
 
 from __future__ import annotations
 
-from typing import Optional, Tuple
+from typing import Mapping, Optional, Tuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import percent, round_half_away
-from ..functions.text import safe_alias
+from ..functions.text import named, output_names
 from ..plans.recode import (
     AGE,
     AGE_UNIT_TEXT,
@@ -25,19 +25,19 @@ from ..plans.recode import (
     SEX_TEXT,
 )
 from ..plans.roles import Roles
-from ..profiles import MISSING_LABELS, OPTION_LIMITS, TOP_CATEGORY_N
+from ..profiles import MISSING_LABELS, TOP_CATEGORY_N
 
 # canonical column -> filter name, in report order
 _OPTION_COLUMNS = ((SEX, "sexo"), (MUNICIPALITY, "municipio"), (OUTCOME, "desfecho"), (CODE_TYPE, "cid_tipo"))
 
 
-def filter_options(df: DataFrame, limits=OPTION_LIMITS) -> Optional[DataFrame]:
-    """``filtro, valor, n``: the most frequent values of each filterable
-    field on *unfiltered* data (A1), ``limits[filtro]`` values each,
-    ordered by count desc then value.
+def filter_options(df: DataFrame, limits: Optional[Mapping[str, int]] = None) -> Optional[DataFrame]:
+    """``filtro, valor, n``: the values of each filterable field on
+    *unfiltered* data (A1), by field, then count desc, then value; all of
+    them, or the ``limits[filtro]`` most frequent.
 
-    One scan: the fields are stacked into (filtro, valor) pairs, counted
-    with a partial aggregate, and cut per field with a row-number window
+    One scan: the fields are stacked into (filtro, valor) pairs and counted
+    with a partial aggregate; limits cut per field with a row-number window
     (Spark inserts a per-partition group limit below the window shuffle).
     """
     present = [(c, name) for c, name in _OPTION_COLUMNS if c in df.columns]
@@ -51,9 +51,11 @@ def filter_options(df: DataFrame, limits=OPTION_LIMITS) -> Optional[DataFrame]:
     return top_per_field(counts, [name for _, name in present], limits)
 
 
-def top_per_field(counts: DataFrame, fields, limits=OPTION_LIMITS) -> DataFrame:
-    """Cut ``filtro, valor, n`` counts to the top ``limits[filtro]`` values
-    of each field (count desc, then value)."""
+def top_per_field(counts: DataFrame, fields, limits: Optional[Mapping[str, int]] = None) -> DataFrame:
+    """``filtro, valor, n`` counts in order (count desc, then value), cut to
+    the top ``limits[filtro]`` values of each field where limits are given."""
+    if not limits:
+        return counts.orderBy("filtro", F.desc("n"), F.asc("valor"))
     w = Window.partitionBy("filtro").orderBy(F.desc("n"), F.asc("valor"))
     limit = F.coalesce(*[F.when(F.col("filtro") == name, F.lit(int(limits[name]))) for name in fields])
     top = max(int(limits[name]) for name in fields)
@@ -141,7 +143,7 @@ def missingness(df: DataFrame) -> Optional[DataFrame]:
 
 def enriched_rows(df: DataFrame, roles: Roles, limit: Optional[int] = None) -> DataFrame:
     """Recoded columns beside the raw role columns (A14). No limit unless
-    asked; the raw columns are renamed ``raw_<alias>``."""
+    asked; the raw columns are renamed ``raw_<alias>``, each differently."""
     items = []
     if DATE in df.columns:
         items.append(F.col(DATE).alias("data_analise"))
@@ -156,6 +158,6 @@ def enriched_rows(df: DataFrame, roles: Roles, limit: Optional[int] = None) -> D
     if CODE in df.columns:
         items += [F.col(CODE).alias("cid_meningite_detectado"), F.col(CODE_GROUP).alias("grupo_cid"),
                   F.col(CODE_TYPE).alias("tipo_agravo_cid10"), F.col(CODE_ORIGIN).alias("coluna_origem_cid")]
-    items += [F.col(c).alias("raw_" + safe_alias(c)) for c in roles.raw_columns()]
+    items += [named(c).alias(f"raw_{alias}") for c, alias in output_names(roles.raw_columns()).items()]
     out = df.select(*items) if items else df
     return out.limit(int(limit)) if limit is not None else out

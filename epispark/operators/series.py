@@ -12,23 +12,29 @@ from typing import Mapping, Optional
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codes import code_type
 from ..functions.periods import month_of, period_start, year_of
-from ..plans.recode import CODE_TYPE, DATE
+from ..plans.recode import CODE, CODE_TYPE, DATE, rules_of
 
 MONTHS = list(range(1, 13))
 
 
 def _series_counts(df: DataFrame, freq: str) -> DataFrame:
-    return (df.where(F.col(DATE).isNotNull())
-            .groupBy(period_start(F.col(DATE), freq).alias("periodo"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    # Counting the date drops the rows without one after the aggregate; a
+    # filter would parse the date a second time below the projection.
+    return (df.groupBy(period_start(F.col(DATE), freq).alias("periodo"))
+            .agg(F.count(DATE).alias("n")).where(F.col("n") > 0))
 
 
 def _series_counts_by(df: DataFrame, freq: str, category: str) -> DataFrame:
-    return (df.where(F.col(DATE).isNotNull() & F.col(category).isNotNull())
-            .groupBy(period_start(F.col(DATE), freq).alias("periodo"),
-                     F.col(category).alias("categoria"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    rules = rules_of(df) if category == CODE_TYPE else None
+    key = CODE if rules else category
+    counts = (df.groupBy(period_start(F.col(DATE), freq).alias("periodo"), F.col(key).alias("_chave"))
+              .agg(F.count(DATE).alias("n")).where(F.col("n") > 0))
+    if not rules:
+        return counts.where(F.col("_chave").isNotNull()).select("periodo", F.col("_chave").alias("categoria"), "n")
+    # labels from the codes that are left
+    return counts.groupBy("periodo", code_type(F.col("_chave"), rules).alias("categoria")).agg(F.sum("n").alias("n"))
 
 
 def time_series(df: DataFrame, freq: str = "month", by: Optional[str] = None) -> DataFrame:
@@ -48,9 +54,8 @@ def month_heatmap(df: DataFrame, pivot: bool = False) -> DataFrame:
     """``ano, mes, n`` long form (A6); ``pivot=True`` gives the month columns."""
     if pivot:
         return heatmap_pivot(df)
-    return (df.where(F.col(DATE).isNotNull())
-            .groupBy(year_of(F.col(DATE)).alias("ano"), month_of(F.col(DATE)).alias("mes"))
-            .agg(F.count(F.lit(1)).alias("n"))
+    return (df.groupBy(year_of(F.col(DATE)).alias("ano"), month_of(F.col(DATE)).alias("mes"))
+            .agg(F.count(DATE).alias("n")).where(F.col("n") > 0)
             .orderBy("ano", "mes"))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.periods import band_label, band_start, month_of, percent, period_start, year_of
 from ..operators.quality import missing_checks, top_per_field, unpivot_missing
 from ..operators.series import MONTHS
-from ..profiles import CODE_ORIGIN_N, OPTION_LIMITS, SEX_FEMALE, SEX_MALE, TOP_CATEGORY_N, TOP_CODES_N
+from ..profiles import SEX_FEMALE, SEX_MALE, TOP_CATEGORY_N, TOP_CODES_N
 from .recode import (
     AGE,
     CODE,
@@ -119,10 +119,11 @@ def aggregate_once(df: DataFrame, filters: Filters = DEFAULT_FILTERS, freq: str
     return agg, _grouping_ids(order, sets), checks
 
 
-def _top(df: DataFrame, key: str, alias: str, n: int) -> DataFrame:
-    return (df.where(F.col(key).isNotNull())
-            .select(F.col(key).alias(alias), "n")
-            .orderBy(F.desc("n"), F.asc_nulls_last(alias)).limit(n))
+def _top(df: DataFrame, key: str, alias: str, n: Optional[int]) -> DataFrame:
+    out = (df.where(F.col(key).isNotNull())
+           .select(F.col(key).alias(alias), "n")
+           .orderBy(F.desc("n"), F.asc_nulls_last(alias)))
+    return out if n is None else out.limit(n)
 
 
 def _summed(df: DataFrame, *keys: str) -> DataFrame:
@@ -167,7 +168,7 @@ def one_pass_report(reg: Register, filters: Filters = DEFAULT_FILTERS, freq: str
         counts = option_parts[0][1]
         for _, p in option_parts[1:]:
             counts = counts.unionByName(p)
-        out["filter_options"] = top_per_field(counts, [f for f, _ in option_parts], OPTION_LIMITS)
+        out["filter_options"] = top_per_field(counts, [f for f, _ in option_parts])
 
     if "period" in gid:
         heat_all = part("heat").where(F.col(YEAR).isNotNull())
@@ -210,7 +211,7 @@ def one_pass_report(reg: Register, filters: Filters = DEFAULT_FILTERS, freq: str
         out["top_codes"] = (top.withColumn("pct_entre_cids_detectados",
                                            percent(F.col("n"), F.sum("n").over(Window.partitionBy())))
                             .orderBy(F.desc("n"), F.asc_nulls_last("cid_detectado")))
-        out["code_origin"] = _top(kept("origin"), CODE_ORIGIN, "coluna_origem_cid", CODE_ORIGIN_N)
+        out["code_origin"] = _top(kept("origin"), CODE_ORIGIN, "coluna_origem_cid", None)
     for key, set_name, col in (("top_diagnosis", "diagnosis", DIAGNOSIS), ("top_outcome", "outcome", OUTCOME),
                                ("top_municipality", "municipality", MUNICIPALITY)):
         if set_name in gid:

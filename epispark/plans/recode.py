@@ -9,6 +9,7 @@ the column's presence.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from typing import Optional, Sequence, Tuple, Union
 
@@ -16,10 +17,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ages import build_age
-from ..functions.codes import code_group, code_origin, code_type, extract_code, extract_code_multi
+from ..functions.codes import (
+    as_code,
+    code_group,
+    code_origin,
+    code_type,
+    extract_code_multi,
+    found_code,
+    joinable,
+    joined_codes,
+    label_predicate,
+    origin_of,
+)
 from ..functions.dates import parse_date
 from ..functions.sex import recode_sex
-from ..functions.text import clean_text
+from ..functions.text import clean_text, named
 from ..profiles import CODE_PATTERN, CODE_RULES
 from .roles import Roles
 
@@ -35,6 +47,7 @@ CODE = "ep_cid"
 CODE_GROUP = "ep_cid_grupo"
 CODE_TYPE = "ep_cid_tipo"
 CODE_ORIGIN = "ep_cid_origem"
+YEAR = "ano"  # partition column of a consolidated register
 CANONICAL = (DATE, SEX, SEX_TEXT, AGE, AGE_UNIT_TEXT, MUNICIPALITY, OUTCOME, DIAGNOSIS,
              CODE, CODE_GROUP, CODE_TYPE, CODE_ORIGIN)
 
@@ -42,7 +55,7 @@ CANONICAL = (DATE, SEX, SEX_TEXT, AGE, AGE_UNIT_TEXT, MUNICIPALITY, OUTCOME, DIA
 def canonical_columns(df: DataFrame, roles: Roles, rules=CODE_RULES,
                       pattern: str = CODE_PATTERN) -> dict:
     """name -> Column for every configured role."""
-    dtypes = dict((f.name, f.dataType) for f in df.schema.fields)
+    dtypes = {f.name: f.dataType for f in df.schema.fields}
     out = {}
     if roles.date:
         out[DATE] = parse_date(roles.date, dtypes.get(roles.date))
@@ -69,31 +82,43 @@ def canonical_columns(df: DataFrame, roles: Roles, rules=CODE_RULES,
     return out
 
 
+def rules_of(df: DataFrame):
+    """The classification rules a recoded frame carries in the metadata of its
+    label column, so that later steps can work on the code alone."""
+    if CODE_TYPE not in df.columns or CODE not in df.columns:
+        return None
+    kept = df.schema[CODE_TYPE].metadata.get("rules")
+    return tuple(tuple(r) for r in json.loads(kept)) if kept else None
+
+
 def recode(df: DataFrame, roles: Roles, rules=CODE_RULES, pattern: str = CODE_PATTERN,
-           keep_raw: bool = True) -> DataFrame:
-    """Role raw columns (when ``keep_raw``) plus the canonical columns.
-
-    Projections are staged so each regex runs once per row: the code of
-    every code column is extracted first (``_cid<i>``); the first non-null
-    one and the name of its column are picked next; group and label are
-    derived from ``ep_cid`` last. Catalyst does not collapse these stages
-    because each extracted value is used more than once.
+           keep_raw: bool = True, keep_all: bool = False) -> DataFrame:
+    """Raw columns (those with a role, or every one with ``keep_all``) plus
+    the canonical columns.
+
+    Codes are found in stages, so that one regex runs once per row: the texts
+    of all code columns are joined, the leftmost match is taken from them, and
+    code, origin, group and label are derived from the match. Catalyst does
+    not collapse the stages, as each value is used more than once.
     """
     cols = canonical_columns(df, roles, rules, pattern)
     later = (CODE, CODE_GROUP, CODE_TYPE, CODE_ORIGIN)
     first = {k: v for k, v in cols.items() if k not in later}
-    raw = [F.col(c) for c in roles.raw_columns()] if keep_raw else []
+    raw = [named(c) for c in (df.columns if keep_all else roles.raw_columns() if keep_raw else ())]
     codes = [c for c in roles.codes if c]
-    per_col = {f"_cid{i}": extract_code(c, pattern) for i, c in enumerate(codes)}
-    out = df.select(*raw, *[v.alias(k) for k, v in first.items()], *[v.alias(k) for k, v in per_col.items()])
-    if codes:
-        names = list(per_col)
-        out = out.withColumns({
-            CODE: F.coalesce(*[F.col(n) for n in names]),
-            CODE_ORIGIN: F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(c)) for n, c in zip(names, codes)]),
-        }).drop(*names)
-        out = out.withColumns({CODE_GROUP: cols[CODE_GROUP], CODE_TYPE: cols[CODE_TYPE]})
-    return out
+    if not codes:
+        return df.select(*raw, *[v.alias(k) for k, v in first.items()])
+    staged = {}
+    if len(codes) > 1 and joinable(pattern):
+        staged = {"_textos": joined_codes(codes)}
+    out = df.select(*raw, *[v.alias(k) for k, v in first.items()], *[v.alias(k) for k, v in staged.items()],
+                    *([] if staged else [cols[CODE].alias(CODE), cols[CODE_ORIGIN].alias(CODE_ORIGIN)]))
+    if staged:
+        out = out.withColumn("_achado", found_code(F.col("_textos"), pattern))
+        out = out.withColumns({CODE: as_code(F.col("_achado")),
+                               CODE_ORIGIN: origin_of(F.col("_textos"), F.col("_achado"), codes)}).drop("_textos", "_achado")
+    kept = {"rules": json.dumps([list(r) for r in rules])}
+    return out.withColumn(CODE_GROUP, cols[CODE_GROUP]).select("*", cols[CODE_TYPE].alias(CODE_TYPE, metadata=kept))
 
 
 @dataclass(frozen=True)
@@ -130,7 +155,9 @@ def year_predicate(df: DataFrame, years, has_valid: Optional[bool] = None) -> Op
         any_valid = df.select(DATE).where(F.col(DATE).isNotNull()).exists()
         return F.col(DATE).isNotNull() | ~any_valid
     lo, hi = years
-    return F.year(F.col(DATE)).between(int(lo), int(hi))
+    inside = F.year(F.col(DATE)).between(int(lo), int(hi))
+    # a consolidated register is partitioned by year: prune its folders too
+    return F.col(YEAR).between(int(lo), int(hi)) & inside if YEAR in df.columns else inside
 
 
 def has_valid_date(df: DataFrame) -> bool:
@@ -146,12 +173,15 @@ def filter_predicates(df: DataFrame, filters: Filters = DEFAULT_FILTERS,
     # Cheapest first: Spark evaluates the conjunction in this order and
     # stops at the first false, and Catalyst does not reorder by cost.
     # Trimmed-text lists, then the sex recode, then the date parse, then
-    # the code label (a regex per code column).
+    # the code (a regex over the texts of all code columns).
     def isin(col, values):
         return F.col(col).isin(list(values)) if values and col in df.columns else None
 
+    # A label is a function of the code: one test of the code does.
+    rules = rules_of(df)
+    label = label_predicate(F.col(CODE), filters.tipo, rules) if filters.tipo and rules else None
     preds = [isin(MUNICIPALITY, filters.municipio), isin(OUTCOME, filters.desfecho), isin(SEX, filters.sexo),
-             year_predicate(df, filters.years, has_valid), isin(CODE_TYPE, filters.tipo)]
+             year_predicate(df, filters.years, has_valid), isin(CODE_TYPE, filters.tipo) if label is None else label]
     return [p for p in preds if p is not None]
 
 

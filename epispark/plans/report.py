@@ -18,7 +18,7 @@ strategies are offered:
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Dict, Mapping, Optional
 
 from pyspark import StorageLevel
@@ -75,6 +75,11 @@ class Register:
             hit = self._filtered[filters] = apply_filters(self.recoded, filters, self._known_validity(filters))
         return hit
 
+    def dated(self, filters: Filters = DEFAULT_FILTERS) -> DataFrame:
+        """For operators that leave out rows without a date themselves: the
+        default year filter, which only does that too, is dropped."""
+        return self.filtered(replace(filters, years=None) if filters.years == "bounds" else filters)
+
 
 def materialize(df: DataFrame, how: Optional[str], spark: Optional[SparkSession] = None) -> DataFrame:
     if how is None:
@@ -90,14 +95,15 @@ def materialize(df: DataFrame, how: Optional[str], spark: Optional[SparkSession]
 
 
 def open_register(raw: DataFrame, profile: SourceProfile | str, materialize_as: Optional[str] = None,
-                  roles: Optional[Roles] = None, **overrides) -> Register:
+                  roles: Optional[Roles] = None, keep_all: bool = False, **overrides) -> Register:
     """Resolve roles (or take ``roles`` as given), recode, optionally
-    materialise. Keyword overrides replace single detected roles."""
+    materialise. Keyword overrides replace single detected roles;
+    ``keep_all`` carries every raw column along."""
     if isinstance(profile, str):
         profile = PROFILES[profile]
     if roles is None:
         roles = resolve_roles(raw, profile, **overrides)
-    rec = materialize(recode(raw, roles), materialize_as, raw.sparkSession)
+    rec = materialize(recode(raw, roles, keep_all=keep_all), materialize_as, raw.sparkSession)
     return Register(profile.name, raw, roles, rec)
 
 
@@ -113,10 +119,11 @@ def standard_report(reg: Register, filters: Filters = DEFAULT_FILTERS, freq: str
         out["filter_options"] = opts
     if DATE in cols:
         out["year_bounds"] = quality.year_bounds(rec)
-        out["time_series"] = (series.time_series_by(df, freq) if by_type and CODE in cols
-                              else series.time_series(df, freq))
-        out["heatmap_long"] = series.month_heatmap(df)
-        out["heatmap_pivot"] = series.heatmap_pivot(df)
+        dated = reg.dated(filters)
+        out["time_series"] = (series.time_series_by(dated, freq) if by_type and CODE in cols
+                              else series.time_series(dated, freq))
+        out["heatmap_long"] = series.month_heatmap(dated)
+        out["heatmap_pivot"] = series.heatmap_pivot(dated)
     if CODE in cols:
         out["type_distribution"] = codes_ops.type_distribution(df)
         out["top_codes"] = codes_ops.top_codes(df)
@@ -142,7 +149,7 @@ def comparison(registers: Mapping[str, Register], filters: Filters = DEFAULT_FIL
     if len(dated) < 2:
         return {}
     out = {}
-    s = series.compare_series(dated, freq, by_type, index100)
+    s = series.compare_series({n: registers[n].dated(filters) for n in dated}, freq, by_type, index100)
     if s is not None:
         out["compare_series"] = s
     t = codes_ops.compare_types(dated)

@@ -71,12 +71,9 @@ MISSING_LABELS = (
     "CID-10 de meningite detectado",
 )
 
-# Limits used by the standard report.
-OPTION_LIMITS = {"sexo": 10, "municipio": 40, "desfecho": 25, "cid_tipo": 12}
+# The top-k of the standard report.
 TOP_CATEGORY_N = 20
 TOP_CODES_N = 30
-CODE_ORIGIN_N = 20
-MAX_CODE_COLUMNS = 10
 
 PERIODS = {"Ano": "year", "Mês": "month", "Semana": "week"}
 

@@ -8,26 +8,31 @@ from typing import Optional, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.recode import CODE_GROUP, DATE, MUNICIPALITY
+from ..plans.recode import CODE_GROUP, DATE, MUNICIPALITY, YEAR
 from ..profiles import CODE_RULES
 
 MENINGITIS_GROUPS = tuple(r[0] for r in CODE_RULES)
 
 
 def export_csv(df: DataFrame, out_dir: str, mode: str = "overwrite") -> str:
-    """Write ``df`` as UTF-8 CSV with a header (S5). One file per task;
-    the byte-order mark of a spreadsheet download is not written."""
-    df.write.mode(mode).option("header", True).csv(out_dir)
+    """Write ``df`` as UTF-8 CSV with a header (S5). One file per task; values
+    keep their spaces, and quotes in them are doubled, as spreadsheets and
+    other readers expect; no byte-order mark is written."""
+    (df.write.mode(mode).option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out_dir))
     return out_dir
 
 
 def territory_predicate(code: Optional[str], column: str = MUNICIPALITY) -> Optional[Column]:
     """Municipality codes come with 6 or 7 digits (check digit). A 2-digit
     code selects a state, a 6/7-digit code one municipality (compared on
-    its first six digits), None/``""`` selects everything (S7)."""
+    its first six digits), None/``""`` selects everything (S7). Any other
+    code raises ``ValueError``."""
+    code = (code or "").strip()
     if not code:
         return None
-    code = code.strip()
+    if not code.isdigit() or len(code) not in (2, 6, 7):
+        raise ValueError(f"a territory code has 2, 6 or 7 digits: {code!r}")
     if len(code) == 2:
         return F.substring(F.col(column), 1, 2) == code
     return F.substring(F.col(column), 1, 6) == code[:6]
@@ -39,13 +44,19 @@ def territory_cut(df: DataFrame, code: Optional[str], column: str = MUNICIPALITY
 
 
 def with_year(df: DataFrame) -> DataFrame:
-    return df.withColumn("ano", F.year(F.col(DATE)).cast("int"))
+    """``ano`` from the parsed date; a raw column of that name (in any case)
+    is kept as ``raw_ano``."""
+    own = [c for c in df.columns if c.lower() == YEAR]
+    df = df.withColumnsRenamed({c: f"raw_{YEAR}" for c in own})
+    return df.withColumn(YEAR, F.year(F.col(DATE)).cast("int"))
 
 
 def consolidate_by_year(df: DataFrame, out_dir: str, groups: Sequence[str] = MENINGITIS_GROUPS,
                         territory: Optional[str] = None, max_records_per_file: int = 5_000_000) -> str:
     """Keep rows whose detected code is in ``groups`` (and in the territory),
-    and write them as Parquet partitioned by ``ano`` (S6).
+    and write them as Parquet partitioned by ``ano`` (S6). ``df`` is a
+    recoded register with all its raw columns (``keep_all``). A year range of
+    ``apply_filters`` prunes the folders when the table is read back.
 
     The kept rows are a small part of the input, so writing straight from
     the scan tasks would leave thousands of tiny files per year. A
@@ -56,7 +67,7 @@ def consolidate_by_year(df: DataFrame, out_dir: str, groups: Sequence[str] = MEN
     (NULL) partition; ``max_records_per_file`` caps any single file.
     """
     kept = territory_cut(df.where(F.col(CODE_GROUP).isin(list(groups))), territory)
-    (with_year(kept).hint("rebalance", "ano")
+    (with_year(kept).hint("rebalance", YEAR)
      .write.mode("overwrite").option("maxRecordsPerFile", int(max_records_per_file))
-     .partitionBy("ano").parquet(out_dir))
+     .partitionBy(YEAR).parquet(out_dir))
     return out_dir

@@ -12,7 +12,6 @@ values occur by construction. The views grow with the tables: every row of
 
 from __future__ import annotations
 
-import os
 from typing import Dict, List, Optional, Sequence, Tuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -110,9 +109,23 @@ def _stays() -> Tuple[str, List[Tuple[str, str]]]:
     ]
 
 
-VIEWS = {"cases": _cases, "deaths": _deaths, "stays": _stays}
+#: The nine code columns of the death register, in priority order.
+DEATH_CODE_COLUMNS = ("CAUSABAS", "CAUSABAS_O", "LINHAA", "LINHAB", "LINHAC", "LINHAD", "LINHAII", "ATESTADO", "CB_PRE")
+
+
+def _deaths_wide() -> Tuple[str, List[Tuple[str, str]]]:
+    """The death register at its full width: nine code columns, few of which
+    hold a code, at a different place from row to row."""
+    k = "o_orderkey"
+    table, cols = _deaths()
+    own = [(c, f"CASE WHEN ({k} + {i}) % 5 = 0 THEN {pick(f'{k} * 3 + {i}', CODE_VALUES)} "
+               f"ELSE {pick(f'{k} + {i}', DEATH_CAUSES[:3])} END") for i, c in enumerate(DEATH_CODE_COLUMNS)]
+    return table, [c for c in cols if c[0] not in DEATH_CODE_COLUMNS] + own
+
+
+VIEWS = {"cases": _cases, "deaths": _deaths, "stays": _stays, "deaths_wide": _deaths_wide}
 # Register each view stands in for.
-VIEW_PROFILE = {"cases": "SINAN", "deaths": "SIM", "stays": "CIHA"}
+VIEW_PROFILE = {"cases": "SINAN", "deaths": "SIM", "stays": "CIHA", "deaths_wide": "SIM"}
 
 
 def view_columns(name: str) -> Tuple[str, List[Tuple[str, str]]]:
@@ -125,8 +138,20 @@ def view_select_sql(name: str) -> str:
     return "SELECT " + ", ".join(f"{e} AS {c}" for c, e in cols) + f" FROM {table}"
 
 
-# (application id, table folder, view) -> Parquet path of the written view
-_WRITTEN: Dict[Tuple[str, str, str], str] = {}
+# (application id, view, state of the table's files) -> Parquet path of the written view
+_WRITTEN: Dict[tuple, str] = {}
+
+
+def table_state(spark: SparkSession, path: str) -> tuple:
+    """What tells one state of a table's files from another: path, size and
+    time of each."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    it = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hp, True)
+    out = []
+    while it.hasNext():
+        f = it.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def fixture_projection(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,21 +161,20 @@ def fixture_projection(spark: SparkSession, sf_dir: str, name: str) -> DataFrame
     return src.selectExpr(*[f"{e} AS {c}" for c, e in cols])
 
 
-def fixture_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view as a register extract: written once per application as
-    Parquet under the shared checkpoint folder, then read like any real
-    extract. Reading it back keeps the recode plans identical to those on
-    real files (a raw column is a plain column, not a CASE expression that
-    Catalyst would inline into every reference of a pushed-down filter)."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
+def fixture_view(spark: SparkSession, sf_dir: str, name: str, rows_per_file: int = 50_000) -> DataFrame:
+    """The view as a register extract: written once per application and state
+    of the table's files as Parquet under the shared checkpoint folder, then
+    read like any real extract. Reading it back keeps the recode plans
+    identical to those on real files (a raw column is a plain column, not a
+    CASE expression that Catalyst would inline into every reference). The
+    scan tasks write it straight away, without a shuffle, in files of
+    ``rows_per_file`` rows, which later scans read in parallel."""
+    table, _ = view_columns(name)
+    key = (spark.sparkContext.applicationId, name, table_state(spark, f"{sf_dir.rstrip('/')}/{table}.parquet"))
     path = _WRITTEN.get(key)
     if path is None:
         path = scratch_path(spark, f"fixture-{name}")
-        # The base tables are single files with one row group, which Spark
-        # cannot split; an extract set is many files. Spread the rows over
-        # one file per core so scans of the view run in parallel.
-        parts = max(1, spark.sparkContext.defaultParallelism)
-        fixture_projection(spark, sf_dir, name).repartition(parts).write.mode("overwrite").parquet(path)
+        fixture_projection(spark, sf_dir, name).write.option("maxRecordsPerFile", rows_per_file).parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(path)
 

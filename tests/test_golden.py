@@ -1,6 +1,7 @@
 """Hand-derived golden rows for the scalar recodes and name rules."""
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -20,9 +21,24 @@ from epispark.functions import (
     recode_sex,
     safe_alias,
 )
+from epispark.functions.text import output_names
 from epispark.functions.periods import band_label, round_half_away, round_half_even
+from epispark.functions.codes import joinable, label_predicate
+from epispark.operators.quality import enriched_rows
+from epispark.plans.recode import recode
 from epispark.plans.roles import choose_candidate, choose_candidates, detect_roles
-from epispark.profiles import AGE_MODE_AUTO, AGE_MODE_CODED, AGE_MODE_UNIT, CIHA, SIM, SINAN
+from epispark.profiles import (
+    AGE_MODE_AUTO,
+    AGE_MODE_CODED,
+    AGE_MODE_UNIT,
+    CIHA,
+    CODE_PATTERN,
+    CODE_RULES,
+    NO_CODE_LABEL,
+    OTHER_CODE_LABEL,
+    SIM,
+    SINAN,
+)
 
 D = dt.date
 
@@ -136,7 +152,9 @@ def test_names():
     assert safe_alias("ID_AGRAVO") == "idagravo"
     assert safe_alias("1X") == "c_1x"
     assert safe_alias("--") == "campo"
-    assert len(safe_alias("A" * 80)) == 50
+    assert safe_alias("A" * 80) == "a" * 80
+    assert output_names(["ID_AGRAVO", "IDAGRAVO", "id agravo", "--", "?"]) == {
+        "ID_AGRAVO": "idagravo", "IDAGRAVO": "idagravo_2", "id agravo": "idagravo_3", "--": "campo", "?": "campo_2"}
 
 
 def test_candidates():
@@ -144,7 +162,10 @@ def test_candidates():
     assert choose_candidates(["CIDADE", "ID_AGRAVO"], SINAN.codes) == ["ID_AGRAVO", "CIDADE"]
     assert choose_candidate([], SIM.age) is None
     assert choose_candidate(["X"], ()) is None
-    # exact match wins over column order; cap respected
+    # twelve code columns are twelve code columns
+    many = [f"CID{i}" for i in range(12)]
+    assert choose_candidates(many, SIM.codes + ("CID",)) == many
+    # exact match wins over column order; a cap only on request
     assert choose_candidate(["SEXO", "CS_SEXO"], SINAN.sex) == "CS_SEXO"
     assert choose_candidates(["CAUSABAS", "LINHAA", "LINHAII"], SIM.codes, max_items=2) == ["CAUSABAS", "LINHAA"]
 
@@ -170,3 +191,42 @@ def test_rounding_and_labels(spark):
     assert got[4] == (66.67, 66.67)
     df2 = spark.createDataFrame([(0.0,), (120.0,)], "a double")
     assert [r[0] for r in df2.select(band_label(F.col("a"))).collect()] == ["0–4", "120–124"]
+
+
+def test_joined_code_equals_column_by_column(spark):
+    """One regex over the joined texts gives the first column's first match,
+    and the column it lies in."""
+    values = ["G039", "*G03.9", "A419/G009", "A17.0", "a390 ", "A17", "0", "", None, "B99", "A", "87", "G0", "G00"]
+    rng = random.Random(3)
+    rows = [tuple(rng.choice(values) for _ in range(9)) for _ in range(3000)]
+    cols = list(SIM.codes)
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols))
+    one_by_one = F.coalesce(*[extract_code(c) for c in cols])
+    origin = F.coalesce(*[F.when(extract_code(c).isNotNull(), F.lit(c)) for c in cols])
+    wrong = df.where(~extract_code_multi(cols).eqNullSafe(one_by_one) | ~code_origin(cols).eqNullSafe(origin))
+    assert wrong.count() == 0
+
+
+def test_patterns_that_must_not_be_joined(spark):
+    assert joinable(CODE_PATTERN) and not any(map(joinable, ["^(A87)", "(A87)$", "(A.7)", "([^B]87)", r"(\bA87)", "(A)(87)", "A(87)"]))
+    df = spark.createDataFrame([("xB1", "B2")], "a string, b string")
+    assert df.select(extract_code_multi(["a", "b"], "^(B[0-9])"), code_origin(["a", "b"], "^(B[0-9])")).first()[:] == ("B2", "b")
+
+
+def test_label_predicate_equals_label(spark):
+    labels = [r[2] for r in CODE_RULES] + [NO_CODE_LABEL, OTHER_CODE_LABEL]
+    df = spark.createDataFrame([("A170",), ("A87",), ("A879",), ("G00",), ("B99",), ("A8",), (None,)], "c string")
+    for some in ([labels[0]], labels[2:5], [NO_CODE_LABEL], [OTHER_CODE_LABEL, labels[1]], labels, ["nowhere"]):
+        test = label_predicate(F.col("c"), some, CODE_RULES)
+        assert df.where(test.isNull() | (test != code_type(F.col("c")).isin(some))).count() == 0, some
+    assert label_predicate(F.col("c"), labels, [("A", "A8", "x", ""), ("B", "A87", "y", "")]) is None  # the first rule decides
+
+
+def test_names_with_dots_spaces_and_quotes(spark):
+    df = spark.createDataFrame([("05/01/2020", " m ", "G03.9")], "`DT.OBITO` string, `SEXO ` string, `CAUSA``BAS` string")
+    roles = detect_roles(df.columns, SIM)
+    assert (roles.date, roles.sex, roles.codes) == ("DT.OBITO", "SEXO ", ("CAUSA`BAS",))
+    row = enriched_rows(recode(df, roles), roles).first()
+    assert (row.data_analise, row.sexo_recodificado, row.cid_meningite_detectado, row.coluna_origem_cid) == (
+        D(2020, 1, 5), "Masculino", "G039", "CAUSA`BAS")
+    assert row.raw_dtobito == "05/01/2020"

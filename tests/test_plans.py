@@ -3,7 +3,8 @@ run on aggregated rows, the filter-options cut is a per-group limit."""
 
 import pytest
 
-from epispark.catalog.queries import QUERIES
+from epispark.catalog.queries import QUERIES, register
+from epispark.operators import quality
 
 from conftest import SF_SMALL
 
@@ -35,10 +36,49 @@ def test_windows_only_after_aggregation(spark, name):
         assert "Aggregate" in below.split("Scan")[0] or "TakeOrderedAndProject" in below.split("Scan")[0], name
 
 
-def test_filter_options_group_limit(spark):
-    df = QUERIES["filter_options"](spark, SF_SMALL)
-    p = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "WindowGroupLimit" in p
+def test_filter_options(spark):
+    """All values without limits; with limits a group limit below the window."""
+    rec = register(spark, SF_SMALL, "cases").recoded
+    every = quality.filter_options(rec)
+    assert "Window" not in every._jdf.queryExecution().optimizedPlan().toString()
+    wide = spark.range(6000).selectExpr("cast(id % 5570 as string) as ep_municipio")
+    assert quality.filter_options(wide).count() == 5570
+    cut = quality.filter_options(rec, {"sexo": 2, "municipio": 3, "desfecho": 1, "cid_tipo": 4})
+    assert "WindowGroupLimit" in cut._jdf.queryExecution().optimizedPlan().toString()
+    assert cut.groupBy("filtro").count().rdd.collectAsMap() == {"sexo": 2, "municipio": 3, "desfecho": 1, "cid_tipo": 4}
+
+
+def generated(spark, df):
+    """Sizes of the largest generated method of each fused stage; -1 where
+    the code did not compile."""
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    it, out = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan()).iterator(), []
+    while it.hasNext():
+        out.append(it.next()._3().maxMethodCodeSize())
+    return out
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_generated_code_compiles(spark, name):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that all stages show
+    try:
+        sizes = generated(spark, QUERIES[name](spark, SF_SMALL))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert all(0 <= size < 64_000 for size in sizes), sizes
+
+
+@pytest.mark.parametrize("name", ["wide_enriched_label_filter", "wide_ts_label_filter", "wide_type_distribution"])
+def test_one_code_regex_for_nine_columns(spark, name):
+    p = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("A17[") <= 3  # in the filter, twice for its blank test, and in the projection
+
+
+@pytest.mark.parametrize("name", ["ts_month", "heatmap_pivot", "ts_month_by_type"])
+def test_date_is_parsed_once(spark, name):
+    p = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("^\\d{8}") + p.count("^\\\\d{8}") <= 1, p
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"preview_rows"}))
@@ -55,7 +95,7 @@ def test_library_never_collects_rows():
     import pathlib
     root = pathlib.Path(__file__).resolve().parents[1] / "epispark"
     offenders = []
-    for f in root.rglob("*.py"):
+    for f in (f for f in root.rglob("*.py") if "llm" not in f.parts):
         text = f.read_text()
         for bad in (".collect()", ".toPandas()", "localCheckpoint"):
             if bad in text:

@@ -1,11 +1,18 @@
 """Layout drift, schema description, CSV export, consolidation, territory."""
 
+import csv
 import glob
 import os
+import shutil
 
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
+from epispark import session
 from epispark.catalog.queries import register
+from epispark.plans.recode import Filters, apply_filters
+from epispark.plans.report import open_register
 from epispark.sources import export, parquet
 
 from conftest import SF_SMALL
@@ -22,13 +29,51 @@ def test_union_by_name_with_drift(spark, tmp_dir):
     assert rows == [("1", "M", None), ("3", None, None), ("x2", None, 3.5)]
 
 
-def test_layout_by_directory(spark, tmp_dir):
-    spark.createDataFrame([(1, "M"), (2, "F")], "id int, sexo string").repartition(2).write.parquet(f"{tmp_dir}/y1")
-    spark.createDataFrame([("x2", 3.5)], "ID string, idade double").write.parquet(f"{tmp_dir}/y2")
-    exact = parquet.read_base(spark, f"{tmp_dir}/y*")
-    by_dir = parquet.read_base(spark, f"{tmp_dir}/y*", layout_by="directory")
-    assert by_dir.schema == exact.schema
-    assert sorted(map(tuple, by_dir.collect())) == sorted(map(tuple, exact.collect()))
+def test_layout_drift_within_a_folder(spark, tmp_dir):
+    """Files of one folder may differ in columns and types."""
+    spark.createDataFrame([(1,)], "a int").coalesce(1).write.parquet(f"{tmp_dir}/x/k=1")
+    spark.createDataFrame([(2, "z")], "a int, b string").coalesce(1).write.parquet(f"{tmp_dir}/x/k=2")
+    spark.createDataFrame([("t", "z")], "a string, b string").coalesce(1).write.parquet(f"{tmp_dir}/x/k=3")
+    df = parquet.read_base(spark, f"{tmp_dir}/x")
+    assert set(df.columns) == {"a", "b", "k"} and sorted(map(tuple, df.select("a", "b", "k").collect())) == [
+        ("1", None, 1), ("2", "z", 2), ("t", "z", 3)]
+
+
+def test_decimals_and_booleans(spark, tmp_dir):
+    for i, (value, kind) in enumerate([("1.25", "decimal(10,2)"), ("12345678901.5", "decimal(13,1)"), ("7", "int")]):
+        spark.sql(f"select cast('{value}' as {kind}) as v, {'true' if i == 0 else i} as f").write.parquet(f"{tmp_dir}/d{i}")
+    df = parquet.read_base(spark, [f"{tmp_dir}/d0", f"{tmp_dir}/d1"])
+    assert df.schema["v"].dataType.simpleString() == "decimal(14,2)" and df.schema["f"].dataType.simpleString() == "int"
+    assert sorted((str(r.v), r.f) for r in df.collect()) == [("1.25", 1), ("12345678901.50", 1)]
+    assert parquet.read_base(spark, f"{tmp_dir}/d*").schema["v"].dataType.simpleString() == "decimal(14,2)"
+
+
+def test_folders_being_written_and_partition_columns(spark, tmp_dir):
+    df = spark.range(10).selectExpr("id", "id % 2 as ano")
+    df.write.partitionBy("ano").parquet(f"{tmp_dir}/part")
+    df.limit(2).write.parquet(f"{tmp_dir}/part/_temporary/0/task_1")
+    got = parquet.read_base(spark, f"{tmp_dir}/part")
+    assert sorted(map(tuple, got.select("id", "ano").collect())) == [(i, i % 2) for i in range(10)]
+    assert "PartitionFilters: [isnotnull(ano" in got.where("ano = 1")._jdf.queryExecution().executedPlan().toString()
+    df.write.parquet(f"{tmp_dir}/flat")
+    assert os.path.exists(f"{tmp_dir}/flat/_SUCCESS")
+    assert parquet.read_base(spark, f"{tmp_dir}/flat/*").count() == 10
+    assert all("_SUCCESS" not in f and "_temporary" not in f for f in parquet.list_files(spark, [f"{tmp_dir}/flat/*", f"{tmp_dir}/part"]))
+    os.makedirs(f"{tmp_dir}/bare")
+    assert parquet.read_base(spark, f"{tmp_dir}/bare") is None
+
+
+def test_jobs_do_not_grow_with_files(spark, tmp_dir):
+    def jobs(files):
+        spark.range(200).repartition(files).write.parquet(f"{tmp_dir}/n{files}")
+        spark.sparkContext.setJobGroup(f"read{files}", "")
+        try:
+            assert parquet.read_base(spark, f"{tmp_dir}/n{files}").schema.names == ["id"]
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"read{files}"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    assert jobs(40) == jobs(4) <= 2
 
 
 def test_numeric_widening_and_glob(spark, tmp_dir):
@@ -49,10 +94,13 @@ def test_schema_describe(spark):
 
 
 def test_csv_roundtrip(spark, tmp_dir):
-    df = spark.createDataFrame([("São Paulo", 3), ("Niterói", 1)], "categoria string, n long")
-    out = export.export_csv(df, f"{tmp_dir}/csv")
-    back = spark.read.option("header", True).schema("categoria string, n long").csv(out)
-    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    df = spark.createDataFrame([("São Paulo", 3), ("Niterói", 1), (" m ", 2), ('a "q" b', 4), ('x, "y"', 5), ("\tt ", 6)],
+                               "categoria string, n long")
+    out = export.export_csv(df.coalesce(1), f"{tmp_dir}/csv")
+    with open(glob.glob(f"{out}/part-*")[0], newline="", encoding="utf-8") as f:
+        back = list(csv.reader(f))
+    assert back[0] == ["categoria", "n"]
+    assert sorted((c, int(n)) for c, n in back[1:]) == sorted(map(tuple, df.collect()))
 
 
 def test_consolidate_and_territory(spark, tmp_dir):
@@ -68,10 +116,42 @@ def test_consolidate_and_territory(spark, tmp_dir):
     assert "PartitionFilters: [isnotnull(ano" in plan
     state = export.territory_cut(reg.recoded, "33").count()
     assert state == reg.recoded.count()
+    for bad in ("1", "330", "33004", "33004571", "3x"):
+        with pytest.raises(ValueError):
+            export.territory_cut(reg.recoded, bad)
     one = export.territory_cut(reg.recoded, "3300457")
     assert one.where(~F.col("ep_municipio").startswith("330045")).count() == 0
 
 
+def test_consolidation_keeps_every_column_and_prunes_by_year(spark, tmp_dir):
+    raw = spark.createDataFrame([(1, "05/01/2020", "G039", "x", 7), (2, "2021", "B99", "y", 8), (3, "20210301", "A87", "z", 9), (4, "", "G00", "w", 1)],
+                                "NUM int, DT_ATEND string, DIAG_PRINC string, OUTRA string, ANO int")
+    reg = open_register(raw, "CIHA", keep_all=True)
+    back = parquet.read_base(spark, export.consolidate_by_year(reg.recoded, f"{tmp_dir}/all"))
+    assert {"NUM", "DT_ATEND", "DIAG_PRINC", "OUTRA", "raw_ano", "ano"} <= set(back.columns)
+    assert sorted((r.NUM, r.OUTRA, r.raw_ano, r.ano) for r in back.collect()) == [(1, "x", 7, 2020), (3, "z", 9, 2021), (4, "w", 1, None)]
+    some = apply_filters(back, Filters(years=(2021, 2022)))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ano" in plan and [r.NUM for r in some.collect()] == [3]
+
+
+def test_results_follow_the_files(spark, tmp_dir):
+    """A view written for one state of a table is not used for the next."""
+    shutil.copy(f"{SF_SMALL}/orders.parquet", f"{tmp_dir}/orders.parquet")
+    before = register(spark, tmp_dir, "stays").recoded.count()
+    pq.write_table(pq.read_table(f"{SF_SMALL}/orders.parquet").slice(0, 10), f"{tmp_dir}/orders.parquet")
+    assert before > 10 and register(spark, tmp_dir, "stays").recoded.count() == 10
+
+
+def test_no_folder_is_invented_off_local(spark):
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getConf": staticmethod(lambda: {})})
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Elsewhere)
+
+
 def test_reference_tables(spark):
     from epispark.sources.reference import code_rules, field_guide
 
