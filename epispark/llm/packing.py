@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, texts
+from .common import arrow_map, slices
 from .tokenizing import WORD_BPE, word_encoder
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, bucket int, ids binary"
@@ -42,10 +42,11 @@ def pack_power_of_two(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int =
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_encoder(tokenizer)
-        for b in slices(batches, 512):
+        for b in slices(batches, 1024):
             doc, start, length, total, ids = [], [], [], [], []
-            for d, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
-                own = np.append(np.frombuffer(enc.encode(text), enc.dtype), end_id).astype("<u4").tobytes()
+            tokens, ends = enc.encode_column(b.column(1))
+            for d, lo, hi in zip(b.column(0).to_pylist(), np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
+                own = np.append(tokens[lo:hi], end_id).astype("<u4").tobytes()
                 n, at = len(own) // 4, 0
                 for size in piece_lengths(n, max_length):
                     doc.append(d)

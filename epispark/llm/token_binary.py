@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, texts
+from .common import arrow_map, slices
 from .tokenizing import WORD_BPE, word_encoder
 
 MARK = "EFTK"
@@ -158,8 +158,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end
         parts: List[bytes] = []
         held = 0
         for b in slices(batches):
-            for doc, text in zip(b.column(0).to_pylist(), texts(b.column(1))):
-                part = enc.encode(text) + end
+            tokens, ends = enc.encode_column(b.column(1))
+            for doc, lo, hi in zip(b.column(0).to_pylist(), np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
+                part = tokens[lo:hi].tobytes() + end
                 ids.append(doc)
                 parts.append(part)
                 held += len(part) // enc.dtype.itemsize

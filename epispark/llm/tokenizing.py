@@ -10,9 +10,12 @@ from __future__ import annotations
 import json
 import os
 import re
-from typing import List
+import struct
+from typing import List, Tuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import GenerationCache, worker_state
 
@@ -75,24 +78,45 @@ class WordEncoder:
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _word(self, word: bytes) -> bytes:
-        return self._ids(word.decode())
+    def _word(self, word: str) -> bytes:
+        return self._ids(word)
 
     def _piece(self, piece: str) -> bytes:
-        return np.asarray([t.id for t in self.tok.model.tokenize(piece.translate(self.map))], dtype=self.dtype).tobytes()
+        ids = [t.id for t in self.tok.model.tokenize(piece.translate(self.map))]
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
-    def _plain_word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if not _PLAIN.fullmatch(text):
-            return self._ids(text)
-        return b"".join(map(self.pieces.__getitem__, _PLAIN_SPLIT.findall(text.lower())))
+    def _plain_word(self, word: str) -> bytes:
+        if not _PLAIN.fullmatch(word):
+            return self._ids(word)
+        return b"".join(map(self.pieces.__getitem__, _PLAIN_SPLIT.findall(word.lower())))
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text. ``bytes.split`` cuts at ASCII white space only."""
+        """Ids of a whole text, cut into words at ASCII white space only."""
         if self.by_word:
-            return b"".join(map(self.words.__getitem__, text.encode().split()))
+            return b"".join(map(self.words.__getitem__, (w.decode() for w in text.encode().split())))
         return self._ids(text)
 
+    def encode_column(self, column: pa.Array) -> Tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a column, their ends). Arrow splits the texts
+        and finds the distinct words; only these are looked up one by one."""
+        column = pc.fill_null(column, "")
+        if not self.by_word:
+            parts = [self._ids(t) for t in column.to_pylist()]
+            ends = np.cumsum([len(p) // self.dtype.itemsize for p in parts], dtype=np.int64)
+            return np.frombuffer(b"".join(parts), self.dtype), ends
+        words = pc.ascii_split_whitespace(column)
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        parts = [self.words[w] for w in coded.dictionary.to_pylist()]
+        size = np.array([len(p) // self.dtype.itemsize for p in parts], dtype=np.int64)
+        first = np.cumsum(size) - size
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        own = size[at]
+        last = np.cumsum(own)
+        from_ = np.repeat(first[at] - (last - own), own) + np.arange(int(last[-1]) if len(last) else 0)
+        ids = np.frombuffer(b"".join(parts), self.dtype)[from_]
+        return ids, np.concatenate([[0], last])[edges[1:]]
+
 
 def word_encoder(tokenizer: str) -> WordEncoder:
     return worker_state(("word-encoder", tokenizer), lambda: WordEncoder(tokenizer))
