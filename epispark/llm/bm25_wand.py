@@ -2,10 +2,11 @@
 
 Documents are dealt into shards of bounded size. Each shard holds an inverted
 index: for every term the blocks of documents that have it, with the largest
-impact in the block; and the documents' own postings. For a query the block
+impact in the block. For a query the block
 maxima add up to a bound for every block. Blocks are scored in falling order
-of their bounds, and the search ends at the first block whose bound is below
-the k-th best score so far. Document counts, term frequencies and the average
+of their bounds, from the postings of the query's terms that lie in them, and
+the search ends at the first block whose bound is below the k-th best score so
+far. Document counts, term frequencies and the average
 length are those of all documents, so scores of different shards compare and
 the merge of the shards' best k is exact.
 """
@@ -36,7 +37,8 @@ def terms_of(text: str) -> Tuple[np.ndarray, np.ndarray]:
 
 
 class Shard:
-    """The index of one shard. Documents are ordered by their most frequent
+    """The index of one shard: postings by term and document, cut into runs per
+    block, with the largest impact of each run. Documents are ordered by their most frequent
     term and length, which puts like documents into one block."""
 
     BLOCK = 32
@@ -45,27 +47,29 @@ class Shard:
         length = np.array([c.sum() for _, c in bags], dtype=float)
         top = np.array([t[c.argmax()] if len(t) else -1 for t, c in bags])
         order = np.lexsort((ids, length, top))
+        own = [bags[i] for i in order]
+        bags.clear()  # the caller hands its list over, so that its arrays go as soon as they are joined
         self.ids = np.array(ids, dtype=np.int64)[order]
-        bags = [bags[i] for i in order]  # the caller drops its own
         length = length[order]
-        self.starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in bags])]).astype(np.int64)
-        terms = np.concatenate([t for t, _ in bags]) if bags else np.empty(0, np.int64)
-        tf = np.concatenate([c for _, c in bags]).astype(float) if bags else np.empty(0)
-        doc = np.repeat(np.arange(len(bags)), np.diff(self.starts))
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean_length, 1e-9)))
-        self.vocabulary, place = np.unique(terms, return_inverse=True)
-        self.place = place = place.astype(np.int32)
-        del terms, tf, bags
+        terms = np.concatenate([t for t, _ in own]) if own else np.empty(0, np.int64)
+        tf = np.concatenate([c for _, c in own]).astype(float) if own else np.empty(0)
+        doc = np.repeat(np.arange(len(own), dtype=np.int32), [len(t) for t, _ in own])
+        del own
+        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(mean_length, 1e-9)))
+        del tf
+        by = np.argsort(terms, kind="stable")  # postings by term, then document
+        terms, self.doc, self.impact = terms[by], doc[by], impact[by]
+        del by, doc, impact
         self.blocks = -(-len(self.ids) // self.BLOCK)
-        block = (doc // self.BLOCK).astype(np.int32)
-        del doc
-        by = np.lexsort((block, place))
-        p, bl, im = place[by], block[by], self.impact[by]
-        new = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (bl[1:] != bl[:-1])]) if len(p) else np.empty(0, int)
-        self.max_block = bl[new].astype(np.int32)
-        self.max_impact = np.maximum.reduceat(im, new) if len(new) else np.empty(0)
-        self.first = np.searchsorted(p[new], np.arange(len(self.vocabulary) + 1))
-        self.weight = np.zeros(len(self.vocabulary))
+        block = self.doc // self.BLOCK
+        # an entry is the run of a term's postings within one block
+        new = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])]) if len(terms) else np.empty(0, int)
+        self.entry = np.append(new, len(terms))
+        self.max_block = block[new]
+        self.max_impact = np.maximum.reduceat(self.impact, new) if len(new) else np.empty(0)
+        head = np.flatnonzero(np.r_[True, terms[new][1:] != terms[new][:-1]]) if len(new) else np.empty(0, int)
+        self.vocabulary = terms[new][head]
+        self.first = np.append(head, len(new))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> Tuple[np.ndarray, np.ndarray, int]:
         """(ids, scores, blocks scored) of the k best documents that hold a
@@ -77,34 +81,41 @@ class Shard:
         if not len(at):
             return np.empty(0, np.int64), np.empty(0), 0
         size = self.first[at + 1] - self.first[at]
-        entry = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        bound = np.bincount(self.max_block[entry], np.repeat(w, size) * self.max_impact[entry], self.blocks)
+        entry = _ranges(self.first[at], size)
+        weight = np.repeat(w, size)
+        block = self.max_block[entry]
+        bound = np.bincount(block, weight * self.max_impact[entry], self.blocks)
         order = np.argsort(-bound, kind="stable")
-        self.weight[at] = w
+        open_ = int((bound > 0).sum())
         ids, scores = np.empty(0, np.int64), np.empty(0)
-        scored, step = 0, 2
-        while scored < self.blocks:
-            if bound[order[scored]] <= 0 or len(ids) == k and bound[order[scored]] * (1 + 1e-9) + 1e-6 < scores[-1]:
-                break
-            some = order[scored:scored + step]
-            scored += len(some)
-            step = min(2 * step, 32)
-            for x in some:
-                lo, hi = x * self.BLOCK, min((x + 1) * self.BLOCK, len(self.ids))
-                a, z = self.starts[lo], self.starts[hi]
-                edge = self.starts[lo:hi + 1] - a
-                got = np.add.reduceat(np.append(self.weight[self.place[a:z]] * self.impact[a:z], 0.0), edge[:-1])
-                got[edge[1:] == edge[:-1]] = 0.0
-                got = np.round(got, 6)
-                ids, scores = np.concatenate([ids, self.ids[lo:hi]]), np.concatenate([scores, got])
-            hit = scores > 0
-            ids, scores = ids[hit], scores[hit]
+        scored, step = 0, 4
+        while scored < open_:
+            # blocks whose bound is below the k-th best score cannot hold better
+            if len(ids) == k:
+                open_ = int(np.searchsorted(-bound[order[:open_]], -(scores[-1] - 1e-6) / (1 + 1e-9), side="right"))
+                if scored >= open_:
+                    break
+            chosen = np.zeros(self.blocks, dtype=bool)
+            chosen[order[scored:min(scored + step, open_)]] = True
+            scored = min(scored + step, open_)
+            step *= 4
+            some = np.flatnonzero(chosen[block])
+            runs_ = self.entry[entry[some] + 1] - self.entry[entry[some]]
+            posting = _ranges(self.entry[entry[some]], runs_)
+            sums = np.bincount(self.doc[posting], np.repeat(weight[some], runs_) * self.impact[posting], len(self.ids))
+            hit = np.flatnonzero(sums)
+            ids, scores = np.concatenate([ids, self.ids[hit]]), np.concatenate([scores, np.round(sums[hit], 6)])
             best = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[best], scores[best]
-        self.weight[at] = 0.0
         return ids, scores, scored
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... for ``size[0]`` places, then of first[1] ..."""
+    last = np.cumsum(size)
+    return np.repeat(first - (last - size), size) + np.arange(last[-1] if len(last) else 0)
+
+
 def global_statistics(docs: DataFrame) -> Tuple[int, float, DataFrame]:
     """Documents, mean length, and (term, df) over all of them. A task sums
     its documents before anything is shuffled."""

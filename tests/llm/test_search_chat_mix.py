@@ -71,7 +71,7 @@ def test_blocks_are_skipped():
     rng = np.random.default_rng(0)
     bags = [(np.unique(rng.integers(k % 8 * 1000, k % 8 * 1000 + 300, 40)), None) for k in range(2048)]
     bags = [(t.astype(np.int64), np.ones(len(t), dtype=np.int32)) for t, _ in bags]
-    index = bm25_wand.Shard(list(range(2048)), bags, 40.0)
+    index = bm25_wand.Shard(list(range(2048)), list(bags), 40.0)
     query = bags[17][0]
     ids, scores, scored = index.search(query, np.ones(len(query)), 5)
     full = sorted((-round(float(np.isin(t, query).sum() * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(t) / 40))), 6), i) for i, (t, _) in enumerate(bags))
