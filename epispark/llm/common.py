@@ -127,17 +127,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def learnable(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) outside the evaluation fold, one row per document."""
+    return (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+            .groupBy("doc_id").agg(F.min(label).alias("label")))
+
+
+def class_counts(labels: DataFrame, label: str) -> Dict[int, int]:
+    """Learnable documents of each class that has any."""
+    return {r[0]: r[1] for r in learnable(labels, label).groupBy("label").count().collect()}
+
+
+def hash_sample(df: DataFrame, key: Column, n: int, total: int, *ties: str) -> DataFrame:
+    """The ``n`` rows of ``df`` with the least ``key``, a hash spread over all
+    64 bits. Of ``total`` rows only about twice as many as wanted pass the
+    first cut, so the last step sees a bounded number of rows whatever the
+    number of partitions."""
+    share = min(1.0, (2 * n + 200) / max(1, total))
+    cut = df if share == 1.0 else df.where(key < int(-2**63 + share * 2**64))
+    return cut.orderBy(key, *ties).limit(n)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int) -> DataFrame:
     """(text, label) of at most ``per_class`` labelled documents of each class
     0 and 1, outside the evaluation fold, picked by a hash of the id. The ids
     are at most ``2 * per_class`` rows, hence the broadcast. A document with
     several label rows takes the least label."""
-    one = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-           .groupBy("doc_id").agg(F.min(label).alias("label")))
+    one = learnable(labels, label)
     pick = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    counts = class_counts(labels, label)
     ids = None
     for value in (0, 1):
-        part = one.where(F.col("label") == value).orderBy(pick, "doc_id").limit(per_class)
+        part = hash_sample(one.where(F.col("label") == value), pick, per_class, counts.get(value, 0), "doc_id")
         ids = part if ids is None else ids.unionByName(part)
     return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
             .join(F.broadcast(ids), "doc_id")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import arrow_map, connected_components, runs, saved, slices
+from .common import arrow_map, connected_components, hash_sample, runs, saved, slices
 
 SUBSPACES, CODES = 8, 256
 Model = Dict[int, Tuple[np.ndarray, List[np.ndarray]]]  # by dimension: centres, code books
@@ -113,7 +113,7 @@ def prepared(vectors: DataFrame) -> DataFrame:
     return arrow_map(source, prepare, "vec_id long, label long, dim int, raw binary, f1 long, f2 long")
 
 
-def fit_model(heads: DataFrame, dtype: str, cells: int, sample: int, seed: int) -> Model:
+def fit_model(heads: DataFrame, total: int, dtype: str, cells: int, sample: int, seed: int) -> Model:
     """Coarse centres and code books from at most ``sample`` vectors, picked by
     a hash of the id, in one task; at most ``cells`` centres a dimension."""
 
@@ -130,7 +130,7 @@ def fit_model(heads: DataFrame, dtype: str, cells: int, sample: int, seed: int)
                  pa.array([[b.astype("<f8").tobytes() for b in books]], pa.list_(pa.binary()))], ["dim", "centres", "books"])
 
     pick = F.xxhash64("vec_id", F.lit(seed))
-    some = heads.orderBy(pick, "vec_id").limit(sample).select("vec_id", "raw").repartition(1).sortWithinPartitions(pick, "vec_id")
+    some = hash_sample(heads, pick, sample, total, "vec_id").select("vec_id", "raw").repartition(1).sortWithinPartitions(pick, "vec_id")
     model: Model = {}
     for r in arrow_map(some.select("raw"), fit, "dim int, centres binary, books array<binary>").collect():
         cut = _cuts(r.dim)
@@ -211,7 +211,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int
              .dropDuplicates(["label", "dim", "f1", "f2"]).select("vec_id", "label", "dim", "raw", "copies"))
     n, labels = classes.agg(F.count(F.lit(1)), F.countDistinct("label")).first()
     cells = int(min(max_cells, max(1, round(np.sqrt(n / max(1, labels)) / 4))))
-    model = fit_model(heads, dtype.str, cells, sample, seed)
+    model = fit_model(heads, n, dtype.str, cells, sample, seed)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):

@@ -20,7 +20,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, labelled_sample, slices, texts, worker_state
+from .common import arrow_map, class_counts, labelled_sample, slices, texts, worker_state
 
 SEGMENT, LEVEL = 512, 3
 
@@ -96,8 +96,7 @@ def fit_compression(docs: DataFrame, labels: DataFrame, label: str = "quality",
     of the id, in one task. Every other sampled document trains a dictionary,
     the rest calibrate. Without labels of both classes every score is the
     share of the class there is, or 0.5 without any."""
-    counts = {r[0]: r[1] for r in (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-                                   .groupBy(label).agg(F.countDistinct("doc_id")).collect())}
+    counts = class_counts(labels, label)
     total = sum(counts.values())
     if len(counts) < 2:
         return CompressionModel(b"", b"", (), (), (), float(next(iter(counts))) if total else 0.5)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import GenerationCache, arrow_map, forget, saved, slices, texts, worker_state
+from .common import GenerationCache, arrow_map, forget, hash_sample, saved, slices, texts, worker_state
 
 REST = "(rest)"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -96,8 +96,8 @@ def fit_topics(docs: DataFrame, topics: int = 8, slots: int = 512, sample: int =
              pa.array([means.astype("<f8").tobytes()], pa.binary())], ["centres", "languages", "means"])
 
     pick = F.xxhash64("text", F.lit(seed))
-    one = (docs.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null").orderBy(pick, "text", "lang").limit(sample)
-           .repartition(1).sortWithinPartitions(pick, "text", "lang"))
+    rows = docs.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null")
+    one = hash_sample(rows, pick, sample, docs.count(), "text", "lang").repartition(1).sortWithinPartitions(pick, "text", "lang")
     got = arrow_map(one, fit, "centres binary, languages array<string>, means binary").collect()
     if not got:
         return TopicModel(np.zeros((topics, slots)).tobytes(), topics, slots, (), np.zeros((1, slots)).tobytes())
@@ -110,7 +110,7 @@ def annotate(docs: DataFrame, model: TopicModel) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = np.frombuffer(model.centres, "<f8").reshape(model.topics, model.slots)
         means = np.frombuffer(model.means, "<f8").reshape(-1, model.slots)
-        for b in slices(batches, 1024):
+        for b in slices(batches, 512):
             some = texts(b.column(b.schema.get_field_index("text")))
             x = _less_language(_slot_counts(some, model.slots), b.column(b.schema.get_field_index("lang")).to_pylist(), model.languages, means)
             topic = (x @ centres.T).argmax(1).astype(np.int32)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import GenerationCache, arrow_map, held_out, labelled_sample, slices, texts, worker_state
+from .common import GenerationCache, arrow_map, class_counts, labelled_sample, slices, texts, worker_state
 
 _WORD = re.compile(r"\w+")
 
@@ -99,8 +99,7 @@ def fit_factor_machine(docs: DataFrame, labels: DataFrame, label: str = "toxic",
     ``n_terms`` best stay. Classes weigh as among all labels; copies within
     the sample share one document's weight. Without labels of both classes
     every score is the share of the class there is, or 0 without any."""
-    counts = {r[0]: r[1] for r in (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-                                   .groupBy(label).agg(F.countDistinct("doc_id")).collect())}
+    counts = class_counts(labels, label)
     if len(counts) < 2:
         return FactorModel((), 30.0 if counts.get(1) else -30.0, (), b"", rank)
 
