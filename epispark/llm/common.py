@@ -9,6 +9,7 @@ import io
 import os
 import tempfile
 import zipfile
+from collections import OrderedDict
 from typing import Any, Callable, Dict, Hashable, Iterable, Iterator, List, Optional
 
 import numpy as np
@@ -18,13 +19,19 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-_WORKER: Dict[Hashable, Any] = {}
+_WORKER: "OrderedDict[Hashable, Any]" = OrderedDict()
+_WORKER_STATES = 2
 
 
 def worker_state(key: Hashable, build: Callable[[], Any]) -> Any:
-    """One object per Python worker and key; workers are reused by tasks."""
-    if key not in _WORKER:
-        _WORKER[key] = build()
+    """One object per Python worker and key. Workers are reused by tasks and by
+    later queries, so only the objects used last are kept."""
+    if key in _WORKER:
+        _WORKER.move_to_end(key)
+        return _WORKER[key]
+    while len(_WORKER) >= _WORKER_STATES:
+        _WORKER.popitem(last=False)
+    _WORKER[key] = build()
     return _WORKER[key]
 
 
@@ -33,7 +40,7 @@ class GenerationCache(dict):
     of ``capacity`` entries: a full generation becomes the old one, and keys
     found there move to the new one, so frequent keys stay."""
 
-    def __init__(self, compute: Callable[[Any], Any], capacity: int = 200_000):
+    def __init__(self, compute: Callable[[Any], Any], capacity: int = 150_000):
         super().__init__()
         self.compute, self.capacity, self.old = compute, capacity, {}
 

@@ -16,7 +16,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GenerationCache, arrow_map, slices, texts, worker_state
+from .common import GenerationCache, arrow_map, hash_sample, slices, texts, worker_state
 from .tokenizing import PIECE_BPE, PieceCounter, piece_counter, word_encoder
 
 #: Bounds of the broadcast table: sampled documents, entries, length of an entry.
@@ -41,7 +41,8 @@ def frequent_lengths(docs: DataFrame, tokenizer: str = PIECE_BPE, sample_documen
         yield pa.RecordBatch.from_arrays(
             [pa.array(words, pa.string()), pa.array([counter.unit(w) for w in words], pa.int32())], ["unit", "tokens"])
 
-    some = docs.select("text").limit(sample_documents).coalesce(1)
+    rows = docs.select("text").where("text is not null")
+    some = hash_sample(rows, F.xxhash64("text"), sample_documents, docs.count()).coalesce(1)
     return {r.unit: r.tokens for r in arrow_map(some, count, "unit string, tokens int").collect()}
 
 
@@ -49,7 +50,7 @@ class _Lookup(GenerationCache):
     """Tier one, always there, with tier two around it."""
 
     def __init__(self, table: Dict[str, int], counter: PieceCounter):
-        super().__init__(counter.unit, capacity=200_000 + len(table))
+        super().__init__(counter.unit, capacity=150_000 + len(table))
         self.table = table
         self.update(table)
 
