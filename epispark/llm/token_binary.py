@@ -183,8 +183,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, file, position) of every document,
     read from the files; ``start`` counts the ids of all documents before it."""
     files = (spark.read.format("binaryFile").load(path).where("length > 0")
-             .select(F.regexp_extract("path", r"part-(\d+)-", 1).cast("long").alias("part"),
-                     F.regexp_extract("path", r"-c(\d+)", 1).cast("long").alias("number"), "content"))
+             .select(F.regexp_extract("path", r"/part-(\d+)-[^/]*$", 1).cast("long").alias("part"),
+                     F.regexp_extract("path", r"-c(\d+)\.txt$", 1).cast("long").alias("number"), "content"))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

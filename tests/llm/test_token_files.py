@@ -84,6 +84,16 @@ def test_token_files(spark, tmp_dir, block_ids):
     assert doc == 9 and ids.tolist() == ids_of("x", 1) and start + len(ids) == block.n_ids
 
 
+def test_token_files_below_folders_named_like_parts(spark, tmp_dir):
+    """Part and block number come from the file's name, whatever its folders hold."""
+    path = f"{tmp_dir}/part-7-c1/run-c1-files"
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("the cat sat on the mat").alias("text"))
+    token_binary.write_token_files(docs, path, WORD_BPE, 1, 100)
+    got = token_binary.read_token_files(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == list(range(400)) and len({r.file for r in got}) > 16
+    assert [r.start for r in got] == [i * got[0].n_tokens for i in range(400)]
+
+
 def test_token_files_of_nothing(spark, tmp_dir):
     token_binary.write_token_files(no_documents(spark), f"{tmp_dir}/none", WORD_BPE, 1)
     assert token_binary.read_token_files(spark, f"{tmp_dir}/none").count() == 0
