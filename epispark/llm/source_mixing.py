@@ -7,8 +7,8 @@ raked share of its own tokens is the probability with which each of its
 documents is drawn, so the expected token marginals are the targets.
 
 Topics come from spherical k-means over hashed words, fitted on a bounded
-sample. Categories a target does not name, or that hold less than a small
-share of the tokens, form one rest category, which bounds the cell table.
+sample. Categories that a mapping does not name form one rest category; under
+an exponent every category has its own target.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from typing import Dict, Iterator, List, Mapping, Union
+from typing import Dict, Iterator, List, Mapping, Optional, Union
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 from .common import GenerationCache, arrow_map, forget, hash_sample, saved, slices, texts, worker_state
 
 REST = "(rest)"
+#: More cells than these are joined by a shuffle; fewer go to every task.
+BROADCAST_CELLS = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 Target = Union[Mapping[str, float], float]
 
@@ -121,65 +123,91 @@ def annotate(docs: DataFrame, model: TopicModel) -> DataFrame:
     return arrow_map(base, add, StructType(list(base.schema.fields)).add("topic", IntegerType()).add("tokens", LongType()))
 
 
-def _scale(cells: np.ndarray, weight: np.ndarray, goal: float) -> float:
-    """The factor f for which sum(min(cells, cells * weight * f)) = goal."""
-    if goal <= 0:
-        return 0.0
+def _places(cells: np.ndarray) -> List[np.ndarray]:
+    """The index of every cell of a dense table, an array per dimension."""
+    return [i.ravel() for i in np.indices(cells.shape)]
+
+
+def _scales(cells: np.ndarray, weight: np.ndarray, at: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Per category of one dimension (``at`` gives each cell's) the factor f
+    for which its sum(min(cells, cells * weight * f)) = goal. The sum is
+    concave in f, so Newton's steps from below end at the factor."""
+    n = len(goal)
     live = (cells > 0) & (weight > 0)
-    if cells[live].sum() <= goal:
-        return 1 / weight[live].min() if live.any() else 1.0
-    c, w = cells[live], weight[live]
-    order = np.argsort(-w)  # cells reach their bound in this order as f grows
-    c, w = c[order], w[order]
-    bound = np.concatenate([[0.0], np.cumsum(c)])
-    free = np.concatenate([np.cumsum((c * w)[::-1])[::-1], [0.0]])
-    with np.errstate(divide="ignore"):
-        f = (goal - bound[:-1]) / free[:-1]
-    upper = 1 / w
-    return float(f[np.argmax(f <= upper)])
+    at, c, w = at[live], cells[live], weight[live]
+    whole, free = np.bincount(at, c, n), np.bincount(at, c * w, n)
+    least = np.full(n, np.inf)
+    np.minimum.at(least, at, w)
+    f = np.where(np.isfinite(least), 1 / least, 1.0)  # all there is
+    f[goal <= 0] = 0.0
+    open_ = (goal > 0) & (whole > goal)
+    f[open_] = goal[open_] / free[open_]
+    while open_.any():
+        out = w * f[at] >= 1
+        left = np.bincount(at, np.where(out, 0.0, c * w), n)
+        step = np.divide(goal - np.bincount(at, np.where(out, c, 0.0), n), left, out=np.zeros(n), where=left > 0)
+        open_ &= step > f * (1 + 1e-12)
+        f[open_] = step[open_]
+    return f
 
 
 def _marginal(cells: np.ndarray, d: int) -> np.ndarray:
     return cells.sum(tuple(a for a in range(cells.ndim) if a != d))
 
 
-def _fit(cells: np.ndarray, targets: List[np.ndarray], total: float, rounds: int = 100):
+def _fit(cells: np.ndarray, targets: List[np.ndarray], total: float, rounds: int = 100, at: Optional[List[np.ndarray]] = None):
     """Weights (to be cut at 1) whose kept cells meet the targets at ``total``,
-    and the largest error of a marginal share."""
-    weight = np.ones_like(cells)
+    and the largest share of the kept tokens that a dimension has in the wrong
+    categories. ``cells`` is dense, or flat with its places ``at``."""
+    at, c = at or _places(cells), cells.ravel()
+    weight = np.ones_like(c)
     errors: List[float] = []
     for _ in range(rounds):
-        for d in range(cells.ndim):
-            for k in range(cells.shape[d]):
-                at = tuple([slice(None)] * d + [k])
-                weight[at] *= _scale(cells[at].ravel(), weight[at].ravel(), total * targets[d][k])
-        kept = np.minimum(cells, cells * weight)
-        errors.append(max(float(np.abs(_marginal(kept, d) / total - t).max()) for d, t in enumerate(targets)))
+        for i, t in zip(at, targets):
+            weight *= _scales(c, weight, i, total * t)[i]
+        kept = np.minimum(c, c * weight)
+        whole = kept.sum() or 1.0
+        errors.append(max(float(np.abs(np.bincount(i, kept, len(t)) / whole - t).sum() / 2) for i, t in zip(at, targets)))
         if errors[-1] < 1e-6 or len(errors) > 5 and errors[-1] > 0.9 * errors[-6]:
             break
-    return weight, errors[-1]
+    return weight.reshape(cells.shape), errors[-1]
 
 
-def rake(cells: np.ndarray, targets: List[np.ndarray], tolerance: float = 0.005) -> np.ndarray:
+def rake(cells: np.ndarray, targets: List[np.ndarray], tolerance: float = 0.005, at: Optional[List[np.ndarray]] = None) -> np.ndarray:
     """Shares (0 to 1) of the cells to keep, whose marginals are in proportion
     to ``targets``, for the largest total found that allows it.
 
     Targets are shares over categories that have tokens. Raking a tiny total,
     where no cell runs out, gives the error that empty cells make inevitable.
-    The total then starts at the scarcest category's limit and shrinks by
-    steps of 5 % until no marginal share is off by more than that error plus
-    ``tolerance``.
+    The total is sought, to 1 %, between all tokens and the scarcest
+    category's limit (or below, where cells run out) so that no dimension has
+    more of the kept tokens in wrong categories than that error plus
+    ``tolerance``. Categories too small to matter for that are kept whole
+    instead of shrinking the total for their sake.
     """
     if cells.sum() <= 0:
         return np.zeros_like(cells)
-    limit = min(float((_marginal(cells, d)[t > 0] / t[t > 0]).min()) for d, t in enumerate(targets))
-    _, inevitable = _fit(cells, targets, limit * 1e-6)
-    weight = np.ones_like(cells)
-    for shrink in range(80):
-        weight, error = _fit(cells, targets, limit * 0.95 ** shrink)
-        if error <= inevitable + tolerance:
-            break
-    return np.where(cells > 0, np.minimum(weight, 1.0), 0.0)
+    at = at or _places(cells)
+    c = cells.ravel()
+    sums = [np.bincount(i, c, len(t)) for i, t in zip(at, targets)]
+    low, high = min(float((m[t > 0] / t[t > 0]).min()) for m, t in zip(sums, targets)), float(c.sum())
+    _, inevitable = _fit(c, targets, low * 1e-6, at=at)
+    weight, error = _fit(c, targets, high, at=at)
+    if error > inevitable + tolerance:
+        weight, error = _fit(c, targets, low, at=at)
+        for _ in range(20):
+            if error <= inevitable + tolerance:
+                break
+            high, low = low, low / 2
+            weight, error = _fit(c, targets, low, at=at)
+        while high > 1.01 * low:
+            middle = float(np.sqrt(low * high))
+            tried, error = _fit(c, targets, middle, at=at)
+            if error <= inevitable + tolerance:
+                weight, low = tried, middle
+            else:
+                high = middle
+    return np.where(c > 0, np.minimum(weight, 1.0), 0.0).reshape(cells.shape)
 
 
 def shares(observed: Dict[str, float], target: Target) -> Dict[str, float]:
@@ -200,45 +228,37 @@ def shares(observed: Dict[str, float], target: Target) -> Dict[str, float]:
     return {k: v / whole if whole else 0.0 for k, v in raw.items()}
 
 
-def category(column: str, named: List[str]) -> Column:
-    """The column's category: a named value, or the rest (nulls too)."""
+def category(column: str, target: Target) -> Column:
+    """The column's category: its value, or the rest for nulls and for values
+    that a mapping does not name."""
     value = F.col(column).cast("string")
+    if not isinstance(target, Mapping):
+        return F.coalesce(value, F.lit(REST))
+    named = [k for k in target if k != REST]
     return F.when(value.isin(*named), value).otherwise(F.lit(REST)) if named else F.lit(REST)
 
 
-def mixing_plan(rows: DataFrame, targets: Mapping[str, Target], min_share: float = 0.01):
-    """(category per dimension, probability) of every cell of annotated
-    ``rows``; the named categories; the target shares.
+def mixing_plan(rows: DataFrame, targets: Mapping[str, Target]):
+    """A table (cell_<dimension> each, probability) of all cells of annotated
+    ``rows`` that have tokens, and the target shares.
 
-    A mapping names its categories; for an exponent every value with at least
-    ``min_share`` of the tokens is named, so at most ``1 / min_share``. All
-    others are the rest. The cells are at most the product of these counts.
+    A mapping names its categories and leaves the others as the rest; for an
+    exponent every value is a category with a target of its own. The driver
+    holds the cells that occur, as flat arrays, not their product.
     """
     names = list(targets)
-    sums = saved(rows.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cells")
-    total = sums.agg(F.sum("tokens")).first()[0] or 0
-    named: Dict[str, List[str]] = {}
-    for n, target in targets.items():
-        if isinstance(target, Mapping):
-            named[n] = [k for k in target if k != REST]
-        else:
-            large = sums.groupBy(F.col(n).cast("string").alias("value")).agg(F.sum("tokens").alias("tokens"))
-            named[n] = sorted(r.value for r in large.where(F.col("value").isNotNull() & (F.col("tokens") > 0)
-                                                          & (F.col("tokens") >= min_share * total)).collect())
-    got = sums.groupBy(*[category(n, named[n]).alias(n) for n in names]).agg(F.sum("tokens").alias("tokens")).collect()
-    forget(sums)
-    seen = [sorted({r[n] for r in got}) for n in names]
-    cells = np.zeros([len(s) for s in seen])
-    for r in got:
-        cells[tuple(s.index(r[n]) for s, n in zip(seen, names))] += r.tokens
-    goal, arrays = {}, []
-    for d, (n, s) in enumerate(zip(names, seen)):
-        marginal = cells.sum(tuple(a for a in range(cells.ndim) if a != d))
-        goal[n] = shares(dict(zip(s, marginal)), targets[n])
-        arrays.append(np.array([goal[n][k] for k in s]))
-    kept = rake(cells, arrays) if got else cells
-    plan = [(*[s[i] for s, i in zip(seen, at)], float(kept[at])) for at in np.ndindex(*kept.shape) if cells[at] > 0]
-    return plan, named, goal
+    got = (rows.groupBy(*[category(n, targets[n]).alias(f"cell_{n}") for n in names]).agg(F.sum("tokens").alias("tokens"))
+           .where("tokens > 0").toArrow())
+    cells = got.column("tokens").to_numpy().astype(float)
+    goal, arrays, at = {}, [], []
+    for n in names:
+        column = got.column(f"cell_{n}").combine_chunks().dictionary_encode()
+        at.append(column.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+        seen = column.dictionary.to_pylist()
+        goal[n] = shares(dict(zip(seen, np.bincount(at[-1], cells, len(seen)).tolist())), targets[n])
+        arrays.append(np.array([goal[n][k] for k in seen]))
+    kept = rake(cells, arrays, at=at)
+    return got.drop_columns(["tokens"]).append_column("probability", pa.array(kept, pa.float64())), goal
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Target], model: TopicModel, seed: int = 29) -> DataFrame:
@@ -254,12 +274,14 @@ def mix(docs: DataFrame, targets: Mapping[str, Target], model: TopicModel, seed:
     """
     spark = docs.sparkSession
     rows = annotate(docs.drop("probability"), model)
-    plan, named, _ = mixing_plan(rows, targets)
+    plan, _ = mixing_plan(rows, targets)
     names = list(targets)
     schema = ", ".join(f"cell_{n} string" for n in names) + ", probability double"
-    table = spark.createDataFrame(plan, schema)  # a row per cell, see mixing_plan
-    tagged = rows.withColumns({f"cell_{n}": category(n, named[n]) for n in names})
+    table = spark.createDataFrame(plan, schema) if plan.num_rows else spark.createDataFrame([], schema)
+    if plan.num_rows <= BROADCAST_CELLS:
+        table = F.broadcast(table)
+    tagged = rows.withColumns({f"cell_{n}": category(n, targets[n]) for n in names})
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return (tagged.join(F.broadcast(table), [f"cell_{n}" for n in names], "left")
+    return (tagged.join(table, [f"cell_{n}" for n in names], "left")
             .withColumn("probability", F.coalesce("probability", F.lit(1.0))).where(draw < F.col("probability"))
             .drop(*[f"cell_{n}" for n in names]))

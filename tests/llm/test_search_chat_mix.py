@@ -174,6 +174,35 @@ def test_mixing_draws_to_the_targets(spark):
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in source_mixing.mix(docs.orderBy("text"), targets, model).collect())
 
 
+def test_small_categories_get_their_own_targets(spark):
+    """A hot source and a hundred sources and languages below 1 %: an exponent
+    lifts each of the small ones."""
+    rows = [(i, "some words here", "aa" if i % 3 else f"l{i % 200}", "hot" if i < 15000 else f"s{i % 100}") for i in range(45000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    annotated = docs.withColumn("tokens", F.lit(3).cast("long"))
+    plan, goal = source_mixing.mixing_plan(annotated, {"source": 0.5, "lang": 0.8})
+    observed = Counter(r[3] for r in rows)
+    whole = sum((v / 45000) ** 0.5 for v in observed.values())
+    assert len(goal["source"]) == 101 and len(goal["lang"]) > 100
+    for k, v in observed.items():
+        assert math.isclose(goal["source"][k], (v / 45000) ** 0.5 / whole)
+    keep = {(r["cell_source"], r["cell_lang"]): r["probability"] for r in plan.to_pylist()}
+    kept = Counter()
+    for r in rows:
+        kept[r[3]] += keep[r[3], r[2]]
+    total = sum(kept.values())
+    assert sum(abs(kept[k] / total - v) for k, v in goal["source"].items()) / 2 < 0.006
+    assert kept["hot"] / total < 0.08 and total > 15000
+
+
+def test_sparse_places_rake_as_the_dense_table():
+    rng = np.random.default_rng(6)
+    cells = rng.integers(50, 1000, (6, 4, 5)) * (rng.random((6, 4, 5)) < 0.6) * 1.0
+    targets = [rng.dirichlet(np.full(n, 20.0)) for n in cells.shape]
+    at = [i.astype(np.int64) for i in np.nonzero(cells)]
+    assert np.allclose(source_mixing.rake(cells[cells > 0], targets, at=at), source_mixing.rake(cells, targets)[cells > 0], atol=1e-3)
+
+
 def test_mixing_awkward_rows(spark):
     docs = odd_documents(spark)
     model = source_mixing.fit_topics(docs)
