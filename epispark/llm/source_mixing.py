@@ -6,17 +6,16 @@ with no cell above the tokens there are, until all marginals hold. A cell's
 raked share of its own tokens is the probability with which each of its
 documents is drawn, so the expected token marginals are the targets.
 
-Topics come from spherical k-means over hashed words, fitted on a bounded
-sample. Categories that a mapping does not name form one rest category; under
+Topics come from spherical k-means over hashed words, fitted on all distinct
+documents. Categories that a mapping does not name form one rest category; under
 an exponent every category has its own target.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
-from typing import Dict, Iterator, List, Mapping, Optional, Union
+from typing import Callable, Dict, Iterator, List, Mapping, Optional, Tuple, Union
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import GenerationCache, arrow_map, forget, hash_sample, saved, slices, texts, worker_state
+from .common import GenerationCache, arrow_map, forget, saved, slices, texts, worker_state
 
 REST = "(rest)"
 #: More cells than these are joined by a shuffle; fewer go to every task.
@@ -43,18 +42,42 @@ class TopicModel:
     means: bytes  # float64, (languages + 1) x slots, the last for all others
 
 
-def _slot_counts(some: List[str], slots: int) -> np.ndarray:
-    """Unit vectors of square-rooted counts of hashed words."""
+def _counts(some: List[str], slots: int) -> Iterator[np.ndarray]:
+    """Counts of hashed words of each text."""
     cache = worker_state(("slots", slots), lambda: GenerationCache(lambda w: xxhash.xxh32_intdigest(w) % slots))
-    x = np.zeros((len(some), slots))
-    for i, t in enumerate(some):
+    for t in some:
         words = _WORD.findall(t.lower())
-        if words:
-            x[i] = np.bincount(np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words)), minlength=slots)
+        yield np.bincount(np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words)), minlength=slots)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     np.sqrt(x, out=x)
     return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
 
 
+def _slot_counts(some: List[str], slots: int) -> np.ndarray:
+    """Unit vectors of square-rooted counts of hashed words."""
+    x = np.zeros((len(some), slots))
+    for i, n in enumerate(_counts(some, slots)):
+        x[i] = n
+    return _unit(x)
+
+
+def _stored(counts: np.ndarray) -> bytes:
+    """Places (uint16) and values (uint32) of the counts that are not zero."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + counts[at].astype("<u4").tobytes()
+
+
+def _loaded(column: pa.Array, slots: int) -> np.ndarray:
+    """The unit vectors of stored counts."""
+    x = np.zeros((len(column), slots))
+    for i, data in enumerate(column.to_pylist()):
+        n = len(data) // 6
+        x[i, np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<u4", n, 2 * n)
+    return _unit(x)
+
+
 def _less_language(x: np.ndarray, languages: List, names: tuple, means: np.ndarray) -> np.ndarray:
     """What is left of the vectors without their language's mean."""
     place = {n: i for i, n in enumerate(names)}
@@ -62,48 +85,82 @@ def _less_language(x: np.ndarray, languages: List, names: tuple, means: np.ndarr
     return rest / np.maximum(np.sqrt((rest * rest).sum(1)), 1e-12)[:, None]
 
 
-def fit_topics(docs: DataFrame, topics: int = 8, slots: int = 512, sample: int = 2000, sample_chars: int = 20_000_000,
-               seed: int = 5) -> TopicModel:
-    """Centres from at most ``sample`` documents (text, lang) in the order of a
-    hash of their text, whole texts until ``sample_chars`` are read, in one
-    task. The mean of a language is taken off first, for topics that are not
-    the languages again; languages with under 20 sampled documents share one.
-    With fewer distinct documents than topics some topics stay unused."""
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some, languages, used = [], [], 0
-        for b in batches:
-            for t, v in zip(texts(b.column(0)), b.column(1).to_pylist()):
-                if used < sample_chars:
-                    some.append(t)
-                    languages.append(v)
-                    used += len(t)
-        if not some:
-            return
-        x = _slot_counts(some, slots)
-        names = tuple(sorted(v for v, n in Counter(languages).items() if v is not None and n >= 20))
-        of = np.array([names.index(v) if v in names else len(names) for v in languages])
-        means = np.stack([x[of == i].mean(0) if (of == i).any() else x.mean(0) for i in range(len(names) + 1)])
-        x = _less_language(x, languages, names, means)
-        rng = np.random.default_rng(seed)
-        centres = x[rng.choice(len(x), topics, replace=len(x) < topics)].copy()
-        for _ in range(15):
-            at = (x @ centres.T).argmax(1)
-            for k in range(topics):
-                total = x[at == k].sum(0)
-                if total.any():
-                    centres[k] = total / np.sqrt((total * total).sum())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([centres.astype("<f8").tobytes()], pa.binary()), pa.array([list(names)], pa.list_(pa.string())),
-             pa.array([means.astype("<f8").tobytes()], pa.binary())], ["centres", "languages", "means"])
-
-    pick = F.xxhash64("text", F.lit(seed))
-    rows = docs.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null")
-    one = hash_sample(rows, pick, sample, docs.count(), "text", "lang").repartition(1).sortWithinPartitions(pick, "text", "lang")
-    got = arrow_map(one, fit, "centres binary, languages array<string>, means binary").collect()
-    if not got:
+def _sums(vectors: DataFrame, kind: str, place: Callable[[pa.RecordBatch], Tuple[list, np.ndarray]], slots: int) -> Dict:
+    """{key: (documents, sum of vectors)} over all rows; ``place`` gives the
+    keys (of type ``kind``) and the vectors of a batch. Each task adds up its
+    own rows, so a key brings one row a task to the sums of these."""
+    schema = f"key {kind}, n long, total binary"
+
+    def collected(parts: Iterator[Tuple[list, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        held: Dict = {}
+        for keys, n, x in parts:
+            codes = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            at = np.array([codes[k] for k in keys], dtype=np.int64)
+            for k, i in codes.items():
+                mine = at == i
+                count, total = held.get(k, (0, 0.0))
+                held[k] = (count + int(n[mine].sum()), total + x[mine].sum(0))
+        if held:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.string() if kind == "string" else pa.int32()), pa.array([n for n, _ in held.values()], pa.int64()),
+                 pa.array([t.astype("<f8").tobytes() for _, t in held.values()], pa.binary())], ["key", "n", "total"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return collected((keys, np.ones(len(keys), dtype=np.int64), x) for keys, x in map(place, slices(batches, 512)))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return collected((b.column(0).to_pylist(), b.column(1).to_numpy(),
+                          np.stack([np.frombuffer(t, "<f8") for t in b.column(2).to_pylist()])) for b in slices(batches, 512))
+
+    got = arrow_map(arrow_map(vectors, add, schema).repartition("key"), merge, schema).collect()
+    return {r.key: (r.n, np.frombuffer(bytes(r.total), "<f8")) for r in got}
+
+
+def fit_topics(docs: DataFrame, topics: int = 8, slots: int = 512, seed: int = 5, rounds: int = 15) -> TopicModel:
+    """Centres of all distinct documents (text, lang): k-means whose rounds are
+    sums per topic within each task. Copies of a text in a language enter once.
+    The mean of a language is taken off first, for topics that are not the
+    languages again; languages with under 20 documents share one. The first
+    centres are documents picked by a hash of their text; with fewer distinct
+    documents than topics some topics stay unused. Word counts are written to
+    the scratch folder, so texts are read once."""
+    if slots > 1 << 16:
+        raise ValueError("at most 65536 slots")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 512):
+            found = [_stored(n) for n in _counts(texts(b.column(2)), slots)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["key", "lang", "counts"])
+
+    rows = docs.where("text is not null").select(F.xxhash64("text", F.lit(seed)).alias("key"), F.col("lang").cast("string").alias("lang"), "text")
+    vectors = saved(arrow_map(rows, count, "key long, lang string, counts binary").distinct(), "vectors")
+    by_language = _sums(vectors.select("lang", "counts"), "string", lambda b: (b.column(0).to_pylist(), _loaded(b.column(1), slots)), slots)
+    if not by_language:
+        forget(vectors)
         return TopicModel(np.zeros((topics, slots)).tobytes(), topics, slots, (), np.zeros((1, slots)).tobytes())
-    return TopicModel(bytes(got[0].centres), topics, slots, tuple(got[0].languages), bytes(got[0].means))
+    names = tuple(sorted(k for k, (n, _) in by_language.items() if k is not None and n >= 20))
+    others = [v for k, v in by_language.items() if k not in names] or list(by_language.values())
+    means = np.stack([by_language[k][1] / by_language[k][0] for k in names] + [sum(t for _, t in others) / sum(n for n, _ in others)])
+    first = vectors.where(F.length("counts") > 0).orderBy("key", "lang").select("lang", "counts").limit(topics).collect()
+    centres = np.zeros((topics, slots))
+    if first:
+        x = _loaded(pa.array([bytes(r.counts) for r in first], pa.binary()), slots)
+        centres = np.resize(_less_language(x, [r.lang for r in first], names, means), (topics, slots))
+    for _ in range(rounds):
+        now = centres
+
+        def nearest(b: pa.RecordBatch) -> Tuple[list, np.ndarray]:
+            x = _less_language(_loaded(b.column(1), slots), b.column(0).to_pylist(), names, means)
+            return (x @ now.T).argmax(1).tolist(), x
+
+        centres = now.copy()
+        for k, (_, total) in _sums(vectors.select("lang", "counts"), "int", nearest, slots).items():
+            if total.any():
+                centres[k] = total / np.sqrt((total * total).sum())
+        if np.allclose(centres, now, atol=1e-6):
+            break
+    forget(vectors)
+    return TopicModel(centres.astype("<f8").tobytes(), topics, slots, names, means.astype("<f8").tobytes())
 
 
 def annotate(docs: DataFrame, model: TopicModel) -> DataFrame:
@@ -273,7 +330,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Target], model: TopicModel, seed:
     like a result are replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = annotate(docs.drop("probability"), model)
+    rows = saved(annotate(docs.drop("probability"), model), "annotated")  # read for the cells and for the draw
     plan, _ = mixing_plan(rows, targets)
     names = list(targets)
     schema = ", ".join(f"cell_{n} string" for n in names) + ", probability double"

@@ -203,6 +203,31 @@ def test_sparse_places_rake_as_the_dense_table():
     assert np.allclose(source_mixing.rake(cells[cells > 0], targets, at=at), source_mixing.rake(cells, targets)[cells > 0], atol=1e-3)
 
 
+def test_topics_are_fitted_on_all_distinct_documents(spark):
+    """Centres and language means are those of plain k-means over all distinct
+    documents: 3,000 texts, 30 of them in a rare language, and 3,000 copies of
+    one text, which count once."""
+    rng = np.random.default_rng(8)
+    vocabulary = [[f"{'abcd'[k]}{'abcdefghijklmnopqrst'[j]}" for j in range(20)] for k in range(4)]
+    rows = [(i, " ".join(rng.choice(vocabulary[i % 4], 30)) + f" z{'abcdefghij'[i // 300]}{'abcdefghij'[i // 30 % 10]}", "rr" if i % 100 == 0 else "aa") for i in range(3000)]
+    rows += [(3000 + i, "one text said again", "aa") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    model = source_mixing.fit_topics(docs, topics=4, slots=128)
+    assert model.languages == ("aa", "rr")
+    distinct = sorted({(t, v) for _, t, v in rows})
+    x = source_mixing._slot_counts([t for t, _ in distinct], 128)
+    languages = [v for _, v in distinct]
+    means = np.frombuffer(model.means, "<f8").reshape(-1, 128)
+    for i, name in enumerate(model.languages):
+        assert np.allclose(means[i], x[[v == name for v in languages]].mean(0))
+    x = source_mixing._less_language(x, languages, model.languages, means)
+    centres = np.frombuffer(model.centres, "<f8").reshape(4, 128)
+    topic = (x @ centres.T).argmax(1)
+    for k in range(4):  # a fixed point of k-means over all of them
+        total = x[topic == k].sum(0)
+        assert np.allclose(centres[k], total / np.sqrt((total * total).sum()), atol=0.02)
+
+
 def test_mixing_awkward_rows(spark):
     docs = odd_documents(spark)
     model = source_mixing.fit_topics(docs)
