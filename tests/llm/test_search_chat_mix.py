@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from epispark.llm import bm25_wand, chat_format, packing, source_mixing
+from epispark.llm.common import held_out
 from epispark.llm.queries import QUERIES
 from epispark.llm.tokenizing import BYTE_BPE
 
@@ -266,6 +267,20 @@ def test_pipeline(spark):
     assert {r.doc_id for r in last.select("doc_id").collect()} == set(before)
 
 
+def test_pipeline_rejects_labelled_documents(spark):
+    """Of the evaluation fold nearly all bad and most toxic documents go and
+    the others stay; the toxicity stage rejects whatever op10 does."""
+    large = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{large}/documents.parquet")
+    fold = spark.read.parquet(f"{large}/labels.parquet").where(held_out(F.col("doc_id"))).collect()
+    for stage, bad, least in ((corpus_pipeline.quality, lambda r: r.quality == 0, 0.95), (corpus_pipeline.toxicity, lambda r: r.toxic == 1, 0.8)):
+        kept = {r.doc_id for r in stage(spark, docs, large).select("doc_id").collect()}
+        assert np.mean([r.doc_id not in kept for r in fold if bad(r)]) >= least
+        assert np.mean([r.doc_id not in kept for r in fold if not bad(r)]) < 0.01
+    op10 = QUERIES["op10_toxicity"](spark, large).where("predicted = 0").collect()
+    assert kept == {r.doc_id for r in op10}
+
+
 def test_pipeline_awkward_rows(spark, tmp_dir):
     spark.createDataFrame([(1, 1, 0), (2, None, None), (6, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_dir}/labels.parquet")
     for docs in (odd_documents(spark), no_documents(spark)):
