@@ -13,6 +13,7 @@ an exponent every category has its own target.
 
 from __future__ import annotations
 
+import logging
 import re
 from dataclasses import dataclass
 from typing import Callable, Dict, Iterator, List, Mapping, Optional, Tuple, Union
@@ -26,6 +27,7 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 
 from .common import GenerationCache, arrow_map, forget, saved, slices, texts, worker_state
 
+_LOG = logging.getLogger(__name__)
 REST = "(rest)"
 #: More cells than these are joined by a shuffle; fewer go to every task.
 BROADCAST_CELLS = 500_000
@@ -212,20 +214,23 @@ def _marginal(cells: np.ndarray, d: int) -> np.ndarray:
     return cells.sum(tuple(a for a in range(cells.ndim) if a != d))
 
 
-def _fit(cells: np.ndarray, targets: List[np.ndarray], total: float, rounds: int = 100, at: Optional[List[np.ndarray]] = None):
+def _fit(cells: np.ndarray, targets: List[np.ndarray], total: float, rounds: int = 1000, at: Optional[List[np.ndarray]] = None):
     """Weights (to be cut at 1) whose kept cells meet the targets at ``total``,
     and the largest share of the kept tokens that a dimension has in the wrong
-    categories. ``cells`` is dense, or flat with its places ``at``."""
+    categories. ``cells`` is dense, or flat with its places ``at``. Fitting
+    starts slowly on sparse cells; it ends when ten rounds bring under 0.1 %."""
     at, c = at or _places(cells), cells.ravel()
     weight = np.ones_like(c)
     errors: List[float] = []
     for _ in range(rounds):
         for i, t in zip(at, targets):
             weight *= _scales(c, weight, i, total * t)[i]
+            # where a total cannot be met weights grow without end
+            weight[weight > 0] = np.clip(weight[weight > 0], 1e-120, 1e120)
         kept = np.minimum(c, c * weight)
         whole = kept.sum() or 1.0
         errors.append(max(float(np.abs(np.bincount(i, kept, len(t)) / whole - t).sum() / 2) for i, t in zip(at, targets)))
-        if errors[-1] < 1e-6 or len(errors) > 5 and errors[-1] > 0.9 * errors[-6]:
+        if errors[-1] < 1e-6 or len(errors) > 10 and errors[-1] > 0.999 * errors[-11]:
             break
     return weight.reshape(cells.shape), errors[-1]
 
@@ -249,21 +254,24 @@ def rake(cells: np.ndarray, targets: List[np.ndarray], tolerance: float = 0.005,
     sums = [np.bincount(i, c, len(t)) for i, t in zip(at, targets)]
     low, high = min(float((m[t > 0] / t[t > 0]).min()) for m, t in zip(sums, targets)), float(c.sum())
     _, inevitable = _fit(c, targets, low * 1e-6, at=at)
-    weight, error = _fit(c, targets, high, at=at)
-    if error > inevitable + tolerance:
-        weight, error = _fit(c, targets, low, at=at)
+    weight, error = best = _fit(c, targets, high, at=at)
+    if not error <= inevitable + tolerance:
+        weight, error = best = _fit(c, targets, low, at=at)
         for _ in range(20):
             if error <= inevitable + tolerance:
                 break
             high, low = low, low / 2
-            weight, error = _fit(c, targets, low, at=at)
+            weight, error = best = _fit(c, targets, low, at=at)
         while high > 1.01 * low:
             middle = float(np.sqrt(low * high))
             tried, error = _fit(c, targets, middle, at=at)
             if error <= inevitable + tolerance:
-                weight, low = tried, middle
+                best, low = (tried, error), middle
             else:
                 high = middle
+    weight, error = best
+    _LOG.info("mixing: %.4f of the kept tokens in wrong categories, %.4f by empty cells; %.4f of the tokens kept", error, inevitable,
+              np.minimum(c, c * weight).sum() / c.sum())
     return np.where(c > 0, np.minimum(weight, 1.0), 0.0).reshape(cells.shape)
 
 

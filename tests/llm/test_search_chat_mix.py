@@ -196,6 +196,29 @@ def test_small_categories_get_their_own_targets(spark):
     assert kept["hot"] / total < 0.08 and total > 15000
 
 
+def test_slow_fits_are_not_taken_for_inevitable_errors(caplog):
+    cells, targets = np.array([[1.0, 0.001], [0.001, 1.0]]) * 1e6, [np.array([0.5, 0.5]), np.array([0.6, 0.4])]
+    assert source_mixing._fit(cells, targets, 1.0)[1] < 1e-3
+    with caplog.at_level("INFO", source_mixing.__name__):
+        kept = cells * source_mixing.rake(cells, targets)
+    assert np.allclose(kept.sum(0) / kept.sum(), targets[1], atol=0.011) and kept.sum() > 0
+    assert "kept tokens in wrong categories" in caplog.text
+
+
+def test_totals_that_cannot_be_met_stay_finite():
+    """Many rare categories in few cells, far from their targets."""
+    rng = np.random.default_rng(0)
+    at = [np.unique(np.minimum(rng.zipf(a, 20000), 2000), return_inverse=True)[1] for a in (1.3, 1.5)]
+    cells = rng.pareto(1.2, 20000) * 1000 + 1
+    targets = [(t := np.bincount(i, cells) ** e) / t.sum() for i, e in zip(at, (0.5, 0.8))]
+    with np.errstate(over="raise", invalid="raise"):
+        kept = cells * source_mixing.rake(cells, targets, at=at)
+    assert 0 < kept.sum() < cells.sum()
+    for i, t in zip(at, targets):
+        # 0.0030 is what plain fitting is left with after 5,000 rounds
+        assert np.abs(np.bincount(i, kept, len(t)) / kept.sum() - t).sum() / 2 < 0.0030 + 0.006
+
+
 def test_sparse_places_rake_as_the_dense_table():
     rng = np.random.default_rng(6)
     cells = rng.integers(50, 1000, (6, 4, 5)) * (rng.random((6, 4, 5)) < 0.6) * 1.0
