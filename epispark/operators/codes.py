@@ -27,15 +27,16 @@ def _all():
 def _code_counts(df: DataFrame) -> DataFrame:
     """``_cid, n`` with group and label, which are functions of the code: where
     the frame carries its rules only the code is a key, and the labels are
-    derived from the few codes left."""
+    derived from the few codes left. Elsewhere the keys are those of group,
+    label and code that the frame has; a missing one is NULL."""
     rules = rules_of(df)
     if rules:
         counts = df.groupBy(F.col(CODE).alias("_cid")).agg(F.count(F.lit(1)).alias("n"))
         return counts.select("_cid", "n", code_group(F.col("_cid"), rules).alias("grupo_cid"),
                              code_type(F.col("_cid"), rules).alias("tipo_agravo_cid10"))
-    return (df.groupBy(F.col(CODE_GROUP).alias("grupo_cid"), F.col(CODE_TYPE).alias("tipo_agravo_cid10"),
-                       F.col(CODE).alias("_cid"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    names = {CODE_GROUP: "grupo_cid", CODE_TYPE: "tipo_agravo_cid10", CODE: "_cid"}
+    counts = df.groupBy(*[F.col(c).alias(to) for c, to in names.items() if c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumns({to: F.lit(None).cast("string") for c, to in names.items() if c not in df.columns})
 
 
 def _type_counts(df: DataFrame) -> DataFrame:

@@ -48,6 +48,9 @@ CODE_GROUP = "ep_cid_grupo"
 CODE_TYPE = "ep_cid_tipo"
 CODE_ORIGIN = "ep_cid_origem"
 YEAR = "ano"  # partition column of a consolidated register
+#: Key in the metadata of the date column, kept in the Parquet footers of a
+#: consolidated register: names the column that holds the date's own year.
+YEAR_MARK = "year_column"
 CANONICAL = (DATE, SEX, SEX_TEXT, AGE, AGE_UNIT_TEXT, MUNICIPALITY, OUTCOME, DIAGNOSIS,
              CODE, CODE_GROUP, CODE_TYPE, CODE_ORIGIN)
 
@@ -156,8 +159,10 @@ def year_predicate(df: DataFrame, years, has_valid: Optional[bool] = None) -> Op
         return F.col(DATE).isNotNull() | ~any_valid
     lo, hi = years
     inside = F.year(F.col(DATE)).between(int(lo), int(hi))
-    # a consolidated register is partitioned by year: prune its folders too
-    return F.col(YEAR).between(int(lo), int(hi)) & inside if YEAR in df.columns else inside
+    # a consolidated register is partitioned by year: prune its folders too; a
+    # register's own column of that name may hold another year
+    year = df.schema[DATE].metadata.get(YEAR_MARK)
+    return F.col(year).between(int(lo), int(hi)) & inside if year in df.columns else inside
 
 
 def has_valid_date(df: DataFrame) -> bool:

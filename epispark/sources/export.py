@@ -8,7 +8,7 @@ from typing import Optional, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.recode import CODE_GROUP, DATE, MUNICIPALITY, YEAR
+from ..plans.recode import CODE_GROUP, DATE, MUNICIPALITY, YEAR, YEAR_MARK
 from ..profiles import CODE_RULES
 
 MENINGITIS_GROUPS = tuple(r[0] for r in CODE_RULES)
@@ -45,9 +45,10 @@ def territory_cut(df: DataFrame, code: Optional[str], column: str = MUNICIPALITY
 
 def with_year(df: DataFrame) -> DataFrame:
     """``ano`` from the parsed date; a raw column of that name (in any case)
-    is kept as ``raw_ano``."""
+    is kept as ``raw_ano``. The date column names ``ano`` in its metadata, so
+    that a year filter knows it from a raw column."""
     own = [c for c in df.columns if c.lower() == YEAR]
-    df = df.withColumnsRenamed({c: f"raw_{YEAR}" for c in own})
+    df = df.withColumnsRenamed({c: f"raw_{YEAR}" for c in own}).withMetadata(DATE, {**df.schema[DATE].metadata, YEAR_MARK: YEAR})
     return df.withColumn(YEAR, F.year(F.col(DATE)).cast("int"))
 
 

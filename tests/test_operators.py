@@ -35,6 +35,12 @@ def test_top_codes_percent_among_kept(spark):
         ("A87", 6, 66.67), ("G00", 3, 33.33)]
 
 
+def test_type_distribution_without_group(spark):
+    df = spark.createDataFrame([("A87", "t"), ("G00", "t"), (None, None)], "ep_cid string, ep_cid_tipo string")
+    assert [tuple(r.values()) for r in collect(code_ops.type_distribution(df))] == [
+        (None, "t", 2, 2, "A87, G00", 66.67), (None, None, 1, 0, None, 33.33)]
+
+
 def test_pyramid_sign(spark):
     df = spark.createDataFrame([(30.0, "Masculino")] * 7 + [(31.0, "Feminino")] * 7 + [(31.0, "X")],
                                "ep_idade double, ep_sexo string")

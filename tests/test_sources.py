@@ -135,9 +135,15 @@ def test_consolidation_keeps_every_column_and_prunes_by_year(spark, tmp_dir):
     assert "PartitionFilters: [isnotnull(ano" in plan and [r.NUM for r in some.collect()] == [3]
 
 
+def test_raw_year_column_is_no_year_of_the_date(spark):
+    raw = spark.createDataFrame([(1, "05/01/2020", 1999), (2, "06/01/2021", 2020)], "NUM int, DT_ATEND string, ano int")
+    reg = open_register(raw, "CIHA", keep_all=True)
+    assert [r.NUM for r in apply_filters(reg.recoded, Filters(years=(2020, 2020))).collect()] == [1]
+
+
 def test_results_follow_the_files(spark, tmp_dir):
     """A view written for one state of a table is not used for the next."""
-    shutil.copy(f"{SF_SMALL}/orders.parquet", f"{tmp_dir}/orders.parquet")
+    shutil.copyfile(f"{SF_SMALL}/orders.parquet", f"{tmp_dir}/orders.parquet")
     before = register(spark, tmp_dir, "stays").recoded.count()
     pq.write_table(pq.read_table(f"{SF_SMALL}/orders.parquet").slice(0, 10), f"{tmp_dir}/orders.parquet")
     assert before > 10 and register(spark, tmp_dir, "stays").recoded.count() == 10
