@@ -13,6 +13,27 @@ _REACH = """
 reach AS (SELECT a AS id, a AS other FROM link UNION SELECT r.id, l.b FROM reach r JOIN link l ON r.other = l.a),
 comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id)"""
 
+#: Rules of op13 as (good, bad), spelled out here.
+_VOTES = [
+    ("n_words >= 100", "n_words < 50"),
+    ("word_chars >= 3 * n_words AND word_chars <= 9 * n_words", "word_chars < 2.5 * n_words OR word_chars > 12 * n_words"),
+    ("20 * n_symbols <= n_words", "4 * n_symbols > n_words"),
+    ("5 * n_repeat_words <= n_words", "100 * n_repeat_words > 40 * n_words"),
+    ("n_lines >= 3 AND 10 * n_dup_lines <= n_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("5 * n_upper <= n_letters", "2 * n_upper > n_letters"),
+    ("10 * n_letters >= 9 * word_chars", "10 * n_letters < 8 * word_chars"),
+    ("20 * n_shouts <= n_words", "4 * n_shouts > n_words"),
+    ("20 * n_bare <= n_words", "5 * n_bare > n_words"),
+]
+_VOTE_LIST = ", ".join(f"CASE WHEN {bad} THEN 0 WHEN {good} THEN 1 END" for good, bad in _VOTES)
+_ODDS = """ln(prior / (1 - prior)) + list_sum(list_transform(range(1, 10), lambda j:
+  CASE v[j] WHEN 1 THEN ln(s[j] / (1 - t[j])) WHEN 0 THEN ln((1 - s[j]) / t[j]) ELSE 0 END))"""
+
+
+def _votes_sum(weight: str, vote: str) -> str:
+    return f"list_sum(list_transform(range(1, len(ps) + 1), lambda i: CASE WHEN ps[i].v[j] {vote} THEN {weight} ELSE 0 END))"
+
+
 ORACLE_SQL = {
     "op3_top_documents": """
 WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS term FROM documents),
@@ -65,4 +86,36 @@ link AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
 SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(component, head, s.doc_id) AS component_id,
        s.doc_id = coalesce(component, head, s.doc_id) AS kept
 FROM s LEFT JOIN class USING (s) LEFT JOIN comp ON comp.id = class.head""",
+    "op13_quality_rules": f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+win AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS x FROM d),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM win) WHERE c >= 2),
+cover AS (SELECT r, count(DISTINCT i + o) AS n FROM again, (VALUES (0), (1), (2)) v(o) GROUP BY r),
+c AS (SELECT d.r, doc_id, len(w) AS n_words, length(list_aggregate(w, 'string_agg', '')) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+             coalesce(n, 0) AS n_repeat_words, length(regexp_replace(text, '\\P{{L}}+', '', 'g')) AS n_letters,
+             length(regexp_replace(text, '\\P{{Lu}}+', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!?]+', '', 'g')) AS n_shouts,
+             len(list_filter(w, lambda x: NOT regexp_matches(x, '[\\p{{L}}\\p{{N}}]'))) AS n_bare
+      FROM d LEFT JOIN cover USING (r)),
+f AS (SELECT * REPLACE (coalesce(word_chars, 0) AS word_chars) FROM c),
+voted AS (SELECT *, [{_VOTE_LIST}] AS v FROM f),
+pattern AS (SELECT v, count(*) AS n FROM voted GROUP BY v),
+every AS (SELECT list(struct_pack(v := v, n := n)) AS ps FROM pattern),
+em AS (
+  SELECT 0 AS k, CAST(0.8 AS DOUBLE) AS prior, list_transform(range(1, 10), lambda j: CAST(0.98 AS DOUBLE)) AS s,
+         list_transform(range(1, 10), lambda j: CAST(0.3 AS DOUBLE)) AS t
+  UNION ALL
+  SELECT k + 1, (list_sum(g) + 4) / (list_sum(g) + list_sum(b) + 5), s2,
+         list_transform(range(1, 10), lambda j: greatest(1 - s2[j], ({_votes_sum("b[i]", "= 0")} + 5) / ({_votes_sum("b[i]", "IS NOT NULL")} + 10)))
+  FROM (SELECT *, list_transform(range(1, 10), lambda j: ({_votes_sum("g[i]", "= 1")} + 9) / ({_votes_sum("g[i]", "IS NOT NULL")} + 10)) AS s2
+        FROM (SELECT *, list_transform(range(1, len(ps) + 1), lambda i: ps[i].n - g[i]) AS b
+              FROM (SELECT k, ps, list_transform(ps, lambda p: p.n / (1 + exp(-({_ODDS.replace("v[j]", "p.v[j]")})))) AS g FROM em, every WHERE k < 12))))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 1 / (1 + exp(-({_ODDS}))) >= 0.5 AS kept
+FROM voted, (SELECT * FROM em WHERE k = 12)""",
 }
