@@ -86,6 +86,51 @@ link AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
 SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(component, head, s.doc_id) AS component_id,
        s.doc_id = coalesce(component, head, s.doc_id) AS kept
 FROM s LEFT JOIN class USING (s) LEFT JOIN comp ON comp.id = class.head""",
+    "op11_spelling_variants": f"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+run AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{7,}}')), '{_UPPER}', '{_LOWER}') AS run FROM documents),
+byte AS (SELECT run, length(run) AS len, list_concat([4294967295], flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda c:
+           CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 | (unicode(c) >> 6), 128 | (unicode(c) & 63)] END))) AS bytes FROM run),
+h AS (SELECT run, len, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM byte, t),
+word AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % len) || substring(run, h % len + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, count(*) AS n FROM word WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cut AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+del AS (SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS s FROM cut),
+shorter AS (SELECT DISTINCT del.word AS a, del.n AS an, w.word AS b, w.n AS bn FROM del JOIN w ON del.s = w.word),
+near AS (SELECT x.word AS a, y.word AS b, y.n AS bn FROM del x JOIN del y ON x.i = y.i AND x.s = y.s AND x.word <> y.word
+         UNION ALL SELECT a, b, bn FROM shorter UNION ALL SELECT b, a, an FROM shorter),
+best AS (SELECT a, count(*) AS n_near, min_by(b, (-bn, b)) AS b, max(bn) AS bn FROM near GROUP BY a),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 10 * n THEN b END AS form, CASE WHEN bn >= 10 * n THEN bn END AS form_n
+      FROM w LEFT JOIN best ON word = a),
+walk AS (SELECT word, word AS top, 0 AS step FROM f UNION ALL SELECT walk.word, form, step + 1 FROM walk JOIN f ON f.word = walk.top WHERE form IS NOT NULL),
+last AS (SELECT word, max_by(top, step) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN last USING (word)""",
+    "op12_collocations": f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+q AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+one AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM q) GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM one GROUP BY lang),
+two AS (SELECT lang, x, y, count(*) AS f FROM (SELECT lang, w[i] AS x, w[i + 1] AS y FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM q)) GROUP BY ALL),
+three AS (SELECT lang, x, y, z, count(*) AS f
+          FROM (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM q)) GROUP BY ALL HAVING count(*) >= 10),
+held AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL),
+cut AS (
+  SELECT two.lang, two.x || ' ' || two.y AS phrase, two.f AS a, 1 AS k, p.f AS l, r.f AS r
+  FROM two JOIN one p ON p.lang = two.lang AND p.x = two.x JOIN one r ON r.lang = two.lang AND r.x = two.y LEFT JOIN held h ON h.lang = two.lang AND h.x = two.x AND h.y = two.y
+  WHERE two.f >= 10 AND (h.f IS NULL OR 100 * h.f < 50 * two.f)
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 1, p.f, r.f
+  FROM three t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN two r ON r.lang = t.lang AND r.x = t.y AND r.y = t.z
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 2, p.f, r.f
+  FROM three t JOIN two p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y JOIN one r ON r.lang = t.lang AND r.x = t.z),
+scored AS (SELECT *, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS score FROM cut),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000""",
     "op13_quality_rules": f"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bm25_wand, chat_format, embedding_pq, minhash_super, packing, quality_compression, rule_votes, source_mixing,
-               token_binary, token_counts, toxicity_fm)
+from . import (bm25_wand, chat_format, collocations, embedding_pq, minhash_super, packing, permuterm, quality_compression,
+               rule_votes, source_mixing, token_binary, token_counts, toxicity_fm)
 from .common import held_out, saved
 from ..session import scratch_path
 from .oracle import ORACLE_SQL  # noqa: F401
@@ -84,6 +84,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permuterm.spelling_variants(permuterm.word_counts(_table(spark, sf_dir, "documents")), ratio=10)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=10, top=2000, absorb=50)
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     voted = rule_votes.quality_votes(_table(spark, sf_dir, "documents"))
     return voted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -100,5 +108,7 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_source_mix": op9_source_mix,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_collocations": op12_collocations,
     "op13_quality_rules": op13_quality_rules,
 }
