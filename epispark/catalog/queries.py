@@ -323,6 +323,36 @@ def q_scan_numeric_drift(spark, sf_dir):
     return parquet.read_base(spark, f"{root}/*").select("id", F.col("valor").cast("double").alias("valor"), "marca", "situacao")
 
 
+def partition_folders(spark, sf_dir):
+    """Orders in folders by year and status, the status of one year's rows
+    null, beside a leftover of a failed write."""
+    root = scratch_path(spark, "partition-folders")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "o_orderkey AS id", "o_custkey AS cliente", "year(o_orderdate) AS ano",
+        "CASE WHEN year(o_orderdate) <> 1995 THEN o_orderstatus END AS situacao")
+    orders.write.partitionBy("ano", "situacao").parquet(root)
+    orders.limit(5).select("id").write.parquet(f"{root}/_temporary/0/ano=1990")
+    return root
+
+
+def _of_years(df):
+    return df.where("ano between 1994 and 1996").select("id", "cliente", F.col("ano").cast("int").alias("ano"), "situacao")
+
+
+def q_scan_folder_glob(spark, sf_dir):
+    return _of_years(parquet.read_base(spark, f"{partition_folders(spark, sf_dir)}/*"))
+
+
+def q_scan_file_glob(spark, sf_dir):
+    return _of_years(parquet.read_base(spark, f"{partition_folders(spark, sf_dir)}/*/*/*.parquet"))
+
+
+def q_scan_folder_list(spark, sf_dir):
+    """Two partition folders, one of them by its files."""
+    root = partition_folders(spark, sf_dir)
+    return _of_years(parquet.read_base(spark, [f"{root}/ano=1994", f"{root}/ano=1995/*/*.parquet", f"{root}/ano=1997"]))
+
+
 def q_territory_cut(spark, sf_dir):
     df = export.territory_cut(filtered(spark, sf_dir, "stays"), TERRITORY)
     return series.time_series(df, "year")
@@ -438,6 +468,9 @@ QUERIES: Dict[str, Query] = {
     "consolidate_by_year": q_consolidate_by_year,
     "consolidate_full_rows": q_consolidate_full_rows,
     "scan_numeric_drift": q_scan_numeric_drift,
+    "scan_folder_glob": q_scan_folder_glob,
+    "scan_file_glob": q_scan_file_glob,
+    "scan_folder_list": q_scan_folder_list,
     "territory_cut": q_territory_cut,
     "wide_codes": q_wide_codes,
     "wide_type_distribution": q_wide_type_distribution,

@@ -2,31 +2,26 @@
 description (S3) and raw preview (S4).
 
 Register extracts change layout from year to year: a column may be INT in
-one file and text in the next, or missing. Spark's own schema merging reads
-all footers in one distributed job and takes missing columns, but refuses
-different types. So all paths are tried at once; only where types differ the
-paths are halved, until each part is one layout Spark can read. Parts of the
-same layout are scanned as one relation, columns are cast to a common type,
-and the relations are combined by name. Names match case-insensitively; the
-first spelling seen is kept. Each relation is an ordinary Parquet scan, with
-column pruning, filter pushdown and partition columns.
+one file and text in the next, or missing. ``layouts`` tells which files have
+which layout. Layouts whose common columns have equal types are scanned as one
+relation, where Parquet fills missing columns; relations whose types differ
+are cast to common types and combined by name. Names match
+case-insensitively; the first spelling seen is kept. Each relation is an
+ordinary Parquet scan, with column pruning, filter pushdown and partition
+columns.
 """
 
 from __future__ import annotations
 
-from typing import Dict, Iterable, List, Optional, Sequence, Tuple, Union
+from dataclasses import dataclass, field
+from typing import Dict, Iterable, List, Optional, Sequence, Tuple
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import named
-
-Paths = Union[str, Sequence[str]]
-# a path, and the folder its partition columns are counted from, if any
-Unit = Tuple[str, Optional[str]]
+from .layouts import DataFile, Paths, _escaped, data_files, listed, partition_type, roots
 
 _NUMERIC_RANK = {T.BooleanType: 0.5, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 3, T.LongType: 4,
                  T.FloatType: 5, T.DoubleType: 6}
@@ -34,41 +29,10 @@ _NUMERIC_RANK = {T.BooleanType: 0.5, T.ByteType: 1, T.ShortType: 2, T.IntegerTyp
 _INTEGER_DIGITS = {T.BooleanType: 1, T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
 
 
-def _hidden(name: str) -> bool:
-    return name.startswith(("_", ".")) and "=" not in name
-
-
-def _roots(spark: SparkSession, paths: Paths) -> List[Tuple[str, bool]]:
-    """(path, is a folder) of everything the paths and globs name on any
-    Hadoop filesystem, sorted like a glob; hidden names that a glob hits are
-    left out. A blank path names nothing."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    out: Dict[str, bool] = {}
-    for p in [paths] if isinstance(paths, str) else paths:
-        if p and p.strip():
-            hp = jvm.org.apache.hadoop.fs.Path(p.strip())
-            for st in hp.getFileSystem(conf).globStatus(hp) or []:
-                if not _hidden(st.getPath().getName()):
-                    out[st.getPath().toString()] = st.isDirectory()
-    return sorted(out.items())
-
-
-def _files_below(spark: SparkSession, folder: str) -> List[str]:
-    """Files of a folder, without those that have a hidden part in their path."""
-    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    it = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(hp, True)
-    out = []
-    while it.hasNext():
-        path = it.next().getPath().toString()
-        if not any(_hidden(part) for part in path[len(folder):].strip("/").split("/")):
-            out.append(path)
-    return sorted(out)
-
-
 def list_files(spark: SparkSession, paths: Paths) -> List[str]:
     """The data files that paths, globs and folders stand for."""
-    return sorted({f for path, folder in _roots(spark, paths) for f in (_files_below(spark, path) if folder else [path])})
+    found = roots(spark, paths)
+    return sorted(r.path for r in listed(spark, found).select("path").collect()) if found else []
 
 
 def _common_type(a: T.DataType, b: T.DataType) -> T.DataType:
@@ -115,51 +79,88 @@ def unified_schema(schemas: Iterable[T.StructType]) -> T.StructType:
     return T.StructType([T.StructField(names[k], types[k], True) for k in order])
 
 
-def _scan(spark: SparkSession, units: Sequence[Unit]) -> DataFrame:
-    reader = spark.read.option("mergeSchema", True)
-    bases = {base for _, base in units}
-    if bases != {None}:
-        reader = reader.option("basePath", next(iter(bases)))
-    return reader.parquet(*[path for path, _ in units])
-
-
-def _layouts(spark: SparkSession, units: List[Unit]) -> List[Tuple[List[Unit], DataFrame]]:
-    """Units in order, in as few runs as Spark can merge: one job for one layout."""
-    if not units:
-        return []
-    if len({base for _, base in units}) == 1:
-        try:
-            return [(units, _scan(spark, units))]
-        except (PySparkException, Py4JJavaError) as e:
-            text = str(e)
-            if "UNABLE_TO_INFER_SCHEMA" in text and len(units) == 1:
-                return []  # a folder without data files
-            if not any(k in text for k in ("MERGE", "merge", "UNABLE_TO_INFER_SCHEMA", "CONFLICTING", "Conflicting")):
-                raise
-            if len(units) == 1:
-                path, base = units[0]
-                if base is not None:
-                    raise
-                return _layouts(spark, [(f, path) for f in _files_below(spark, path)])
-        middle = len(units) // 2
-    else:
-        middle = next(i for i, u in enumerate(units) if u[1] != units[0][1])
-    return _layouts(spark, units[:middle]) + _layouts(spark, units[middle:])
+@dataclass
+class _Relation:
+    """Files of one base folder and its partition keys, whose common columns
+    have equal types."""
+
+    base: Optional[str]
+    keys: Tuple[str, ...]
+    fields: Dict[str, T.StructField] = field(default_factory=dict)
+    paths: List[str] = field(default_factory=list)
+
+    def fits(self, schema: T.StructType) -> bool:
+        return all(self.fields[f.name.lower()].dataType.simpleString() == f.dataType.simpleString()
+                   for f in schema.fields if f.name.lower() in self.fields)
+
+    def add(self, schema: T.StructType) -> None:
+        own = {k.lower() for k in self.keys}
+        for f in schema.fields:
+            if f.name.lower() not in own:
+                self.fields.setdefault(f.name.lower(), T.StructField(f.name, f.dataType, True, f.metadata))
+
+
+def _relations(files: Sequence[DataFile], schemas: Dict[str, T.StructType]) -> List[_Relation]:
+    """Files in order, in as few relations as their types allow."""
+    out: Dict[tuple, List[_Relation]] = {}
+    placed: Dict[tuple, _Relation] = {}
+    for f in files:
+        group = (f.base, tuple(k for k, _ in f.values))
+        if (*group, f.layout) not in placed:
+            schema = schemas[f.layout]
+            some = out.setdefault(group, [])
+            relation = next((r for r in some if r.fits(schema)), None)
+            if relation is None:
+                relation = _Relation(*group)
+                some.append(relation)
+            relation.add(schema)
+            placed[(*group, f.layout)] = relation
+        placed[(*group, f.layout)].paths.append(f.path)
+    return [r for some in out.values() for r in some]
+
+
+def _short_paths(relation: _Relation, folders: Sequence[str], owners: Dict[str, int]) -> List[str]:
+    """The relation's files, or the root folder in place of all files below it
+    where Spark reads just these from it: no other relation has files there
+    and every folder between is a partition folder."""
+    rest, whole = list(relation.paths), []
+    for folder in folders:
+        below = [p for p in rest if p.startswith(folder + "/")]
+        if below and owners[folder] == 1 and all("=" in part for p in below for part in p[len(folder) + 1:].split("/")[:-1]):
+            whole.append(folder)
+            rest = [p for p in rest if not p.startswith(folder + "/")]
+    return whole + rest
 
 
 def read_base(spark: SparkSession, paths: Paths) -> Optional[DataFrame]:
-    """One DataFrame over all files, columns unioned by name (S1/S2); columns
-    from ``key=value`` folders are kept. Returns None when nothing matches."""
-    parts = _layouts(spark, [(path, None) for path, _ in _roots(spark, paths)])
-    if not parts:
+    """One DataFrame over all files, columns unioned by name (S1/S2). Returns
+    None when nothing matches.
+
+    ``key=value`` folders become columns wherever they lie: below a folder,
+    behind a glob, or in a list of partition folders. Their types are unified
+    over all roots, and filters on them prune files. A file that is no Parquet
+    raises ValueError with its name; one of no bytes has no rows."""
+    files, schemas = data_files(spark, paths)
+    if not files:
         return None
-    groups: Dict[tuple, List[Tuple[List[Unit], DataFrame]]] = {}
-    for units, df in parts:
-        groups.setdefault((units[0][1], df.schema.json()), []).append((units, df))
-    frames = [some[0][1] if len(some) == 1 else _scan(spark, [u for units, _ in some for u in units]) for some in groups.values()]
+    values: Dict[str, List[Optional[str]]] = {}
+    for f in files:
+        for k, v in f.values:
+            values.setdefault(k.lower(), []).append(v)
+    types = {k: partition_type(v) for k, v in values.items()}
+    relations = _relations(files, schemas)
+    folders = [p.rstrip("/") for p, is_folder in roots(spark, paths) if is_folder]
+    owners = {folder: sum(any(p.startswith(folder + "/") for p in r.paths) for r in relations) for folder in folders}
+    frames = []
+    for r in relations:
+        partitions = [T.StructField(k, types[k.lower()], True) for k in r.keys]
+        reader = spark.read.schema(T.StructType([*r.fields.values(), *partitions]))
+        if r.base is not None:
+            reader = reader.option("basePath", r.base or "/")
+        frames.append(reader.parquet(*map(_escaped, _short_paths(r, folders, owners))))
     if len(frames) == 1:
         return frames[0]
-    target = unified_schema([df.schema for _, df in parts])
+    target = unified_schema([df.schema for df in frames])
     out = None
     for df in frames:
         have = {f.name.lower(): f.name for f in df.schema.fields}

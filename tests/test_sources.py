@@ -4,7 +4,10 @@ import csv
 import glob
 import os
 import shutil
+import uuid
 
+import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ from epispark import session
 from epispark.catalog.queries import register
 from epispark.plans.recode import Filters, apply_filters
 from epispark.plans.report import open_register
-from epispark.sources import export, parquet
+from epispark.sources import export, layouts, parquet
 
 from conftest import SF_SMALL
 
@@ -63,17 +66,104 @@ def test_folders_being_written_and_partition_columns(spark, tmp_dir):
     assert parquet.read_base(spark, f"{tmp_dir}/bare") is None
 
 
-def test_jobs_do_not_grow_with_files(spark, tmp_dir):
-    def jobs(files):
-        spark.range(200).repartition(files).write.parquet(f"{tmp_dir}/n{files}")
-        spark.sparkContext.setJobGroup(f"read{files}", "")
-        try:
-            assert parquet.read_base(spark, f"{tmp_dir}/n{files}").schema.names == ["id"]
-            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"read{files}"))
-        finally:
-            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-
-    assert jobs(40) == jobs(4) <= 2
+def jobs_of(spark, work):
+    group = f"jobs-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("by_spark", [True, False])
+def test_jobs_depend_on_layouts_not_on_files(spark, tmp_dir, by_spark):
+    """One job for all footers, and one per layout that Spark did not write."""
+    for n in (4, 64):
+        for i in range(n):
+            if by_spark:
+                spark.createDataFrame([(i,)], "v int" if i % 2 else "v string").coalesce(1).write.parquet(f"{tmp_dir}/s{n}/{i:02d}")
+            else:
+                os.makedirs(f"{tmp_dir}/s{n}", exist_ok=True)
+                pq.write_table(pa.table({"v": [i] if i % 2 else [str(i)]}), f"{tmp_dir}/s{n}/{i:02d}.parquet")
+        df, jobs = jobs_of(spark, lambda: parquet.read_base(spark, f"{tmp_dir}/s{n}/*"))
+        assert jobs <= 2 + 2 and df.schema["v"].dataType.simpleString() == "string"
+        assert sorted(int(r.v) for r in df.collect()) == list(range(n))
+    # two relations, however many files
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
+
+
+def test_added_columns_are_no_layout_of_their_own(spark, tmp_dir):
+    """Missing columns are filled by the scan: one relation, one folder path."""
+    for i, schema in enumerate(["a int", "a int, b string", "B string, c double", "A int"]):
+        spark.createDataFrame([tuple([None] * (schema.count(",") + 1))], schema).coalesce(1).write.mode("append").parquet(f"{tmp_dir}/m")
+    df = parquet.read_base(spark, f"{tmp_dir}/m")
+    assert df.count() == 4 and sorted(c.lower() for c in df.columns) == ["a", "b", "c"]
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+
+
+def test_corrupt_files_are_named(spark, tmp_dir):
+    os.makedirs(f"{tmp_dir}/merge")
+    pq.write_table(pa.table({"v": [1]}), f"{tmp_dir}/merge/good.parquet")
+    for name in ("bad one.parquet", "empty.parquet"):
+        with open(f"{tmp_dir}/merge/{name}", "wb") as f:
+            f.write(b"PAR1 no parquet" if "bad" in name else b"")
+    with pytest.raises(ValueError, match="bad one.parquet") as e:
+        parquet.read_base(spark, f"{tmp_dir}/merge")
+    assert "good.parquet" not in str(e.value)
+    os.remove(f"{tmp_dir}/merge/bad one.parquet")
+    assert parquet.read_base(spark, f"{tmp_dir}/merge").count() == 1  # a file of no bytes holds no rows
+
+
+def test_catalogue_of_files(spark, tmp_dir):
+    for i in range(6):
+        spark.createDataFrame([(i,)], "v int" if i % 3 else "v string").coalesce(1).write.parquet(f"{tmp_dir}/ano={i}")
+    rows = layouts.catalogue(spark, f"{tmp_dir}/*").collect()
+    assert len(rows) == 6 and len({r.layout for r in rows}) == 2 and all(r.size > 0 and r.modified and not r.error for r in rows)
+    assert layouts.catalogue(spark, f"{tmp_dir}/none*") is None
+
+
+@pytest.mark.parametrize("ask", ["{0}", "{0}/*", "{0}/*/*", "{0}/ano=2019;{0}/ano=2020;{0}/ano=x y", "{0}/ano=2019/mes=1/*;{0}/ano=2020/*;{0}/ano=x*", "{0}/*;{0}"])
+def test_partition_folders_behind_globs_and_lists(spark, tmp_dir, ask):
+    """Equal to DuckDB over the same files, whatever names them."""
+    root = f"{tmp_dir}/r[1]"
+    rows = [(i, ["2019", "2020", "x y", None][i % 4], i % 3) for i in range(24)]
+    spark.createDataFrame(rows, "id int, ano string, mes int").repartition(1).write.partitionBy("ano", "mes").parquet(root)
+    spark.createDataFrame([(99, 7)], "id int, mes int").repartition(1).write.parquet(f"{root}/_temporary/ano=2019")
+    escaped = root.replace("[", "\\[").replace("]", "\\]")
+    df = parquet.read_base(spark, ask.format(escaped).split(";"))
+    got = sorted((r.id, r.ano or "", r.mes) for r in df.select("id", "ano", "mes").collect())
+    whole = "ano=2019;" not in ask and "/mes=1" not in ask
+    known = [r for r in rows if whole or (r[1] and ("mes=1" not in ask or r[1] != "2019" or r[2] == 1))]
+    files = duckdb.sql(f"select id, ano, mes from read_parquet('{root.replace('[', '[[]')}/ano=*/mes=*/*.parquet', hive_partitioning = true, "
+                       "hive_types = {'ano': VARCHAR, 'mes': BIGINT})").fetchall()
+    assert sorted((i, a or "", int(m)) for i, a, m in files) == sorted((i, a or "", m) for i, a, m in rows)
+    assert got == sorted((i, a or "", m) for i, a, m in known)
+    plan = df.where("ano = '2019' and mes = 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ano" in plan and df.where("ano = '2019'").select("ano").distinct().count() == 1
+
+
+def test_partition_types_are_unified_over_roots(spark, tmp_dir):
+    """A value keeps its spelling where another root's is no number, and each
+    root keeps its own base folder."""
+    spark.createDataFrame([(1,)], "id int").write.parquet(f"{tmp_dir}/a/uf=01")
+    spark.createDataFrame([(2,)], "id string").write.parquet(f"{tmp_dir}/b/UF=RJ")
+    spark.createDataFrame([("3",)], "id string").write.parquet(f"{tmp_dir}/c")
+    df = parquet.read_base(spark, [f"{tmp_dir}/a", f"{tmp_dir}/b/*", f"{tmp_dir}/c"])
+    assert sorted((r.id, r.uf) for r in df.collect()) == [("1", "01"), ("2", "RJ"), ("3", None)]
+    assert parquet.read_base(spark, f"{tmp_dir}/a/*").schema["uf"].dataType.simpleString() == "int"
+    assert layouts.partition_values("file:/x/a=1/b=c%2Fd/f") == ("file:/x", (("a", "1"), ("b", "c/d")))
+    for values, kind in ((["1", "3000000000"], "bigint"), (["1", "2.5"], "double"), (["2020-01-31", None], "date"), (["1", "x"], "string"), ([None], "string")):
+        assert layouts.partition_type(values).simpleString() == kind
+
+
+def test_footers_are_read_through_hadoop_where_tasks_cannot(spark, tmp_dir):
+    """A file system that Python does not know."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.check.link./data", f"file://{tmp_dir}")
+    spark.createDataFrame([(1, "a")], "id int, k string").write.partitionBy("k").parquet(f"{tmp_dir}/t")
+    pq.write_table(pa.table({"id": ["x"]}), f"{tmp_dir}/t/k=a/other.parquet")
+    df = parquet.read_base(spark, "viewfs://check/data/t/*")
+    assert sorted(map(tuple, df.select("id", "k").collect())) == [("1", "a"), ("x", "a")]
 
 
 def test_numeric_widening_and_glob(spark, tmp_dir):
