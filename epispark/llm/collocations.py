@@ -139,10 +139,13 @@ def _unpacked(high: np.ndarray, low: np.ndarray, bits: int) -> Tuple[np.ndarray,
     return (high >> U64(part), ((high & qf._mask(part)) << U64(low_bits - bits)) | (low >> U64(bits)), low & qf._mask(bits))
 
 
-def _distinct(shard: np.ndarray, key: np.ndarray, counts: np.ndarray) -> Tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct (shard, key) and the sums of their counts."""
-    order = np.argsort(key, kind="stable")
-    order = order[np.argsort(shard[order], kind="stable")]
+def _distinct(shard: np.ndarray, key: np.ndarray, counts: np.ndarray, key_bits: int, bits: int) -> Tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (shard, key) and the sums of their counts; keys have
+    ``key_bits`` of ``bits`` bits. Where these fit a word they are sorted as one."""
+    if key_bits == bits or bits <= 64:
+        both, counts = qf.added_up(key if key_bits == bits else (shard << U64(key_bits)) | key, counts)
+        return (np.zeros(len(both), U64), both, counts) if key_bits == bits else (both >> U64(key_bits), both & qf._mask(key_bits), counts)
+    order = np.lexsort((key, shard))
     shard, key, counts = shard[order], key[order], counts[order]
     if len(key):
         first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])))
@@ -164,7 +167,7 @@ def _block_filters(bits: int, shard_bits: int, entries: int):
         held, size = [], 0
 
         def flush():
-            shard, key, counts = _distinct(*(np.concatenate(x) for x in zip(*held)))
+            shard, key, counts = _distinct(*(np.concatenate(x) for x in zip(*held)), rest, 3 * bits)
             yield from _filter_rows(qf.split(shard, key, counts, rest, 0))
 
         for b in batches:
@@ -176,7 +179,7 @@ def _block_filters(bits: int, shard_bits: int, entries: int):
                 high, low = map_.forward(*_packed(table[local], bits))
                 shard = high >> U64(map_.high_bits - shard_bits)
                 key = ((high & qf._mask(map_.high_bits - shard_bits)) << U64(map_.low_bits)) | low
-                held.append(_distinct(shard, key, np.ones(len(key), dtype=np.int64)))
+                held.append(_distinct(shard, key, np.ones(len(key), dtype=np.int64), rest, 3 * bits))
                 size += len(held[-1][0])
                 if size >= entries:
                     yield from flush()

@@ -63,7 +63,7 @@ class Permutation:
 
 def added_up(keys: np.ndarray, counts: np.ndarray) -> Tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     if not len(keys):
         return keys, counts
