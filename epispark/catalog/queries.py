@@ -33,7 +33,7 @@ from ..plans.report import Register, open_register
 from ..plans.roles import Roles
 from ..profiles import AGE_MODE_AUTO, AGE_MODE_DIRECT, CODE_RULES, PROFILES
 from ..session import scratch_path
-from ..sources import export, parquet
+from ..sources import consolidation, export, parquet
 from ..sources.fixtures import VIEW_PROFILE, fixture_view, view_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -309,6 +309,25 @@ def q_consolidate_full_rows(spark, sf_dir):
     return back.select(*names, F.col("ano").cast("long").alias("ano"), F.col(CODE).alias("cid"))
 
 
+def q_consolidate_incremental(spark, sf_dir):
+    """Three deliveries of stays: two are consolidated, then a third arrives
+    and the first is replaced by a part of it."""
+    root = scratch_path(spark, "deliveries")
+    raw, last = fixture_view(spark, sf_dir, "stays"), F.substring("MUNIC_RES", -1, 1)
+
+    def deliver(name, digits):
+        raw.where(last.isin(digits)).write.mode("overwrite").parquet(f"{root}/in/{name}")
+
+    deliver("a", list("0123"))
+    deliver("b", list("456"))
+    consolidation.consolidate_files(spark, f"{root}/in/*", f"{root}/table", "CIHA")
+    deliver("a", list("01"))
+    deliver("c", list("789"))
+    consolidation.consolidate_files(spark, f"{root}/in/*", f"{root}/table", "CIHA")
+    names = [c for c, _ in view_columns("stays")[1]]
+    return parquet.read_base(spark, f"{root}/table").select(*names, F.col("ano").cast("long").alias("ano"), F.col(CODE).alias("cid"))
+
+
 def q_scan_numeric_drift(spark, sf_dir):
     """Decimals of two widths, a boolean beside an integer, a partitioned
     folder, a leftover of a failed write and a success mark, by one glob."""
@@ -467,6 +486,7 @@ QUERIES: Dict[str, Query] = {
     "scan_union_by_name": q_scan_union_by_name,
     "consolidate_by_year": q_consolidate_by_year,
     "consolidate_full_rows": q_consolidate_full_rows,
+    "consolidate_incremental": q_consolidate_incremental,
     "scan_numeric_drift": q_scan_numeric_drift,
     "scan_folder_glob": q_scan_folder_glob,
     "scan_file_glob": q_scan_file_glob,

@@ -8,10 +8,12 @@ from typing import Optional, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.recode import CODE_GROUP, DATE, MUNICIPALITY, YEAR, YEAR_MARK
+from ..plans.recode import CODE, CODE_GROUP, DATE, MUNICIPALITY, YEAR, YEAR_MARK
 from ..profiles import CODE_RULES
 
 MENINGITIS_GROUPS = tuple(r[0] for r in CODE_RULES)
+#: Row groups of a consolidated table, so that sorted rows give many ranges to skip.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def export_csv(df: DataFrame, out_dir: str, mode: str = "overwrite") -> str:
@@ -52,6 +54,26 @@ def with_year(df: DataFrame) -> DataFrame:
     return df.withColumn(YEAR, F.year(F.col(DATE)).cast("int"))
 
 
+def write_years(df: DataFrame, out_dir: str, max_records_per_file: int = 5_000_000, only_years: bool = False,
+                row_group_bytes: int = ROW_GROUP_BYTES, indexed: Sequence[str] = ()) -> None:
+    """Write rows that have ``ano`` in a folder per year, replacing the whole
+    table or, with ``only_years``, just the years that occur.
+
+    A ``rebalance`` on the year lets adaptive execution size the write
+    partitions: a year holding a third of all rows is split over several
+    tasks, small years are coalesced. Each task sorts its rows by municipality
+    and code within the year, so row groups and pages hold narrow ranges of
+    both, and a filter on either reads few of them (by statistics, page
+    indexes, dictionaries or bloom filters)."""
+    keys = [c for c in (MUNICIPALITY, CODE) if c in df.columns]
+    writer = (df.hint("rebalance", YEAR).sortWithinPartitions(F.col(YEAR), *keys)
+              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if only_years else "static")
+              .option("maxRecordsPerFile", int(max_records_per_file)).option("parquet.block.size", int(row_group_bytes)))
+    for c in [*keys, *indexed]:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.partitionBy(YEAR).parquet(out_dir)
+
+
 def consolidate_by_year(df: DataFrame, out_dir: str, groups: Sequence[str] = MENINGITIS_GROUPS,
                         territory: Optional[str] = None, max_records_per_file: int = 5_000_000) -> str:
     """Keep rows whose detected code is in ``groups`` (and in the territory),
@@ -60,15 +82,10 @@ def consolidate_by_year(df: DataFrame, out_dir: str, groups: Sequence[str] = MEN
     ``apply_filters`` prunes the folders when the table is read back.
 
     The kept rows are a small part of the input, so writing straight from
-    the scan tasks would leave thousands of tiny files per year. A
-    ``rebalance`` on the year lets adaptive execution size the write
-    partitions: a year holding a third of all rows is split over several
-    tasks, small years are coalesced, and each task writes about the
-    advisory partition size. Rows without a valid date go to the default
-    (NULL) partition; ``max_records_per_file`` caps any single file.
+    the scan tasks would leave thousands of tiny files per year; see
+    ``write_years``. Rows without a valid date go to the default (NULL)
+    partition; ``max_records_per_file`` caps any single file.
     """
     kept = territory_cut(df.where(F.col(CODE_GROUP).isin(list(groups))), territory)
-    (with_year(kept).hint("rebalance", YEAR)
-     .write.mode("overwrite").option("maxRecordsPerFile", int(max_records_per_file))
-     .partitionBy(YEAR).parquet(out_dir))
+    write_years(with_year(kept), out_dir, max_records_per_file)
     return out_dir

@@ -16,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Dict, Iterable, List, Optional, Sequence, Tuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,24 +132,36 @@ def _short_paths(relation: _Relation, folders: Sequence[str], owners: Dict[str,
     return whole + rest
 
 
-def read_base(spark: SparkSession, paths: Paths) -> Optional[DataFrame]:
-    """One DataFrame over all files, columns unioned by name (S1/S2). Returns
-    None when nothing matches.
+def row_file() -> Column:
+    """The file of a row, spelled as the catalogue spells it."""
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
-    ``key=value`` folders become columns wherever they lie: below a folder,
-    behind a glob, or in a list of partition folders. Their types are unified
-    over all roots, and filters on them prune files. A file that is no Parquet
-    raises ValueError with its name; one of no bytes has no rows."""
-    files, schemas = data_files(spark, paths)
-    if not files:
-        return None
+
+def union_schema(files: Sequence[DataFile], schemas: Dict[str, T.StructType]) -> T.StructType:
+    """Columns and common types of files, partition keys of each layout after
+    its own columns."""
+    relations = _relations(files, schemas)
+    types = _partition_types(files)
+    return unified_schema([T.StructType([*r.fields.values(), *[T.StructField(k, types[k.lower()]) for k in r.keys]]) for r in relations])
+
+
+def _partition_types(files: Sequence[DataFile]) -> Dict[str, T.DataType]:
     values: Dict[str, List[Optional[str]]] = {}
     for f in files:
         for k, v in f.values:
             values.setdefault(k.lower(), []).append(v)
-    types = {k: partition_type(v) for k, v in values.items()}
+    return {k: partition_type(v) for k, v in values.items()}
+
+
+def read_files(spark: SparkSession, files: Sequence[DataFile], schemas: Dict[str, T.StructType], folders: Sequence[str] = (),
+               target: Optional[T.StructType] = None, file_column: Optional[str] = None) -> DataFrame:
+    """One DataFrame over catalogued files, in the columns and types of
+    ``target`` (or of the files alone). ``folders`` may stand for all files
+    below them; ``file_column`` adds the file of each row."""
+    types = _partition_types(files)
     relations = _relations(files, schemas)
-    folders = [p.rstrip("/") for p, is_folder in roots(spark, paths) if is_folder]
+    folders = [p.rstrip("/") for p in folders]
     owners = {folder: sum(any(p.startswith(folder + "/") for p in r.paths) for r in relations) for folder in folders}
     frames = []
     for r in relations:
@@ -157,10 +169,13 @@ def read_base(spark: SparkSession, paths: Paths) -> Optional[DataFrame]:
         reader = spark.read.schema(T.StructType([*r.fields.values(), *partitions]))
         if r.base is not None:
             reader = reader.option("basePath", r.base or "/")
-        frames.append(reader.parquet(*map(_escaped, _short_paths(r, folders, owners))))
-    if len(frames) == 1:
+        df = reader.parquet(*map(_escaped, _short_paths(r, folders, owners)))
+        frames.append(df.withColumn(file_column, row_file()) if file_column else df)
+    if target is None and len(frames) == 1:
         return frames[0]
-    target = unified_schema([df.schema for df in frames])
+    target = target or unified_schema([df.schema for df in frames])
+    if file_column and file_column not in target.names:
+        target = T.StructType([*target.fields, T.StructField(file_column, T.StringType())])
     out = None
     for df in frames:
         have = {f.name.lower(): f.name for f in df.schema.fields}
@@ -170,6 +185,20 @@ def read_base(spark: SparkSession, paths: Paths) -> Optional[DataFrame]:
     return out
 
 
+def read_base(spark: SparkSession, paths: Paths) -> Optional[DataFrame]:
+    """One DataFrame over all files, columns unioned by name (S1/S2). Returns
+    None when nothing matches.
+
+    ``key=value`` folders become columns wherever they lie: below a folder,
+    behind a glob, or in a list of partition folders. Their types are unified
+    over all roots, and filters on them prune files. A file that is no Parquet
+    raises ValueError with its name; one of no bytes has no rows."""
+    files, schemas = data_files(spark, paths)
+    if not files:
+        return None
+    return read_files(spark, files, schemas, [p for p, is_folder in roots(spark, paths) if is_folder])
+
+
 def sql_type_name(dt: T.DataType) -> str:
     """SQL spelling of a Spark type, in the vocabulary of the original
     report (``VARCHAR``, ``BIGINT``, ``TIMESTAMP`` ...)."""

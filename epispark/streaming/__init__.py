@@ -1,5 +1,5 @@
 """Incremental form of the time-series count for arriving extract files."""
 
-from .incremental import start_time_series_stream
+from .incremental import read_series, start_time_series_stream, versions
 
-__all__ = ["start_time_series_stream"]
+__all__ = ["read_series", "start_time_series_stream", "versions"]

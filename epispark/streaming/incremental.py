@@ -46,14 +46,34 @@ def time_series_stream(spark: SparkSession, folder: str, schema: StructType, pro
 def start_time_series_stream(spark: SparkSession, folder: str, schema: StructType, profile: SourceProfile | str,
                              table: str, checkpoint: str, freq: str = "month",
                              available_now: bool = False) -> StreamingQuery:
-    """Start the query; after each batch the Parquet folder ``table`` holds the
-    whole series (one row per period). ``checkpoint`` is a folder of the
-    query's own: started again with it, the query goes on where it stopped.
-    ``available_now`` processes the files present and stops, which suits
-    scheduled runs."""
+    """Start the query; after each batch the newest version of ``table`` holds
+    the whole series (one row per period), for ``read_series``. A version is
+    written apart and counts once it is complete, so readers see the last
+    series or the one before, never a part; the one before last is removed.
+    ``checkpoint`` is a folder of the query's own: started again with it, the
+    query goes on where it stopped. ``available_now`` processes the files
+    present and stops, which suits scheduled runs."""
+    def version(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/version={number}")
+        for old in versions(spark, table)[:-2]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/version={old}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
     counts = time_series_stream(spark, folder, schema, profile, freq)
-    writer = (counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
-              .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(table)))
+    writer = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(version)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def versions(spark: SparkSession, folder: str) -> list:
+    """Numbers of the complete versions below a folder, rising."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
+
+
+def read_series(spark: SparkSession, table: str) -> Optional[DataFrame]:
+    """``periodo, n`` of the newest complete version, None before the first."""
+    found = versions(spark, table)
+    return spark.read.parquet(f"{table}/version={found[-1]}") if found else None
