@@ -28,6 +28,7 @@ from ..plans.recode import (
     SEX,
     Filters,
     apply_filters,
+    recode,
 )
 from ..plans.report import Register, open_register
 from ..plans.roles import Roles
@@ -85,6 +86,21 @@ def q_clean_text(spark, sf_dir):
                      text.clean_text("ID_AGRAVO").alias("agravo_limpo"))
 
 
+#: Spaces of several kinds, put around raw values.
+_SPACES = ["\u00a0", " \u2003", "\u3000", "", "\u202f "]
+
+
+def q_clean_unicode_spaces(spark, sf_dir):
+    """Values between Unicode spaces: cleaned, and recoded as sex."""
+    place = F.pmod(F.col("o_orderkey"), F.lit(5)).cast("int")
+    space = F.get(F.array(*map(F.lit, _SPACES)), place)
+    raw = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("id"), F.concat(space, F.get(F.array(*map(F.lit, ["M", "F", "", "X \u00a0Y", "2"])), F.pmod(F.col("o_custkey"), F.lit(5)).cast("int")),
+                                                  F.reverse(space)).alias("SEXO"))
+    rec = recode(raw, Roles(sex="SEXO"), keep_all=True)
+    return rec.select("id", F.col("ep_sexo_txt").alias("texto"), F.col("ep_sexo").alias("sexo"))
+
+
 def q_parse_dates(spark, sf_dir):
     df = _raw(spark, sf_dir, "cases")
     return df.select(F.col("DT_SIN_PRI").alias("bruto"),
@@ -444,6 +460,7 @@ def q_wide_ts_label_filter(spark, sf_dir):
 
 QUERIES: Dict[str, Query] = {
     "clean_text": q_clean_text,
+    "clean_unicode_spaces": q_clean_unicode_spaces,
     "parse_dates": q_parse_dates,
     "age_coded": q_age_coded,
     "age_with_unit": q_age_with_unit,

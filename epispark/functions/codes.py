@@ -9,15 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..profiles import CODE_PATTERN, CODE_RULES, NO_CODE_LABEL, OTHER_CODE_LABEL
-from .text import ColumnOrName, clean_text, col_of
+from .text import Source, clean_text
 
 Rule = Tuple[str, str, str, str]
 
 
-def extract_code(c: ColumnOrName, pattern: str = CODE_PATTERN) -> Column:
+def extract_code(c: Source, pattern: str = CODE_PATTERN) -> Column:
     """First match of the code pattern anywhere in the upper-cased text,
     dots removed; no match -> NULL."""
-    found = F.regexp_extract(F.upper(clean_text(col_of(c))), pattern, 1)
+    found = F.regexp_extract(F.upper(clean_text(c)), pattern, 1)
     return F.nullif(F.regexp_replace(found, r"\.", ""), F.lit(""))
 
 
@@ -31,9 +31,9 @@ def joinable(pattern: str) -> bool:
     return whole and not re.search(r"\(\?|\[\^|[$^]|\\[^.]|(?<![\[\\])\.", pattern)
 
 
-def joined_codes(cols: Sequence[str]) -> Column:
+def joined_codes(cols: Sequence[Source]) -> Column:
     """The upper-cased texts of all columns as one, in priority order."""
-    return F.concat_ws(SEPARATOR, *[F.coalesce(F.upper(clean_text(col_of(c))), F.lit("")) for c in cols])
+    return F.concat_ws(SEPARATOR, *[F.coalesce(F.upper(clean_text(c)), F.lit("")) for c in cols])
 
 
 def found_code(joined: Column, pattern: str = CODE_PATTERN) -> Column:

@@ -30,7 +30,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, StringType, TimestampNTZType, TimestampType
 
-from .text import ColumnOrName, clean_text, col_of
+from .text import Source, clean_text, col_of
 
 # Native spelling: year (any width), month, day with one separator used
 # twice, then optionally a time (hour <= 24, minute and second < 60, an
@@ -65,14 +65,14 @@ def _native(c: Column, dtype: DataType | None, txt: Column) -> Column | None:
     return None  # numbers: a cast to DATE is not a parse, go through text
 
 
-def parse_date(c: ColumnOrName, dtype: DataType | None = None) -> Column:
+def parse_date(c: Source, dtype: DataType | None = None) -> Column:
     """Parse a raw column into DATE; ``dtype`` is the column's Spark type.
 
     The ``YYYY-MM-DD`` branch of the rule list is folded into the native
     branch, which accepts every such string with the same result.
     """
     raw = col_of(c)
-    txt = clean_text(raw)
+    txt = clean_text(c)
     part = lambda start, length: F.substring(txt, start, length)
     gate = part(1, 4).between(*_YEAR_GATE)
     size = F.length(txt)

@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..profiles import SEX_CODES, SEX_OTHER
-from .text import ColumnOrName, clean_text, col_of
+from .text import Source, clean_text
 
 
-def recode_sex(c: ColumnOrName) -> Column:
+def recode_sex(c: Source) -> Column:
     """Known codes -> label; unknown text passes through trimmed (original
     case); NULL/blank -> ``Ignorado/Outro``."""
-    txt = clean_text(col_of(c))
+    txt = clean_text(c)
     upper = F.upper(txt)
     expr = None
     for code, label in SEX_CODES:

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
-from typing import Optional, Sequence, Tuple, Union
+from types import MappingProxyType
+from typing import Mapping, Optional, Sequence, Tuple, Union
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from ..functions.codes import (
 )
 from ..functions.dates import parse_date
 from ..functions.sex import recode_sex
-from ..functions.text import clean_text, named
+from ..functions.text import Cleaned, Source, clean_text, named
 from ..profiles import CODE_PATTERN, CODE_RULES
 from .roles import Roles
 
@@ -55,27 +56,29 @@ CANONICAL = (DATE, SEX, SEX_TEXT, AGE, AGE_UNIT_TEXT, MUNICIPALITY, OUTCOME, DIA
              CODE, CODE_GROUP, CODE_TYPE, CODE_ORIGIN)
 
 
-def canonical_columns(df: DataFrame, roles: Roles, rules=CODE_RULES,
-                      pattern: str = CODE_PATTERN) -> dict:
-    """name -> Column for every configured role."""
+def canonical_columns(df: DataFrame, roles: Roles, rules=CODE_RULES, pattern: str = CODE_PATTERN,
+                      sources: Mapping[str, Source] = MappingProxyType({})) -> dict:
+    """name -> Column for every configured role. ``sources`` gives role columns
+    whose text an earlier projection has cleaned."""
     dtypes = {f.name: f.dataType for f in df.schema.fields}
+    of = lambda c: sources.get(c, c)
     out = {}
     if roles.date:
-        out[DATE] = parse_date(roles.date, dtypes.get(roles.date))
+        out[DATE] = parse_date(of(roles.date), dtypes.get(roles.date))
     if roles.sex:
-        out[SEX] = recode_sex(roles.sex)
-        out[SEX_TEXT] = clean_text(roles.sex)
-    age = build_age(roles.age, roles.age_mode, roles.age_unit)
+        out[SEX] = recode_sex(of(roles.sex))
+        out[SEX_TEXT] = clean_text(of(roles.sex))
+    age = build_age(roles.age, roles.age_mode, roles.age_unit, sources)
     if age is not None:
         out[AGE] = age
     if roles.age_unit:
-        out[AGE_UNIT_TEXT] = clean_text(roles.age_unit)
+        out[AGE_UNIT_TEXT] = clean_text(of(roles.age_unit))
     if roles.municipality:
-        out[MUNICIPALITY] = clean_text(roles.municipality)
+        out[MUNICIPALITY] = clean_text(of(roles.municipality))
     if roles.outcome:
-        out[OUTCOME] = clean_text(roles.outcome)
+        out[OUTCOME] = clean_text(of(roles.outcome))
     if roles.diagnosis:
-        out[DIAGNOSIS] = clean_text(roles.diagnosis)
+        out[DIAGNOSIS] = clean_text(of(roles.diagnosis))
     code = extract_code_multi(roles.codes, pattern)
     if code is not None:
         out[CODE] = code
@@ -101,13 +104,17 @@ def recode(df: DataFrame, roles: Roles, rules=CODE_RULES, pattern: str = CODE_PA
 
     Codes are found in stages, so that one regex runs once per row: the texts
     of all code columns are joined, the leftmost match is taken from them, and
-    code, origin, group and label are derived from the match. Catalyst does
-    not collapse the stages, as each value is used more than once.
+    code, origin, group and label are derived from the match. Texts are
+    cleaned in a stage of their own for the same reason. Catalyst does not
+    collapse the stages where a value is used more than once.
     """
-    cols = canonical_columns(df, roles, rules, pattern)
+    once = dict.fromkeys(c for c in (roles.date, roles.sex, roles.age, roles.age_unit) if c)
+    sources = {c: Cleaned(named(c), F.col(f"_texto_{i}")) for i, c in enumerate(once)}
+    cols = canonical_columns(df, roles, rules, pattern, sources)
+    df = df.select("*", *[clean_text(c).alias(f"_texto_{i}") for i, c in enumerate(once)])
     later = (CODE, CODE_GROUP, CODE_TYPE, CODE_ORIGIN)
     first = {k: v for k, v in cols.items() if k not in later}
-    raw = [named(c) for c in (df.columns if keep_all else roles.raw_columns() if keep_raw else ())]
+    raw = [named(c) for c in (df.columns[:len(df.columns) - len(once)] if keep_all else roles.raw_columns() if keep_raw else ())]
     codes = [c for c in roles.codes if c]
     if not codes:
         return df.select(*raw, *[v.alias(k) for k, v in first.items()])

@@ -91,8 +91,8 @@ def consolidate_files(spark: SparkSession, paths: Paths, out_dir: str, profile:
         raise ValueError(f"{out_dir} holds rows that do not tell their files")
     if before is None:  # a table all the same: what a broken first run left
         changed = [f.path for f in files]
-        removed = [] if table is None else [r[0] for r in table.select(F.col(SOURCE_FILE).alias("path")).distinct()
-                                            .join(now, "path", "left_anti").collect()]
+        had = table.select(F.col(SOURCE_FILE).alias("path")).distinct() if table is not None else now.select("path")
+        removed = [r.path for r in had.join(now, "path", "left_anti").collect()]
     else:
         keys = ["path", "size", "modified", "settings"]
         changed = [r.path for r in now.join(before, keys, "left_anti").select("path").collect()]

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from epispark.catalog.oracle import age_coded_sql, age_direct_sql, age_unit_sql, code_sql, sex_sql
+from epispark.functions.text import SPACES
 from epispark.functions import age_coded, age_direct, age_with_unit, extract_code, recode_sex
 
 NUMS = ["0", "00", "000", "0000", "1", "7", "45", "99", "100", "120", "121", "999", "4018", "3006", "2365", "5005",
@@ -64,3 +65,24 @@ def test_clean_text_matches_sql_trim(spark):
     con.executemany("INSERT INTO t VALUES (?)", rows)
     want = [r[0] for r in con.execute(f"SELECT {txt('a')} FROM t").fetchall()]
     assert [(r, g, w) for r, g, w in zip(rows, got, want) if g != w] == []
+
+
+def test_unicode_spaces_are_trimmed_like_sql(spark):
+    """Every code point of the space separators, and some that only look like
+    one, around and inside of values: as in SQL, through a whole recode."""
+    import unicodedata
+
+    from epispark.plans.recode import recode
+    from epispark.plans.roles import Roles
+
+    points = sorted({*SPACES, *"\t\n\u200b\ufeff\u2028\u0085\u180e", *(chr(c) for c in range(0x2000, 0x2070))})
+    assert {c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Zs"} == set(SPACES)
+    rows = [(pattern.replace("_", c), "x") for c in points for pattern in ("_M", "M_", "_ M__", "_", "", "M_F", "_é_", "2020-01-05_", "_A87.9")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = [tuple(r) for r in recode(df, Roles(sex="a", municipality="a", codes=("a", "b"), age="a"))
+           .select("ep_sexo", "ep_sexo_txt", "ep_municipio", "ep_cid").collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(a VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", [(a,) for a, _ in rows])
+    want = con.execute(f"SELECT {sex_sql('a')}, nullif(trim(a), ''), nullif(trim(a), ''), {code_sql('a')} FROM t").fetchall()
+    assert [(a, g, w) for (a, _), g, w in zip(rows, got, want) if g != w] == []
