@@ -344,6 +344,33 @@ def q_consolidate_incremental(spark, sf_dir):
     return parquet.read_base(spark, f"{root}/table").select(*names, F.col("ano").cast("long").alias("ano"), F.col(CODE).alias("cid"))
 
 
+def stays_cube(spark, sf_dir):
+    """A cube of stays from three deliveries, one of them replaced by a whole one."""
+    root = scratch_path(spark, "cube")
+    raw, last = fixture_view(spark, sf_dir, "stays"), F.substring("MUNIC_RES", -1, 1)
+    for step in ({"a": "01", "b": "456"}, {"a": "0123", "c": "789"}):
+        for name, digits in step.items():
+            raw.where(last.isin(list(digits))).write.mode("overwrite").parquet(f"{root}/in/{name}")
+        consolidation.update_cube(spark, f"{root}/in/*", f"{root}/cube", "CIHA")
+    return consolidation.open_cube(spark, f"{root}/cube", "CIHA")
+
+
+#: A filter asked of the cube after it was made.
+CUBE_FILTER = Filters(sexo=("Feminino",))
+
+
+def q_cube_ts_month(spark, sf_dir):
+    return series.time_series(stays_cube(spark, sf_dir).dated(CUBE_FILTER), "month")
+
+
+def q_cube_type_distribution(spark, sf_dir):
+    return code_ops.type_distribution(stays_cube(spark, sf_dir).filtered(CUBE_FILTER))
+
+
+def q_cube_missingness(spark, sf_dir):
+    return quality.missingness(stays_cube(spark, sf_dir).filtered())
+
+
 def q_scan_numeric_drift(spark, sf_dir):
     """Decimals of two widths, a boolean beside an integer, a partitioned
     folder, a leftover of a failed write and a success mark, by one glob."""
@@ -504,6 +531,9 @@ QUERIES: Dict[str, Query] = {
     "consolidate_by_year": q_consolidate_by_year,
     "consolidate_full_rows": q_consolidate_full_rows,
     "consolidate_incremental": q_consolidate_incremental,
+    "cube_ts_month": q_cube_ts_month,
+    "cube_type_distribution": q_cube_type_distribution,
+    "cube_missingness": q_cube_missingness,
     "scan_numeric_drift": q_scan_numeric_drift,
     "scan_folder_glob": q_scan_folder_glob,
     "scan_file_glob": q_scan_file_glob,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import code_group, code_type
 from ..functions.periods import percent
-from ..plans.recode import CODE, CODE_GROUP, CODE_ORIGIN, CODE_TYPE, rules_of
+from ..plans.recode import CODE, CODE_GROUP, CODE_ORIGIN, CODE_TYPE, counted, rules_of
 from ..profiles import TOP_CODES_N
 
 
@@ -31,11 +31,11 @@ def _code_counts(df: DataFrame) -> DataFrame:
     label and code that the frame has; a missing one is NULL."""
     rules = rules_of(df)
     if rules:
-        counts = df.groupBy(F.col(CODE).alias("_cid")).agg(F.count(F.lit(1)).alias("n"))
+        counts = df.groupBy(F.col(CODE).alias("_cid")).agg(counted(df).alias("n"))
         return counts.select("_cid", "n", code_group(F.col("_cid"), rules).alias("grupo_cid"),
                              code_type(F.col("_cid"), rules).alias("tipo_agravo_cid10"))
     names = {CODE_GROUP: "grupo_cid", CODE_TYPE: "tipo_agravo_cid10", CODE: "_cid"}
-    counts = df.groupBy(*[F.col(c).alias(to) for c, to in names.items() if c in df.columns]).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(*[F.col(c).alias(to) for c, to in names.items() if c in df.columns]).agg(counted(df).alias("n"))
     return counts.withColumns({to: F.lit(None).cast("string") for c, to in names.items() if c not in df.columns})
 
 
@@ -80,7 +80,7 @@ def code_origin_counts(df: DataFrame) -> DataFrame:
     a row per code column. The origin is counted, not filtered: a filter
     would evaluate it a second time below the projection."""
     return (df.groupBy(F.col(CODE_ORIGIN).alias("coluna_origem_cid"))
-            .agg(F.count(CODE_ORIGIN).alias("n")).where(F.col("n") > 0)
+            .agg(counted(df, CODE_ORIGIN).alias("n")).where(F.col("n") > 0)
             .orderBy(F.desc("n"), F.asc_nulls_last("coluna_origem_cid")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.periods import band_label, band_start
-from ..plans.recode import AGE, SEX
+from ..plans.recode import AGE, SEX, counted
 from ..profiles import SEX_FEMALE, SEX_MALE
 
 
@@ -18,7 +18,7 @@ def age_distribution(df: DataFrame, width: int = 5) -> DataFrame:
     """``faixa_ini, n, faixa``: counts per five-year band of ages 0–120."""
     return (_valid_age(df)
             .groupBy(band_start(F.col(AGE), width).alias("faixa_ini"))
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(counted(df).alias("n"))
             .withColumn("faixa", band_label(F.col("faixa_ini"), width))
             .orderBy("faixa_ini"))
 
@@ -29,7 +29,7 @@ def age_pyramid(df: DataFrame, width: int = 5) -> DataFrame:
     return (_valid_age(df)
             .where(F.col(SEX).isin(SEX_MALE, SEX_FEMALE))
             .groupBy(F.col(SEX).alias("sexo"), band_start(F.col(AGE), width).alias("faixa_ini"))
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(counted(df).alias("n"))
             .withColumn("faixa", band_label(F.col("faixa_ini"), width))
             .withColumn("valor", F.when(F.col("sexo") == SEX_MALE, -F.col("n")).otherwise(F.col("n")))
             .orderBy("faixa_ini", "sexo"))

@@ -23,6 +23,8 @@ from ..plans.recode import (
     OUTCOME,
     SEX,
     SEX_TEXT,
+    WEIGHT,
+    counted,
 )
 from ..plans.roles import Roles
 from ..profiles import MISSING_LABELS, TOP_CATEGORY_N
@@ -45,9 +47,8 @@ def filter_options(df: DataFrame, limits: Optional[Mapping[str, int]] = None) ->
         return None
     pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("filtro"), F.col(c).cast("string").alias("valor"))
                                 for c, name in present]))
-    counts = (df.select(pairs.alias("p")).select("p.filtro", "p.valor")
-              .where(F.col("valor").isNotNull())
-              .groupBy("filtro", "valor").agg(F.count(F.lit(1)).alias("n")))
+    stacked = df.select(pairs.alias("p"), *(c for c in (WEIGHT,) if c in df.columns)).where(F.col("p.valor").isNotNull())
+    counts = stacked.groupBy("p.filtro", "p.valor").agg(counted(df).alias("n"))
     return top_per_field(counts, [name for _, name in present], limits)
 
 
@@ -69,7 +70,7 @@ def top_per_field(counts: DataFrame, fields, limits: Optional[Mapping[str, int]]
 
 def dataset_metrics(df: DataFrame) -> DataFrame:
     """``n, dt_min, dt_max`` in one aggregate (A2)."""
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs = [counted(df).alias("n")]
     if DATE in df.columns:
         aggs += [F.min(DATE).alias("dt_min"), F.max(DATE).alias("dt_max")]
     return df.agg(*aggs)
@@ -96,7 +97,7 @@ def top_category(df: DataFrame, column: str, n: int = TOP_CATEGORY_N) -> DataFra
     """``categoria, n``: the ``n`` most frequent non-null values."""
     return (df.where(F.col(column).isNotNull())
             .groupBy(F.col(column).alias("categoria"))
-            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(counted(df).alias("n"))
             .orderBy(F.desc("n"), F.asc_nulls_last("categoria"))
             .limit(n))
 
@@ -109,8 +110,9 @@ def missing_checks(columns) -> list:
     return [(label, col) for label, col in zip(MISSING_LABELS, MISSING_COLUMNS) if col in columns]
 
 
-def missing_flag_sums(checks) -> list:
-    return [F.sum(F.when(F.col(col).isNull(), 1).otherwise(0)).cast("long").alias(f"_m{i}")
+def missing_flag_sums(df: DataFrame, checks) -> list:
+    one = F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1)
+    return [F.sum(F.when(F.col(col).isNull(), one).otherwise(0)).cast("long").alias(f"_m{i}")
             for i, (_, col) in enumerate(checks)]
 
 
@@ -137,7 +139,7 @@ def missingness(df: DataFrame) -> Optional[DataFrame]:
     checks = missing_checks(df.columns)
     if not checks:
         return None
-    one = df.agg(F.count(F.lit(1)).alias("_total"), *missing_flag_sums(checks))
+    one = df.agg(counted(df).alias("_total"), *missing_flag_sums(df, checks))
     return unpivot_missing(one, checks)
 
 

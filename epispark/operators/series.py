@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import code_type
 from ..functions.periods import month_of, period_start, year_of
-from ..plans.recode import CODE, CODE_TYPE, DATE, rules_of
+from ..plans.recode import CODE, CODE_TYPE, DATE, counted, rules_of
 
 MONTHS = list(range(1, 13))
 
@@ -23,14 +23,14 @@ def _series_counts(df: DataFrame, freq: str) -> DataFrame:
     # Counting the date drops the rows without one after the aggregate; a
     # filter would parse the date a second time below the projection.
     return (df.groupBy(period_start(F.col(DATE), freq).alias("periodo"))
-            .agg(F.count(DATE).alias("n")).where(F.col("n") > 0))
+            .agg(counted(df, DATE).alias("n")).where(F.col("n") > 0))
 
 
 def _series_counts_by(df: DataFrame, freq: str, category: str) -> DataFrame:
     rules = rules_of(df) if category == CODE_TYPE else None
     key = CODE if rules else category
     counts = (df.groupBy(period_start(F.col(DATE), freq).alias("periodo"), F.col(key).alias("_chave"))
-              .agg(F.count(DATE).alias("n")).where(F.col("n") > 0))
+              .agg(counted(df, DATE).alias("n")).where(F.col("n") > 0))
     if not rules:
         return counts.where(F.col("_chave").isNotNull()).select("periodo", F.col("_chave").alias("categoria"), "n")
     # labels from the codes that are left
@@ -55,7 +55,7 @@ def month_heatmap(df: DataFrame, pivot: bool = False) -> DataFrame:
     if pivot:
         return heatmap_pivot(df)
     return (df.groupBy(year_of(F.col(DATE)).alias("ano"), month_of(F.col(DATE)).alias("mes"))
-            .agg(F.count(DATE).alias("n")).where(F.col("n") > 0)
+            .agg(counted(df, DATE).alias("n")).where(F.col("n") > 0)
             .orderBy("ano", "mes"))
 
 

@@ -43,6 +43,7 @@ from .recode import (
     OUTCOME,
     SEX,
     Filters,
+    counted,
     filter_predicate,
 )
 from .report import Register, materialize
@@ -112,7 +113,7 @@ def aggregate_once(df: DataFrame, filters: Filters = DEFAULT_FILTERS, freq: str
         for c in members:
             if c not in order:
                 order.append(c)
-    aggs = [F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid")]
+    aggs = [counted(df).alias("n"), F.grouping_id().alias("gid")]
     if DATE in cols:
         aggs += [F.min(DATE).alias("dt_min"), F.max(DATE).alias("dt_max")]
     agg = keyed.groupingSets([members for _, members in sets], *order).agg(*aggs)

@@ -52,10 +52,21 @@ YEAR = "ano"  # partition column of a consolidated register
 #: Key in the metadata of the date column, kept in the Parquet footers of a
 #: consolidated register: names the column that holds the date's own year.
 YEAR_MARK = "year_column"
+#: How many rows a row of a cube stands for (see ``plans.cube``).
+WEIGHT = "ep_n"
 CANONICAL = (DATE, SEX, SEX_TEXT, AGE, AGE_UNIT_TEXT, MUNICIPALITY, OUTCOME, DIAGNOSIS,
              CODE, CODE_GROUP, CODE_TYPE, CODE_ORIGIN)
 
 
+def counted(df: DataFrame, column: Optional[str] = None) -> Column:
+    """An aggregate: the rows of a register, or those where ``column`` is not
+    null. A row of a cube counts for all rows it stands for."""
+    if WEIGHT not in df.columns:
+        return F.count(F.lit(1) if column is None else column)
+    weight = F.col(WEIGHT) if column is None else F.when(F.col(column).isNotNull(), F.col(WEIGHT))
+    return F.coalesce(F.sum(weight), F.lit(0).cast("long"))
+
+
 def canonical_columns(df: DataFrame, roles: Roles, rules=CODE_RULES, pattern: str = CODE_PATTERN,
                       sources: Mapping[str, Source] = MappingProxyType({})) -> dict:
     """name -> Column for every configured role. ``sources`` gives role columns

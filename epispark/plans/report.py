@@ -37,6 +37,7 @@ from .recode import (
     MUNICIPALITY,
     OUTCOME,
     SEX,
+    WEIGHT,
     Filters,
     apply_filters,
     has_valid_date,
@@ -128,7 +129,8 @@ def standard_report(reg: Register, filters: Filters = DEFAULT_FILTERS, freq: str
         out["type_distribution"] = codes_ops.type_distribution(df)
         out["top_codes"] = codes_ops.top_codes(df)
         out["code_origin"] = codes_ops.code_origin_counts(df)
-        out["enriched_rows"] = quality.enriched_rows(df, reg.roles)
+        if WEIGHT not in cols:  # a cube has no rows of its own
+            out["enriched_rows"] = quality.enriched_rows(df, reg.roles)
     if AGE in cols:
         out["age_distribution"] = demography.age_distribution(df)
         if SEX in cols:
