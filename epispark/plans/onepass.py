@@ -1,4 +1,5 @@
-"""The whole register report from one scan: a grouping-sets aggregate.
+"""The whole register report from one scan: a grouping-sets aggregate, or a
+lattice of roll-ups.
 
 Each table of the report is a count over some key (period, year×month,
 age band, sex×band, code, origin, diagnosis, outcome, municipality, or
@@ -17,6 +18,13 @@ The aggregated result is bounded by the number of distinct keys (a few
 thousand municipalities at most), never by the row count. It is written
 once as a table under the shared ``spark.checkpoint.dir`` (lineage cut,
 survives executor loss) and every report table is a small slice of it.
+
+``lattice_report`` expands no row: one aggregate counts the rows of each
+combination of all keys, and every key set is rolled up from the smallest
+table that has its keys, over a few tables in between. It shuffles the
+combinations that occur instead of twelve partial sums a row; where most rows
+differ in some key there are nearly as many of them as rows, and the grouping
+sets are the cheaper way.
 """
 
 from __future__ import annotations
@@ -92,9 +100,9 @@ def _grouping_ids(order: List[str], sets) -> Dict[str, int]:
             for name, members in sets}
 
 
-def aggregate_once(df: DataFrame, filters: Filters = DEFAULT_FILTERS, freq: str = "month",
-                   has_valid: Optional[bool] = None):
-    """The grouping-sets aggregate (lazy), its key order and set ids."""
+def _keyed(df: DataFrame, filters: Filters, freq: str, has_valid: Optional[bool]):
+    """The frame with all key columns, the key sets, the keys in order, the
+    aggregates and the missing-value checks."""
     cols = set(df.columns)
     keys = {KEEP: filter_predicate(df, filters, has_valid)}
     if DATE in cols:
@@ -113,13 +121,52 @@ def aggregate_once(df: DataFrame, filters: Filters = DEFAULT_FILTERS, freq: str
         for c in members:
             if c not in order:
                 order.append(c)
-    aggs = [counted(df).alias("n"), F.grouping_id().alias("gid")]
+    aggs = [counted(df).alias("n")]
     if DATE in cols:
         aggs += [F.min(DATE).alias("dt_min"), F.max(DATE).alias("dt_max")]
-    agg = keyed.groupingSets([members for _, members in sets], *order).agg(*aggs)
+    return keyed, sets, order, aggs, checks
+
+
+def aggregate_once(df: DataFrame, filters: Filters = DEFAULT_FILTERS, freq: str = "month",
+                   has_valid: Optional[bool] = None):
+    """The grouping-sets aggregate (lazy), its key order and set ids."""
+    keyed, sets, order, aggs, checks = _keyed(df, filters, freq, has_valid)
+    agg = keyed.groupingSets([members for _, members in sets], *order).agg(*aggs, F.grouping_id().alias("gid"))
     return agg, _grouping_ids(order, sets), checks
 
 
+#: Tables between the finest one and the report's, by the sets they serve.
+_BETWEEN = (("period", "heat", "period_type", "codes"), ("band", "pyramid", "sex"))
+
+
+def roll_ups(df: DataFrame, filters: Filters = DEFAULT_FILTERS, freq: str = "month", has_valid: Optional[bool] = None,
+             materialize_as: Optional[str] = "table"):
+    """Every key set as a table of counts, each from the smallest table above
+    it that has its keys; and the missing-value checks."""
+    keyed, sets, order, aggs, checks = _keyed(df, filters, freq, has_valid)
+    spark = df.sparkSession
+    members = dict(sets)
+    finest = materialize(keyed.groupBy(*order).agg(*aggs), materialize_as, spark)
+    sums = [F.sum("n").alias("n")] + ([F.min("dt_min").alias("dt_min"), F.max("dt_max").alias("dt_max")] if DATE in df.columns else [])
+    above = [(order, finest)]
+    for names in _BETWEEN:
+        keys = [c for c in order if any(c in members.get(name, ()) for name in names)]
+        if keys:
+            above.append((keys, materialize(finest.groupBy(*keys).agg(*sums), materialize_as, spark)))
+    out = {}
+    for name, keys in sets:
+        _, parent = min(((len(have), i) for i, (have, _) in enumerate(above) if set(keys) <= set(have)))
+        out[name] = above[parent][1].groupBy(*keys).agg(*sums)
+    return out, checks
+
+
+def lattice_report(reg: Register, filters: Filters = DEFAULT_FILTERS, freq: str = "month",
+                   materialize_as: Optional[str] = "table") -> Dict[str, DataFrame]:
+    """The tables of ``one_pass_report`` by rolling up, without expanding rows."""
+    parts, checks = roll_ups(reg.recoded, filters, freq, reg._known_validity(filters), materialize_as)
+    return _report_tables(parts, checks, set(reg.recoded.columns))
+
+
 def _top(df: DataFrame, key: str, alias: str, n: Optional[int]) -> DataFrame:
     out = (df.where(F.col(key).isNotNull())
            .select(F.col(key).alias(alias), "n")
@@ -138,10 +185,12 @@ def one_pass_report(reg: Register, filters: Filters = DEFAULT_FILTERS, freq: str
     equal to the per-table operators, from one scan of the recoded frame."""
     agg, gid, checks = aggregate_once(reg.recoded, filters, freq, reg._known_validity(filters))
     agg = materialize(agg, materialize_as, reg.recoded.sparkSession)
-    cols = set(reg.recoded.columns)
+    return _report_tables({name: agg.where(F.col("gid") == number) for name, number in gid.items()}, checks, set(reg.recoded.columns))
+
 
-    def part(name: str) -> DataFrame:
-        return agg.where(F.col("gid") == gid[name])
+def _report_tables(parts: Dict[str, DataFrame], checks, cols: set) -> Dict[str, DataFrame]:
+    """The report from a table of counts per key set."""
+    part = parts.__getitem__
 
     def kept(name: str) -> DataFrame:
         return part(name).where(F.col(KEEP))
@@ -161,7 +210,7 @@ def one_pass_report(reg: Register, filters: Filters = DEFAULT_FILTERS, freq: str
     option_parts = []
     for set_name, col, field in (("sex", SEX, "sexo"), ("municipality", MUNICIPALITY, "municipio"),
                                  ("outcome", OUTCOME, "desfecho"), ("codes", CODE_TYPE, "cid_tipo")):
-        if set_name in gid:
+        if set_name in parts:
             option_parts.append((field, _summed(part(set_name), col)
                                  .select(F.lit(field).alias("filtro"), F.col(col).alias("valor"), "n")
                                  .where(F.col("valor").isNotNull())))
@@ -171,7 +220,7 @@ def one_pass_report(reg: Register, filters: Filters = DEFAULT_FILTERS, freq: str
             counts = counts.unionByName(p)
         out["filter_options"] = top_per_field(counts, [f for f, _ in option_parts])
 
-    if "period" in gid:
+    if "period" in parts:
         heat_all = part("heat").where(F.col(YEAR).isNotNull())
         out["year_bounds"] = heat_all.agg(F.min(YEAR).alias("ano_min"), F.max(YEAR).alias("ano_max"))
         out["time_series"] = (kept("period").where(F.col(PERIOD).isNotNull())
@@ -181,24 +230,24 @@ def one_pass_report(reg: Register, filters: Filters = DEFAULT_FILTERS, freq: str
         out["heatmap_long"] = heat.orderBy("ano", "mes")
         out["heatmap_pivot"] = (heat.groupBy("ano").pivot("mes", MONTHS).agg(F.sum("n"))
                                 .na.fill(0, [str(m) for m in MONTHS]).orderBy("ano"))
-    if "period_type" in gid:
+    if "period_type" in parts:
         out["time_series_by"] = (kept("period_type")
                                  .where(F.col(PERIOD).isNotNull() & F.col(CODE_TYPE).isNotNull())
                                  .select(F.col(PERIOD).alias("periodo"), F.col(CODE_TYPE).alias("categoria"), "n")
                                  .orderBy("periodo", "categoria"))
-    if "band" in gid:
+    if "band" in parts:
         out["age_distribution"] = (kept("band").where(F.col(BAND).isNotNull())
                                    .select(F.col(BAND).alias("faixa_ini"), "n")
                                    .withColumn("faixa", band_label(F.col("faixa_ini")))
                                    .orderBy("faixa_ini"))
-    if "pyramid" in gid:
+    if "pyramid" in parts:
         out["age_pyramid"] = (kept("pyramid").where(F.col(BAND).isNotNull() & F.col(SEX_BIN).isNotNull())
                               .select(F.col(SEX_BIN).alias("sexo"), F.col(BAND).alias("faixa_ini"), "n")
                               .withColumn("faixa", band_label(F.col("faixa_ini")))
                               .withColumn("valor", F.when(F.col("sexo") == SEX_MALE, -F.col("n"))
                                           .otherwise(F.col("n")))
                               .orderBy("faixa_ini", "sexo"))
-    if "codes" in gid:
+    if "codes" in parts:
         codes = kept("codes")
         dist = (codes.groupBy(F.col(CODE_GROUP).alias("grupo_cid"), F.col(CODE_TYPE).alias("tipo_agravo_cid10"))
                 .agg(F.sum("n").alias("n"), F.count(CODE).alias("cids_distintos_n"),
@@ -215,7 +264,7 @@ def one_pass_report(reg: Register, filters: Filters = DEFAULT_FILTERS, freq: str
         out["code_origin"] = _top(kept("origin"), CODE_ORIGIN, "coluna_origem_cid", None)
     for key, set_name, col in (("top_diagnosis", "diagnosis", DIAGNOSIS), ("top_outcome", "outcome", OUTCOME),
                                ("top_municipality", "municipality", MUNICIPALITY)):
-        if set_name in gid:
+        if set_name in parts:
             out[key] = _top(kept(set_name), col, "categoria", TOP_CATEGORY_N)
     return out
 

@@ -5,7 +5,7 @@ import pytest
 from epispark.catalog.queries import register
 from epispark.operators import codes as code_ops
 from epispark.operators import demography, quality, series
-from epispark.plans.onepass import one_pass_report
+from epispark.plans.onepass import lattice_report, one_pass_report, roll_ups
 from epispark.plans.recode import DIAGNOSIS, MUNICIPALITY, OUTCOME, Filters
 
 from conftest import SF_SMALL
@@ -51,6 +51,19 @@ def test_one_pass_equals_operators(spark, view, filters):
         assert rows(got[name]) == rows(df), name
 
 
+def test_lattice_equals_one_pass_and_expands_nothing(spark):
+    for view in ("cases", "stays"):
+        reg = register(spark, SF_SMALL, view)
+        filters = Filters(years=(1995, 1997), sexo=("Masculino",))
+        got, want = lattice_report(reg, filters), one_pass_report(reg, filters)
+        assert list(got) == list(want)
+        for name, df in want.items():
+            assert got[name].columns == df.columns and rows(got[name]) == rows(df), name
+    parts, _ = roll_ups(reg.recoded, filters, materialize_as=None)
+    for name, df in parts.items():
+        assert "Expand" not in df._jdf.queryExecution().executedPlan().toString(), name
+
+
 def test_comparison_from_reports(spark):
     from epispark.catalog.queries import QUERIES
     from epispark.plans.onepass import comparison_from_reports
