@@ -55,7 +55,7 @@ def _byte_letters() -> dict:
 class WordEncoder:
     """Token ids of texts as little-endian bytes (``dtype``)."""
 
-    def __init__(self, tokenizer: str, capacity: int = 160_000):
+    def __init__(self, tokenizer: str, capacity: int = 300_000):
         from tokenizers import Tokenizer
 
         path = resolve(tokenizer)
@@ -72,9 +72,9 @@ class WordEncoder:
         self.by_word = bool(dropping)
         letters = _byte_letters()
         self.map = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(33, 256)}
-        # a batch looks a word up once, so the words' own cache may be small
-        self.pieces = GenerationCache(self._piece, capacity)
-        self.words = GenerationCache(self._plain_word if plain else self._word, capacity // 4 if plain else capacity)
+        # a batch looks a word up once; pieces are found again where words differ
+        self.pieces = GenerationCache(self._piece, capacity // 3 if plain else capacity)
+        self.words = GenerationCache(self._plain_word if plain else self._word, capacity)
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
