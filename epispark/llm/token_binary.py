@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices
+from .common import arrow_map, saved, slices
 from .tokenizing import WORD_BPE, word_encoder
 
 MARK = "EFTK"
@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end
         ids: List = []
         parts: List[bytes] = []
         held = 0
-        for b in slices(batches, 512):
+        for b in slices(batches, 1024):
             tokens, ends = enc.encode_column(b.column(1))
             for doc, lo, hi in zip(b.column(0).to_pylist(), np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
                 part = tokens[lo:hi].tobytes() + end
@@ -186,11 +186,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
              .select(F.regexp_extract("path", r"/part-(\d+)-[^/]*$", 1).cast("long").alias("part"),
                      F.regexp_extract("path", r"-c(\d+)\.txt$", 1).cast("long").alias("number"), "content"))
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [Block(c.as_buffer()).n_ids for c in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["part", "number", "n_ids"])
-
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, number, content in zip(b.column(0), b.column(1), b.column(2)):
@@ -209,10 +204,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import Window
 
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    base = (arrow_map(files, sizes, "part long, number long, n_ids long")
+    # files are read once; what each block holds is added up from its documents
+    rows = saved(arrow_map(files, documents, "part long, number long, doc_id long, start long, n_tokens long, "
+                                             "ids_crc32 long, position long"), "documents")
+    base = (rows.groupBy("part", "number").agg(F.sum("n_tokens").alias("n_ids"))
             .select("part", "number", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base")))
-    rows = arrow_map(files, documents, "part long, number long, doc_id long, start long, n_tokens long, "
-                                       "ids_crc32 long, position long")
     return (rows.join(base, ["part", "number"])
             .select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32",
                     F.concat_ws("-", "part", "number").alias("file"), "position"))
