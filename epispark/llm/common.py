@@ -38,13 +38,17 @@ def worker_state(key: Hashable, build: Callable[[], Any]) -> Any:
 class GenerationCache(dict):
     """``cache[key]`` computes a missing value. Holds at most two generations
     of ``capacity`` entries: a full generation becomes the old one, and keys
-    found there move to the new one, so frequent keys stay."""
+    found there move to the new one, so frequent keys stay. Keys are texts;
+    one of more than ``longest`` characters is computed each time, so what the
+    cache holds is bounded in bytes too."""
 
-    def __init__(self, compute: Callable[[Any], Any], capacity: int = 150_000):
+    def __init__(self, compute: Callable[[Any], Any], capacity: int = 150_000, longest: int = 64):
         super().__init__()
-        self.compute, self.capacity, self.old = compute, capacity, {}
+        self.compute, self.capacity, self.longest, self.old = compute, capacity, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.compute(key)
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
@@ -159,7 +163,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """(text, label) of at most ``per_class`` labelled documents of each class
     0 and 1, outside the evaluation fold, picked by a hash of the id. The ids
     are at most ``2 * per_class`` rows, hence the broadcast. A document with
-    several label rows takes the least label."""
+    several label rows takes the least label, one with several texts the least."""
     one = learnable(labels, label)
     pick = F.xxhash64(F.col("doc_id"), F.lit(seed))
     counts = class_counts(labels, label)
@@ -169,7 +173,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         ids = part if ids is None else ids.unionByName(part)
     return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
             .join(F.broadcast(ids), "doc_id")
-            .groupBy("doc_id").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+            .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
             .select("doc_id", "text", "label"))
 
 
