@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ages, codes, dates, sex, text
 from ..operators import codes as code_ops
-from ..operators import demography, quality, series
+from ..operators import demography, quality, series, topk
 from ..plans.recode import (
     CODE,
     CODE_GROUP,
@@ -422,6 +422,14 @@ def q_scan_folder_list(spark, sf_dir):
     return _of_years(parquet.read_base(spark, [f"{root}/ano=1994", f"{root}/ano=1995/*/*.parquet", f"{root}/ano=1997"]))
 
 
+def q_top_values(spark, sf_dir):
+    """The most frequent of a column that is nearly unique but for a few values."""
+    rare = F.concat_ws("-", F.lit("item"), "l_orderkey", "l_linenumber")
+    value = F.when(F.col("l_orderkey") % 4 == 0, F.concat("l_returnflag", "l_linestatus", (F.col("l_partkey") % 7).cast("string"))).otherwise(rare)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(value.alias("valor"))
+    return topk.top_values(rows, "valor", 12)
+
+
 def q_territory_cut(spark, sf_dir):
     df = export.territory_cut(filtered(spark, sf_dir, "stays"), TERRITORY)
     return series.time_series(df, "year")
@@ -545,6 +553,7 @@ QUERIES: Dict[str, Query] = {
     "scan_folder_glob": q_scan_folder_glob,
     "scan_file_glob": q_scan_file_glob,
     "scan_folder_list": q_scan_folder_list,
+    "top_values": q_top_values,
     "territory_cut": q_territory_cut,
     "wide_codes": q_wide_codes,
     "wide_type_distribution": q_wide_type_distribution,
