@@ -4,7 +4,11 @@ A text is the set of its lower-cased words, hashed. The machine adds a weight
 per term and, for each pair of terms present, the inner product of their
 factors, so it learns that an insult with a group mention is worse than
 either. Terms are screened on the training sample by their association with
-the label, which keeps unrelated words, however many, from adding up.
+the label, which keeps unrelated words, however many, from adding up. A term
+that tells little alone may tell much beside another: terms are screened again
+within the documents that hold a term already kept. Of two terms that are
+toxic together only, the rarer one is told by the first screen, its partner
+by the second.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from typing import Iterator, List
+from typing import Dict, Iterator, List
 
 import numpy as np
 import pyarrow as pa
@@ -89,14 +93,41 @@ def _train(rows: List[np.ndarray], y: np.ndarray, weight: np.ndarray, n_terms: i
     return float(p[0][0]), p[1], p[2]
 
 
+def _association(both: np.ndarray, toxic: np.ndarray, all_: float, all1: float, documents: float) -> np.ndarray:
+    """Chi-square of terms with the label, of weights of ``documents`` documents:
+    ``both`` those that hold a term, ``toxic`` the toxic ones among them."""
+    expected = both * all1 / all_
+    spread = expected * (1 - all1 / all_) * (1 - both / all_) + 1e-9
+    return (toxic - expected) ** 2 / spread * documents / all_
+
+
+def copy_groups(bags: List[np.ndarray], least: float = 0.7) -> List[int]:
+    """A group per document, one for near copies: those that share their three
+    least hashes and ``least`` of all hashes with the first of the group."""
+    firsts: Dict[bytes, List[int]] = {}
+    out = []
+    for i, bag in enumerate(bags):
+        some = firsts.setdefault(bag[:3].tobytes(), [])
+        for j in some:
+            shared = len(np.intersect1d(bag, bags[j], assume_unique=True))
+            if shared >= least * (len(bag) + len(bags[j]) - shared):  # two empty bags too
+                out.append(j)
+                break
+        else:
+            some.append(i)
+            out.append(i)
+    return out
+
+
 def fit_factor_machine(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 4000,
                        class_bytes: int = 32_000_000, n_terms: int = 2048, min_documents: int = 6,
                        min_score: float = 40.0, rank: int = 8, rounds: int = 30, seed: int = 23) -> FactorModel:
     """Fit on a bounded sample: at most ``per_class`` documents of each class,
     whole texts until ``class_bytes`` a class are used, in the order of a hash
     of the id, in one task. Terms need ``min_documents`` sampled documents that
-    are no copies of each other and a chi-square of ``min_score``; the
-    ``n_terms`` best stay. Classes weigh as among all labels; copies within
+    are no copies of each other and a chi-square of ``min_score``, over the
+    sample or over its documents with a term that passed so; the ``n_terms``
+    best stay. Classes weigh as among all labels; copies within
     the sample share one document's weight. Without labels of both classes
     every score is the share of the class there is, or 0 without any."""
     counts = class_counts(labels, label)
@@ -117,8 +148,7 @@ def fit_factor_machine(docs: DataFrame, labels: DataFrame, label: str = "toxic",
         n1, n0 = y.sum(), (1 - y).sum()
         if not n1 or not n0:
             return
-        # near copies mostly share their three least hashes
-        keys = [bag[:3].tobytes() for bag in bags]
+        keys = copy_groups(bags)
         copies = Counter(keys)
         weight = np.array([(counts[1] / n1 if v else counts[0] / n0) / copies[k] for v, k in zip(ys, keys)])
         flat = np.concatenate(bags)
@@ -127,11 +157,25 @@ def fit_factor_machine(docs: DataFrame, labels: DataFrame, label: str = "toxic",
         both = np.bincount(inverse, per, len(terms))
         toxic = np.bincount(inverse, per * np.repeat(y, [len(bag) for bag in bags]), len(terms))
         all_, all1 = weight.sum(), (weight * y).sum()
-        expected = both * all1 / all_
-        spread = expected * (1 - all1 / all_) * (1 - both / all_) + 1e-9
-        apart = np.bincount(inverse, np.repeat([1 / copies[k] for k in keys], [len(bag) for bag in bags]), len(terms))
-        score = (toxic - expected) ** 2 / spread * len(bags) / all_ * (apart >= min_documents)
+        single = np.array([1 / copies[k] for k in keys])
+        apart = np.bincount(inverse, np.repeat(single, [len(bag) for bag in bags]), len(terms))
+        score = _association(both, toxic, all_, all1, len(bags)) * (apart >= min_documents)
         score[score < min_score] = 0
+        first = np.argsort(-score, kind="stable")[:n_terms]
+        cuts = np.cumsum([0, *(len(bag) for bag in bags)])
+        beside = np.zeros(len(terms))
+        for k in first[score[first] > 0]:
+            held = np.flatnonzero(inverse == k)
+            some = np.searchsorted(cuts, held, side="right") - 1
+            at = np.concatenate([inverse[cuts[d]:cuts[d + 1]] for d in some])
+            sizes = cuts[some + 1] - cuts[some]
+            near, back = np.unique(at, return_inverse=True)
+            within = _association(np.bincount(back, np.repeat(weight[some], sizes)), np.bincount(back, np.repeat((weight * y)[some], sizes)),
+                                  weight[some].sum(), (weight * y)[some].sum(), single[some].sum())
+            within *= np.bincount(back, np.repeat(single[some], sizes)) >= min_documents
+            beside[near] = np.maximum(beside[near], within)
+        beside[beside < min_score] = 0
+        score = np.maximum(score, beside)
         keep = np.sort(np.argsort(-score, kind="stable")[:n_terms])
         keep = keep[score[keep] > 0]
         place = np.full(len(terms), -1)

@@ -73,6 +73,30 @@ def test_machine_learns_a_pair(spark):
     assert v[place[0]] @ v[place[1]] > 0.5
 
 
+def test_machine_learns_a_rare_pair_at_its_defaults(spark):
+    """One word in 15 % of the documents, the other in 2 %, toxic where both
+    are: the first tells next to nothing alone."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(6000):
+        a, b = rng.random() < 0.15, rng.random() < 0.02
+        words = [f"w{k}" for k in rng.integers(0, 300, 12)] + ["insult"] * a + ["group"] * b
+        rows.append((i, " ".join(rng.permutation(words)), int(a and b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity_fm.fit_factor_machine(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    probes = spark.createDataFrame([(1, "w1 insult w2"), (2, "w1 group w2"), (3, "w1 insult w2 group"), (4, "w1 w2")], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity_fm.score_toxicity(probes, model).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 0} and len(model.terms) < 6
+
+
+def test_only_near_copies_share_a_group():
+    rng = np.random.default_rng(5)
+    bag = np.unique(rng.integers(0, 2**62, 200))
+    near = np.delete(bag, [50, 90, 120])
+    other = np.unique(np.r_[bag[:3], rng.integers(bag[3], 2**62, 150)])
+    assert toxicity_fm.copy_groups([bag, near, other, other[:-5], bag[1:], np.empty(0, int), np.empty(0, int)]) == [0, 0, 2, 2, 4, 5, 5]
+
+
 def test_margin_is_the_sum_over_pairs():
     rng = np.random.default_rng(4)
     w, v = rng.normal(size=10), rng.normal(size=(10, 3))
