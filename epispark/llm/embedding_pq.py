@@ -77,14 +77,17 @@ def assign(x: np.ndarray, centres: np.ndarray, books: List[np.ndarray], radius:
     codes = np.stack([_nearest(rest[:, s], b) for s, b in zip(_cuts(x.shape[1]), books)], axis=1).astype(np.uint8)
     decoded = np.concatenate([b[codes[:, i]] for i, b in enumerate(books)], axis=1)
     loss = np.sqrt(((rest - decoded) ** 2).sum(1))
-    between = np.sqrt(np.maximum(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(2), 0))[cell]
+    size = (centres * centres).sum(1)
+    # by products, as differences of all pairs would take cells x cells x dimensions
+    between = np.sqrt(np.maximum(size[:, None] + size[None, :] - 2 * centres @ centres.T, 0) + 1e-12)[cell]
     probes = d2 - d2[np.arange(len(x)), cell][:, None] <= 2 * between * (radius + 1e-6) + 1e-9
     return cell, codes, loss, probes
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, dim, raw, f1, f2) of every row; dim is 0 where the
-    vector links with nothing. ``raw`` are its bytes in its own precision."""
+    vector links with nothing. ``raw`` are its bytes in its own precision,
+    scaled to a largest component of about one; f1 and f2 their hash."""
     kind = vectors.schema["embedding"].dataType.elementType
     dtype = np.dtype("<f4" if isinstance(kind, FloatType) else "<f8")
 
@@ -98,8 +101,9 @@ def prepared(vectors: DataFrame) -> DataFrame:
                 dim, data = 0, b""
                 if doc.is_valid and label.is_valid and v is not None and len(v) and not v.null_count:
                     a = v.to_numpy().astype(np.float64)
-                    if np.isfinite(a).all() and 0 < (a * a).sum() < np.inf:
-                        dim, data = len(a), (a + 0.0).astype(dtype).tobytes()
+                    if np.isfinite(a).all() and a.any():
+                        # by a power of two, which changes no cosine, so that no square leaves the range
+                        dim, data = len(a), (np.ldexp(a, -np.frexp(np.abs(a).max())[1]) + 0.0).astype(dtype).tobytes()
                 dims.append(dim)
                 raws.append(data)
                 h = xxhash.xxh3_128_intdigest(data)
@@ -209,8 +213,10 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.98, sample: int
     # copies hold equal bytes, so any of them stands for the class
     heads = (good.join(classes.withColumnRenamed("head", "vec_id"), ["label", "dim", "f1", "f2", "vec_id"])
              .dropDuplicates(["label", "dim", "f1", "f2"]).select("vec_id", "label", "dim", "raw", "copies"))
-    n, labels = classes.agg(F.count(F.lit(1)), F.countDistinct("label")).first()
-    cells = int(min(max_cells, max(1, round(np.sqrt(n / max(1, labels)) / 4))))
+    n, most = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    n = n or 0
+    # by the largest label, whose lists are the longest
+    cells = int(min(max_cells, max(1, round(np.sqrt(most or 0) / 4))))
     model = fit_model(heads, n, dtype.str, cells, sample, seed)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -183,6 +183,29 @@ def test_index_loses_no_link_on_random_vectors():
     assert (np.sqrt(((u[a] - decoded[b]) ** 2).sum(1)) <= radius + loss[b] + 1e-6).all()
 
 
+def test_components_of_any_size(spark):
+    """Squares that leave the range of doubles, and their like at other scales."""
+    rows = [(i, [float(x) * scale for x in v], 1) for i, (v, scale) in enumerate(
+        [((1, 2, 3), 1e200), ((1, 2, 3.001), 1e200), ((1, 2, 3), 1e-200), ((1, 2, 3), 1.0), ((3, -2, 1), 1e-310), ((3, -2, 1), 1e300), ((0, 0, 5e-324), 1.0)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_pq.near_duplicate_vectors(df).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (3, 0), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
+def test_many_cells_take_little_memory():
+    """1,024 cells of 768 dimensions: no cells x cells x dimensions."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    x = embedding_pq.unit(rng.normal(size=(64, 768)))
+    centres = embedding_pq.unit(rng.normal(size=(1024, 768)))
+    books = [rng.normal(size=(16, s.stop - s.start)) for s in embedding_pq._cuts(768)]
+    tracemalloc.start()
+    embedding_pq.assign(x, centres, books, 0.2)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
 def test_vectors_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_pq.near_duplicate_vectors(empty).count() == 0
