@@ -153,7 +153,8 @@ def global_statistics(docs: DataFrame) -> Tuple[int, float, DataFrame]:
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_documents: int = 16384) -> DataFrame:
     """The ``k`` best documents of each query: query_id, rank, doc_id, score.
 
-    ``queries`` (query_id, text) are whole texts; a term counts once per query.
+    ``queries`` (query_id, text) are whole texts; a term counts once per query,
+    and rows of one query_id are one query with the terms of all its texts.
     score = sum over shared terms of ln(1 + (N - df + 0.5) / (df + 0.5)) times
     tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean length)). Ties go to
     the lesser doc_id; scores count to six decimals. A query without terms, or whose terms no document has,
@@ -175,9 +176,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_documents: in
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.coalesce("text", F.lit("")).alias("text")).where("query_id is not null")
     weight = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = arrow_map(asked, query_terms, "query_id long, term long").join(df, "term").select("query_id", "term", weight.alias("weight"))
-    # at most the terms of one text in a row
-    bags = weighted.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("bag"))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+    # the terms of one query in a row, each once however many rows have its id
+    bags = weighted.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("term", "weight"))).alias("bag"))
+    # by id and text, so that rows of a repeated id are dealt over all shards
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")
     left = docs.select(place.alias("shard"), F.lit(0).alias("side"), F.col("doc_id").alias("id"), "text",
                        F.lit(None).cast("array<bigint>").alias("terms"), F.lit(None).cast("array<double>").alias("weights"))
     right = bags.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("side"),

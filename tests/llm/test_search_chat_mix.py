@@ -269,6 +269,26 @@ def test_query_op9(spark):
     assert all(0 < r.probability <= 1 for r in got)
 
 
+def test_rows_of_one_query_id_are_one_query(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha delta"), (3, "beta beta zeta")], "doc_id long, text string")
+    once = spark.createDataFrame([(7, "alpha beta zeta")], "query_id long, text string")
+    many = spark.createDataFrame([(7, "alpha beta"), (7, "alpha beta"), (7, "zeta alpha")], "query_id long, text string")
+    assert sorted(map(tuple, bm25_wand.search(docs, many).collect())) == sorted(map(tuple, bm25_wand.search(docs, once).collect()))
+
+
+def test_pipeline_keeps_one_row_of_copies(spark, tmp_dir):
+    """Of equal texts one row stays, that with the least id, whatever rows
+    share an id or have none; rows without words all stay."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(9, text), (9, text), (4, text + " more"), (None, text), (None, text), (None, "a text alone without an id"), (5, "another text of its own here"),
+            (5, "yet another text under the same id"), (6, ""), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, tmp_dir)
+    assert kept.columns == docs.columns
+    want = [(4, text + " more"), (None, "a text alone without an id"), (5, "another text of its own here"), (5, "yet another text under the same id"), (6, ""), (6, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_pipeline(spark):
     """Each stage keeps a subset of whole rows; the last one packs all of them."""
     docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
