@@ -71,7 +71,11 @@ def code_origin(cols: Sequence[str], pattern: str = CODE_PATTERN) -> Optional[Co
         return None
     if len(names) > 1 and joinable(pattern):
         joined = joined_codes(names)
-        return origin_of(joined, found_code(joined, pattern), names)
+        at = F.regexp_instr(joined, F.lit(pattern))
+        before = F.substring(joined, F.lit(1), at - 1)
+        # no condition around the place: what is always evaluated is evaluated once
+        place = F.length(before) - F.length(F.replace(before, F.lit(SEPARATOR), F.lit("")))
+        return F.get(F.array(*[F.lit(c) for c in names]), place - F.when(at == 0, 1).otherwise(0))
     return F.coalesce(*[F.when(extract_code(c, pattern).isNotNull(), F.lit(c)) for c in names])
 
 
