@@ -17,6 +17,8 @@ from epispark.llm.tokenizing import WORD_BPE
 
 #: Toxicity as op10. Quality below op1's 0.7: as many bad documents found, half as many good ones lost (README).
 QUALITY_LEAST, TOXICITY_MOST = 0.5, 0.3
+#: Numbers rows while near copies are looked for.
+ROW = "_row"
 #: Target shares of tokens; a number is an exponent on the observed shares.
 MIX = {"source": 0.8, "lang": 0.9, "topic": 0.95}
 
@@ -26,33 +28,46 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier does not reject."""
+    """Documents that the compression classifier does not reject.
+
+    Null and empty texts have a score as well, repeated rows and ids one each;
+    an empty table gives no rows; other columns are kept as they are."""
     model = quality_compression.fit_compression(docs, _labels(spark, sf_dir), "quality")
     scored = quality_compression.score_quality(docs, model, QUALITY_LEAST)
     return scored.where("predicted = 1").select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine does not reject."""
+    """Documents that the factorization machine does not reject; rows are
+    treated as in ``quality``."""
     model = toxicity_fm.fit_factor_machine(docs, _labels(spark, sf_dir), "toxic")
     scored = toxicity_fm.score_toxicity(docs, model, TOXICITY_MOST)
     return scored.where("predicted = 0").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the least doc_id."""
-    found = minhash_super.near_duplicates(docs, words=5, percent=80)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies: that with the least doc_id.
+
+    Every row is a document: of repeated rows one stays, and rows without an
+    id stay only if no copy has one. Texts without words are no copies of each
+    other, so all of them stay. An empty table gives no rows."""
+    rows = saved(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    found = minhash_super.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), words=5, percent=80)
+    groups = rows.select(ROW, "doc_id").join(found.select(F.col("doc_id").alias(ROW), "component_id"), ROW)
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first"))
+    return rows.join(first.select(f"first.{ROW}"), ROW, "left_semi").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn to the target weights of source, language and topic."""
+    """Documents drawn to the target weights of source, language and topic; a
+    null source or language is a category of its own, repeated rows are drawn
+    apart."""
     return source_mixing.mix(docs, MIX, source_mixing.fit_topics(docs)).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, a sequence each."""
+    """The pieces of all documents, a sequence each; a null or empty text is
+    the end id alone."""
     packed = packing.pack_power_of_two(docs, WORD_BPE, end_id=2, max_length=4096)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "bucket", "sequence_id",
                          "offset", "ids")
