@@ -10,7 +10,7 @@ from epispark.llm import quality_compression, toxicity_fm
 from epispark.llm.common import held_out
 from epispark.llm.queries import QUERIES
 
-from conftest import SF_CHECK
+from conftest import SF_CHECK, SF_SMALL
 from helpers import ODD, auc, crc, no_documents, odd_documents
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -39,6 +39,49 @@ def test_toxicity_held_out(spark):
     assert np.mean([p for _, y, p in ho if y == 1]) > 0.5
 
 
+def test_quality_query_equals_plain_scores(spark):
+    """Each whole text compressed by hand, one at a time, with the dictionaries
+    of the same fit; the logistic written out."""
+    import math
+
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_compression.fit_compression(docs, labels, "quality")
+    plain = dict(level=3, write_checksum=False, write_content_size=False, write_dict_id=False)
+    press = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **plain) for d in (model.good, model.bad)]
+    got = {r.doc_id: r for r in QUERIES["op1_quality"](spark, SF_SMALL).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        data = (r.text or "").encode()
+        g, b = (sum(len(c.compress(data[i:i + 512])) - 4 for i in range(0, len(data), 512)) for c in press)
+        wg, wb = (len(c.compress(data)) for c in press)
+        n = max(1, len(data))
+        x = [(b - g) / max(b, g, 1), g / n, b / n, wg / n, wb / n, (wb - wg) / max(wb, wg, 1), math.log(n)]
+        x += [x[i] * x[j] for i in range(7) for j in range(i, 7)]
+        odds = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], x, model.mean, model.scale))
+        score = 1 / (1 + math.exp(-min(30, max(-30, odds))))
+        assert abs(got[r.doc_id].score - score) < 1e-9 and got[r.doc_id].predicted == int(score >= 0.7)
+        assert got[r.doc_id].held_out == (crc(r.doc_id) % 4 == 2)
+
+
+def test_toxicity_query_equals_the_sum_over_pairs(spark):
+    """Every text by hand: words, weights, and factors of all pairs."""
+    import re
+
+    docs, labels = (spark.read.parquet(f"{SF_CHECK}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity_fm.fit_factor_machine(docs, labels, "toxic")
+    factors = np.frombuffer(model.factors, "<f4").reshape(-1, model.rank).astype(float)
+    place = {h: i for i, h in enumerate(model.terms)}
+    got = {r.doc_id: r for r in QUERIES["op10_toxicity"](spark, SF_CHECK).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        held = sorted({place[h] for h in map(toxicity_fm.term_hash, set(re.findall(r"\w+", (r.text or "").lower()))) if h in place})
+        z = model.bias + sum(model.weights[i] for i in held) + sum(factors[i] @ factors[j] for i, j in itertools.combinations(held, 2))
+        score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        assert abs(got[r.doc_id].score - score) < 1e-9 and got[r.doc_id].predicted == int(score >= 0.3)
+
+
 def test_held_out_fold(spark):
     got = spark.range(200).withColumn("h", held_out(F.col("id"))).collect()
     assert all(r.h == (crc(r.id) % 4 == 2) for r in got)

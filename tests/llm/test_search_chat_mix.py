@@ -269,6 +269,19 @@ def test_query_op9(spark):
     assert all(0 < r.probability <= 1 for r in got)
 
 
+def test_query_op9_meets_its_marginals(spark):
+    """Tokens drawn of the real table, by language and source, beside their targets."""
+    large = "/root/testdata/sf0.1"
+    got = QUERIES["op9_source_mix"](spark, large).groupBy("lang", "source").agg(F.sum("tokens").alias("tokens")).collect()
+    total = sum(r.tokens for r in got)
+    for lang, target in {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}.items():
+        assert abs(sum(r.tokens for r in got if r.lang == lang) / total - target) < 0.03, lang
+    words = spark.read.parquet(f"{large}/documents.parquet").groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()
+    root = {r.source: r.n ** 0.5 for r in words}
+    for source, r in root.items():
+        assert abs(sum(x.tokens for x in got if x.source == source) / total - r / sum(root.values())) < 0.03, source
+
+
 def test_rows_of_one_query_id_are_one_query(spark):
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha delta"), (3, "beta beta zeta")], "doc_id long, text string")
     once = spark.createDataFrame([(7, "alpha beta zeta")], "query_id long, text string")
