@@ -7,7 +7,7 @@ Typical use::
     tables = one_pass_report(reg)            # every report table from one scan
 """
 
-from .operators.codes import code_origin_counts, compare_types, top_codes, top_type, type_distribution
+from .operators.codes import code_origin_counts, compare_types, top_codes, top_type, type_codes, type_distribution
 from .operators.demography import age_distribution, age_pyramid
 from .operators.quality import (
     dataset_metrics,

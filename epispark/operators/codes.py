@@ -2,8 +2,10 @@
 
 The group keys here are the rule groups (≤ 9 values) or detected codes. The
 shipped pattern bounds these to a few hundred spellings, and with them the
-code list of a group; a caller's own pattern should be bounded likewise. The
-percent-of-total window runs on the aggregated rows only.
+code list of a group. For a caller's own pattern with very many codes,
+``list_codes=False`` leaves the lists out, so that no row grows with the codes,
+and ``type_codes`` gives them as rows. The percent-of-total window runs on the
+aggregated rows only.
 """
 
 from __future__ import annotations
@@ -39,21 +41,29 @@ def _code_counts(df: DataFrame) -> DataFrame:
     return counts.withColumns({to: F.lit(None).cast("string") for c, to in names.items() if c not in df.columns})
 
 
-def _type_counts(df: DataFrame) -> DataFrame:
+def _type_counts(df: DataFrame, list_codes: bool = True) -> DataFrame:
     # Folding the counts per code gives the distinct count and the code list
     # exactly, without a distinct aggregate or a collect_set over rows.
+    codes = F.nullif(F.array_join(F.array_sort(F.collect_list("_cid")), ", "), F.lit("")).alias("cids_encontrados")
     return (_code_counts(df).groupBy("grupo_cid", "tipo_agravo_cid10")
-            .agg(F.sum("n").alias("n"), F.count("_cid").alias("cids_distintos_n"),
-                 F.nullif(F.array_join(F.array_sort(F.collect_list("_cid")), ", "), F.lit(""))
-                 .alias("cids_encontrados")))
+            .agg(F.sum("n").alias("n"), F.count("_cid").alias("cids_distintos_n"), *([codes] if list_codes else [])))
 
 
-def type_distribution(df: DataFrame) -> DataFrame:
+def type_codes(df: DataFrame) -> DataFrame:
+    """``grupo_cid, tipo_agravo_cid10, cid, n``: a row per code that occurs, by
+    group and code; what ``type_distribution`` lists, for any number of codes."""
+    return (_code_counts(df).where(F.col("_cid").isNotNull())
+            .select("grupo_cid", "tipo_agravo_cid10", F.col("_cid").alias("cid"), "n")
+            .orderBy(F.asc_nulls_last("grupo_cid"), "cid"))
+
+
+def type_distribution(df: DataFrame, list_codes: bool = True) -> DataFrame:
     """``grupo_cid, tipo_agravo_cid10, n, cids_distintos_n,
     cids_encontrados, pct`` over all filtered rows (rows without a code
     form their own group). The distinct-code list is sorted (the order is
-    otherwise unspecified); ``pct`` is the share of all rows."""
-    agg = _type_counts(df)
+    otherwise unspecified) and left out without ``list_codes``; ``pct`` is the
+    share of all rows."""
+    agg = _type_counts(df, list_codes)
     return (agg.withColumn("pct", percent(F.col("n"), F.sum("n").over(_all())))
             .orderBy(F.desc("n"), F.asc_nulls_last("grupo_cid")))
 

@@ -41,6 +41,17 @@ def test_type_distribution_without_group(spark):
         (None, "t", 2, 2, "A87, G00", 66.67), (None, None, 1, 0, None, 33.33)]
 
 
+def test_types_of_very_many_codes(spark):
+    """A pattern of any code: no row grows with their number."""
+    df = (spark.range(60_000).select(F.concat(F.lit("Z"), (F.col("id") % 20_000).cast("string")).alias("ep_cid"))
+          .withColumn("ep_cid_grupo", F.substring("ep_cid", 1, 2)).withColumn("ep_cid_tipo", F.lit("t")))
+    got = collect(code_ops.type_distribution(df, list_codes=False))
+    assert sum(r["cids_distintos_n"] for r in got) == 20_000 and sum(r["n"] for r in got) == 60_000 and "cids_encontrados" not in got[0]
+    assert "collect_list" not in code_ops.type_distribution(df, list_codes=False)._jdf.queryExecution().optimizedPlan().toString()
+    rows = code_ops.type_codes(df)
+    assert rows.count() == 20_000 and rows.where("n <> 3").count() == 0
+
+
 def test_pyramid_sign(spark):
     df = spark.createDataFrame([(30.0, "Masculino")] * 7 + [(31.0, "Feminino")] * 7 + [(31.0, "X")],
                                "ep_idade double, ep_sexo string")
