@@ -141,7 +141,7 @@ class Block:
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id: int = 1,
-                      block_ids: int = 1 << 24) -> None:
+                      block_ids: int = 1 << 23) -> None:
     """Write the token files of ``docs`` (doc_id: long, text) to ``path``.
 
     Null texts count as empty and give the end id alone; a null doc_id comes
