@@ -10,10 +10,11 @@ import os
 import tempfile
 import zipfile
 from collections import OrderedDict
-from typing import Any, Callable, Dict, Hashable, Iterable, Iterator, List, Optional
+from typing import Any, Callable, Dict, Hashable, Iterable, Iterator, List, Optional, Tuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,31 @@ def texts(column: pa.Array) -> List[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def text_bytes(column: pa.Array) -> Tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of all texts of an Arrow column, one after the other, and
+    the place where each starts, with the end; nulls as empty."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    _, places, data = column.buffers()
+    at = np.frombuffer(places, np.int64, len(column) + 1, 8 * column.offset)
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return whole[at[0]:at[-1]], at - at[0]
+
+
+def text_column(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The Arrow column of texts given as by ``text_bytes``."""
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(data))
+
+
+def spread(values: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray) -> Tuple[np.ndarray, np.ndarray]:
+    """Item i has the ``size[i]`` values from place ``first[i]`` on: the values
+    of the items ``at``, one after the other, and where those of each end."""
+    own = size[at]
+    last = np.cumsum(own)
+    return values[np.repeat(first[at] - (last - own), own) + np.arange(int(last[-1]) if len(last) else 0)], last
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that what a task builds from one stays bounded."""
     for b in batches:

@@ -16,22 +16,26 @@ from __future__ import annotations
 import logging
 import re
 from dataclasses import dataclass
+from itertools import chain
 from typing import Callable, Dict, Iterator, List, Mapping, Optional, Tuple, Union
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import GenerationCache, arrow_map, forget, saved, slices, texts, worker_state
+from .common import arrow_map, forget, saved, slices, spread, text_bytes, text_column, texts
 
 _LOG = logging.getLogger(__name__)
 REST = "(rest)"
 #: More cells than these are joined by a shuffle; fewer go to every task.
 BROADCAST_CELLS = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
+#: ASCII letters in lower case, bytes of other characters as they are, the rest as spaces.
+_WORD_BYTES = np.array([b | 32 if chr(b).isalpha() else 32 for b in range(128)] + list(range(128, 256)), dtype=np.uint8)
 Target = Union[Mapping[str, float], float]
 
 
@@ -44,12 +48,31 @@ class TopicModel:
     means: bytes  # float64, (languages + 1) x slots, the last for all others
 
 
-def _counts(some: List[str], slots: int) -> Iterator[np.ndarray]:
-    """Counts of hashed words of each text."""
-    cache = worker_state(("slots", slots), lambda: GenerationCache(lambda w: xxhash.xxh32_intdigest(w) % slots))
-    for t in some:
-        words = _WORD.findall(t.lower())
-        yield np.bincount(np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words)), minlength=slots)
+def _counts(some: Union[List[str], pa.Array], slots: int) -> np.ndarray:
+    """Counts of hashed words, a row per text.
+
+    ASCII characters that no word holds become spaces and A-Z lower case while
+    the texts are bytes; Arrow cuts them there and finds the distinct strings,
+    which are hashed once each. Those with other letters are first cut by the
+    pattern. A capital sigma's lower case depends on what follows it, so texts
+    are lowered beforehand where there is one."""
+    column = some if isinstance(some, pa.Array) else pa.array(some, pa.string())
+    if pc.any(pc.match_substring(column, "\u03a3")).as_py():
+        column = pa.array([t.lower() for t in texts(column)], pa.string())
+    data, at = text_bytes(column)
+    parts = pc.ascii_split_whitespace(text_column(_WORD_BYTES[data], at))
+    coded = parts.flatten().dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    cut = {i: _WORD.findall(w.lower()) for i, w in enumerate(words) if not w or not w.isascii()}
+    odd, n = list(cut), np.array([len(found) for found in cut.values()], dtype=np.int64)
+    first, size = np.arange(len(words)), np.ones(len(words), dtype=np.int64)
+    first[odd], size[odd] = len(words) + np.cumsum(n) - n, n
+    hashes = map(xxhash.xxh32_intdigest, chain(words, *cut.values()))
+    slot = np.fromiter(hashes, dtype=np.int64, count=len(words) + int(n.sum())) % slots
+    strings = coded.indices.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(column)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    found = np.repeat(row, size[strings]) * slots + spread(slot, first, size, strings)[0]
+    return np.bincount(found, minlength=len(column) * slots).reshape(len(column), slots)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -57,12 +80,9 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
 
 
-def _slot_counts(some: List[str], slots: int) -> np.ndarray:
+def _slot_counts(some: Union[List[str], pa.Array], slots: int) -> np.ndarray:
     """Unit vectors of square-rooted counts of hashed words."""
-    x = np.zeros((len(some), slots))
-    for i, n in enumerate(_counts(some, slots)):
-        x[i] = n
-    return _unit(x)
+    return _unit(_counts(some, slots).astype(float))
 
 
 def _stored(counts: np.ndarray) -> bytes:
@@ -130,8 +150,8 @@ def fit_topics(docs: DataFrame, topics: int = 8, slots: int = 512, seed: int = 5
         raise ValueError("at most 65536 slots")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 512):
-            found = [_stored(n) for n in _counts(texts(b.column(2)), slots)]
+        for b in slices(batches, 1024):
+            found = [_stored(n) for n in _counts(b.column(2), slots)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["key", "lang", "counts"])
 
     rows = docs.where("text is not null").select(F.xxhash64("text", F.lit(seed)).alias("key"), F.col("lang").cast("string").alias("lang"), "text")
@@ -171,11 +191,11 @@ def annotate(docs: DataFrame, model: TopicModel) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = np.frombuffer(model.centres, "<f8").reshape(model.topics, model.slots)
         means = np.frombuffer(model.means, "<f8").reshape(-1, model.slots)
-        for b in slices(batches, 512):
-            some = texts(b.column(b.schema.get_field_index("text")))
-            x = _less_language(_slot_counts(some, model.slots), b.column(b.schema.get_field_index("lang")).to_pylist(), model.languages, means)
+        for b in slices(batches, 1024):
+            column = b.column(b.schema.get_field_index("text"))
+            x = _less_language(_slot_counts(column, model.slots), b.column(b.schema.get_field_index("lang")).to_pylist(), model.languages, means)
             topic = (x @ centres.T).argmax(1).astype(np.int32)
-            tokens = [len(t.split()) for t in some]
+            tokens = [len(t.split()) for t in texts(column)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(topic), pa.array(tokens, pa.int64())], [*b.schema.names, "topic", "tokens"])
 
     base = docs.drop("topic", "tokens")

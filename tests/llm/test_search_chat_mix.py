@@ -6,7 +6,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -252,6 +254,30 @@ def test_topics_are_fitted_on_all_distinct_documents(spark):
         assert np.allclose(centres[k], total / np.sqrt((total * total).sum()), atol=0.02)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text(alphabet=st.sampled_from("abZ '.:_9\u03a3\u0130\u00c9\u00df\u2019\u2164\u00b2\u0663\u0085\n"), max_size=30)), max_size=5))
+def test_word_counts_are_those_of_each_text(rows):
+    rows = [t and t.encode("utf-8", "ignore").decode() for t in rows]
+    for column in (pa.array(["before", *rows, "after"], pa.string()).slice(1, len(rows)), pa.array(rows, pa.large_string())):
+        got = source_mixing._counts(column, 4096)
+        assert got.shape == (len(rows), 4096)
+        for t, n in zip(rows, got):
+            slots = [xxhash.xxh32_intdigest(w) % 4096 for w in re.findall(r"[^\W\d_]+", (t or "").lower())]
+            assert n.tolist() == np.bincount(np.array(slots, dtype=np.int64), minlength=4096).tolist(), t
+
+
+def test_words_are_hashed_once_a_batch(monkeypatch):
+    """The pattern sees distinct strings with letters beyond ASCII only, and a
+    word is hashed once however often and in whichever case texts say it."""
+    cut, hashed = [], []
+    pattern, digest = source_mixing._WORD, xxhash.xxh32_intdigest
+    monkeypatch.setattr(source_mixing, "_WORD", type("Pattern", (), {"findall": staticmethod(lambda t: cut.append(t) or pattern.findall(t))}))
+    monkeypatch.setattr(source_mixing.xxhash, "xxh32_intdigest", lambda w: hashed.append(w) or digest(w))
+    x = source_mixing._slot_counts([f"Word, word; (WORD) word's caf\u00e9 {'x' * (i % 2)}" for i in range(600)], 512)
+    assert x.shape == (600, 512) and [t for t in cut if t] == ["caf\u00e9"]
+    assert sorted(hashed.count(w) for w in ("word", "s", "x")) == [1, 1, 1] and len(hashed) < 10
+
+
 def test_mixing_awkward_rows(spark):
     docs = odd_documents(spark)
     model = source_mixing.fit_topics(docs)
