@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import GenerationCache, worker_state
+from .common import GenerationCache, spread, text_bytes, text_column, worker_state
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -33,6 +33,44 @@ WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: they are and lower case is one to one.
 _PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ÿ]+")
 _PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Kinds of bytes: white space, letters, digits, others of plain words, and
+#: those whose words are not cut as bytes (an apostrophe may begin a piece).
+_SPACE, _LETTER, _DIGIT, _OTHER, _WHOLE = range(5)
+_KINDS = np.array([_SPACE if chr(b) in " \t\n\v\f\r" else _WHOLE if b < 33 or b > 126 or chr(b) in "<'" else
+                   _DIGIT if chr(b).isdigit() else _LETTER if chr(b).isalpha() else _OTHER for b in range(256)], dtype=np.uint8)
+_LOWER = np.array([b | 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+
+
+def _cut(column: pa.Array) -> Tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and where those of each text begin, with the
+    end. A word of ASCII letters, digits and other plain characters comes in
+    lower case and as its pieces, any other as it is."""
+    data, at = text_bytes(column)
+    if not len(data):
+        return text_column(data, np.zeros(1, np.int64)), np.zeros(len(at), np.int64)
+    kind = _KINDS[data]
+    inside = kind != _SPACE
+    rows = at[(at > 0) & (at < len(data))]
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1]
+    starts[rows] = inside[rows]
+    ends[:-1] &= ~inside[1:]
+    ends[rows - 1] = inside[rows - 1]
+    words, stops = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    whole = np.maximum.reduceat(kind, words) == _WHOLE if len(words) else np.zeros(0, bool)
+    begins = starts.copy()
+    begins[1:] |= inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+    begins = np.flatnonzero(begins)
+    first = starts[begins]
+    word = np.cumsum(first) - 1
+    kept = first | ~whole[word]
+    begins, first, word = begins[kept], first[kept], word[kept]
+    # a piece ends where the next of its word begins, the last with the word
+    last = np.append(first[1:], True)[:len(first)]
+    size = np.where(last, stops[word], np.append(begins[1:], 0)[:len(begins)]) - begins
+    data = data[inside]
+    data = np.where(np.repeat(whole, stops - words), data, _LOWER[data])
+    return text_column(data, np.concatenate([[0], np.cumsum(size)])), np.searchsorted(begins, at)
 
 
 def resolve(tokenizer: str) -> str:
@@ -69,10 +107,10 @@ class WordEncoder:
         dropping = (first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
                     and "\\s" in str(first.get("pattern")) and conf.get("post_processor") is None)
         plain = dropping and first["pattern"].get("Regex") == WORD_SPLIT
-        self.by_word = bool(dropping)
+        self.by_word, self.plain = bool(dropping), bool(plain)
         letters = _byte_letters()
         self.map = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(33, 256)}
-        # a batch looks a word up once; pieces are found again where words differ
+        # a batch looks a word up once; pieces of words that are not cut as bytes are found again where words differ
         self.pieces = GenerationCache(self._piece, capacity // 3 if plain else capacity)
         self.words = GenerationCache(self._plain_word if plain else self._word, capacity)
 
@@ -87,6 +125,8 @@ class WordEncoder:
         return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
 
     def _plain_word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():  # one piece, kept as a word
+            return self._piece(word.lower())
         if not _PLAIN.fullmatch(word):
             return self._ids(word)
         return b"".join(map(self.pieces.__getitem__, _PLAIN_SPLIT.findall(word.lower())))
@@ -98,24 +138,24 @@ class WordEncoder:
         return self._ids(text)
 
     def encode_column(self, column: pa.Array) -> Tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts of a column, their ends). Arrow splits the texts
-        and finds the distinct words; only these are looked up one by one."""
+        """(ids of all texts of a column, their ends). Words, and pieces of
+        plain words, are cut as bytes; only the distinct ones are looked up one
+        by one."""
         column = pc.fill_null(column, "")
         if not self.by_word:
             parts = [self._ids(t) for t in column.to_pylist()]
             ends = np.cumsum([len(p) // self.dtype.itemsize for p in parts], dtype=np.int64)
             return np.frombuffer(b"".join(parts), self.dtype), ends
-        words = pc.ascii_split_whitespace(column)
-        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        coded = words.flatten().dictionary_encode()
-        parts = [self.words[w] for w in coded.dictionary.to_pylist()]
-        size = np.array([len(p) // self.dtype.itemsize for p in parts], dtype=np.int64)
-        first = np.cumsum(size) - size
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        own = size[at]
-        last = np.cumsum(own)
-        from_ = np.repeat(first[at] - (last - own), own) + np.arange(int(last[-1]) if len(last) else 0)
-        ids = np.frombuffer(b"".join(parts), self.dtype)[from_]
+        if self.plain:
+            words, edges = _cut(column)
+        else:
+            words = pc.ascii_split_whitespace(column)
+            edges = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            words = words.flatten()
+        coded = words.dictionary_encode()
+        parts = list(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // self.dtype.itemsize
+        ids, last = spread(np.frombuffer(b"".join(parts), self.dtype), np.cumsum(size) - size, size, coded.indices.to_numpy(zero_copy_only=False))
         return ids, np.concatenate([[0], last])[edges[1:]]
 
 

@@ -4,6 +4,7 @@ import glob
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -39,6 +40,25 @@ def test_words_encode_as_the_library(text):
     assert np.frombuffer(WORDS.encode(text), WORDS.dtype).tolist() == TOK.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text(alphabet=st.sampled_from("abZsT  \n.,'<|>!019-_éÀ×ªΣ漢\u0085\x1c\x00"), max_size=30)), max_size=6))
+def test_columns_encode_as_the_library(rows):
+    rows = [t and t.encode("utf-8", "ignore").decode() for t in rows]
+    for column in (pa.array(["<|endoftext|> be", *rows, "after"], pa.string()).slice(1, len(rows)), pa.array(rows, pa.large_string())):
+        ids, ends = WORDS.encode_column(column)
+        got = [ids[lo:hi].tolist() for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        assert got == [TOK.encode(t or "", add_special_tokens=False).ids for t in rows] and len(ids) == sum(map(len, got))
+
+
+def test_pieces_of_a_batch_are_looked_up_once():
+    """A word's case and the signs about it bring no entries of their own."""
+    enc = WordEncoder(WORD_BPE)
+    before = ["Word, word; (WORD) word. word's 12", "word-word 12word <|endoftext|>"] * 50
+    ids, ends = enc.encode_column(pa.array(before))
+    assert ids[:ends[1]].tolist() == [i for t in before[:2] for i in TOK.encode(t, add_special_tokens=False).ids]
+    assert sorted(enc.words) == sorted(["word", ",", ";", "(", ")", ".", "word's", "1", "2", "-", "<|endoftext|>"])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(" \n\t▁aé.,'x3<>|s ﬁ漢"), max_size=40))
 def test_pieces_add_up(text):
