@@ -1,12 +1,13 @@
 """Exact top-k search by BM25 with block-max pruning (operator 3).
 
 Documents are dealt into shards of bounded size. Each shard holds an inverted
-index: for every term the blocks of documents that have it, with the largest
-impact in the block. For a query the block
-maxima add up to a bound for every block. Blocks are scored in falling order
-of their bounds, from the postings of the query's terms that lie in them, and
-the search ends at the first block whose bound is below the k-th best score so
-far. Document counts, term frequencies and the average
+index: every term's postings, and for the terms of very many documents, whose
+postings would be most of the work and weigh least, also the largest impact in
+each block of documents. For a query the postings of its other terms are added
+up; with the block maxima of the frequent ones they bound every document's
+score. Documents are completed in falling order of their bounds, until all
+bounds left are below the k-th best score; blocks without a document above it
+are skipped. Document counts, term frequencies and the average
 length are those of all documents, so scores of different shards compare and
 the merge of the shards' best k is exact.
 """
@@ -22,26 +23,49 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GenerationCache, arrow_map, runs, saved, slices, texts, worker_state
+from .common import arrow_map, hashed_words, runs, saved, slices, text_bytes
 
 _TERM = re.compile(r"[^\W_]+")
+#: ASCII letters in lower case, digits and bytes of other characters as they are, the rest as spaces.
+_TERM_BYTES = bytes(ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
 K1, B = 1.2, 0.75
 
 
-def terms_of(text: str) -> Tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct term hashes of a text and their counts."""
-    cache = worker_state("terms", lambda: GenerationCache(lambda w: xxhash.xxh64_intdigest(w.encode()) >> 1))
-    words = _TERM.findall(text.lower())
-    terms, counts = np.unique(np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words)), return_counts=True)
-    return terms, counts.astype(np.int32)
+def bags_of(column: pa.Array, most: int = 1 << 23) -> Iterator[Tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct term hashes of each text and their counts. About ``most``
+    bytes of texts are cut into words at once."""
+    edges = text_bytes(column)[1]
+    place = 0
+    while place < len(column):
+        stop = max(place + 1, int(np.searchsorted(edges, edges[place] + most, side="right")) - 1)
+        yield from _bags(column.slice(place, stop - place))
+        place = stop
+
+
+def _bags(column: pa.Array) -> Iterator[Tuple[np.ndarray, np.ndarray]]:
+    hashes, place, row = hashed_words(column, _TERM_BYTES, _TERM.findall, xxhash.xxh64_intdigest)
+    distinct, code = np.unique((hashes >> np.uint64(1)).astype(np.int64), return_inverse=True)
+    key = row * len(distinct) + code[place]
+    key.sort()
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    counts = np.diff(np.append(new, len(key))).astype(np.int32)
+    key = key[new]
+    terms = distinct[key % max(1, len(distinct))]
+    ends = np.searchsorted(key, np.arange(1, len(column) + 1) * len(distinct)) if len(distinct) else np.zeros(len(column), np.int64)
+    first = 0
+    for last in ends.tolist():
+        yield terms[first:last], counts[first:last]
+        first = last
 
 
 class Shard:
-    """The index of one shard: postings by term and document, cut into runs per
-    block, with the largest impact of each run. Documents are ordered by their most frequent
-    term and length, which puts like documents into one block."""
+    """The index of one shard: postings by term and document. Frequent terms,
+    those of at least ``FREQUENT`` of the documents, have a column of impacts
+    by document and their largest ones by block instead, ``COLUMNS`` at most.
+    Documents are ordered by their most frequent term and length, which puts
+    like documents into one block."""
 
-    BLOCK = 32
+    BLOCK, FREQUENT, COLUMNS = 16, 0.2, 256
 
     def __init__(self, ids: List[int], bags: List[Tuple[np.ndarray, np.ndarray]], mean_length: float):
         length = np.array([c.sum() for _, c in bags], dtype=float)
@@ -61,59 +85,69 @@ class Shard:
         terms, self.doc, self.impact = terms[by], doc[by], impact[by]
         del by, doc, impact
         self.blocks = -(-len(self.ids) // self.BLOCK)
-        block = self.doc // self.BLOCK
-        # an entry is the run of a term's postings within one block
-        new = np.flatnonzero(np.r_[True, (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])]) if len(terms) else np.empty(0, int)
-        self.entry = np.append(new, len(terms))
-        self.max_block = block[new]
-        self.max_impact = np.maximum.reduceat(self.impact, new) if len(new) else np.empty(0)
-        head = np.flatnonzero(np.r_[True, terms[new][1:] != terms[new][:-1]]) if len(new) else np.empty(0, int)
-        self.vocabulary = terms[new][head]
-        self.first = np.append(head, len(new))
+        head = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.empty(0, int)
+        self.vocabulary = terms[head]
+        self.first = np.append(head, len(terms))
+        size = np.diff(self.first)
+        often = np.flatnonzero(size >= self.FREQUENT * len(self.ids))
+        often = often[np.argsort(-size[often], kind="stable")[:self.COLUMNS]]
+        self.column = np.full(len(self.vocabulary), -1)
+        self.column[often] = np.arange(len(often))
+        self.frequent = np.zeros((self.blocks * self.BLOCK, len(often)))
+        for j, i in enumerate(often):
+            at = slice(self.first[i], self.first[i + 1])
+            self.frequent[self.doc[at], j] = self.impact[at]
+        self.block_max = self.frequent.reshape(self.blocks, self.BLOCK, len(often)).max(1)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> Tuple[np.ndarray, np.ndarray, int]:
-        """(ids, scores, blocks scored) of the k best documents that hold a
-        query term, by falling score, then id."""
+        """(ids, scores, blocks with completed documents) of the k best
+        documents that hold a query term, by falling score, then id."""
         at = np.searchsorted(self.vocabulary, terms)
         at[at == len(self.vocabulary)] = 0
         here = self.vocabulary[at] == terms if len(self.vocabulary) else np.zeros(len(terms), bool)
         at, w = at[here], weights[here]
         if not len(at):
             return np.empty(0, np.int64), np.empty(0), 0
-        size = self.first[at + 1] - self.first[at]
-        entry = _ranges(self.first[at], size)
-        weight = np.repeat(w, size)
-        block = self.max_block[entry]
-        bound = np.bincount(block, weight * self.max_impact[entry], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        open_ = int((bound > 0).sum())
-        ids, scores = np.empty(0, np.int64), np.empty(0)
-        scored, step = 0, 4
-        while scored < open_:
-            # blocks whose bound is below the k-th best score cannot hold better
-            if len(ids) == k:
-                open_ = int(np.searchsorted(-bound[order[:open_]], -(scores[-1] - 1e-6) / (1 + 1e-9), side="right"))
-                if scored >= open_:
-                    break
-            chosen = np.zeros(self.blocks, dtype=bool)
-            chosen[order[scored:min(scored + step, open_)]] = True
-            scored = min(scored + step, open_)
-            step *= 4
-            some = np.flatnonzero(chosen[block])
-            runs_ = self.entry[entry[some] + 1] - self.entry[entry[some]]
-            posting = _ranges(self.entry[entry[some]], runs_)
-            sums = np.bincount(self.doc[posting], np.repeat(weight[some], runs_) * self.impact[posting], len(self.ids))
-            hit = np.flatnonzero(sums)
-            ids, scores = np.concatenate([ids, self.ids[hit]]), np.concatenate([scores, np.round(sums[hit], 6)])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-        return ids, scores, scored
-
-
-def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """first[0], first[0] + 1, ... for ``size[0]`` places, then of first[1] ..."""
-    last = np.cumsum(size)
-    return np.repeat(first - (last - size), size) + np.arange(last[-1] if len(last) else 0)
+        column = self.column[at]
+        rare, often = np.flatnonzero(column < 0), np.flatnonzero(column >= 0)
+        column = column[often]
+        first, last = self.first[at[rare]], self.first[at[rare] + 1]
+        lists = [slice(*ends) for ends in zip(first.tolist(), last.tolist())]
+        doc = np.concatenate([self.doc[i] for i in lists]) if lists else np.empty(0, np.int32)
+        value = np.concatenate([self.impact[i] for i in lists]) if lists else np.empty(0)
+        value *= np.repeat(w[rare], last - first)
+        part = np.bincount(doc, value, len(self.ids))
+        bound = part + np.repeat(self.block_max[:, column] @ w[often], self.BLOCK)[:len(part)]
+        left = np.flatnonzero(bound > 0)
+        done, score = np.empty(0, np.int64), np.empty(0)
+        least, step = 0.0, max(64, 4 * k)
+        while len(left):
+            # documents whose bound is below the k-th best score cannot be better
+            some = left if len(left) <= step else left[np.argpartition(-bound[left], step)[:step]]
+            done = np.concatenate([done, some])
+            score = np.concatenate([score, part[some] + self._impacts(some, column) @ w[often]])
+            if len(done) >= k:
+                least = (np.partition(score, len(score) - k)[len(score) - k] - 2e-6) / (1 + 1e-9)
+            bound[some] = 0
+            left = left[(bound[left] > 0) & (bound[left] >= least)]
+            step *= 8
+        best = done[(score > 0) & (score >= least)]
+        # the sums of the best once more in the order of terms, so that equal documents are equal in every shard
+        place = np.full(len(part), -1)
+        place[best] = np.arange(len(best))
+        mine = np.flatnonzero(place[doc] >= 0)
+        impacts = self._impacts(best, column)
+        row, j = np.nonzero(impacts)
+        term = np.concatenate([rare[np.searchsorted(np.cumsum(last - first), mine, side="right")], often[j]])
+        order = np.argsort(term, kind="stable")
+        sums = np.bincount(np.concatenate([place[doc[mine]], row])[order], np.concatenate([value[mine], impacts[row, j] * w[often[j]]])[order], len(best))
+        ids, scores = self.ids[best], np.round(sums, 6)
+        best = np.lexsort((ids, -scores))[:k]
+        return ids[best], scores[best], len(np.unique(done // self.BLOCK))
+
+    def _impacts(self, docs: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Impacts of frequent terms, a row per document."""
+        return self.frequent.take((docs * self.frequent.shape[1])[:, None] + columns)
 
 
 def global_statistics(docs: DataFrame) -> Tuple[int, float, DataFrame]:
@@ -131,8 +165,7 @@ def global_statistics(docs: DataFrame) -> Tuple[int, float, DataFrame]:
                  pa.array(np.r_[length, np.zeros(k - 1)].astype(np.int64))], ["term", "df", "docs", "length"])
 
         for b in slices(batches, 1024):
-            for t in texts(b.column(0)):
-                terms, counts = terms_of(t)
+            for terms, counts in bags_of(b.column(0)):
                 held.append(terms)
                 size += len(terms)
                 n += 1
@@ -169,7 +202,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_documents: in
 
     def query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512):
-            bags = [terms_of(t)[0] for t in texts(b.column(1))]
+            bags = [terms for terms, _ in bags_of(b.column(1))]
             ids = np.repeat(b.column(0).to_numpy(), [len(t) for t in bags])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(bags) if bags else [], pa.int64())], ["query_id", "term"])
 
@@ -193,7 +226,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard_documents: in
                 at, ids, bags_, index = key[0], [], [], None
             if key[1] == 0:
                 ids += part["id"].to_pylist()
-                bags_ += [terms_of(t) for t in texts(part["text"])]
+                bags_ += bags_of(part["text"])
                 continue
             if index is None:
                 index = Shard(ids, bags_, mean_length)

@@ -10,6 +10,7 @@ import os
 import tempfile
 import zipfile
 from collections import OrderedDict
+from itertools import chain
 from typing import Any, Callable, Dict, Hashable, Iterable, Iterator, List, Optional, Tuple
 
 import numpy as np
@@ -122,6 +123,56 @@ def spread(values: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarr
     return values[np.repeat(first[at] - (last - own), own) + np.arange(int(last[-1]) if len(last) else 0)], last
 
 
+def hashed_words(column: pa.Array, letters: bytes, cut: Callable[[str], List[str]], digest: Callable[[str], int]) -> Tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of lowered texts: the hashes of the distinct ones of the column,
+    and for each occurrence, text by text, its place among them and its text.
+
+    ``letters`` maps ASCII characters that no word holds to spaces and the
+    others, but for bytes of other characters, to lower case; texts are cut at
+    those spaces as bytes. Distinct strings are hashed once each, those with
+    other characters after ``cut``. A capital sigma's lower case depends on
+    what follows it, so texts are lowered beforehand where there is one."""
+    data, at = text_bytes(column)
+    if b"\xce\xa3" in data.tobytes():
+        data, at = text_bytes(pa.array([t.lower() for t in texts(column)], pa.large_string()))
+    data = np.frombuffer(data.tobytes().translate(letters), np.uint8)
+    starts, ends = word_edges(data != 32, at)
+    size = ends - starts
+    coded = text_column(data[data != 32], np.concatenate([[0], np.cumsum(size)])).dictionary_encode()
+    words = coded.dictionary
+    place, row = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), np.diff(np.searchsorted(starts, at)))
+    own, edges = text_bytes(words)
+    odd = np.unique(np.searchsorted(edges, np.flatnonzero(own > 127), side="right") - 1)
+    words = words.to_numpy(zero_copy_only=False).tolist()
+    cuts = {}
+    for i in odd.tolist():
+        found = cut(words[i].lower())
+        if len(found) == 1:
+            words[i] = found[0]
+        else:
+            cuts[i] = found
+    n = np.array([len(found) for found in cuts.values()], dtype=np.int64)
+    hashes = np.fromiter(map(digest, chain(words, *cuts.values())), dtype=np.uint64, count=len(words) + int(n.sum()))
+    if cuts:
+        odd, first, size = list(cuts), np.arange(len(words)), np.ones(len(words), dtype=np.int64)
+        first[odd], size[odd] = len(words) + np.cumsum(n) - n, n
+        row = np.repeat(row, size[place])
+        place = spread(np.arange(len(hashes)), first, size, place)[0]
+    return hashes, place, row
+
+
+def word_edges(inside: np.ndarray, at: np.ndarray) -> Tuple[np.ndarray, np.ndarray]:
+    """Where the runs of ``inside`` begin and end; ``at`` are the places where
+    texts start, with the end, which no run goes beyond."""
+    rows = at[(at > 0) & (at < len(inside))]
+    starts, ends = inside.copy(), inside.copy()
+    starts[1:] &= ~inside[:-1]
+    starts[rows] = inside[rows]
+    ends[:-1] &= ~inside[1:]
+    ends[rows - 1] = inside[rows - 1]
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that what a task builds from one stays bounded."""
     for b in batches:

@@ -82,6 +82,59 @@ def test_blocks_are_skipped():
     assert scored < index.blocks / 4
 
 
+def test_documents_are_skipped_by_what_frequent_terms_can_add():
+    """Sixty light terms, forty in each document, and a few heavy ones: the
+    light ones alone bring no document among the best, and few are completed."""
+    rng = np.random.default_rng(4)
+    bags = [np.unique(np.r_[rng.choice(60, 40, False), 1000 + rng.integers(0, 400, 6)]) for _ in range(2048)]
+    weight = np.where(np.arange(1400) < 60, 0.05, 5.0)
+    index = bm25_wand.Shard(list(range(2048)), [(t, np.ones(len(t), dtype=np.int32)) for t in bags], 45.0)
+    for query in bags[:20]:
+        ids, scores, scored = index.search(query, weight[query], 3)
+        full = sorted((-round(float(weight[np.intersect1d(t, query)].sum() * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(t) / 45))), 6), i) for i, t in enumerate(bags))
+        assert ids.tolist() == [i for _, i in full[:3]] and np.allclose(scores, [-s for s, _ in full[:3]])
+        assert scored < 0.6 * index.blocks
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(-9, 9), st.lists(st.sampled_from(range(24)), max_size=30)), min_size=1, max_size=60), st.integers(1, 12))
+def test_shard_search_is_a_full_search(rows, k):
+    """Ids occur again, texts are copied, terms are in all documents or one."""
+    bags = [tuple(np.unique(np.array(t, dtype=np.int64) ** 2, return_counts=True)) for _, t in rows]
+    index = bm25_wand.Shard([i for i, _ in rows], list(bags), 8.0)
+    for query, _ in [*bags[:3], (np.arange(600), None)]:
+        weight = 1 + query % 7
+        full = []
+        for (i, _), (t, c) in zip(rows, bags):
+            mine = np.isin(t, query)
+            if mine.any():
+                full.append((-round(float(((1 + t % 7) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * c.sum() / 8)))[mine].sum()), 6), i))
+        ids, scores, _ = index.search(query, weight.astype(float), k)
+        assert np.allclose(scores, [-s for s, _ in sorted(full)[:k]], atol=2e-6) and len(ids) == min(k, len(full))
+        assert ids.tolist() == [i for _, i in sorted((-s, i) for i, s in zip(ids.tolist(), scores))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text(alphabet=st.sampled_from("abZ '.:_9\u03a3\u0130\u00c9\u00df\u2019\u2164\u00b2\u0663\u0085\n"), max_size=30)), max_size=5), st.integers(1, 60))
+def test_terms_of_a_column_are_those_of_each_text(rows, most):
+    rows = [t and t.encode("utf-8", "ignore").decode() for t in rows]
+    got = list(bm25_wand.bags_of(pa.array(["before", *rows, "after"], pa.string()).slice(1, len(rows)), most))
+    assert len(got) == len(rows)
+    for t, (terms, counts) in zip(rows, got):
+        want = Counter(xxhash.xxh64_intdigest(w) >> 1 for w in re.findall(r"[^\W_]+", (t or "").lower()))
+        assert terms.dtype == np.int64 and counts.dtype == np.int32
+        assert list(zip(terms.tolist(), counts.tolist())) == sorted(want.items())
+
+
+def test_terms_are_hashed_once_a_batch(monkeypatch):
+    cut, hashed = [], []
+    pattern, digest = bm25_wand._TERM, xxhash.xxh64_intdigest
+    monkeypatch.setattr(bm25_wand, "_TERM", type("Pattern", (), {"findall": staticmethod(lambda t: cut.append(t) or pattern.findall(t))}))
+    monkeypatch.setattr(bm25_wand.xxhash, "xxh64_intdigest", lambda w: hashed.append(w) or digest(w))
+    got = list(bm25_wand.bags_of(pa.array([f"Word, word; (WORD) word's caf\u00e9 {'x' * (i % 2)}" for i in range(600)])))
+    assert len(got) == 600 and got[0][1].sum() == 6 and cut == ["caf\u00e9"] and sorted(hashed) == ["caf\u00e9", "s", "word", "x"]
+
+
 CHAT = st.lists(st.sampled_from([*chat_format.CONTROLS, "\\", "#", "<", "/turn>", " ", "\n", "ok", "é漢", ":", "### ", "<|endoftext|>"]), max_size=8).map("".join)
 
 
