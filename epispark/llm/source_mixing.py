@@ -16,7 +16,6 @@ from __future__ import annotations
 import logging
 import re
 from dataclasses import dataclass
-from itertools import chain
 from typing import Callable, Dict, Iterator, List, Mapping, Optional, Tuple, Union
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .common import arrow_map, forget, saved, slices, spread, text_bytes, text_column, texts
+from .common import arrow_map, forget, hashed_words, saved, slices, text_bytes, word_edges
 
 _LOG = logging.getLogger(__name__)
 REST = "(rest)"
@@ -35,7 +34,15 @@ REST = "(rest)"
 BROADCAST_CELLS = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: ASCII letters in lower case, bytes of other characters as they are, the rest as spaces.
-_WORD_BYTES = np.array([b | 32 if chr(b).isalpha() else 32 for b in range(128)] + list(range(128, 256)), dtype=np.uint8)
+_WORD_BYTES = bytes(b | 32 if chr(b).isalpha() else 32 for b in range(128)) + bytes(range(128, 256))
+#: ASCII white space as spaces.
+_BLANKED = bytes(32 if chr(b).isspace() else b for b in range(128)) + bytes(range(128, 256))
+#: The other characters of white space, as the three bytes they begin with or fill, and the first of these bytes.
+_WIDE = [chr(c).encode() for c in range(128, 1 << 16) if chr(c).isspace()]
+_WIDE_SPACES = [int.from_bytes(c.ljust(3, b"\0"), "big") for c in _WIDE]
+_WIDE_LEADS = bytes(b in {c[0] for c in _WIDE} for b in range(256))
+#: A count as it is stored.
+_CELL = np.dtype([("slot", "<u2"), ("n", "<u4")])
 Target = Union[Mapping[str, float], float]
 
 
@@ -49,30 +56,25 @@ class TopicModel:
 
 
 def _counts(some: Union[List[str], pa.Array], slots: int) -> np.ndarray:
-    """Counts of hashed words, a row per text.
-
-    ASCII characters that no word holds become spaces and A-Z lower case while
-    the texts are bytes; Arrow cuts them there and finds the distinct strings,
-    which are hashed once each. Those with other letters are first cut by the
-    pattern. A capital sigma's lower case depends on what follows it, so texts
-    are lowered beforehand where there is one."""
+    """Counts of hashed words, a row per text."""
     column = some if isinstance(some, pa.Array) else pa.array(some, pa.string())
-    if pc.any(pc.match_substring(column, "\u03a3")).as_py():
-        column = pa.array([t.lower() for t in texts(column)], pa.string())
+    hashes, place, row = hashed_words(column, _WORD_BYTES, _WORD.findall, xxhash.xxh32_intdigest)
+    slot = (hashes % np.uint64(slots)).astype(np.int64)
+    return np.bincount(row * slots + slot[place], minlength=len(column) * slots).reshape(len(column), slots)
+
+
+def _tokens(column: pa.Array) -> np.ndarray:
+    """White-space separated words of each text. Those of texts with white
+    space beyond ASCII are split one by one."""
     data, at = text_bytes(column)
-    parts = pc.ascii_split_whitespace(text_column(_WORD_BYTES[data], at))
-    coded = parts.flatten().dictionary_encode()
-    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-    cut = {i: _WORD.findall(w.lower()) for i, w in enumerate(words) if not w or not w.isascii()}
-    odd, n = list(cut), np.array([len(found) for found in cut.values()], dtype=np.int64)
-    first, size = np.arange(len(words)), np.ones(len(words), dtype=np.int64)
-    first[odd], size[odd] = len(words) + np.cumsum(n) - n, n
-    hashes = map(xxhash.xxh32_intdigest, chain(words, *cut.values()))
-    slot = np.fromiter(hashes, dtype=np.int64, count=len(words) + int(n.sum())) % slots
-    strings = coded.indices.to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(column)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
-    found = np.repeat(row, size[strings]) * slots + spread(slot, first, size, strings)[0]
-    return np.bincount(found, minlength=len(column) * slots).reshape(len(column), slots)
+    starts, _ = word_edges(np.frombuffer(data.tobytes().translate(_BLANKED), np.uint8) != 32, at)
+    n = np.diff(np.searchsorted(starts, at))
+    lead = np.flatnonzero(np.frombuffer(data.tobytes().translate(_WIDE_LEADS), bool))
+    wide = data[lead].astype(np.int32) << 16 | data[lead + 1].astype(np.int32) << 8
+    wide |= np.where(data[lead] >= 0xE0, data[np.minimum(lead + 2, len(data) - 1)], 0)
+    for i in np.unique(np.searchsorted(at, lead[np.isin(wide, _WIDE_SPACES)], side="right") - 1).tolist():
+        n[i] = len(column[i].as_py().split())
+    return n
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -85,18 +87,21 @@ def _slot_counts(some: Union[List[str], pa.Array], slots: int) -> np.ndarray:
     return _unit(_counts(some, slots).astype(float))
 
 
-def _stored(counts: np.ndarray) -> bytes:
-    """Places (uint16) and values (uint32) of the counts that are not zero."""
-    at = np.flatnonzero(counts)
-    return at.astype("<u2").tobytes() + counts[at].astype("<u4").tobytes()
+def _stored(counts: np.ndarray) -> pa.Array:
+    """The cells that are not zero, a binary of them per row."""
+    row, at = np.nonzero(counts)
+    cells = np.empty(len(at), dtype=_CELL)
+    cells["slot"], cells["n"] = at, counts[row, at]
+    ends = (np.searchsorted(row, np.arange(len(counts) + 1)) * _CELL.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(cells.tobytes())])
 
 
 def _loaded(column: pa.Array, slots: int) -> np.ndarray:
     """The unit vectors of stored counts."""
     x = np.zeros((len(column), slots))
-    for i, data in enumerate(column.to_pylist()):
-        n = len(data) // 6
-        x[i, np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<u4", n, 2 * n)
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False) // _CELL.itemsize
+    cells = np.frombuffer(b"".join(column.to_pylist()), _CELL)
+    x[np.repeat(np.arange(len(column)), size), cells["slot"]] = cells["n"]
     return _unit(x)
 
 
@@ -151,8 +156,7 @@ def fit_topics(docs: DataFrame, topics: int = 8, slots: int = 512, seed: int = 5
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):
-            found = [_stored(n) for n in _counts(b.column(2), slots)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["key", "lang", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _stored(_counts(b.column(2), slots))], ["key", "lang", "counts"])
 
     rows = docs.where("text is not null").select(F.xxhash64("text", F.lit(seed)).alias("key"), F.col("lang").cast("string").alias("lang"), "text")
     vectors = saved(arrow_map(rows, count, "key long, lang string, counts binary").distinct(), "vectors")
@@ -195,8 +199,7 @@ def annotate(docs: DataFrame, model: TopicModel) -> DataFrame:
             column = b.column(b.schema.get_field_index("text"))
             x = _less_language(_slot_counts(column, model.slots), b.column(b.schema.get_field_index("lang")).to_pylist(), model.languages, means)
             topic = (x @ centres.T).argmax(1).astype(np.int32)
-            tokens = [len(t.split()) for t in texts(column)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(topic), pa.array(tokens, pa.int64())], [*b.schema.names, "topic", "tokens"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(topic), pa.array(_tokens(column), pa.int64())], [*b.schema.names, "topic", "tokens"])
 
     base = docs.drop("topic", "tokens")
     return arrow_map(base, add, StructType(list(base.schema.fields)).add("topic", IntegerType()).add("tokens", LongType()))

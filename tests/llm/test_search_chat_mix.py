@@ -331,6 +331,47 @@ def test_words_are_hashed_once_a_batch(monkeypatch):
     assert sorted(hashed.count(w) for w in ("word", "s", "x")) == [1, 1, 1] and len(hashed) < 10
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text(alphabet=st.sampled_from("ab .\u00e9\u2019\u6f22\U0001f600\x1c\x1f\u0085\u00a0\u1680\u2003\u2028\u205f\u3000\u200b\n"), max_size=30)), max_size=6))
+def test_tokens_are_those_of_split(rows):
+    rows = [t and t.encode("utf-8", "ignore").decode() for t in rows]
+    for column in (pa.array(["before", *rows, "after"], pa.string()).slice(1, len(rows)), pa.array(rows, pa.large_string())):
+        assert source_mixing._tokens(column).tolist() == [len((t or "").split()) for t in rows]
+
+
+def test_stored_counts_come_back():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 90000, (50, 300)) * (rng.random((50, 300)) < 0.1)
+    counts[[0, 7, 49]] = 0
+    stored = source_mixing._stored(counts)
+    assert stored.type == pa.binary() and pa.concat_arrays([stored]).validate(full=True) is None
+    for lo, hi in ((0, 50), (3, 20), (7, 8), (9, 9)):
+        assert np.array_equal(source_mixing._loaded(stored.slice(lo, hi - lo), 300), source_mixing._unit(counts[lo:hi].astype(float)))
+
+
+def test_only_texts_with_wide_spaces_are_split_one_by_one():
+    """Neither other characters beyond ASCII nor quotation marks make a text
+    go through Python's split."""
+    column = pa.array(["caf\u00e9 \u2019x\u2019 \u6f22\u5b57 y"] * 500 + ["a\u00a0b c"])
+
+    class Seen:
+        def __init__(self):
+            self.read = []
+
+        def __getitem__(self, i):
+            self.read.append(i)
+            return column[i]
+
+        def __getattr__(self, name):
+            return getattr(column, name)
+
+        def __len__(self):
+            return len(column)
+
+    seen = Seen()
+    assert source_mixing._tokens(seen).tolist() == [4] * 500 + [3] and seen.read == [500]
+
+
 def test_mixing_awkward_rows(spark):
     docs = odd_documents(spark)
     model = source_mixing.fit_topics(docs)
