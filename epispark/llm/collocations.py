@@ -11,14 +11,16 @@
 4. A task adds up the n-grams of its blocks in counting quotient filters, one
    per range of the permuted keys. Ranges are shuffled and merged; where there
    are more than a task can hold, in several levels, each splitting further.
-   The permutation spreads a frequent word's phrases over all ranges.
+   The permutation spreads a frequent word's phrases over all ranges. A long
+   block, a full task and a merged range are gone through piece by piece, so
+   that a worker needs little beyond the entries it holds.
 5. Merged filters are read back to ids and exact counts; phrases are scored
    by joins on ids.
 """
 
 from __future__ import annotations
 
-from typing import Dict, Iterator, List, Tuple
+from typing import Dict, Iterator, List, Optional, Tuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,9 @@ BLOCK = "block long, lang string, words array<binary>, counts array<long>, width
 
 #: Bytes of text in a block, and entries a task holds before it writes filters.
 BLOCK_BYTES, TASK_ENTRIES = 1 << 21, 1 << 21
+#: Words of a block whose phrases are packed at once, and bits by which a task's
+#: entries are dealt out to be written.
+PIECE_WORDS, PIECE_BITS = 1 << 17, 5
 #: Entries in a range that one task merges, and bits by which a level splits.
 RANGE_ENTRIES, LEVEL_BITS = 1 << 22, 9
 
@@ -119,12 +124,12 @@ def word_ids(blocks: DataFrame, least: int) -> Tuple[DataFrame, DataFrame, int]:
     return numbered.select((first + F.col("place")).alias("id"), "lang", F.col("word").cast("string").alias("word"), "f"), total, at - 1
 
 
-def _packed(ids: np.ndarray, bits: int) -> Tuple[np.ndarray, np.ndarray]:
+def _packed(ids: np.ndarray, bits: int, starts: Optional[int] = None) -> Tuple[np.ndarray, np.ndarray]:
     """(high, low) halves of all phrases of two and three words in a row of
-    ids, where 0 ends a phrase."""
+    ids, where 0 ends a phrase; of those that start in the first ``starts`` ids."""
     low_bits = 3 * bits // 2
-    i, j = ids[:-1], ids[1:]
-    k = np.append(ids[2:], U64(0)) if len(ids) > 1 else ids[:0]
+    i, j = ids[:-1][:starts], ids[1:][:starts]
+    k = np.append(ids[2:], U64(0))[:starts] if len(ids) > 1 else ids[:0]
     two = np.flatnonzero((i != 0) & (j != 0))
     three = two[k[two] != 0]
     i, j, k = np.concatenate([i[two], i[three]]), np.concatenate([j[two], j[three]]), np.concatenate([np.zeros(len(two), U64), k[three]])
@@ -158,17 +163,24 @@ def _filter_rows(parts) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([data], pa.binary())], names=["shard", "filter"])
 
 
-def _block_filters(bits: int, shard_bits: int, entries: int):
-    """Task: filters by range of the phrases of all blocks it reads."""
+def _block_filters(bits: int, shard_bits: int, entries: int, words: int = PIECE_WORDS):
+    """Task: filters by range of the phrases of all blocks it reads. A block's
+    phrases are packed ``words`` words at a time."""
     map_ = qf.Permutation(3 * bits)
     rest = 3 * bits - shard_bits
+    narrow = np.min_scalar_type((1 << shard_bits) - 1)
+    piece_bits = min(shard_bits, PIECE_BITS)
+    edges = (np.arange(1, 1 << piece_bits, dtype=U64) << U64(shard_bits - piece_bits)).astype(narrow)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush():
-            shard, key, counts = _distinct(*(np.concatenate(x) for x in zip(*held)), rest, 3 * bits)
-            yield from _filter_rows(qf.split(shard, key, counts, rest, 0))
+            cuts = [np.concatenate([[0], np.searchsorted(shard, edges), [len(shard)]]) for shard, _, _ in held]
+            for p in range(1 << piece_bits):
+                shard, key, counts = (np.concatenate([x[c[p]:c[p + 1]] for x, c in zip(column, cuts)], dtype=kind)
+                                      for column, kind in zip(zip(*held), (U64, U64, np.int64)))
+                yield from _filter_rows(qf.split(*_distinct(shard, key, counts, rest, 3 * bits), rest, 0))
 
         for b in batches:
             width, codes, at, to = (b.column(i) for i in range(4))
@@ -176,33 +188,39 @@ def _block_filters(bits: int, shard_bits: int, entries: int):
                 local = np.frombuffer(codes[r].as_buffer(), f"<u{width[r].as_py()}")
                 table = np.zeros(1 << 8 * width[r].as_py() if width[r].as_py() == 2 else int(local.max(initial=0)) + 1, dtype=U64)
                 table[at[r].values.to_numpy(zero_copy_only=False) + 1] = to[r].values.to_numpy(zero_copy_only=False).astype(U64)
-                high, low = map_.forward(*_packed(table[local], bits))
-                shard = high >> U64(map_.high_bits - shard_bits)
-                key = ((high & qf._mask(map_.high_bits - shard_bits)) << U64(map_.low_bits)) | low
-                held.append(_distinct(shard, key, np.ones(len(key), dtype=np.int64), rest, 3 * bits))
-                size += len(held[-1][0])
-                if size >= entries:
-                    yield from flush()
-                    held, size = [], 0
+                for lo in range(0, len(local), words):
+                    high, low = map_.forward(*_packed(table[local[lo:lo + words + 2]], bits, words))
+                    shard = high >> U64(map_.high_bits - shard_bits)
+                    key = ((high & qf._mask(map_.high_bits - shard_bits)) << U64(map_.low_bits)) | low
+                    shard, key, counts = _distinct(shard, key, np.ones(len(key), dtype=np.int64), rest, 3 * bits)
+                    held.append((shard.astype(narrow), key, counts.astype(np.int32)))
+                    size += len(key)
+                    if size >= entries:
+                        yield from flush()
+                        held, size = [], 0
         if held:
             yield from flush()
 
     return work
 
 
-def _merged_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[Tuple[int, np.ndarray, np.ndarray]]:
-    """(shard, keys, counts) of sorted batches, one shard after the other."""
+def _merged_ranges(batches: Iterator[pa.RecordBatch], most: Optional[int] = None) -> Iterator[Tuple[int, qf.Merger]]:
+    """(shard, its filters added up) of sorted batches, one shard after the
+    other; a shard comes in several parts if it has ``most`` entries or more."""
     last, merger = None, None
     for (shard,), rows in runs(batches, ["shard"]):
         if shard != last:
             if merger:
-                yield last, *merger.total()
+                yield last, merger
             last, merger = shard, qf.Merger()
         filters = rows.column(rows.schema.get_field_index("filter"))
         for r in range(rows.num_rows):
             merger.add(filters[r].as_py())
+            if most and len(merger) >= most:
+                yield last, merger
+                merger = qf.Merger()
     if merger:
-        yield last, *merger.total()
+        yield last, merger
 
 
 def phrase_counts(found: DataFrame, n_ids: int, n_words: int, least: int, range_entries: int = RANGE_ENTRIES,
@@ -230,20 +248,22 @@ def phrase_counts(found: DataFrame, n_ids: int, n_words: int, least: int, range_
         rest = 3 * bits - done
 
         def deeper(batches, more=more, rest=rest):
-            for shard, keys, counts in _merged_ranges(batches):
-                yield from _filter_rows(qf.split(np.full(len(keys), shard, dtype=U64), keys, counts, rest, more))
+            for shard, merger in _merged_ranges(batches, range_entries):
+                for keys, counts in merger.pieces():
+                    yield from _filter_rows(qf.split(np.full(len(keys), shard, dtype=U64), keys, counts, rest, more))
 
         level = arrow_map(level.repartition(tasks(done), "shard").sortWithinPartitions("shard"), deeper, schema)
         done += more
     map_ = qf.Permutation(3 * bits)
 
     def last(batches):
-        for shard, keys, counts in _merged_ranges(batches):
-            frequent = counts >= least
-            keys, counts = keys[frequent], counts[frequent]
-            high = (keys >> U64(map_.low_bits)) | U64(shard << (map_.high_bits - done))
-            ids = _unpacked(*map_.back(high, keys & map_.low), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (*ids, counts)], names=["i", "j", "k", "a"])
+        for shard, merger in _merged_ranges(batches):
+            for keys, counts in merger.pieces():
+                frequent = counts >= least
+                keys, counts = keys[frequent], counts[frequent]
+                high = (keys >> U64(map_.low_bits)) | U64(shard << (map_.high_bits - done))
+                ids = _unpacked(*map_.back(high, keys & map_.low), bits)
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (*ids, counts)], names=["i", "j", "k", "a"])
 
     return arrow_map(level.repartition(tasks(done), "shard").sortWithinPartitions("shard"), last, "i long, j long, k long, a long")
 

@@ -182,14 +182,30 @@ def count(data: bytes, key: int) -> int:
     return total
 
 
+def _in_pieces(parts: List[Tuple[np.ndarray, np.ndarray]], piece: int) -> Iterator[Tuple[np.ndarray, np.ndarray]]:
+    """The sum of sorted (keys, counts), one range of the keys after the
+    other: about ``piece`` entries are copied and sorted at once."""
+    n = sum(len(k) for k, _ in parts) // piece + 1
+    longest = max((k for k, _ in parts), key=len)
+    edges = longest[np.arange(1, n) * len(longest) // n]
+    cuts = [np.concatenate([[0], np.searchsorted(k, edges), [len(k)]]) for k, _ in parts]
+    for i in range(n):
+        yield added_up(np.concatenate([k[c[i]:c[i + 1]] for (k, _), c in zip(parts, cuts)]),
+                       np.concatenate([x[c[i]:c[i + 1]] for (_, x), c in zip(parts, cuts)]))
+
+
 class Merger:
     """Adds filters of one range up. What is held is the sum so far and at
-    most ``waiting`` entries not yet added to it."""
+    most ``waiting`` entries, or as many as the sum has, not yet added to it;
+    little more is needed to add them or to go through the total in pieces."""
 
-    def __init__(self, waiting: int = 1 << 20):
-        self.waiting, self.held, self.size = waiting, [], 0
+    def __init__(self, waiting: int = 1 << 20, piece: int = 1 << 18):
+        self.waiting, self.piece, self.held, self.size = waiting, piece, [], 0
         self.keys, self.counts = np.zeros(0, U64), np.zeros(0, np.int64)
 
+    def __len__(self) -> int:
+        return len(self.keys) + self.size
+
     def add(self, data: bytes) -> None:
         part = read(data)
         self.held.append(part)
@@ -197,10 +213,14 @@ class Merger:
         if self.size >= max(self.waiting, len(self.keys)):
             self._settle()
 
+    def pieces(self) -> Iterator[Tuple[np.ndarray, np.ndarray]]:
+        """The total, one range of the sorted keys after the other."""
+        return _in_pieces([(self.keys, self.counts), *self.held], self.piece)
+
     def _settle(self) -> None:
-        parts = [(self.keys, self.counts), *self.held]
-        self.keys, self.counts = added_up(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-        self.held, self.size = [], 0
+        found = list(self.pieces())
+        self.held, self.size, self.keys, self.counts = [], 0, None, None
+        self.keys, self.counts = np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])
 
     def total(self) -> Tuple[np.ndarray, np.ndarray]:
         if self.held:

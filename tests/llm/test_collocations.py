@@ -1,9 +1,11 @@
 """Quotient filters against dictionaries; phrases against brute force."""
 
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +139,121 @@ def test_large_counts_are_exact(spark):
     df = spark.createDataFrame([(10**16 - 1, 10**16 - 1, 10**16), (3, 5, 7)], "a long, l long, r long")
     got = [r.s for r in df.select(collocations._score("a", "l", "r").alias("s")).collect()]
     assert got == [10**6 * a * a // (l * r) for a, l, r in ((10**16 - 1, 10**16 - 1, 10**16), (3, 5, 7))]
+
+
+def block_batch(codes, ids):
+    """One block as the filter tasks read it: code k + 1 stands for ids[k]."""
+    return pa.RecordBatch.from_arrays([
+        pa.array([4], pa.int32()), pa.array([np.asarray(codes, "<u4").tobytes()], pa.binary()),
+        pa.array([list(range(len(ids)))], pa.list_(pa.int32())), pa.array([list(ids)], pa.list_(pa.int64()))],
+        names=["width", "codes", "at", "id"])
+
+
+def phrases_of(filters, bits, shard_bits):
+    """Counts of phrases of (shard, filter) pairs."""
+    map_, out = qf.Permutation(3 * bits), Counter()
+    for shard, data in filters:
+        keys, counts = qf.read(data)
+        key = [(shard << 3 * bits - shard_bits) | k for k in keys.tolist()]
+        high = np.array([k >> map_.low_bits for k in key], np.uint64)
+        ids = collocations._unpacked(*map_.back(high, np.array([k & int(map_.low) for k in key], np.uint64)), bits)
+        for p, c in zip(zip(*(x.tolist() for x in ids)), counts.tolist()):
+            out[p] += c
+    return out
+
+
+def filters_of(batches):
+    return [(b.column(0)[0].as_py(), b.column(1)[0].as_py()) for b in batches]
+
+
+def peak_of(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("bits,shard_bits", [(4, 0), (4, 3), (17, 7), (21, 9), (25, 11), (42, 62)])
+def test_long_blocks_in_pieces(bits, shard_bits):
+    """Phrases over the edges of a piece count once, whatever its size."""
+    rng = np.random.default_rng(bits)
+    codes = np.append(rng.integers(0, 9, 299), 8)
+    ids = rng.integers(1, 1 << bits, 8) if bits > 4 else np.arange(1, 9)
+    x = np.append(0, ids)[codes].tolist()
+    want = Counter((*p, 0) for p in zip(x, x[1:]) if all(p)) + Counter(p for p in zip(x, x[1:], x[2:]) if all(p))
+    for words, entries in ((1, 1), (2, 40), (7, 10**6), (299, 50), (300, 10**6)):
+        work = collocations._block_filters(bits, shard_bits, entries, words)
+        assert phrases_of(filters_of(work(iter([block_batch(codes, ids)] * 2))), bits, shard_bits) == Counter({p: 2 * c for p, c in want.items()})
+
+
+def test_a_filter_task_needs_little_beyond_its_entries():
+    """Entries take 14 bytes held, and 24 in copies while they were sorted."""
+    rng = np.random.default_rng(11)
+    entries, n = 1 << 20, 1 << 16
+    batches = [block_batch(np.append(rng.integers(1, n + 1, 40_000), n), rng.permutation(n) + 1) for _ in range(12)]
+    seen = []
+
+    def work():
+        for b in collocations._block_filters(17, 7, entries)(iter(batches)):
+            seen.append(b.column(0)[0].as_py())
+
+    assert peak_of(work) < 45 * entries
+    assert len(seen) == 128
+
+
+def test_a_long_block_needs_little():
+    rng = np.random.default_rng(12)
+    batch = block_batch(rng.integers(1, 101, 1 << 20), np.arange(1, 101))
+
+    def work():
+        for _ in collocations._block_filters(7, 4, 1 << 21)(iter([batch])):
+            pass
+
+    assert peak_of(work) < 64 << 20
+
+
+def some_filters(number, n, seed):
+    rng = np.random.default_rng(seed)
+    parts = [np.unique(rng.integers(0, 2**44, n).astype(np.uint64)) for _ in range(number)]
+    return parts, [qf.build(k, np.ones(len(k), np.int64), 44) for k in parts]
+
+
+def test_a_merger_needs_little_beyond_its_entries():
+    parts, filters = some_filters(64, 1 << 14, 13)
+    total = 0
+
+    def work():
+        nonlocal total
+        m = qf.Merger()
+        for f in filters:
+            m.add(f)
+        total = sum(int(c.sum()) for _, c in m.pieces())
+
+    assert peak_of(work) < 45 * sum(map(len, parts))
+    assert total == sum(map(len, parts))
+
+
+def test_pieces_are_the_total_in_order():
+    parts, filters = some_filters(9, 700, 14)
+    for waiting, piece in ((1, 1), (50, 64), (3000, 1 << 18)):
+        m = qf.Merger(waiting, piece)
+        for f in [*filters, filters[0], qf.build(np.zeros(0, np.uint64), np.zeros(0, np.int64), 44)]:
+            m.add(f)
+        keys, counts = (np.concatenate(x) for x in zip(*m.pieces()))
+        want = Counter(np.concatenate([*parts, parts[0]]).tolist())
+        assert keys.tolist() == sorted(want) and counts.tolist() == [want[k] for k in keys.tolist()]
+    assert [len(k) for k, _ in qf.Merger().pieces()] == [0]
+
+
+def test_a_large_range_is_split_in_parts():
+    """A range of a first level may hold more than a task: it goes on in parts of bounded size."""
+    parts, filters = some_filters(40, 500, 15)
+    batch = pa.RecordBatch.from_arrays([pa.array([3] * 25 + [8] * 15, pa.int64()), pa.array(filters, pa.binary())], names=["shard", "filter"])
+    got = {3: Counter(), 8: Counter()}
+    for shard, m in collocations._merged_ranges(iter([batch.slice(0, 10), batch.slice(10)]), 2000):
+        assert 0 < len(m) < 2500
+        got[shard].update(dict(zip(*(x.tolist() for x in m.total()))))
+    assert got == {3: Counter(np.concatenate(parts[:25]).tolist()), 8: Counter(np.concatenate(parts[25:]).tolist())}
+    assert [shard for shard, _ in collocations._merged_ranges(iter([batch]))] == [3, 8]
